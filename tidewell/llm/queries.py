@@ -21,6 +21,27 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.quality_rules import apply_rules
+
+    found = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.exact_dedup import dedup
+
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.mixing import mix, taken_words
+
+    found = taken_words(*mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return found.select(F.col("key_").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
