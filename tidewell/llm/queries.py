@@ -42,6 +42,29 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key_").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewell.llm.byte_bpe import encode_digest, load_ranks
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_digest(documents, load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def fold_of(key: str, folds: int):
+    """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(folds))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.language_id import fit, identify
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold_of("doc_id", 4) == 2)
+    model = fit(documents.where(~F.col("held_out")))
+    found = identify(documents.select("doc_id", "text", "held_out"), model, keep_text=False)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
