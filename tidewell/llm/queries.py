@@ -65,6 +65,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.quality_crf import fit, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of("doc_id", 4) == 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    field = fit(documents.where(~F.col("held_out")), labels.where(fold_of("doc_id", 4) != 2))
+    found = score(documents, field, keep_text=False)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
