@@ -75,6 +75,16 @@ def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = fit(documents.where(~F.col("held_out")), labels.where(fold_of("doc_id", 5) != 0))
+    found = score(documents, model, keep_text=False)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
