@@ -100,3 +100,29 @@ def running_start(df: DataFrame, group: str, value: str, order: list[str], out:
     df = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
     joined = df.join(totals, df[group].eqNullSafe(totals[mine]) & (df[bucket] == totals[bucket + "t"]))
     return joined.withColumn(out, F.col(out) + F.col(offset)).drop(bucket, bucket + "t", offset, mine)
+
+
+#: A bit filter has at most this many bits; it is sent to all executors, so this bounds it at 16 MB.
+MOST_BITS = 1 << 27
+
+
+def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """A filter of the hashes of ``column``: (rows of 4 KB bitmaps by bucket, number of bits), of bounded size."""
+    bits = 1 << 15
+    while bits < min(most_bits, 32 * keys.count()):
+        bits *= 2
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    marks = keys.select(F.shiftright(place, 15).cast("int").alias("bucket_f"), place.bitwiseAND(F.lit(32767)).alias("bit_f"))
+    return marks.groupBy("bucket_f").agg(F.bitmap_construct_agg("bit_f").alias("map_f")), bits
+
+
+def maybe_in(df: DataFrame, column: str, made: tuple[DataFrame, int]) -> DataFrame:
+    """Rows whose ``column`` may be among the keys of a bit filter: all that are, and few that aren't. No shuffle of ``df``."""
+    maps, bits = made
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    bit = place.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("map_f", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    mark = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    held = byte.bitwiseAND(mark) != 0
+    joined = df.join(F.broadcast(maps), F.shiftright(place, 15).cast("int") == F.col("bucket_f"))
+    return joined.where(held).drop("bucket_f", "map_f")
