@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import ascii_lower, scratch_dir, stored
+from tidewell.llm.shared import ascii_lower, bit_filter, maybe_in, scratch_dir, stored
 
 PREFIX_BITS = 6
 FANOUT = 4
@@ -31,7 +31,7 @@ HOT_GROUPS = 1000
 GROUP_SALT = 500
 
 
-def digest(text) -> F.Column:
+def sha256(text):
     """SHA-256 (hexadecimal) of the text in UTF-8."""
     return F.sha2(text.cast("binary"), 256)
 
@@ -97,7 +97,7 @@ class MergeIndex:
         return self._read(runs).where(F.col("digest").isin(*digests))
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", largest: bool = True, memtables: int = 4, digest=digest) -> DataFrame:
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", largest: bool = True, memtables: int = 4, digest=sha256) -> DataFrame:
     """Adds keep_id, group_size, kept and text_sha256 (of the normalised text); of equal texts (A-Z lower-cased) one stays.
 
     Only digests that more than one row has are joined back. Groups so large that there can't be more than HOT_GROUPS of
@@ -111,9 +111,9 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", largest: bool
     run = index.compact()
     total = run.agg(F.sum("n")).first()[0] or 0
     repeated = run.where("n > 1").select("digest", (F.col("ident") * sign).alias("keep_id"), F.col("n").alias("group_size"))
+    hot = F.col("group_size") > max(1, total // HOT_GROUPS)
 
     named = df.withColumn("digest_", digest(body))
-    hot = F.col("group_size") > max(1, total // HOT_GROUPS)
     found = _attach(named, repeated.where(hot), "hot", broadcast=True)
     found = _attach(found, repeated.where(~hot), "cold")
     found = found.withColumns(
@@ -122,11 +122,13 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", largest: bool
             "group_size": F.coalesce("hot_group_size", "cold_group_size", F.lit(1).cast("long")),
         }
     ).drop("hot_keep_id", "cold_keep_id", "hot_group_size", "cold_group_size")
-    strangers = _strangers(found.select(F.col(key).alias("id_"), "digest_", "keep_id", "group_size", body.alias("body_")))
+
+    members = maybe_in(named.select(F.col(key).alias("id_"), "digest_", body.alias("body_")), "digest_", bit_filter(repeated, "digest"))
+    strangers = _strangers(members, repeated, hot)
     if not strangers.isEmpty():
         found = _regrouped(found, strangers, key, body, sign)
-    found = found.withColumns({"kept": F.col(key).eqNullSafe(F.col("keep_id")), "text_sha256": F.sha2(body.cast("binary"), 256)})
-    return found.drop("digest_")
+    sha = F.col("digest_") if digest is sha256 else F.sha2(body.cast("binary"), 256)
+    return found.withColumns({"kept": F.col(key).eqNullSafe(F.col("keep_id")), "text_sha256": sha}).drop("digest_")
 
 
 def _attach(df: DataFrame, index: DataFrame, name: str, broadcast: bool = False) -> DataFrame:
@@ -135,13 +137,16 @@ def _attach(df: DataFrame, index: DataFrame, name: str, broadcast: bool = False)
     return df.join(index, df["digest_"] == index[f"{name}_d"], "left").drop(f"{name}_d")
 
 
-def _strangers(rows: DataFrame) -> DataFrame:
+def _strangers(members: DataFrame, repeated: DataFrame, hot) -> DataFrame:
     """Byte verification: the hits whose text isn't that of their digest's keeper (id_, digest_, body_).
 
     A keeper's text is sent once for every GROUP_SALT hits, so a large group is spread over many tasks.
     """
     salts = F.ceil(F.col("group_size") / GROUP_SALT).cast("int")
-    rows = rows.where("group_size > 1").withColumn("salts_", salts)
+    info = repeated.select(F.col("digest").alias("d_"), "keep_id", salts.alias("salts_"), hot.alias("hot_"))
+    rows = members.join(F.broadcast(info.where("hot_")), F.col("digest_") == F.col("d_"), "left")
+    same = members.join(info.where(~F.col("hot_")), F.col("digest_") == F.col("d_"))
+    rows = rows.where("hot_").unionByName(same)
     hits = rows.withColumn("salt_", F.pmod(F.xxhash64("id_"), F.col("salts_")).cast("int"))
     keepers = rows.where(F.col("id_").eqNullSafe(F.col("keep_id"))).groupBy("digest_", "salts_").agg(F.min("body_").alias("kept_body"))
     keepers = keepers.select(F.col("digest_").alias("d2_"), "kept_body", F.explode(F.sequence(F.lit(0), F.col("salts_") - 1)).alias("s2_"))
