@@ -92,6 +92,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is the file source/lang/doc_id of a tree."""
+    from tidewell.llm.license_scan import scan
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return scan(documents).select("doc_id", "path", "own_license", "own_score", "header", "is_license_file", "license", "inherited_from")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

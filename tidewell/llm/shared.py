@@ -118,11 +118,19 @@ def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> tupl
 
 def maybe_in(df: DataFrame, column: str, made: tuple[DataFrame, int]) -> DataFrame:
     """Rows whose ``column`` may be among the keys of a bit filter: all that are, and few that aren't. No shuffle of ``df``."""
+    return _marked(df, column, made).where("maybe_f").drop("maybe_f")
+
+
+def surely_not_in(df: DataFrame, column: str, made: tuple[DataFrame, int]) -> DataFrame:
+    """The other rows, nulls included."""
+    return _marked(df, column, made, "left").where("not coalesce(maybe_f, false)").drop("maybe_f")
+
+
+def _marked(df: DataFrame, column: str, made: tuple[DataFrame, int], how: str = "inner") -> DataFrame:
     maps, bits = made
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    place = F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(bits)))
     bit = place.bitwiseAND(F.lit(32767))
     byte = F.conv(F.hex(F.substring("map_f", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     mark = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit.bitwiseAND(F.lit(7)) + 1).cast("int"))
-    held = byte.bitwiseAND(mark) != 0
-    joined = df.join(F.broadcast(maps), F.shiftright(place, 15).cast("int") == F.col("bucket_f"))
-    return joined.where(held).drop("bucket_f", "map_f")
+    joined = df.join(F.broadcast(maps), F.shiftright(place, 15).cast("int") == F.col("bucket_f"), how)
+    return joined.withColumn("maybe_f", byte.bitwiseAND(mark) != 0).drop("bucket_f", "map_f")
