@@ -1,17 +1,662 @@
-"""All registered queries of the engine and the SQL each is checked against."""
+"""All registered queries of the engine and the SQL each is checked against.
+
+A query is a thin composition of operators over the views of ``views.py``; its oracle says the same in SQL, independently.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.config import AS_OF
+from tidewell.operators import graph, logs, memory, retrieval, text
+from tidewell.plans.views import Views, duck
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+QUERY_TEXT = "the that with and idiot clown"
+SOURCE_PRIORITIES = [(f"src{i}", ("high", "medium", "low")[i % 3]) for i in range(20)]
+RULES_AS_OF = AS_OF
+
+
+def query(oracle: str | None = None):
+    """Registers a function of the views under its name, with its SQL."""
+
+    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
+        if oracle is not None:
+            _ORACLES[name] = duck(oracle)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def rows(spark: SparkSession, schema: str, values: list) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def r6(*names: str) -> dict:
+    return {n: F.round(n, 6) for n in names}
+
+
+def priorities(spark: SparkSession) -> DataFrame:
+    return rows(spark, "source string, priority string", SOURCE_PRIORITIES)
+
+
+PRIORITY_SQL = "(VALUES " + ", ".join(f"('{s}', '{p}')" for s, p in SOURCE_PRIORITIES) + ") p(source, priority)"
+
+# ---- log analytics
+
+
+@query("""
+    SELECT d.doc_id, d.excitability, a.hits, ROUND(a.avg_score, 6) AS avg_score, a.avg_score < 0.02 AS extinct,
+           ROUND(CASE WHEN a.avg_score < 0.02 THEN GREATEST(0.1, d.excitability - 0.05)
+                      ELSE LEAST(1.0, d.excitability + LEAST(0.2, 0.05 * log2(a.hits + 1))) END, 6) AS new_excitability
+    FROM v_docs d JOIN (SELECT doc_id, COUNT(*) AS hits, COALESCE(AVG(score), 1.0) AS avg_score FROM v_access GROUP BY doc_id) a ON a.doc_id = d.doc_id""")
+def strengthen_boost(v: Views) -> DataFrame:
+    return logs.strengthen_boost(v("v_docs"), v("v_access")).withColumns(r6("avg_score", "new_excitability"))
+
+
+@query("""
+    WITH idle AS (SELECT doc_id, excitability, access_count, epoch_us({as_of}) AS now_us, epoch_us(COALESCE(last_accessed, indexed_at, created)) AS then_us FROM v_docs
+                  WHERE (last_accessed IS NULL OR last_accessed < {as_of} - INTERVAL '14' DAY) AND (indexed_at IS NULL OR indexed_at < {as_of} - INTERVAL '14' DAY)
+                    AND doc_id NOT IN (SELECT doc_id FROM v_access)),
+    aged AS (SELECT *, (now_us - then_us) / 86400000000.0 AS days FROM idle),
+    faded AS (SELECT doc_id, excitability, days, GREATEST(0.1, excitability * EXP(-days / (60 * (1 + LN(1 + access_count))))) AS new_excitability FROM aged WHERE days >= 14)
+    SELECT doc_id, excitability, ROUND(days, 6) AS days, ROUND(new_excitability, 6) AS new_excitability FROM faded WHERE new_excitability <> excitability""")
+def strengthen_decay(v: Views) -> DataFrame:
+    return logs.strengthen_decay(v("v_docs"), v("v_access"), AS_OF).withColumns(r6("days", "new_excitability"))
+
+
+@query("""
+    WITH ranked AS (SELECT access_type, date_trunc('hour', ts) AS hour, doc_id, ROW_NUMBER() OVER (PARTITION BY access_type, date_trunc('hour', ts) ORDER BY event_id) AS r FROM v_access)
+    SELECT LEAST(a.doc_id, b.doc_id) AS doc_id_a, GREATEST(a.doc_id, b.doc_id) AS doc_id_b, COUNT(*) AS n
+    FROM ranked a JOIN ranked b ON a.access_type = b.access_type AND a.hour = b.hour AND a.r < b.r AND a.doc_id <> b.doc_id
+    WHERE a.r <= 5 AND b.r <= 5 GROUP BY 1, 2""")
+def feedback_pairs(v: Views) -> DataFrame:
+    hits = v("v_access").withColumn("hour", F.date_trunc("hour", "ts"))
+    pairs = logs.feedback_pairs(hits, ["access_type", "hour"], ["event_id"])
+    return pairs.groupBy("doc_id_a", "doc_id_b").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH n AS (SELECT doc_id_a, doc_id_b, COUNT(*) AS n FROM v_coret GROUP BY 1, 2 HAVING COUNT(*) >= 3),
+    e AS (SELECT LEAST(source_id, target_id) AS a, GREATEST(source_id, target_id) AS b, weight, confidence FROM v_edges WHERE type = 'co_retrieved')
+    SELECT sha256(doc_id_a || '::' || doc_id_b) AS id, doc_id_a AS source_id, doc_id_b AS target_id, n, e.weight AS old_weight,
+           ROUND(LEAST(1.0, COALESCE(e.weight, 0.0) + n / 10.0::DOUBLE), 6) AS weight, COALESCE(e.confidence, 0.7) AS confidence, e.weight IS NULL AS is_new
+    FROM n LEFT JOIN e ON e.a = doc_id_a AND e.b = doc_id_b""")
+def coret_edges(v: Views) -> DataFrame:
+    return logs.reinforce(v("v_coret"), v("v_edges")).withColumns(r6("weight"))
+
+
+@query("""
+    WITH recent AS (SELECT DISTINCT doc_id_a, doc_id_b FROM v_coret WHERE ts >= {as_of} - INTERVAL '30' DAY + INTERVAL '20' DAY)
+    SELECT id, source_id, target_id, weight, weight < 0.2 AS removed, CASE WHEN weight >= 0.2 THEN ROUND(weight * 0.8, 6) END AS new_weight
+    FROM v_edges e WHERE type = 'co_retrieved' AND (valid_to IS NULL OR valid_to > {as_of})
+      AND NOT EXISTS (SELECT 1 FROM recent r WHERE r.doc_id_a = e.source_id AND r.doc_id_b = e.target_id)""")
+def coret_decay(v: Views) -> DataFrame:
+    from tidewell.config import CoRetrieval
+
+    return logs.fade_edges(v("v_edges"), v("v_coret"), AS_OF, CoRetrieval(stale_days=10)).withColumns(r6("new_weight"))
+
+
+@query(f"""
+    WITH aged AS (SELECT doc_id, excitability, access_count, CAST(FLOOR((epoch_us({{as_of}}) - epoch_us(COALESCE(last_accessed, indexed_at, created))) / 86400000000.0) AS BIGINT) AS age_days FROM v_docs)
+    SELECT a.doc_id, split_part(a.doc_id, '::', 1) AS source, a.excitability, a.age_days, CASE WHEN p.priority = 'low' THEN 'remove' ELSE 'flag' END AS action
+    FROM aged a LEFT JOIN {PRIORITY_SQL} ON p.source = split_part(a.doc_id, '::', 1)
+    WHERE a.excitability < 0.15 AND a.access_count = 0 AND a.age_days > 60""")
+def prune_stale(v: Views) -> DataFrame:
+    return logs.prune_stale(v("v_docs"), priorities(v.spark), AS_OF)
+
+
+@query("""
+    SELECT h.doc_id, split_part(h.doc_id, '::', 1) AS source, h.hits, ROUND(h.avg_score, 6) AS avg_score, COALESCE(d.excitability, 0.5) AS excitability, COALESCE(d.access_count, h.hits) AS access_count
+    FROM (SELECT doc_id, COUNT(*) AS hits, AVG(score) AS avg_score FROM v_access WHERE access_type = 'search_hit' GROUP BY doc_id HAVING COUNT(*) >= 5 AND AVG(score) < 0.015) h
+    LEFT JOIN v_docs d ON d.doc_id = h.doc_id""")
+def prune_misaligned(v: Views) -> DataFrame:
+    return logs.prune_misaligned(v("v_docs"), v("v_access")).withColumns(r6("avg_score"))
+
+
+@query("""SELECT access_type, COUNT(*) AS n FROM v_access WHERE ts >= {as_of} - INTERVAL '20' DAY GROUP BY 1""")
+def retention(v: Views) -> DataFrame:
+    from tidewell.config import PruneRules
+
+    return logs.retain(v("v_access"), AS_OF, PruneRules(retention_days=20)).groupBy("access_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'frequency' AS pattern, target_id AS name, COUNT(*) AS n, ROUND(COUNT(*) / (COUNT(*) + 3.0::DOUBLE), 6) AS confidence
+    FROM v_events WHERE event_type = 'search' AND target_id IS NOT NULL GROUP BY target_id HAVING COUNT(*) >= 3""")
+def pattern_frequency(v: Views) -> DataFrame:
+    return logs.frequency_patterns(v("v_events")).withColumns(r6("confidence"))
+
+
+@query("""SELECT 'gap' AS pattern, query AS name, COUNT(*) AS n, ROUND(COUNT(*) / (COUNT(*) + 3.0::DOUBLE), 6) AS confidence
+    FROM v_events WHERE event_type = 'search_complete' AND results_count = 0 GROUP BY query HAVING COUNT(*) >= 3""")
+def pattern_gaps(v: Views) -> DataFrame:
+    return logs.gap_patterns(v("v_events")).withColumns(r6("confidence"))
+
+
+@query("""SELECT 'temporal' AS pattern, dayname(ts) || ':' || query AS name, COUNT(*) AS n, ROUND(COUNT(*) / (COUNT(*) + 3.0::DOUBLE), 6) AS confidence
+    FROM v_events WHERE query IS NOT NULL GROUP BY 2 HAVING COUNT(*) >= 2""")
+def pattern_temporal(v: Views) -> DataFrame:
+    return logs.temporal_patterns(v("v_events")).withColumns(r6("confidence"))
+
+
+@query("""
+    SELECT pattern, COUNT(*) AS patterns, CAST(SUM(n) AS BIGINT) AS n, ROUND(MAX(n / (n + 3.0::DOUBLE)), 6) AS confidence FROM (
+      SELECT 'frequency' AS pattern, target_id AS name, COUNT(*) AS n FROM v_events WHERE event_type = 'search' GROUP BY 2 HAVING COUNT(*) >= 3
+      UNION ALL SELECT 'gap', query, COUNT(*) FROM v_events WHERE event_type = 'search_complete' AND results_count = 0 GROUP BY 2 HAVING COUNT(*) >= 3
+      UNION ALL SELECT 'temporal', dayname(ts) || ':' || query, COUNT(*) FROM v_events GROUP BY 2 HAVING COUNT(*) >= 2) x GROUP BY pattern""")
+def pattern_all(v: Views) -> DataFrame:
+    found = logs.all_patterns(v("v_events")).groupBy("pattern")
+    return found.agg(F.count("*").alias("patterns"), F.sum("n").alias("n"), F.round(F.max("confidence"), 6).alias("confidence"))
+
+
+@query("""SELECT COUNT(*) AS documents, COUNT(*) FILTER (WHERE excitability > 0.6) AS hot, COUNT(*) FILTER (WHERE excitability < 0.15) AS cold, COUNT(*) FILTER (WHERE access_count > 0) AS accessed,
+    ROUND(AVG(excitability), 6) AS avg_excitability, MIN(excitability) AS min_excitability, MAX(excitability) AS max_excitability FROM v_docs""")
+def corpus_stats(v: Views) -> DataFrame:
+    return logs.corpus_stats(v("v_docs")).withColumns(r6("avg_excitability"))
+
+
+@query("SELECT query, COUNT(*) AS n FROM v_access WHERE query <> '' GROUP BY query ORDER BY n DESC, query LIMIT 5")
+def top_queries(v: Views) -> DataFrame:
+    return logs.top_queries(v("v_access"))
+
+
+@query("SELECT CAST(LEAST(4, FLOOR(excitability * 5 + 1e-9)) AS BIGINT) AS bucket, COUNT(*) AS n FROM v_docs GROUP BY 1")
+def excit_histogram(v: Views) -> DataFrame:
+    return logs.excitability_histogram(v("v_docs"))
+
+
+@query("""SELECT doc_id, excitability, access_count, CAST(FLOOR((epoch_us({as_of}) - epoch_us(last_accessed)) / 86400000000.0) AS BIGINT) AS days_stale
+    FROM v_docs WHERE access_count > 0 AND excitability < 0.45 ORDER BY excitability, doc_id LIMIT 10""")
+def at_risk(v: Views) -> DataFrame:
+    return logs.at_risk(v("v_docs"), AS_OF)
+
+
+@query("""(SELECT 'top' AS side, doc_id, excitability, access_count FROM v_docs ORDER BY excitability DESC, doc_id LIMIT 10) UNION ALL
+    (SELECT 'bottom', doc_id, excitability, access_count FROM v_docs ORDER BY excitability, doc_id LIMIT 10)""")
+def excit_top_bottom(v: Views) -> DataFrame:
+    top = logs.by_excitability(v("v_docs")).withColumn("side", F.lit("top"))
+    return top.unionByName(logs.by_excitability(v("v_docs"), top=False).withColumn("side", F.lit("bottom")))
+
+
+# ---- memory
+
+
+@query("""SELECT id, LENGTH(content) >= 50 AND LENGTH(title) >= 10 AND LENGTH(topic) >= 5 AND importance BETWEEN 0 AND 1 AND NOT contains(lower(title || ' ' || topic || ' ' || content), 'act as') AS valid,
+    CAST((CASE WHEN LENGTH(content) < 50 THEN 1 ELSE 0 END) + (CASE WHEN LENGTH(title) < 10 THEN 1 ELSE 0 END) + (CASE WHEN LENGTH(topic) < 5 THEN 1 ELSE 0 END)
+       + (CASE WHEN contains(lower(title || ' ' || topic || ' ' || content), 'act as') THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM v_memories""")
+def memory_validate(v: Views) -> DataFrame:
+    return memory.validate(v("v_memories")).select("id", "valid", F.size("errors").cast("long").alias("n_errors"))
+
+
+@query("""SELECT id, COALESCE(expires_at <= {as_of}, FALSE) AS is_expired,
+    CASE WHEN expires_at <= {as_of} THEN 0 ELSE CAST(FLOOR((epoch_us(expires_at) - epoch_us({as_of})) / 3600000000.0) AS BIGINT) END AS remaining_hours FROM v_memories""")
+def memory_ttl(v: Views) -> DataFrame:
+    return memory.lifetimes(v("v_memories"), AS_OF).select("id", "is_expired", "remaining_hours")
+
+
+@query("SELECT category, COUNT(*) AS n FROM v_memories WHERE expires_at IS NULL OR expires_at > {as_of} GROUP BY category")
+def memory_prune(v: Views) -> DataFrame:
+    return memory.prune_expired(v("v_memories"), AS_OF).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH t AS (SELECT id, lower(title) AS t FROM v_doc_memories WHERE title <> '')
+    SELECT a.id AS id_a, b.id AS id_b, ROUND(1 - levenshtein(a.t, b.t) / CAST(GREATEST(LENGTH(a.t), LENGTH(b.t)) AS DOUBLE), 6) AS similarity
+    FROM t a JOIN t b ON a.id < b.id AND LENGTH(a.t) >= 0.85 * LENGTH(b.t) AND LENGTH(b.t) >= 0.85 * LENGTH(a.t)
+    WHERE 1 - levenshtein(a.t, b.t) / CAST(GREATEST(LENGTH(a.t), LENGTH(b.t)) AS DOUBLE) >= 0.85""")
+def memory_dedup(v: Views) -> DataFrame:
+    return memory.title_duplicates(v("v_doc_memories")).withColumns(r6("similarity"))
+
+
+@query(r"""
+    WITH w AS (SELECT id, trim(content) AS body, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(content), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '')) AS t FROM v_doc_memories),
+    tok AS (SELECT id, UNNEST(t) AS token FROM w),
+    shared AS (SELECT a.id AS id_a, b.id AS id_b, COUNT(*) AS n FROM tok a JOIN tok b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
+    SELECT s.id_a, s.id_b, ROUND(s.n / CAST(len(a.t) + len(b.t) - s.n AS DOUBLE), 6) AS jaccard, a.body <> b.body AS contradicts
+    FROM shared s JOIN w a ON a.id = s.id_a JOIN w b ON b.id = s.id_b WHERE s.n / CAST(len(a.t) + len(b.t) - s.n AS DOUBLE) >= 0.85""")
+def memory_contradictions(v: Views) -> DataFrame:
+    return memory.content_pairs(v("v_doc_memories")).withColumns(r6("jaccard"))
+
+
+@query()
+def memory_sign(v: Views) -> DataFrame:
+    signed = memory.sign(v("v_memories"), b"\x00" * 32)
+    return memory.signature_status(signed, b"\x00" * 32).select("id", "signature", "status")
+
+
+@query("""
+    WITH u AS (SELECT memory_id, COUNT(*) AS n, MAX(ts) AS last FROM v_mem_access GROUP BY 1),
+    j AS (SELECT m.id, u.n, m.importance, CAST(FLOOR((epoch_us({as_of}) - epoch_us(u.last)) / 86400000000.0) AS BIGINT) AS days FROM v_memories m JOIN u ON u.memory_id = m.id)
+    SELECT id, n, days, importance, ROUND(CASE WHEN days <= 7 THEN LEAST(1.0, importance + LEAST(0.2, 0.05 * log2(n + 1)))
+        WHEN days > 14 THEN GREATEST(0.1, importance - LEAST(0.3, 0.02 * days / 7)) ELSE importance END, 6) AS new_importance FROM j""")
+def memory_decay_boost(v: Views) -> DataFrame:
+    return memory.decay_and_boost(v("v_memories"), v("v_mem_access"), AS_OF).withColumns(r6("new_importance"))
+
+
+@query("""
+    WITH c AS (SELECT DISTINCT topic AS key, CASE CAST(LENGTH(id) % 3 AS INT) WHEN 0 THEN 'session' WHEN 1 THEN 'boot' ELSE 'archive' END AS layer FROM v_memories)
+    SELECT key, layer FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY CASE layer WHEN 'session' THEN 0 WHEN 'boot' THEN 1 ELSE 2 END) AS r FROM c) x WHERE r = 1""")
+def context_lookup(v: Views) -> DataFrame:
+    layer = F.element_at(F.array(*[F.lit(x) for x in ("session", "boot", "archive")]), (F.length("id") % 3 + 1).cast("int"))
+    context = v("v_memories").select(F.col("topic").alias("key"), layer.alias("layer")).distinct()
+    return memory.context_lookup(context)
+
+
+@query("""SELECT (SELECT COUNT(*) FROM v_memories) AS memories, (SELECT CAST(epoch_us(MIN(created)) // 1000000 AS BIGINT) FROM v_memories) AS oldest, (SELECT CAST(epoch_us(MAX(created)) // 1000000 AS BIGINT) FROM v_memories) AS newest,
+    (SELECT COUNT(*) FROM v_memories WHERE importance < 0.3) AS staged, (SELECT COUNT(*) FROM v_mem_access) AS accesses""")
+def memory_stats(v: Views) -> DataFrame:
+    found = memory.memory_stats(v("v_memories"), v("v_memories").where("importance < 0.3"), v("v_mem_access"))
+    return found.withColumns({"oldest": F.unix_seconds("oldest"), "newest": F.unix_seconds("newest")})
+
+
+@query("""
+    WITH l AS (SELECT id, importance, strlen('- [' || category || '] ' || title || ': ' || abstract_text || chr(10)) AS bytes FROM v_memories),
+    u AS (SELECT id, importance, bytes, SUM(bytes) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) + 31 AS used FROM l)
+    SELECT id, importance, CAST(bytes AS BIGINT) AS bytes, CAST(used AS BIGINT) AS used FROM u WHERE used <= 2000""")
+def injection_budget(v: Views) -> DataFrame:
+    return memory.injection(v("v_memories")).select("id", "importance", F.col("bytes").cast("long").alias("bytes"), F.col("used").cast("long").alias("used"))
+
+
+# ---- text
+
+
+@query("SELECT tag, COUNT(*) AS n FROM v_doc_tags GROUP BY tag")
+def tag_counts(v: Views) -> DataFrame:
+    return v("v_doc_tags").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+NOTES = [
+    ("n1", "#Alpha note about #b-c and ##x, see [[Second Note]] and [[shown|Third]]."),
+    ("n2", "Plain text #alpha\n#beta2 [[Second Note]] again [[ ]]"),
+    ("n3", "no marks at all"),
+]
+NOTES_SQL = "(VALUES " + ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in NOTES) + ") t(id, content)"
+
+
+@query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)', 1), lambda y: lower(y)))) AS tag FROM {NOTES_SQL}) SELECT id, tag FROM x""")
+def doc_tags(v: Views) -> DataFrame:
+    return rows(v.spark, "id string, content string", NOTES).select("id", F.explode(text.tags(F.col("content"))).alias("tag"))
+
+
+@query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\[\]]+)\]\]', 1), lambda y: trim(CASE WHEN contains(y, '|') THEN regexp_extract(y, '^[^|]*\|(.*)$', 1) ELSE y END)))) AS link FROM {NOTES_SQL})
+    SELECT id, link FROM x WHERE link <> ''""")
+def wiki_links(v: Views) -> DataFrame:
+    return rows(v.spark, "id string, content string", NOTES).select("id", F.explode(text.wiki_links(F.col("content"))).alias("link"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(s, '|')) AS digest FROM s""")
+def sentences(v: Views) -> DataFrame:
+    found = v("documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
+
+
+@query()
+def paragraph_chunks(v: Views) -> DataFrame:
+    return text.sentence_chunks(v("documents"), "doc_id", "text")
+
+
+MARKDOWN = [
+    ("notes/one.md", "---\ntags: [x]\n---\n# Top\nintro text that is long enough\n## First\n" + "body " * 40 + "\n### Inner\n" + "more " * 30 + "\n## Second\nlast words here"),
+    ("notes/two.md", "short"),
+    ("notes/three.txt", "A sentence here. " * 300),
+]
+
+
+@query()
+def chunk_markdown(v: Views) -> DataFrame:
+    return text.chunk_markdown(rows(v.spark, "path string, content string", MARKDOWN))
+
+
+@query()
+def frontmatter(v: Views) -> DataFrame:
+    found = text.frontmatter(rows(v.spark, "path string, content string", MARKDOWN))
+    return found.select("path", "frontmatter", F.octet_length("body").alias("body_bytes"), text.frontmatter_tags(F.col("frontmatter")).alias("tags"))
+
+
+@query("""SELECT doc_id, substr(sha256(CAST(source || '/' || lang || '/' || CAST(doc_id AS STRING) AS BLOB) || from_hex(
+      lpad(hex(doc_id % 256), 2, '0') || lpad(hex((doc_id // 256) % 256), 2, '0') || lpad(hex((doc_id // 65536) % 256), 2, '0') || '0000000000')), 1, 12) || '_' || CAST(doc_id AS STRING) AS chunk_id FROM documents""")
+def doc_ids_sha(v: Views) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return v("documents").select("doc_id", text.chunk_id(path, F.col("doc_id")).alias("chunk_id"))
+
+
+@query("""WITH m AS (SELECT doc_id, md5(file_path) AS m FROM v_docs) SELECT doc_id, 'note_' || COALESCE(NULLIF(ltrim(substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2), '0'), ''), '0') AS note_id FROM m""")
+def note_ids_md5(v: Views) -> DataFrame:
+    return v("v_docs").select("doc_id", text.note_id(F.col("file_path")).alias("note_id"))
+
+
+VARIANT_QUERIES = ["CS656", "CS 656 exam", "state-of-art", "file_name.py", "ML", "what is machine learning?", "", "rag api design notes"]
+
+
+@query()
+def query_variants(v: Views) -> DataFrame:
+    return text.variants_table(rows(v.spark, "query string", [(q,) for q in VARIANT_QUERIES]))
+
+
+# ---- ingest
+
+
+@query("""
+    WITH disk AS (SELECT doc_id, epoch_us(created) // 1000000 AS mtime FROM v_docs WHERE doc_num % 7 <> 0),
+    held AS (SELECT doc_id, epoch_us(indexed_at) // 1000000 - CASE WHEN doc_num % 5 = 0 THEN 100 ELSE 0 END AS indexed FROM v_docs WHERE doc_num % 11 <> 0)
+    SELECT COALESCE(d.doc_id, h.doc_id) AS doc_id, CASE WHEN h.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'deleted' WHEN d.mtime > h.indexed + 0.5 THEN 'changed' ELSE 'same' END AS state
+    FROM disk d FULL OUTER JOIN held h ON h.doc_id = d.doc_id""")
+def incremental_delta(v: Views) -> DataFrame:
+    from tidewell.sources.files import delta
+
+    docs = v("v_docs")
+    disk = docs.where("doc_num % 7 != 0").select("doc_id", F.unix_seconds("created").cast("double").alias("mtime"))
+    held = docs.where("doc_num % 11 != 0").select("doc_id", (F.unix_seconds("indexed_at") - F.when(F.col("doc_num") % 5 == 0, 100).otherwise(0)).cast("double").alias("indexed"))
+    return delta(disk, held)
+
+
+# ---- retrieval
+
+
+def _first_vector(v: Views, vec_id: int = 0) -> list[float]:
+    found = v("embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(found[0]) if found else [0.0] * 64
+
+
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
+    SELECT vec_id, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) DESC, vec_id LIMIT 30""")
+def knn_cosine(v: Views) -> DataFrame:
+    return retrieval.knn(v("embeddings"), _first_vector(v), 30, key="vec_id").withColumns(r6("score"))
+
+
+@query("""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings d, embeddings q WHERE q.vec_id < 50),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, ROUND(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def knn_batch_join(v: Views) -> DataFrame:
+    asked = [(r[0], list(r[1])) for r in v("embeddings").where("vec_id < 50").select("vec_id", "embedding").collect()]
+    return retrieval.knn_batch(v("embeddings"), asked, 5, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_BM25 = r"""
+    tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM documents),
+    q AS (SELECT UNNEST(['the', 'that', 'with', 'and', 'idiot', 'clown']) AS term),
+    st AS (SELECT COUNT(*) AS n, AVG(len(t)) AS avgdl FROM tok),
+    tf AS (SELECT doc_id, len(t) AS dl, term, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, q),
+    df AS (SELECT term, COUNT(*) FILTER (WHERE tf > 0) AS df FROM tf GROUP BY term),
+    bm AS (SELECT doc_id, SUM(GREATEST(LN((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id)"""
+
+
+@query(f"WITH {_BM25.strip()} SELECT doc_id, ROUND(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 30")
+def bm25_topk(v: Views) -> DataFrame:
+    return retrieval.bm25(v("documents"), QUERY_TEXT, 30, "text").withColumns(r6("score"))
+
+
+@query()
+def bm25_porter(v: Views) -> DataFrame:
+    return retrieval.bm25(v("documents"), "reading errors sting", 30, "text", porter=True).withColumns(r6("score"))
+
+
+@query(r"""
+    WITH top AS (SELECT d.text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id = 1),
+    w AS (SELECT regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS term FROM (SELECT UNNEST(regexp_split_to_array(lower(text), '\s+')) AS x FROM top) y),
+    c AS (SELECT term, COUNT(*) AS n FROM w WHERE strlen(term) > 3 AND term NOT IN ("""
+    + ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
+    + """) GROUP BY term ORDER BY n DESC, term LIMIT 3)
+    SELECT term, n FROM c WHERE NOT contains('the that with and idiot clown', term)""")
+def prf_terms(v: Views) -> DataFrame:
+    top = v("embeddings").where("vec_id = 1").select(F.col("vec_id").alias("doc_id")).join(v("documents").select("doc_id", "text"), "doc_id")
+    return retrieval.expansion_terms(top, QUERY_TEXT, content="text")
+
+
+@query("""WITH h AS (SELECT DISTINCT 0 AS position, 'src1' AS word, doc_id FROM v_doc_tags WHERE contains(lower(tag), 'src1') UNION ALL SELECT DISTINCT 1, 'en', doc_id FROM v_doc_tags WHERE contains(lower(tag), 'en'))
+    SELECT word, doc_id, rank, CAST(0.7 AS DOUBLE) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY position ORDER BY doc_id) AS rank FROM h) x WHERE rank <= 10""")
+def tag_retrieval(v: Views) -> DataFrame:
+    return retrieval.tag_retrieval(["src1", "en"], v("v_doc_tags")).select("word", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query("""WITH h AS (SELECT DISTINCT 0 AS position, 'tion' AS word, doc_id FROM v_xrefs WHERE contains(lower(ref_target), 'tion') UNION ALL SELECT DISTINCT 1, 'the', doc_id FROM v_xrefs WHERE contains(lower(ref_target), 'the'))
+    SELECT word, doc_id, rank, CAST(0.6 AS DOUBLE) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY position ORDER BY doc_id) AS rank FROM h) x WHERE rank <= 10""")
+def xref_retrieval(v: Views) -> DataFrame:
+    return retrieval.xref_retrieval(["tion", "the"], v("v_xrefs")).select("word", "doc_id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@query("""
+    WITH w AS (SELECT * FROM (VALUES (0, 'src1'), (1, 'tion'), (2, 'the')) t(position, word)),
+    h AS (SELECT DISTINCT position, 0 AS kind, doc_id FROM v_doc_tags, w WHERE contains(lower(tag), word) UNION ALL SELECT DISTINCT position, 1, doc_id FROM v_xrefs, w WHERE contains(lower(ref_target), word)),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY position, kind ORDER BY doc_id) AS r FROM h),
+    f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY position, kind, r) AS first FROM r WHERE r <= 10)
+    SELECT doc_id, CASE kind WHEN 0 THEN CAST(0.7 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS score, ROW_NUMBER() OVER (ORDER BY position, kind, r) AS rank FROM f WHERE first = 1""")
+def metadata_layer(v: Views) -> DataFrame:
+    return retrieval.metadata_layer("src1 tion the", v("v_doc_tags"), v("v_xrefs"))
+
+
+_LISTS = f"""
+    {_BM25.strip()},
+    l AS ((SELECT 1 AS list_id, ROW_NUMBER() OVER (ORDER BY score DESC, doc_id) AS rank, 'src' || CAST(doc_id % 20 AS STRING) || '::' || CAST(doc_id AS STRING) AS doc_id, score FROM bm ORDER BY bm.score DESC, bm.doc_id LIMIT 30)
+      UNION ALL (SELECT 0, ROW_NUMBER() OVER (ORDER BY s DESC, vec_id), 'src' || CAST(vec_id % 20 AS STRING) || '::' || CAST(vec_id AS STRING), s
+        FROM (SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id = 0) x ORDER BY s DESC, vec_id LIMIT 30))"""
+
+
+def _lists(v: Views) -> DataFrame:
+    """The keyword list and the vector list, ranked with numeric ids before ids become text."""
+    named = lambda c: F.concat(F.lit("src"), (F.col(c) % 20).cast("string"), F.lit("::"), F.col(c).cast("string"))
+    keyword = retrieval.ranked(retrieval.bm25(v("documents"), QUERY_TEXT, 30, "text"), 1)
+    vector = retrieval.ranked(retrieval.knn(v("embeddings"), _first_vector(v), 30, key="vec_id").withColumnRenamed("vec_id", "doc_id"), 0)
+    both = keyword.unionByName(vector)
+    return both.withColumn("doc_id", named("doc_id"))
+
+
+@query(f"WITH {_LISTS.strip()} SELECT doc_id, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 4) AS rrf_score, ROUND(MAX(score), 6) AS best_score FROM l GROUP BY doc_id")
+def rrf_fuse(v: Views) -> DataFrame:
+    return retrieval.rrf(_lists(v)).select("doc_id", "rrf_score", F.round("best_score", 6).alias("best_score"))
+
+
+@query(f"WITH {_LISTS.strip()} SELECT doc_id, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 4) AS rrf_score FROM l GROUP BY doc_id ORDER BY SUM(1.0::DOUBLE / (60 + rank)) DESC, doc_id LIMIT 20")
+def entry_hybrid(v: Views) -> DataFrame:
+    fused = retrieval.rrf(_lists(v))
+    return fused.orderBy(F.desc("exact_score"), "doc_id").limit(20).select("doc_id", "rrf_score")
+
+
+@query(f"""WITH {_LISTS.strip()},
+    f AS (SELECT doc_id, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 4) AS s FROM l GROUP BY doc_id),
+    e AS (SELECT f.doc_id, f.s, CASE WHEN d.doc_id IS NULL THEN 0.5 ELSE LEAST(1.0, d.excitability * GREATEST(0.7, EXP(-COALESCE((epoch_us({{as_of}}) - epoch_us(d.last_accessed)) / 86400000000.0, 0.0) / 60))
+        + 0.05 * LEAST(0.7, LN(1 + 1 / ((epoch_us({{as_of}}) - epoch_us(d.indexed_at)) / 86400000000.0 + 1)))) END AS eff FROM f LEFT JOIN v_docs d ON d.doc_id = f.doc_id)
+    SELECT doc_id, ROUND(eff, 6) AS effective, ROUND(s * (0.9 + 0.2 * eff), 6) AS boosted FROM e""")
+def excitability_boost(v: Views) -> DataFrame:
+    boosted = retrieval.excitability_boost(retrieval.rrf(_lists(v)), v("v_docs"), AS_OF)
+    return boosted.select("doc_id", F.round("effective", 6).alias("effective"), F.round("boosted", 6).alias("boosted"))
+
+
+@query("""
+    WITH f AS (SELECT doc_id, CAST(1.0 AS DOUBLE) / (doc_num + 1) AS s FROM v_docs WHERE doc_num < 15),
+    p AS (SELECT * FROM f ORDER BY s DESC, doc_id LIMIT 5),
+    e AS (SELECT * FROM v_edges WHERE type = 'co_retrieved' AND (valid_to IS NULL OR valid_to > {as_of}) AND source_id <> target_id),
+    g AS (SELECT doc_id, SUM(g) AS g FROM (SELECT e.target_id AS doc_id, p.s * LEAST(1.0, GREATEST(0.0, e.weight)) * 0.3 AS g FROM e JOIN p ON p.doc_id = e.source_id
+          UNION ALL SELECT e.source_id, p.s * LEAST(1.0, GREATEST(0.0, e.weight)) * 0.3 FROM e JOIN p ON p.doc_id = e.target_id) x GROUP BY doc_id),
+    j AS (SELECT COALESCE(f.doc_id, g.doc_id) AS doc_id, f.s, g.g, ROW_NUMBER() OVER (PARTITION BY f.s IS NULL ORDER BY g.g DESC NULLS LAST, COALESCE(f.doc_id, g.doc_id)) AS place FROM f FULL OUTER JOIN g ON g.doc_id = f.doc_id)
+    SELECT doc_id, ROUND(COALESCE(s, 0) + COALESCE(g, 0), 6) AS spread, s IS NULL AS is_new FROM j WHERE s IS NOT NULL OR place <= 5""")
+def graph_boost(v: Views) -> DataFrame:
+    fused = v("v_docs").where("doc_num < 15").select("doc_id", (F.lit(1.0) / (F.col("doc_num") + 1)).alias("boosted"))
+    return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 10).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
+
+
+@query()
+def mmr_diversify(v: Views) -> DataFrame:
+    near = retrieval.knn(v("embeddings"), _first_vector(v), 60, key="vec_id").join(v("embeddings").select("vec_id", "embedding"), "vec_id")
+    return retrieval.mmr(near.withColumnRenamed("vec_id", "doc_id"), 10).withColumns(r6("relevance"))
+
+
+@query()
+def hybrid_search(v: Views) -> DataFrame:
+    found = retrieval.hybrid_search(QUERY_TEXT, _first_vector(v), v("v_docs"), v("v_vectors"), v("v_doc_tags"), v("v_xrefs"), v("v_nodes"), v("v_edges"), AS_OF)
+    return found.withColumns(r6("score"))
+
+
+# ---- graph queries
+
+_LIVE = "live AS (SELECT * FROM v_edges WHERE valid_to IS NULL OR valid_to > {as_of}), hop AS (SELECT source_id AS node, target_id AS other FROM live UNION SELECT target_id, source_id FROM live)"
+
+
+def _start(v: Views) -> str:
+    return "src0::0"
+
+
+@query("WITH RECURSIVE " + _LIVE + """, r AS (SELECT 'src0::0' AS node, CAST(0 AS BIGINT) AS distance UNION SELECT hop.other, r.distance + 1 FROM r JOIN hop ON hop.node = r.node WHERE r.distance < 3)
+    SELECT node, MIN(distance) AS distance FROM r GROUP BY node""")
+def bfs_levels(v: Views) -> DataFrame:
+    return graph.levels(graph.live(v("v_edges"), AS_OF), rows(v.spark, "node string", [(_start(v),)]), 3)
+
+
+@query("WITH " + _LIVE + """, near AS (SELECT 'src0::0' AS node UNION SELECT other FROM hop WHERE node = 'src0::0' UNION SELECT h2.other FROM hop h1 JOIN hop h2 ON h2.node = h1.other WHERE h1.node = 'src0::0'),
+    ends AS (SELECT source_id AS node, id, type, weight FROM live UNION SELECT target_id, id, type, weight FROM live)
+    SELECT e.node, e.id AS edge_id, e.type, e.weight FROM ends e JOIN near n ON n.node = e.node WHERE e.node <> 'src0::0' ORDER BY e.weight DESC, e.node, e.id LIMIT 20""")
+def neighbors_depth2(v: Views) -> DataFrame:
+    return graph.neighbors(v("v_edges"), _start(v), 2, AS_OF, 20)
+
+
+@query("WITH RECURSIVE " + _LIVE + """, r AS (SELECT 'src0::0' AS node, 'src0::0' AS path, CAST(0 AS BIGINT) AS d UNION ALL SELECT hop.other, r.path || '>' || hop.other, r.d + 1 FROM r JOIN hop ON hop.node = r.node
+      WHERE r.d < 2 AND NOT contains('>' || r.path || '>', '>' || hop.other || '>'))
+    SELECT d AS distance, path FROM r WHERE node = (SELECT MAX(id) FROM v_nodes) ORDER BY d, string_split(path, '>') LIMIT 1""")
+def shortest_path(v: Views) -> DataFrame:
+    last = v("v_nodes").agg(F.max("id")).first()[0] or ""
+    return graph.shortest_path(v("v_edges"), _start(v), last, AS_OF, 2)
+
+
+@query("""SELECT n.id, n.title, COUNT(DISTINCT e.id) AS connections FROM v_nodes n LEFT JOIN v_edges e ON e.source_id = n.id OR e.target_id = n.id GROUP BY n.id, n.title ORDER BY connections DESC, n.id LIMIT 10""")
+def hub_nodes(v: Views) -> DataFrame:
+    return graph.hubs(v("v_nodes"), v("v_edges"), 10)
+
+
+@query("""WITH f AS (SELECT id FROM v_nodes WHERE contains(lower(title), 'src1::1') ORDER BY id LIMIT 1)
+    SELECT x.id, MAX(x.weight) AS weight FROM (SELECT e.target_id AS id, e.weight FROM v_edges e JOIN f ON f.id = e.source_id UNION ALL SELECT e.source_id, e.weight FROM v_edges e JOIN f ON f.id = e.target_id) x GROUP BY x.id""")
+def topic_web(v: Views) -> DataFrame:
+    return graph.topic_web(v("v_nodes"), v("v_edges"), "src1::1")
+
+
+@query("""SELECT e.target_id AS id, n.title, e.weight FROM (SELECT * FROM v_edges WHERE source_id = 'src0::0' AND type = 'similar_to' ORDER BY weight DESC, target_id LIMIT 5) e JOIN v_nodes n ON n.id = e.target_id""")
+def similar_nodes(v: Views) -> DataFrame:
+    return graph.similar(v("v_edges"), v("v_nodes"), _start(v), 5)
+
+
+@query("WITH " + _LIVE + """, c AS (SELECT target_id AS doc_id, weight FROM live WHERE type = 'co_retrieved' AND source_id = 'src0::0' UNION SELECT source_id, weight FROM live WHERE type = 'co_retrieved' AND target_id = 'src0::0')
+    SELECT c.doc_id, c.weight, COALESCE(d.excitability, 0.5) AS excitability FROM c LEFT JOIN v_docs d ON d.doc_id = c.doc_id ORDER BY c.weight DESC, c.doc_id LIMIT 10""")
+def suggest(v: Views) -> DataFrame:
+    return graph.suggest(v("v_edges"), v("v_docs"), _start(v), AS_OF, 10)
+
+
+@query("WITH " + _LIVE + """,
+    f AS (SELECT DISTINCT id, title FROM ((SELECT id, title FROM v_nodes WHERE contains(lower(title), 'note') ORDER BY id LIMIT 10) UNION ALL (SELECT id, title FROM v_nodes WHERE contains(lower(title), 'src1::1') ORDER BY id LIMIT 10)) x),
+    own AS (SELECT id, title AS content, 1 + 0.5 * (contains(lower(title), 'note')::INT + contains(lower(title), 'src1::1')::INT) AS score FROM f),
+    e AS (SELECT source_id AS node, target_id AS other, type, weight * confidence AS wc FROM live UNION ALL SELECT target_id, source_id, type, weight * confidence FROM live),
+    b AS (SELECT other AS id, MAX(wc * CASE type WHEN 'references' THEN 1.5 WHEN 'mentions' THEN 1.2 WHEN 'similar_to' THEN 1.1 ELSE 0.8 END) AS base FROM e JOIN f ON f.id = e.node GROUP BY other),
+    led AS (SELECT n.id, n.title AS content, base * (1 + 0.8 * (contains(lower(n.title), 'note')::INT + contains(lower(n.title), 'src1::1')::INT)) AS score FROM b JOIN v_nodes n ON n.id = b.id),
+    u AS (SELECT * FROM own UNION ALL SELECT * FROM led)
+    SELECT 'graph:' || id AS doc_id, ROUND(MAX(score), 6) AS score FROM u WHERE strlen(content) >= 20 GROUP BY id ORDER BY MAX(score) DESC, 'graph:' || id LIMIT 20""")
+def graph_search(v: Views) -> DataFrame:
+    return graph.graph_search("note src1::1", v("v_nodes"), v("v_edges"), AS_OF).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def find_connections(v: Views) -> DataFrame:
+    return graph.connections(v("v_nodes"), v("v_edges"), "src1::1", 2, AS_OF).select("type", "n", F.array_join("nodes", ",").alias("nodes"))
+
+
+@query("SELECT (SELECT COUNT(*) FROM v_nodes) AS nodes, (SELECT COUNT(*) FROM v_edges) AS edges")
+def graph_stats(v: Views) -> DataFrame:
+    return graph.graph_stats(v("v_nodes"), v("v_edges"))
+
+
+@query("""WITH b AS (SELECT source_id AS node, target_id AS other FROM v_edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM v_edges WHERE source_id <> target_id),
+    d AS (SELECT node AS id, COUNT(DISTINCT other) AS degree FROM b GROUP BY node) SELECT id, degree, ROUND(degree / CAST((SELECT MAX(degree) FROM d) AS DOUBLE), 6) AS centrality FROM d""")
+def degree_centrality(v: Views) -> DataFrame:
+    return graph.degree_centrality(v("v_edges")).withColumns(r6("centrality"))
+
+
+@query()
+def centrality(v: Views) -> DataFrame:
+    return graph.centrality(v("v_edges"), 100).withColumns(r6("score"))
+
+
+@query("""WITH n AS (SELECT id, lower(trim('Note ' || CAST(LENGTH(id) AS STRING) || substr(id, 1, 4))) AS t FROM v_nodes), m AS (SELECT id, MIN(id) OVER (PARTITION BY t) AS kept FROM n),
+    e AS (SELECT a.kept AS s, b.kept AS t FROM v_edges x JOIN m a ON a.id = x.source_id JOIN m b ON b.id = x.target_id)
+    SELECT s AS source_id, t AS target_id, COUNT(*) AS n FROM e WHERE s <> t GROUP BY 1, 2""")
+def merge_nodes(v: Views) -> DataFrame:
+    nodes = v("v_nodes").withColumn("title", F.concat(F.lit("Note "), F.length("id").cast("string"), F.substring("id", 1, 4)))
+    _, moved = graph.merge_duplicates(nodes, v("v_edges"))
+    return moved.groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT * FROM v_edges WHERE weight >= 0.2), b AS (SELECT source_id AS node, id, weight FROM e UNION ALL SELECT target_id, id, weight FROM e),
+    r AS (SELECT id, ROW_NUMBER() OVER (PARTITION BY node ORDER BY weight DESC, id) AS r FROM b), k AS (SELECT id FROM r WHERE r <= 5 GROUP BY id HAVING COUNT(*) = 2)
+    SELECT e.id, e.source_id, e.target_id, e.weight FROM e JOIN k ON k.id = e.id""")
+def prune_edges_filter(v: Views) -> DataFrame:
+    return graph.prune_by_rank(v("v_edges"), 0.2, 5).select("id", "source_id", "target_id", "weight")
+
+
+@query()
+def prune_edges_greedy(v: Views) -> DataFrame:
+    return graph.prune_greedy(v("v_edges"), 0.2, 5).select("id", "source_id", "target_id", "weight")
+
+
+# ---- graph building
+
+
+@query()
+def explicit_edges(v: Views) -> DataFrame:
+    notes = rows(v.spark, "id string, title string, content string", [("n1", "First", NOTES[0][1]), ("n2", "Second Note", NOTES[1][1]), ("n3", "The Third One", NOTES[2][1])])
+    return graph.explicit_edges(notes)[1]
+
+
+@query("""WITH d AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT CASE WHEN a.d < b.d OR (a.d = b.d AND a.id < b.id) THEN a.id ELSE b.id END AS source_id, CASE WHEN a.d < b.d OR (a.d = b.d AND a.id < b.id) THEN b.id ELSE a.id END AS target_id,
+           abs(date_diff('day', a.d, b.d)) AS gap, ROUND(GREATEST(0.3, 1 - 0.5 * abs(date_diff('day', a.d, b.d)) / 7), 6) AS weight
+    FROM d a JOIN d b ON a.id < b.id AND abs(date_diff('day', a.d, b.d)) <= 7""")
+def temporal_edges(v: Views) -> DataFrame:
+    dated = v("orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
+    return graph.temporal_pairs(dated).withColumns(r6("weight"))
+
+
+@query()
+def entity_mentions(v: Views) -> DataFrame:
+    return graph.entity_mentions(v("v_docs").where("lang = 'en'").select(F.col("doc_id").alias("id"), "content"))
+
+
+@query(r"""
+    WITH w AS (SELECT doc_id AS id, UNNEST(regexp_extract_all(lower(content), '\b[a-z]{4,}\b')) AS topic FROM v_docs WHERE lang = 'en'),
+    c AS (SELECT id, topic, COUNT(*) AS n FROM w WHERE topic NOT IN (""" + ", ".join(f"'{w}'" for w in graph.TOPIC_STOP_WORDS) + """) GROUP BY 1, 2),
+    top AS (SELECT topic, SUM(n) AS total FROM c GROUP BY topic HAVING SUM(n) >= 2 ORDER BY total DESC, topic LIMIT 20),
+    u AS (SELECT c.* FROM c JOIN top ON top.topic = c.topic WHERE c.n >= 2)
+    SELECT id, topic, n FROM u WHERE topic IN (SELECT topic FROM u GROUP BY topic HAVING COUNT(*) >= 2)""")
+def topic_clusters(v: Views) -> DataFrame:
+    notes = v("v_docs").where("lang = 'en'").select(F.col("doc_id").alias("id"), "content")
+    return graph.topic_clusters(notes).select("id", "topic", "n")
+
+
+@query("""
+    WITH p AS (SELECT a.vec_id AS s, b.vec_id AS t, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY s ORDER BY w DESC, t) AS r FROM p WHERE w >= 0.25)
+    SELECT DISTINCT LEAST(s, t) AS source_id, GREATEST(s, t) AS target_id, ROUND(w, 6) AS weight FROM r WHERE r <= 20""")
+def semantic_edges(v: Views) -> DataFrame:
+    return graph.semantic_edges(v("embeddings"), 0.25, key="vec_id").withColumns(r6("weight")).distinct()
+
+
+# ---- streaming
+
+
+@query("SELECT access_type, CAST(epoch_us(date_trunc('day', ts)) // 1000000 AS BIGINT) AS day, COUNT(*) AS n, ROUND(AVG(score), 6) AS avg_score FROM v_access GROUP BY 1, 2")
+def access_daily(v: Views) -> DataFrame:
+    from tidewell.streaming.access import windowed
+
+    found = windowed(v("v_access"), "1 day")
+    return found.select("access_type", F.unix_seconds("start").alias("day"), "n", F.round("avg_score", 6).alias("avg_score"))
