@@ -60,7 +60,7 @@ class Scorer:
     def __init__(self, model: BackoffModel):
         self.languages = model.languages
         self.known = len(model.words.entries)
-        self.rows = np.zeros((self.known + HELD + 1, max(1, len(model.languages))))
+        self.rows = np.zeros((self.known + HELD + 1, len(model.languages)))
         self.rows[: self.known] = model.words.logs
         self.at = model.words.index()
         self.first, self.used = self.known, self.known

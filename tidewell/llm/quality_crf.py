@@ -82,10 +82,10 @@ def line_features(column: pa.Array) -> Lines:
     sums = lambda values: np.add.reduceat(values, line_start) if len(values) else np.zeros(0)
     counts = {name: sums(t[data]).astype(float) for name, t in TABLES.items()}
 
-    # words as numbers: a running sum of byte numbers weighted by place, made independent of the place by its hash pairing
-    place = np.arange(len(data)) - np.repeat(word_start, np.diff(np.concatenate([word_start, [len(data)]]))) if len(word_start) else np.zeros(0, int)
+    # words as numbers: the sum of their bytes' numbers, each mixed with its place in the word
     lead = word_start[0] if len(word_start) else len(data)
-    numbers = BYTE_NUMBERS[data[lead:]] + (place[: len(data) - lead] if len(word_start) else np.zeros(0)).astype(np.uint64) * _MULTIPLIER
+    place = np.arange(lead, len(data)) - np.repeat(word_start, np.diff(np.concatenate([word_start, [len(data)]])))
+    numbers = BYTE_NUMBERS[data[lead:]] + place.astype(np.uint64) * _MULTIPLIER
     numbers = np.where(gap[lead:], np.uint64(0), _mix(numbers))
     running = np.concatenate([[np.uint64(0)], np.cumsum(numbers, dtype=np.uint64)])
     word = running[word_end - lead] - running[word_start - lead] if len(word_start) else np.zeros(0, np.uint64)
@@ -98,7 +98,6 @@ def line_features(column: pa.Array) -> Lines:
     capital = (TABLES["upper"][data[word_start]] > 0) if len(word_start) else np.zeros(0)
     capitals = np.bincount(line_of_word, weights=capital, minlength=len(line_end))
 
-    document = np.searchsorted(ends_of_documents, line_end, side="left")
     document = np.searchsorted(ends_of_documents, line_end, side="right")
     line_sum = np.zeros(len(line_end), np.uint64)
     if len(word):
