@@ -205,7 +205,7 @@ def date_of(path: Column, metadata: Column | None = None) -> Column:
 def entity_mentions(notes: DataFrame, least: int = 2) -> DataFrame:
     """(id, entity, entity_id, frequency): names, technical terms, capitalised words and links that occur in several notes."""
     c = F.col("content")
-    patterns = [r"\b[A-Z][a-z]+ [A-Z][a-z]+\b", rf"\b(?:{TECH_TERMS})\b", r"\b[A-Z][a-zA-Z]{2,}\b"]
+    patterns = [r"(?U)\b[A-Z][a-z]+ [A-Z][a-z]+\b", rf"(?U)\b(?:{TECH_TERMS})\b", r"(?U)\b[A-Z][a-zA-Z]{2,}\b"]
     found = reduce(F.array_union, [F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in patterns] + [T.wiki_links(c)])
     kept = F.filter(found, lambda x: ~x.isin(COMMON_WORDS))
     seen = notes.select("id", F.explode(F.array_distinct(kept)).alias("entity"))
@@ -215,7 +215,7 @@ def entity_mentions(notes: DataFrame, least: int = 2) -> DataFrame:
 
 def topic_clusters(notes: DataFrame, words: int = 20, least: int = 2) -> DataFrame:
     """(id, topic, topic_id, n): the corpus's most frequent words, and the notes that use each of them at least twice."""
-    token = F.regexp_extract_all(F.lower("content"), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))
+    token = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[a-z]{4,}$"))
     counted = notes.select("id", F.explode(token).alias("topic")).where(~F.col("topic").isin(TOPIC_STOP_WORDS)).groupBy("id", "topic").agg(F.count("*").alias("n"))
     top = counted.groupBy("topic").agg(F.sum("n").alias("total")).where("total >= 2").orderBy(F.desc("total"), "topic").limit(words)
     used = counted.where(F.col("n") >= least).join(F.broadcast(top.select("topic")), "topic")

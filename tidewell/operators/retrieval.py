@@ -16,6 +16,7 @@ from tidewell.config import SearchOptions
 from tidewell.functions.porter import stem, stems
 from tidewell.functions.scalar import cosine, days_between
 from tidewell.operators import graph
+from tidewell.sources.scratch import settled
 
 BM25_K1, BM25_B = 1.2, 0.75
 # Words that expansion leaves out.
@@ -93,7 +94,8 @@ def bm25(docs: DataFrame, query: str, k: int, content: str = "content", key: str
         counted = counted.withColumn("tokens_", stems("tokens_"))
     asked = F.array(*[F.lit(t) for t in terms])
     counted = counted.select(key, F.size("tokens_").alias("dl"), F.filter("tokens_", lambda t: F.array_contains(asked, t)).alias("hits_"))
-    counted = counted.select(key, "dl", *[F.size(F.filter("hits_", lambda t, x=t: t == x)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    times = lambda term: F.size(F.filter("hits_", lambda t: t == F.lit(term)))
+    counted = counted.select(key, "dl", *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
     seen = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *seen)
     joined = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))
@@ -225,7 +227,7 @@ def mmr(candidates: DataFrame, limit: int, score: str = "score", balance: float
         return out
 
     schema = (f"{group} {gkind}, " if group else "") + f"doc_id {kind}, position long, relevance double"
-    keyed = candidates.groupBy(group) if group else candidates.groupBy(F.lit(1))
+    keyed = candidates.groupBy(group) if group else candidates.withColumn("all_", F.lit(1)).groupBy("all_")
     return keyed.applyInPandas(choose, schema)
 
 
@@ -272,8 +274,9 @@ def hybrid_search(
     meta = metadata_layer(query, tags, xrefs)
     lists.append(meta.select(F.lit(3).alias("list_id"), "rank", "doc_id", F.lit(None).cast("string").alias("content"), "score"))
     fused = rrf(reduce(DataFrame.unionByName, lists), options.rrf_k)
-    boosted = excitability_boost(fused, docs, as_of)
-    spread = graph_boost(boosted, edges, as_of, options.limit, options=options)
+    # a few dozen rows that several branches below read
+    boosted = settled(excitability_boost(fused, docs, as_of))
+    spread = settled(graph_boost(boosted, edges, as_of, options.limit, options=options))
     pool = spread.join(vectors.select("doc_id", "embedding"), "doc_id", "left")
     chosen = mmr(pool, options.limit, "spread", options.mmr_lambda)
     return chosen.join(spread.select("doc_id", F.col("spread").alias("score")), "doc_id").select("doc_id", "position", "score")

@@ -58,7 +58,7 @@ VIEWS = {
                CASE WHEN conv_id % 3 = 0 THEN {as_of} + INTERVAL '1' HOUR * CAST(turn * 5 - 10 AS INT) END AS expires_at
         FROM conversations""",
     "v_doc_memories": """
-        SELECT CAST(doc_id AS STRING) AS id, substr(text, 1, 60) AS title, text AS content FROM documents WHERE n_chars < 3000""",
+        SELECT CAST(doc_id AS STRING) AS id, substr(text, 1, 60) AS title, text AS content FROM documents""",
     "v_mem_access": """
         SELECT 'mem_' || CAST((user_id % 100) * 1000 + user_id % 5 AS STRING) AS memory_id, event_type AS access_type,
                CAST(ts AS TIMESTAMP) - INTERVAL '1' DAY * CAST((user_id * 3) % 40 AS INT) AS ts
