@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VOWELS = "aeiou"
 
@@ -83,7 +84,7 @@ def stem(w: str) -> str:
     return w[:-1] if _measure(w) > 1 and _double(w) and w.endswith("l") else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in tokens:
         yield batch.map(lambda ts: [stem(t) for t in ts])
