@@ -92,7 +92,6 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     count_of = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("double")
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    stops = F.array(*[F.lit(x) for x in STOP_WORDS])
     found = let(
         words(F.col(text)),
         lambda w: F.struct(
@@ -100,9 +99,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             _repeated(w).alias("n_repeat_words"),
         ),
     )
-    stop_count = count_of(r"(?i)(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted(STOP_WORDS)) + r")(?![^\x20\x09-\x0D,.;:!?])")
+    stop_count = count_of(r"(?iu)(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted(STOP_WORDS)) + r")(?![^\x20\x09-\x0D,.;:!?])")
     at = lambda name: F.col("measures_")[name]
-    del stops
     df = df.withColumn("measures_", found).withColumn("lines_", line_counts)
     df = df.withColumns(
         {

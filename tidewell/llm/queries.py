@@ -104,5 +104,45 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _rules_sql() -> str:
+    """op3 in SQL: the measures word by word, then the rows of the threshold table."""
+    from tidewell.llm.quality_rules import RULES, STOP_WORDS
+
+    word, gap = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    ratio = {
+        "mean_word_chars": "word_chars / n_words",
+        "symbol_ratio": "n_symbols / n_words",
+        "shout_ratio": "n_shouts / n_words",
+        "upper_ratio": "n_upper / n_letters",
+        "stop_ratio": "n_stops / n_words",
+        "dup_line_ratio": "n_dup_lines / n_lines",
+    }
+    fails = []
+    for rule in RULES:
+        a, b = ratio[rule.measure].split(" / ")
+        value = f"(CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0 END)"
+        fails += [f"{value} < {rule.least}"] if rule.least is not None else []
+        fails += [f"{value} > {rule.most}"] if rule.most is not None else []
+    return f"""
+    WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, COALESCE(text, '') AS t FROM documents),
+    w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{word}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{gap}')) AS l FROM d),
+    g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, UNNEST(range(1, len(w) - 1)) AS i FROM w) x),
+    c AS (SELECT r, i, COUNT(*) OVER (PARTITION BY r, g) AS n FROM g),
+    p AS (SELECT r, COUNT(DISTINCT p) AS n FROM (SELECT r, UNNEST([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) y GROUP BY r),
+    m AS (SELECT w.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(LENGTH(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(p.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '!')) AS n_shouts,
+        len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '\\p{{L}}')) AS n_letters,
+        len(list_filter(w, lambda x: regexp_matches(x, '^(?i:{"|".join(sorted(STOP_WORDS))})(?:$|[,.;:!?])'))) AS n_stops
+      FROM w LEFT JOIN p ON p.r = w.r),
+    b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(fails)}) AS kept FROM b"""
+
+
+_DEDUP_SQL = """
+    WITH n AS (SELECT doc_id, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    g AS (SELECT t, MAX(doc_id) AS keep_id, COUNT(*) AS group_size FROM n GROUP BY t)
+    SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON g.t = n.t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": _rules_sql(), "op4_exact_dedup": _DEDUP_SQL}
