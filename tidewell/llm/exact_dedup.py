@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import ascii_lower, bit_filter, maybe_in, scratch_dir, stored
+from tidewell.llm.shared import ascii_lower, bit_filter, maybe_in, scratch_dir, stored, surely_not_in, temp_name
 
 PREFIX_BITS = 6
 FANOUT = 4
@@ -131,6 +131,19 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", largest: bool
     return found.withColumns({"kept": F.col(key).eqNullSafe(F.col("keep_id")), "text_sha256": sha}).drop("digest_")
 
 
+def without_copies(df: DataFrame, key: str = "doc_id", text: str = "text", largest: bool = True) -> DataFrame:
+    """The rows that dedup keeps, as they are. Rows that a bit filter of the dropped ones surely doesn't have aren't shuffled."""
+    sha = sha256(ascii_lower(F.coalesce(F.col(text), F.lit(""))))
+    decided = dedup(df.select(key, text), key, text, largest).where("not kept")
+    gone = decided.select(F.col(key).alias("gone_id_"), F.col("text_sha256").alias("gone_sha_"), F.xxhash64(key, "text_sha256").alias("gone_key_"))
+    gone = stored(gone.distinct(), "gone")
+    mark = temp_name(df, "row_key_")
+    marked = df.withColumn(mark, F.xxhash64(F.col(key), sha))
+    made = bit_filter(gone, "gone_key_")
+    stay = maybe_in(marked, mark, made).join(gone, F.col(key).eqNullSafe(F.col("gone_id_")) & (sha == F.col("gone_sha_")), "left_anti")
+    return surely_not_in(marked, mark, made).unionByName(stay).drop(mark)
+
+
 def _attach(df: DataFrame, index: DataFrame, name: str, broadcast: bool = False) -> DataFrame:
     index = index.select(F.col("digest").alias(f"{name}_d"), F.col("keep_id").alias(f"{name}_keep_id"), F.col("group_size").alias(f"{name}_group_size"))
     index = F.broadcast(index) if broadcast else index
