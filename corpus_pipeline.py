@@ -45,8 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: of equal texts the row with the largest doc_id stays."""
-    apart, back = _apart(docs, "keep_id", "group_size", "kept", "text_sha256")
-    return _back(exact_dedup.dedup(apart).where("kept"), docs.columns, back)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
