@@ -210,7 +210,7 @@ def brute(sets, limit):
     return [find(i) for i in range(len(sets))]
 
 
-def copies(seed, bases=6, each=12):
+def copies(seed, bases=5, each=8):
     generator = random.Random(seed)
     rows = []
     for b in range(bases):
@@ -237,7 +237,7 @@ def check_components(df, k, num):
 @pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
 def test_components(spark, k, num):
     rows = [(i + 1, t) for i, t in enumerate(copies(k))] + [(900, None), (901, ""), (902, " "), (903, "one two"), (904, "ONE two"), (None, "one two")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "doc_id long, text string, first string, component string, n_shingles int")
     found = {r["doc_id"]: r for r in check_components(df, k, num)}
     assert found[900]["n_shingles"] == 0 and found[903]["n_shingles"] == 1 and found[904]["component_id"] == 903 and found[None]["component_id"] is None
     kept = {r["doc_id"] for r in jaccard_join.one_of_each(df, k=k, num=num).collect()}
@@ -246,9 +246,9 @@ def test_components(spark, k, num):
 
 @pytest.mark.parametrize("rounds", [4, 0])
 def test_large_regions_split(spark, monkeypatch, rounds):
-    monkeypatch.setattr(jaccard_join, "REGION_BYTES", 2500)
+    monkeypatch.setattr(jaccard_join, "REGION_BYTES", 4000)
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
-    rows = [(i + 1, t) for i, t in enumerate(copies(11, bases=4, each=25))]
+    rows = [(i + 1, t) for i, t in enumerate(copies(11, bases=3, each=16))]
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
 
 
@@ -281,9 +281,9 @@ def test_linked_sets_share_a_signature():
 
 
 def test_connected_components(spark):
-    pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150), (7, 7), (300, 100)]
+    pairs = [(i, i + 1) for i in range(0, 12)] + [(100, 200), (200, 150), (7, 7), (300, 100)]
     found = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert {found[i] for i in range(41)} == {0} and {found[i] for i in (100, 150, 200, 300)} == {100}
+    assert {found[i] for i in range(13)} == {0} and {found[i] for i in (100, 150, 200, 300)} == {100}
 
 
 # ---- pipeline

@@ -208,7 +208,9 @@ def test_permutation_is_a_bijection(spark, n):
 
 def test_mixed_texts_are_the_words_of_their_documents(docs):
     words = {r[0]: WORD.findall(r[1] or "") for r in ROWS}
-    for r in collected(mixing.mixed_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), block=8)):
+    clashing = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({"slot": F.lit("x"), "n_words": F.lit("y"), "word_from": F.lit("z")})
+    for r in collected(mixing.mixed_documents(clashing, block=8)):
+        assert r["n_words"] == "y" and r["word_from"] == "z"
         piece = r["text"].split(" ")
         assert " ".join(piece) in " ".join(words[r["doc_id"]])
 
@@ -221,7 +223,7 @@ def test_licenses(spark):
     rows = [
         (1, "p/LICENSE", mit),
         (2, "p/q/r/code.py", "x = 1"),
-        (3, "p/q/other.py", "# Licensed under the Apache License, Version 2.0.\ny = 2"),
+        (3, "p/q/other.py", "# Licensed under the Apache License, Version 2.0.\n" + "y = 2\n" * 40),
         (4, "z/free.py", "nothing here"),
         (5, None, "nothing either"),
         (6, "p/q/r/s/COPYING", "This work is licensed under the GNU General Public License, version 3. " * 2),

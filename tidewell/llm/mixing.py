@@ -121,10 +121,13 @@ def taken_words(documents: DataFrame, spans: DataFrame) -> DataFrame:
 
 def mixed_documents(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix as rows of ``df``: one for each document piece of each slot, its text the piece's words joined by a space."""
+    df = df.drop("out_shard", "slot")
     sized = df.withColumn("mix_size_", n_words(F.col(text)))
     _, spans = mix(df, key, text, source, **options)
-    spans = spans.select(F.col("key_"), F.col("source").alias("s_"), "out_shard", "slot", "word_from", "n_words")
-    same = sized[key].eqNullSafe(spans["key_"]) & sized[source].eqNullSafe(spans["s_"])
+    spans = spans.select(
+        F.col("key_").alias("mix_key_"), F.col("source").alias("mix_source_"), "out_shard", "slot", F.col("word_from").alias("mix_from_"), F.col("n_words").alias("mix_words_")
+    )
+    same = sized[key].eqNullSafe(spans["mix_key_"]) & sized[source].eqNullSafe(spans["mix_source_"])
     met = sized.where("mix_size_ > 0").join(spans, same)
-    piece = F.concat_ws(" ", F.slice(words(F.col(text)), (F.col("word_from") + 1).cast("int"), F.col("n_words").cast("int")))
-    return met.withColumn(text, piece).drop("key_", "s_", "mix_size_", "word_from", "n_words")
+    piece = F.concat_ws(" ", F.slice(words(F.col(text)), (F.col("mix_from_") + 1).cast("int"), F.col("mix_words_").cast("int")))
+    return met.withColumn(text, piece).drop("mix_key_", "mix_source_", "mix_size_", "mix_from_", "mix_words_")
