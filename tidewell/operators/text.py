@@ -92,7 +92,7 @@ def sentences(content: Column) -> Column:
 
 
 def strip_frontmatter(content: Column) -> Column:
-    return F.regexp_replace(content, r"(?s)\A---\n.*?^---\n".replace("(?s)", "(?sm)"), "")
+    return F.regexp_replace(content, r"(?sm)\A---\n.*?^---\n", "")
 
 
 def frontmatter(df: DataFrame, content: str = "content") -> DataFrame:
