@@ -100,7 +100,8 @@ def mix(
         F.pmod(F.xxhash64(slot_id, F.col("slot"), F.lit("shard")), F.lit(out_shards)).cast("int").alias("out_shard"),
         permuted(F.pmod(F.col("slot"), F.col("blocks_")), F.col("blocks_"), slot_id).alias("block2_"),
     )
-    met = pieces.join(slots, pieces["source"].eqNullSafe(slots["source2_"]) & (pieces["block"] == slots["block2_"]))
+    # slots come from a few rows by explode, so the optimizer would take them for a table small enough to broadcast
+    met = pieces.join(slots.hint("merge"), pieces["source"].eqNullSafe(slots["source2_"]) & (pieces["block"] == slots["block2_"]))
     spans = met.select("source", "out_shard", "slot", "block", "key_", "start_", "word_from", "n_words")
     info = plan.select(F.col("source").alias("source2_"), "source_size", "target")
     documents = placed.join(info, placed["source"].eqNullSafe(info["source2_"])).drop("source2_")
