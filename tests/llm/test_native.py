@@ -249,3 +249,39 @@ def test_license_cosine_by_hand(spark):
     df = spark.createDataFrame([(1, "a/b", text)], "doc_id long, path string, text string")
     row = license_scan.own_licenses(df, least=0.0).first()
     assert row["own_score"] == pytest.approx(max(cosines)) and row["own_license"] == names[cosines.index(max(cosines))]
+
+
+LICENSE_LINES = {
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "This library is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution 3.0 License.": "CC-BY-3.0",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0 OR MIT",
+    "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy is missing, see the site.": "MPL-2.0",
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+    "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.": "GPL-2.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+}
+
+
+def test_license_versions_tags_and_joined_lines(spark):
+    code = "\n\n" + "x = 1\n" * 60
+    df = spark.createDataFrame([(i, f"d{i}/code.py", line + code) for i, line in enumerate(LICENSE_LINES)], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["own_license"] for r in collected(license_scan.scan(df))}
+    assert [found[i] for i in range(len(LICENSE_LINES))] == list(LICENSE_LINES.values())
+
+
+def test_whole_licence_bodies(spark):
+    bodies = license_scan.bodies()
+    rows = [(i, f"d{i}/1", "Copyright (c) 2020 Some Person\n\n" + texts[0].replace("\n", "\r\n" if i % 2 else "\n")) for i, texts in enumerate(bodies.values())]
+    prose = "The copyright of this story and of the songs in it is held by the singer, and the license to sing is not to be had. " * 40
+    rows += [(100, "d0/2", "x = 1"), (101, "p/1", prose), (102, "d3/2", "y = 2")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = {r["doc_id"]: r for r in collected(license_scan.scan(df))}
+    assert [found[i]["own_license"] for i in range(len(bodies))] == list(bodies)
+    assert all(found[i]["is_license_file"] for i in range(len(bodies)))
+    assert found[100]["license"] == list(bodies)[0] and found[102]["license"] == list(bodies)[3] and found[101]["license"] is None

@@ -1,8 +1,12 @@
-"""License scans: TF-IDF cosine of header sentences and licence files to templates, then inheritance down the directories.
+"""License scans: TF-IDF cosine of header sentences and whole texts to templates, then inheritance down the directories.
 
-Each sentence of a text that speaks of a licence is a sparse TF-IDF vector; its best template is that of the largest cosine,
-if the cosine reaches ``least``. A file whose licence sentences make up most of it, or which has a licence file's name, is
-its directory's licence file. A file without a licence of its own takes that of the licence file in its nearest ancestor
+Sentences that speak of a licence are taken line by line and from blocks joined over their lines, comment marks removed; each
+is a sparse TF-IDF vector whose best template is that of the largest cosine, if the cosine reaches ``least``. A whole text that
+speaks of a licence is compared with whole licence bodies too, and is that licence from ``least_body`` on (from ``least`` on if
+it has a licence file's name). SPDX tags count as they stand. Versions and variants whose templates differ by a word or two
+(GPL, CC BY, BSD, ...) are decided by what the sentence or the body's title says; where it names no version, none is reported.
+A file that is a licence body, whose licence sentences make up most of it, or which has a licence file's name, is its
+directory's licence file. A file without a licence of its own takes that of the licence file in its nearest ancestor
 directory, found by joining the distinct directories' ancestors with the directories of licence files.
 
 Defined cases: null and empty texts have no licence of their own; a null path has no directory and inherits nothing; of several
@@ -15,7 +19,10 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +51,87 @@ TEMPLATES = {
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Licensed under the BSD 3-Clause License.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Simplified BSD License."],
+    "GPL-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU General Public License, version 2.",
+        "Licensed under the GPL v2.",
+        "Released under the GPL-2.0 license.",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "GNU Lesser General Public License, version 2.1.",
+        "Licensed under the LGPL v2.1.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "GNU Affero General Public License, version 3.",
+        "Licensed under the AGPL v3.",
+    ],
+    "GFDL-1.3": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation.", "Licensed under the GNU Free Documentation License."],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "Licensed under the MPL 2.0.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ],
+    "EUPL-1.2": ["Licensed under the European Union Public Licence, version 1.2.", "Licensed under the EUPL, Version 1.2 or later."],
+    "CDDL-1.0": ["The contents of this file are subject to the terms of the Common Development and Distribution License, version 1.0.", "Licensed under the CDDL 1.0."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "ISC License.",
+    ],
+    "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Licensed under the BSD Zero Clause License."],
+    "Zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+        "Licensed under the zlib License.",
+    ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License, Version 1.0."],
+    "Artistic-2.0": ["Licensed under the Artistic License, version 2.0.", "The Artistic License 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense license."],
+    "WTFPL": ["Licensed under the WTFPL, the Do What The Fuck You Want To Public License."],
+    "CC0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.",
+        "Licensed under CC0 1.0 Universal (Creative Commons Public Domain Dedication).",
+    ],
+    **{
+        f"CC-BY-{short}-4.0": [f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License.", f"Licensed under CC BY-{short} 4.0."]
+        for short, long in {"SA": "ShareAlike", "ND": "NoDerivatives", "NC-SA": "NonCommercial-ShareAlike", "NC-ND": "NonCommercial-NoDerivatives"}.items()
+    },
 }
-TRIGGER = r"(?i)licen[cs]|copyright|redistribut|hereby granted|creative commons|\bSPDX\b"
+TEMPLATES["MIT"] += [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions.",
+    "Licensed under the MIT License.",
+]
+TEMPLATES["GPL-3.0"] += ["GNU General Public License, version 3.", "Licensed under the GPL v3."]
+BODIES = Path(__file__).parent / "licenses"
+TRIGGER = r"(?i)licen[cs]|copyright|redistribut|hereby granted|creative commons|\bSPDX\b|public domain|\b[AL]?GPL|\bMPL\b"
 TOKEN = r"[a-z0-9]+"
 SENTENCE_END = r"\n|(?<=[.!?])\s+"
+#: Ends of sentences in a joined block; "v. 2.0" is none.
+JOINED_END = r"(?<![vV]\.)(?<=[.!?])\s+"
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|;+|--+|%+|<!--+)?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t]*\r?$"
+SPDX = r"(?i)SPDX-License-Identifier:\s*(\(*[a-z0-9][a-z0-9.+:-]*\)*(?:\s+(?:AND|OR|WITH)\s+\(*[a-z0-9][a-z0-9.+:-]*\)*)*)"
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying)(?:\.[a-z]+)?$"
+#: How much of a body's beginning is its title.
+TITLE = 300
+VERSION = r"(?:version|gpl|fdl|mpl|epl|eupl|cddl|artistic|apache|licen[cs]e|\bv)[\s,.(-]*(?:version\s*)?v?([0-9])(?:\.([0-9]))?(?![0-9])"
+
+
+@cache
+def bodies() -> dict[str, list[str]]:
+    """Whole licences by SPDX identifier."""
+    return {p.stem: [p.read_text()] for p in sorted(BODIES.glob("*.txt"))}
 
 
 def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[str], dict[str, float], list[dict[str, float]], float]:
@@ -70,15 +152,23 @@ def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[
 def _best(sentence: Column, templates: dict[str, list[str]]) -> Column:
     """structure (score, at): the largest cosine of a sentence and the place of its template."""
     names, idf, vectors, unseen = template_vectors(templates)
-    table = F.from_json(F.lit(json.dumps({t: [idf[t] * v.get(t, 0.0) for v in vectors] for t in idf})), "map<string,array<double>>")
-    idfs = F.from_json(F.lit(json.dumps(idf)), "map<string,double>")
+    # a map is searched entry by entry, so terms are dealt into as many small maps as there are terms
+    slots = max(1, len(idf))
+    weights, rarity = [{} for _ in range(slots)], [{} for _ in range(slots)]
+    for t in idf:
+        at = zlib.crc32(t.encode()) % slots
+        weights[at][t] = [round(idf[t] * v[t], 12) if t in v else 0 for v in vectors]
+        rarity[at][t] = idf[t]
+    table = F.from_json(F.lit(json.dumps(weights)), "array<map<string,array<double>>>")
+    idfs = F.from_json(F.lit(json.dumps(rarity)), "array<map<string,double>>")
+    slot = lambda t: F.pmod(F.crc32(t.cast("binary")), F.lit(slots)).cast("int")
     zeros = F.array(*[F.lit(0.0)] * len(names))
 
     def scored(tokens: Column) -> Column:
-        dots = F.aggregate(tokens, zeros, lambda acc, t: F.zip_with(acc, F.coalesce(table[t], zeros), lambda a, b: a + b))
+        dots = F.aggregate(tokens, zeros, lambda acc, t: let(F.get(table, slot(t))[t], lambda w: F.when(w.isNull(), acc).otherwise(F.zip_with(acc, w, lambda a, b: a + b))))
         # a token's count is the length of its run in the sorted tokens; the squared norm sums the squared weights of runs
         start = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
-        weight = lambda acc: F.pow(acc["run"] * F.coalesce(idfs[acc["t"]], F.lit(unseen)), F.lit(2.0))
+        weight = lambda acc: F.pow(acc["run"] * F.coalesce(F.get(idfs, slot(acc["t"]))[acc["t"]], F.lit(unseen)), F.lit(2.0))
         step = lambda acc, t: F.when(
             acc["t"] == t, F.struct(acc["t"].alias("t"), (acc["run"] + 1).alias("run"), acc["sum"].alias("sum"))
         ).otherwise(F.struct(t.alias("t"), F.lit(1.0).alias("run"), (acc["sum"] + weight(acc)).alias("sum")))
@@ -94,23 +184,84 @@ def _best(sentence: Column, templates: dict[str, list[str]]) -> Column:
     return let(F.regexp_extract_all(F.lower(sentence), F.lit(TOKEN), F.lit(0)), scored)
 
 
-def own_licenses(df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """Adds own_license, own_score, header (the sentence) and is_license_file."""
-    names = F.array(*[F.lit(n) for n in template_vectors(templates)[0]])
-    sentences = F.filter(F.split(F.col(text), SENTENCE_END, -1), lambda s: s.rlike(TRIGGER))
-    scored = F.transform(sentences, lambda s: let(_best(s, templates), lambda b: F.struct(b["score"].alias("score"), b["at"].alias("at"), s.alias("header"))))
-    good = F.filter(scored, lambda x: x["score"] >= least)
-    found = F.when(F.col(text).rlike(TRIGGER), good)
-    df = df.withColumn("licenses_", found).withColumn("best_", F.array_max("licenses_"))
-    part = F.aggregate("licenses_", F.lit(0), lambda a, x: a + F.char_length(x["header"])) / F.greatest(F.char_length(text), F.lit(1))
+def _decided(name: Column, said: Column, text: Column, body: bool = False) -> Column:
+    """The version and variant that ``said`` (a sentence or a body's title) names, within the best template's family.
+
+    A body whose title names no version keeps that of its template, since the whole text tells.
+    """
+    s = F.lower(said)
+    major, minor = F.regexp_extract(s, VERSION, 1), F.regexp_extract(s, VERSION, 2)
+    version = F.when(major == "", "").otherwise(F.concat(F.lit("-"), major, F.lit("."), F.when(minor == "", "0").otherwise(minor)))
+    gnu = F.when(s.rlike(r"affero|\bagpl"), "AGPL").when(s.rlike(r"lesser|library general|\blgpl"), "LGPL").otherwise("GPL")
+    part = lambda pattern, short: F.when(s.rlike(pattern), short).otherwise("")
+    cc = F.concat(F.lit("CC-BY"), part(r"non-?\s?commercial|\bnc\b", "-NC"), part(r"share-?\s?alike|\bsa\b", "-SA"), part(r"no-?\s?deriv|\bnd\b", "-ND"))
+    number = F.regexp_extract(s, r"\b([1-4]\.[05])\b", 1)
+    whole = F.regexp_replace(F.lower(text), r"\s+", " ")
+    bsd = (
+        F.when(s.rlike(r"2.clause|simplified|freebsd"), "BSD-2-Clause")
+        .when(s.rlike(r"3.clause|new bsd|modified bsd|revised bsd"), "BSD-3-Clause")
+        .when(s.rlike(r"4.clause|original bsd") | whole.contains("all advertising materials"), "BSD-4-Clause")
+        .when(whole.contains("neither the name"), "BSD-3-Clause")
+        .when(whole.contains("this software is provided by"), "BSD-2-Clause")
+        .otherwise(name)
+    )
+    versioned = "^(?:[AL]?GPL|Apache|MPL|EPL|EUPL|CDDL|GFDL|Artistic)-"
+    return (
+        F.when(F.lit(body) & name.rlike(versioned) & (major == ""), name)
+        .when(name.rlike("^[AL]?GPL-"), F.concat(gnu, version))
+        .when(name.startswith("CC-BY") & s.rlike(r"\bcc0\b|public domain"), "CC0-1.0")
+        .when(name.startswith("CC-BY"), F.concat(cc, F.when(number == "", "").otherwise(F.concat(F.lit("-"), number))))
+        .when(name.rlike("^BSD-"), bsd)
+        .when(name.rlike(versioned), F.concat(F.regexp_extract(name, "^[A-Za-z]+", 0), version))
+        .otherwise(name)
+    )
+
+
+def own_licenses(
+    df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES, whole: dict[str, list[str]] | None = None, least_body: float = 0.9
+) -> DataFrame:
+    """Adds own_license, own_score, header (the sentence, or a body's first line) and is_license_file."""
+    t, whole = F.col(text), bodies() if whole is None else whole
+    literal = lambda of: F.array(*[F.lit(n) for n in template_vectors(of)[0]])
+    names, body_names = literal(templates), literal(whole)
+    speaks = lambda parts: F.filter(parts, lambda s: s.rlike(TRIGGER))
+    plain = F.regexp_replace(t, MARKS, "")
+    blocks = F.transform(speaks(F.split(plain, r"\n\s*\n", -1)), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))
+    lines = speaks(F.split(t, SENTENCE_END, -1))
+    joined = speaks(F.flatten(F.transform(blocks, lambda b: F.split(b, JOINED_END, -1))))
+
+    last = len(template_vectors(templates)[0])
+
+    def score(s: Column) -> Column:
+        tag = F.regexp_extract(s, SPDX, 1)
+        tagged = F.struct(F.lit(1.0).alias("score"), F.lit(last + 1).alias("at"), s.alias("header"), tag.alias("name"))
+        by_template = let(_best(s, templates), lambda b: F.struct(b["score"].alias("score"), b["at"].alias("at"), s.alias("header"), _decided(F.get(names, b["at"] - 1), s, t).alias("name")))
+        return F.when(tag != "", tagged).otherwise(by_template)
+
+    sentences = F.array_distinct(F.concat(lines, joined))
+    good = F.filter(F.transform(sentences, score), lambda x: x["score"] >= least)
+    first = F.regexp_extract(t, r"[^\s][^\r\n]*", 0)
+    file_name = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
+    enough = F.when(file_name, least).otherwise(least_body)
+    title = F.left(t, F.lit(TITLE))
+    named = lambda b: _decided(F.get(body_names, b["at"] - 1), title, t, body=True)
+    body = let(_best(t, whole), lambda b: F.when(b["score"] >= enough, F.struct(b["score"].alias("score"), b["at"].alias("at"), first.alias("header"), named(b).alias("name"))))
+    said = t.rlike(TRIGGER)
+    df = df.withColumns({"licenses_": F.when(said, good), "body_": F.when(said, body)})
+    df = df.withColumn("best_", F.coalesce("body_", F.array_max("licenses_")))
+    # a line that is a piece of a longer joined sentence counts once
+    bare = lambda h: F.regexp_replace(h, MARKS, "")
+    within = lambda x, y: (y["header"] != x["header"]) & (F.char_length(y["header"]) > F.char_length(bare(x["header"]))) & F.contains(y["header"], bare(x["header"]))
+    alone = F.filter("licenses_", lambda x: ~F.exists("licenses_", lambda y: within(x, y)))
+    part = F.aggregate(alone, F.lit(0), lambda a, x: a + F.char_length(x["header"])) / F.greatest(F.char_length(t), F.lit(1))
     return df.withColumns(
         {
-            "own_license": F.when(F.col("best_").isNotNull(), F.element_at(names, F.col("best_")["at"])),
+            "own_license": F.col("best_")["name"],
             "own_score": F.col("best_")["score"],
             "header": F.col("best_")["header"],
-            "is_license_file": F.col("best_").isNotNull() & F.coalesce(F.col(path).rlike(FILE_NAME) | (part >= 0.5), F.lit(False)),
+            "is_license_file": F.col("best_").isNotNull() & (F.col("body_").isNotNull() | file_name | F.coalesce(part >= 0.5, F.lit(False))),
         }
-    ).drop("licenses_", "best_")
+    ).drop("licenses_", "body_", "best_")
 
 
 def scan(df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
