@@ -93,15 +93,18 @@ def similar(edges: DataFrame, nodes: DataFrame, node: str, limit: int) -> DataFr
 
 def shortest_path(edges: DataFrame, a: str, b: str, as_of: datetime, most: int = 6) -> DataFrame:
     """(distance, path) of a shortest path over live edges, the first by node ids; no row if there is none within ``most``."""
-    hops = both_ways(live(edges, as_of)).select("node", "other").distinct()
+    # every hop reads the hops and all frontiers before it, so both are settled; else the plan doubles with each hop
+    hops = settled(both_ways(live(edges, as_of)).select("node", "other").distinct())
     spark = edges.sparkSession
     frontier = spark.createDataFrame([(a, [a])], "node string, path array<string>")
     found, seen = [frontier], frontier.select("node")
     for _ in range(most if a != b else 0):
         step = frontier.join(hops, "node").select(F.col("other").alias("node"), F.concat("path", F.array("other")).alias("path"))
-        frontier = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        frontier = settled(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         seen = seen.unionByName(frontier.select("node"))
         found.append(frontier)
+        if frontier.isEmpty() or not frontier.where(F.col("node") == b).isEmpty():
+            break
     hits = reduce(DataFrame.unionByName, found).where(F.col("node") == b)
     return hits.select((F.size("path") - 1).cast("long").alias("distance"), F.array_join("path", ">").alias("path")).orderBy("distance", "path").limit(1)
 

@@ -527,7 +527,7 @@ def neighbors_depth2(v: Views) -> DataFrame:
     SELECT d AS distance, path FROM r WHERE node = (SELECT MAX(id) FROM v_nodes) ORDER BY d, string_split(path, '>') LIMIT 1""")
 def shortest_path(v: Views) -> DataFrame:
     last = v("v_nodes").agg(F.max("id")).first()[0] or ""
-    return graph.shortest_path(v("v_edges"), _start(v), last, AS_OF, 2)
+    return graph.shortest_path(v("v_edges"), _start(v), last, AS_OF)
 
 
 @query("""SELECT n.id, n.title, COUNT(DISTINCT e.id) AS connections FROM v_nodes n LEFT JOIN v_edges e ON e.source_id = n.id OR e.target_id = n.id GROUP BY n.id, n.title ORDER BY connections DESC, n.id LIMIT 10""")
