@@ -6,7 +6,8 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tidewell.operators import graph
+from tidewell.config import SearchOptions
+from tidewell.operators import graph, retrieval
 from tidewell.plans import registry
 
 NOW = registry.AS_OF
@@ -59,3 +60,34 @@ def test_shortest_path_query_by_brute_force(spark, views, hops):
     found = registry.queries()["shortest_path"](spark, "").collect()
     _, depth = breadth_first(pairs, "src0::0")
     assert [(r["distance"], r["path"]) for r in found] == ([(depth["zz"], ">".join(chain))] if depth["zz"] <= 6 else [])
+
+
+def search_tables(spark):
+    docs = [("near", "orchid orchid greenhouse"), ("other", "plain words"), ("expanded", "an orchid on the shelf"), ("stemmed", "she was watering them"), ("none", "nothing to see")]
+    rows = [(d, t, NOW, None, 0.5) for d, t in docs]
+    return {
+        "docs": spark.createDataFrame(rows, "doc_id string, content string, indexed_at timestamp, last_accessed timestamp, excitability double"),
+        "vectors": spark.createDataFrame([("near", [1.0, 0.0]), ("other", [0.0, 1.0])], "doc_id string, embedding array<double>"),
+        "tags": spark.createDataFrame([], "doc_id string, tag string"),
+        "xrefs": spark.createDataFrame([], "doc_id string, ref_type string, ref_target string"),
+        "nodes": spark.createDataFrame([], NODE),
+        "edges": spark.createDataFrame([], EDGE),
+    }
+
+
+def test_search_by_stems_and_expansion(spark):
+    tables = search_tables(spark)
+    found = {r["doc_id"] for r in retrieval.hybrid_search("watered", [1.0, 0.0], as_of=NOW, **tables).collect()}
+    assert {"near", "expanded", "stemmed"} <= found and "none" not in found
+    # no hit is near enough to lend its terms
+    far = {r["doc_id"] for r in retrieval.hybrid_search("watered", [-1.0, -1.0], as_of=NOW, **tables).collect()}
+    assert "stemmed" in far and "expanded" not in far
+
+
+def test_search_reranks_by_scorer(spark):
+    tables = search_tables(spark)
+    judge = lambda pairs: [10.0 if "watering" in text and query == "watered" else -len(text) / 10 for query, text in pairs]
+    found = retrieval.hybrid_search("watered", [1.0, 0.0], as_of=NOW, scorer=judge, **tables).orderBy("position").collect()
+    assert found[0]["doc_id"] == "stemmed" and [r["position"] for r in found] == list(range(len(found)))
+    kept = retrieval.hybrid_search("watered", [1.0, 0.0], as_of=NOW, scorer=judge, options=SearchOptions(rerank=False), **tables).orderBy("position").collect()
+    assert kept[0]["doc_id"] == "near"

@@ -25,8 +25,8 @@ class NotFound(KeyError):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, options: Options = Options(), embedder=hashing_embedder):
-        self.spark, self.options, self.embedder = spark, options, embedder
+    def __init__(self, spark: SparkSession, path: str, options: Options = Options(), embedder=hashing_embedder, scorer=None):
+        self.spark, self.options, self.embedder, self.scorer = spark, options, embedder, scorer
         self.store = Catalog(spark, path)
 
     def _rows(self, schema: str, rows: list) -> DataFrame:
@@ -95,7 +95,7 @@ class Engine:
         options = self.options.search if limit is None else type(self.options.search)(**{**self.options.search.__dict__, "limit": limit})
         docs, read = self.store.read("documents"), self.store.read
         vector = np.asarray(self.embedder()([query])[0], dtype=float).tolist()
-        found = retrieval.hybrid_search(query, vector, docs, docs.where("embedding is not null"), read("document_tags"), read("cross_refs"), read("nodes"), read("edges"), now, options)
+        found = retrieval.hybrid_search(query, vector, docs, docs.where("embedding is not null"), read("document_tags"), read("cross_refs"), read("nodes"), read("edges"), now, options, self.scorer)
         found = found.join(docs.select("doc_id", "content"), "doc_id", "left").orderBy("position")
         if record:
             found = found.cache()

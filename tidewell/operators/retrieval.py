@@ -250,6 +250,12 @@ def rerank(query: str, hits: DataFrame, limit: int, scorer: Callable[[list[tuple
 # ---- the layered search
 
 
+def expanded_query(query: str, near: DataFrame, least: float = 0.02, n: int = 3) -> str:
+    """The query with the terms of the best vector hit of ``near`` (doc_id, content, score), if it scores above ``least``."""
+    best = near.orderBy(F.desc("score"), "doc_id").limit(1).where(F.col("score") > least)
+    return " ".join([query, *[r["term"] for r in expansion_terms(best, query, n).collect()]])
+
+
 def hybrid_search(
     query: str,
     vector: Sequence[float],
@@ -261,16 +267,23 @@ def hybrid_search(
     edges: DataFrame,
     as_of: datetime,
     options: SearchOptions = SearchOptions(),
+    scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None,
 ) -> DataFrame:
-    """(doc_id, score): vector, keyword, graph and metadata layers fused, boosted, spread and made diverse."""
+    """(doc_id, position, score): vector, keyword, graph and metadata layers fused, boosted, spread and made diverse.
+
+    The keyword layer asks for the query's stems and those of the best vector hit's terms. A ``scorer`` reranks the chosen rows.
+    """
     wide = options.limit * options.candidates
-    lists = []
+    lists, asked = [], query
     if options.vector:
-        lists.append(ranked(knn(vectors, vector, wide).join(docs.select("doc_id", "content"), "doc_id"), 0, "content"))
+        near = settled(knn(vectors, vector, wide).join(docs.select("doc_id", "content"), "doc_id"))
+        asked = expanded_query(query, near)
+        lists.append(ranked(near, 0, "content"))
     if options.keyword:
-        lists.append(ranked(bm25(docs, query, wide).join(docs.select("doc_id", "content"), "doc_id"), 1, "content"))
+        hits = ranked(settled(bm25(docs, asked, wide, porter=True)).join(docs.select("doc_id", "content"), "doc_id"), 1, "content")
+        lists.append(hits.withColumn("score", keyword_layer_score(-F.col("score"))))
     if options.graph:
-        lists.append(ranked(graph.graph_search(query, nodes, edges, as_of), 2, "content"))
+        lists.append(ranked(settled(graph.graph_search(query, nodes, edges, as_of)), 2, "content"))
     meta = metadata_layer(query, tags, xrefs)
     lists.append(meta.select(F.lit(3).alias("list_id"), "rank", "doc_id", F.lit(None).cast("string").alias("content"), "score"))
     fused = rrf(reduce(DataFrame.unionByName, lists), options.rrf_k)
@@ -279,4 +292,11 @@ def hybrid_search(
     spread = settled(graph_boost(boosted, edges, as_of, options.limit, options=options))
     pool = spread.join(vectors.select("doc_id", "embedding"), "doc_id", "left")
     chosen = mmr(pool, options.limit, "spread", options.mmr_lambda)
-    return chosen.join(spread.select("doc_id", F.col("spread").alias("score")), "doc_id").select("doc_id", "position", "score")
+    out = chosen.join(spread.select("doc_id", F.col("spread").alias("score")), "doc_id").select("doc_id", "position", "score")
+    if not options.rerank or scorer is None:
+        return out
+    bodies = boosted.select("doc_id", F.col("content").alias("fused_")).join(docs.select("doc_id", F.col("content").alias("held_")), "doc_id", "full_outer")
+    texts = out.join(bodies, "doc_id", "left").select("doc_id", F.coalesce("fused_", "held_").alias("content"), "score")
+    judged = settled(rerank(query, texts, options.limit, scorer))
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "doc_id")) - 1
+    return judged.select("doc_id", place.cast("long").alias("position"), "score")
