@@ -91,3 +91,35 @@ def test_search_reranks_by_scorer(spark):
     assert found[0]["doc_id"] == "stemmed" and [r["position"] for r in found] == list(range(len(found)))
     kept = retrieval.hybrid_search("watered", [1.0, 0.0], as_of=NOW, scorer=judge, options=SearchOptions(rerank=False), **tables).orderBy("position").collect()
     assert kept[0]["doc_id"] == "near"
+
+
+def test_graph_search_two_hops_by_brute_force(spark):
+    dice = random.Random(7)
+    names = [f"n{i:02}" for i in range(30)]
+    titles = {n: ("wanted " if i < 3 else "") + f"a rather long title of {n}" for i, n in enumerate(names)}
+    kinds = list(graph.TYPE_WEIGHTS) + ["co_retrieved"]
+    rows = []
+    for i in range(60):
+        a, b = dice.sample(names, 2)
+        ended = NOW - timedelta(days=1) if i % 9 == 0 else None
+        rows.append((f"e{i:02}", a, b, dice.choice(kinds), dice.randint(1, 100) / 100, 0.5 + (i % 5) / 10, ended))
+    alive = [e for e in rows if e[6] is None]
+    best = {n: 1.5 for n in names[:3]}
+    for start in names[:3]:
+        seen, ring = {start}, {start}
+        for _ in range(2):
+            ring = {y for e in alive for x, y in ((e[1], e[2]), (e[2], e[1])) if x in ring}
+            seen |= ring
+        met = sorted((-e[4], n, e[0], e) for e in alive for n in {e[1], e[2]} & (seen - {start}))
+        for weight, node, _, e in met[:20]:
+            lift = 1 + 0.8 * ("wanted" in titles[node])
+            best[node] = max(best.get(node, 0), -weight * e[5] * graph.TYPE_WEIGHTS.get(e[3], graph.OTHER_TYPE) * lift)
+    expected = sorted(((f"graph:{n}", round(x, 9)) for n, x in best.items()), key=lambda p: (-p[1], p[0]))[:20]
+    found = graph.graph_search("wanted", spark.createDataFrame([(n, "note", t, None) for n, t in titles.items()], NODE), spark.createDataFrame(rows, EDGE), NOW)
+    assert [(r["doc_id"], round(r["score"], 9)) for r in found.collect()] == expected
+
+
+def test_graph_search_finds_nodes_two_hops_away(spark):
+    nodes = spark.createDataFrame([(n, "note", t, None) for n, t in [("a", "wanted, a long enough title"), ("b", "between, a long enough title"), ("c", "behind, a long enough title"), ("d", "too far, a long enough title")]], NODE)
+    found = graph.graph_search("wanted", nodes, edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d")]), NOW)
+    assert {r["doc_id"] for r in found.collect()} == {"graph:a", "graph:b", "graph:c"}

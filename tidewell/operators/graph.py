@@ -127,8 +127,12 @@ def suggest(edges: DataFrame, docs: DataFrame, doc_id: str, as_of: datetime, lim
     return joined.orderBy(F.desc("weight"), "doc_id").limit(limit)
 
 
-def graph_search(query: str, nodes: DataFrame, edges: DataFrame, as_of: datetime, per_word: int = 10, limit: int = 20, least_bytes: int = 20) -> DataFrame:
-    """(doc_id, content, score): nodes whose titles match the query's words, and what their edges lead to."""
+def graph_search(query: str, nodes: DataFrame, edges: DataFrame, as_of: datetime, per_word: int = 10, limit: int = 20, least_bytes: int = 20, depth: int = 2, per_start: int = 20) -> DataFrame:
+    """(doc_id, content, score): nodes whose titles match the query's words, and the nodes within ``depth`` hops of them.
+
+    From each match the ``per_start`` heaviest live edges at the nodes reached count, as in neighbors(); a node has the score
+    of its best edge.
+    """
     words = [w.lower() for w in query.split() if len(w.encode()) >= 3]
     schema = "doc_id string, content string, score double"
     if not words:
@@ -143,9 +147,19 @@ def graph_search(query: str, nodes: DataFrame, edges: DataFrame, as_of: datetime
 
     kind = F.coalesce(*[F.when(F.col("type") == t, w) for t, w in TYPE_WEIGHTS.items()], F.lit(OTHER_TYPE))
     on = live(edges, as_of)
-    ends = both_ways(on).select("node", "other", "type", "weight", "confidence")
-    near = ends.join(F.broadcast(first.select(F.col("id").alias("node"))), "node").select("other", (F.col("weight") * F.col("confidence") * kind).alias("base"))
-    led = near.groupBy(F.col("other").alias("id")).agg(F.max("base").alias("base")).join(nodes.select("id", "title", "content"), "id")
+    ends = both_ways(on).select("node", F.col("id").alias("edge_id"), "type", "weight", "confidence")
+    hops = both_ways(on).select("node", "other").distinct()
+    frontier = first.select(F.col("id").alias("start"), F.col("id").alias("node"))
+    reached = frontier
+    for _ in range(min(depth, 3)):
+        frontier = frontier.join(hops, "node").select("start", F.col("other").alias("node")).distinct()
+        reached = reached.unionByName(frontier)
+    # a match's own row is its title's; the nodes it reaches are those in the table of nodes
+    reached = reached.where("node != start").distinct().join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    met = reached.join(ends, "node").distinct()
+    place = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("weight"), "node", "edge_id"))
+    near = met.withColumn("place", place).where(F.col("place") <= per_start).select("node", (F.col("weight") * F.col("confidence") * kind).alias("base"))
+    led = near.groupBy(F.col("node").alias("id")).agg(F.max("base").alias("base")).join(nodes.select("id", "title", "content"), "id")
     led = led.select("id", body.alias("content"), (F.col("base") * (1 + 0.5 * hits(F.col("title")) + 0.3 * hits(body))).alias("score"))
     both = own.unionByName(led).where(F.octet_length("content") >= least_bytes)
     best = both.groupBy("id").agg(F.max_by("content", "score").alias("content"), F.max("score").alias("score"))
