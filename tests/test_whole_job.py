@@ -123,3 +123,19 @@ def test_graph_search_finds_nodes_two_hops_away(spark):
     nodes = spark.createDataFrame([(n, "note", t, None) for n, t in [("a", "wanted, a long enough title"), ("b", "between, a long enough title"), ("c", "behind, a long enough title"), ("d", "too far, a long enough title")]], NODE)
     found = graph.graph_search("wanted", nodes, edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d")]), NOW)
     assert {r["doc_id"] for r in found.collect()} == {"graph:a", "graph:b", "graph:c"}
+
+
+def test_centrality_query_searches_from_500_nodes(spark, views):
+    dice = random.Random(3)
+    pairs = [(f"n{dice.randrange(i):03}", f"n{i:03}") for i in range(1, 260)] + [(f"n{dice.randrange(260):03}", f"n{dice.randrange(260):03}") for _ in range(40)]
+    views(v_edges=edges_of(spark, pairs))
+    passes = Counter()
+    for source in sorted({x for p in pairs for x in p}):
+        parent, depth = breadth_first(pairs, source)
+        for target in parent:
+            inner = parent[target] if depth[target] >= 2 else None
+            while inner is not None and inner != source:
+                passes[inner] += 1
+                inner = parent[inner]
+    found = {r["id"]: r["passes"] for r in registry.queries()["centrality"](spark, "").collect()}
+    assert len(found) == 260 and found == {n: passes[n] for n in found}

@@ -582,7 +582,7 @@ def degree_centrality(v: Views) -> DataFrame:
 
 @query()
 def centrality(v: Views) -> DataFrame:
-    return graph.centrality(v("v_edges"), 100).withColumns(r6("score"))
+    return graph.centrality(v("v_edges")).withColumns(r6("score"))
 
 
 @query("""WITH n AS (SELECT id, lower(trim('Note ' || CAST(LENGTH(id) AS STRING) || substr(id, 1, 4))) AS t FROM v_nodes), m AS (SELECT id, MIN(id) OVER (PARTITION BY t) AS kept FROM n),
