@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from tidewell.config import SearchOptions
+from tidewell.engine import Engine
+from tidewell.functions.embed import hashing_embedder
 from tidewell.operators import graph, retrieval
 from tidewell.plans import registry
 
@@ -139,3 +141,28 @@ def test_centrality_query_searches_from_500_nodes(spark, views):
                 inner = parent[inner]
     found = {r["id"]: r["passes"] for r in registry.queries()["centrality"](spark, "").collect()}
     assert len(found) == 260 and found == {n: passes[n] for n in found}
+
+
+def test_temporal_edges_by_brute_force(spark):
+    dice = random.Random(5)
+    dates = {f"d{i}": datetime(2024, 1, 1) + timedelta(days=dice.randrange(20)) for i in range(40)}
+    order = sorted(dates, key=lambda x: (dates[x], x))
+    counts, kept = Counter(), []
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if (dates[b] - dates[a]).days <= 7 and counts[a] < 3 and counts[b] < 3:
+                counts.update((a, b))
+                kept.append((a, b))
+    dated = spark.createDataFrame([(x, d.date()) for x, d in dates.items()], "id string, date date")
+    pairs = lambda **o: {(r["source_id"], r["target_id"]) for r in graph.temporal_edges(dated, per_node=3, **o).collect()}
+    assert pairs() == set(kept) and pairs(most=10) == set(kept[:10])
+
+
+def test_built_graph_links_dates(spark, tmp_path):
+    made = Engine(spark, str(tmp_path / "s"), embedder=lambda: hashing_embedder(32))
+    docs = [("a", "one thing", "log/2024-01-01.md", None), ("b", "another matter", "log/x.md", '{"date": "2024-01-05"}'), ("c", "much later", "log/2024-01-11.md", None), ("d", "too late", "log/2024-03-01.md", None)]
+    made.index(spark.createDataFrame(docs, "doc_id string, content string, file_path string, metadata string"), NOW)
+    made.build_graph(NOW)
+    found = made.store.read("edges").where("type = 'temporal'").orderBy("source_id").collect()
+    expected = [("a", "b", round(1 - 0.5 * 4 / 7, 6), 0.7), ("b", "c", round(1 - 0.5 * 6 / 7, 6), 0.7)]
+    assert [(r["source_id"], r["target_id"], round(r["weight"], 6), r["confidence"]) for r in found] == expected

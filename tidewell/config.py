@@ -68,8 +68,6 @@ class GraphOptions:
     entity_frequency: int = 2
     topics: int = 10
     semantic: float = 0.7
-    allocation_k: int = 5
-    allocation_above: float = 0.6
 
 
 @dataclass(frozen=True)

@@ -64,19 +64,22 @@ class Engine:
             self.store.delete(table, ids, "doc_id")
 
     def build_graph(self, now: datetime) -> dict[str, int]:
-        """Nodes and edges from the documents: links, tags, entities, topics and similarity; merged and pruned."""
+        """Nodes and edges from the documents: links, tags, dates, entities, topics and similarity; merged and pruned."""
         o = self.options.graph
         docs = self.store.read("documents")
         notes = docs.select(F.col("doc_id").alias("id"), F.lit("note").alias("type"), text.title_of(F.coalesce("file_path", "doc_id")).alias("title"), "content", "embedding")
         tag_nodes, explicit = graph.explicit_edges(notes)
         entities, topics = graph.entity_mentions(notes, o.entity_frequency), graph.topic_clusters(notes)
         near = graph.semantic_edges(notes, o.semantic, o.per_node)
+        dated = docs.select(F.col("doc_id").alias("id"), graph.date_of(F.coalesce("file_path", "doc_id"), F.col("metadata")).alias("date")).where("date is not null")
+        dates = graph.temporal_edges(dated, o.temporal_days, o.temporal_edges, o.per_node)
 
         def edges(rows: DataFrame, kind: str, target: str, weight: float, confidence: float) -> DataFrame:
             return rows.select(F.col("id").alias("source_id"), F.col(target).alias("target_id"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"), F.lit(confidence).alias("confidence")).distinct()
 
         every = explicit.unionByName(edges(entities, "mentions", "entity_id", 0.6, 0.8)).unionByName(edges(topics, "discusses", "topic_id", 0.7, 0.6))
         every = every.unionByName(near.select("source_id", "target_id", F.lit("similar_to").alias("type"), "weight", F.col("weight").alias("confidence")))
+        every = every.unionByName(dates.select("source_id", "target_id", F.lit("temporal").alias("type"), "weight", F.lit(0.7).alias("confidence")))
         every = every.withColumn("id", F.sha2(F.concat_ws("::", "type", "source_id", "target_id"), 256))
         nodes = notes.select("id", "type", "title").unionByName(tag_nodes)
         nodes = nodes.unionByName(entities.select(F.col("entity_id").alias("id"), F.lit("entity").alias("type"), F.col("entity").alias("title")))

@@ -212,6 +212,18 @@ def temporal_pairs(dated: DataFrame, days: int = 7) -> DataFrame:
     return pairs.withColumn("weight", F.greatest(F.lit(0.3), 1 - 0.5 * F.col("gap") / days))
 
 
+def temporal_edges(dated: DataFrame, days: int = 7, most: int = 50_000, per_node: int = 20) -> DataFrame:
+    """(source_id, target_id, weight) of pairs at most ``days`` apart: kept in order of dates and ids while both ends have
+    fewer than ``per_node``, and the first ``most`` of those."""
+    pairs = temporal_pairs(dated, days)
+    a, b = dated.select(F.col("id").alias("source_id"), F.col("date").alias("from_")), dated.select(F.col("id").alias("target_id"), F.col("date").alias("to_"))
+    # prune_greedy goes by weight, then id; equal weights and ids that sort like (date, id, date, id) make it go in that order
+    order = F.concat_ws("\u0001", "from_", "source_id", "to_", "target_id")
+    named = pairs.join(a, "source_id").join(b, "target_id").select("source_id", "target_id", F.col("weight").alias("nearness_"), F.lit(1.0).alias("weight"), order.alias("id"))
+    kept = prune_greedy(named, 0.0, per_node).orderBy("id").limit(most)
+    return kept.select("source_id", "target_id", F.col("nearness_").alias("weight"))
+
+
 def date_of(path: Column, metadata: Column | None = None) -> Column:
     """The date in a note's metadata, else in its path."""
     found = F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})", 1)
