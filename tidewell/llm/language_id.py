@@ -28,12 +28,13 @@ from pyspark.sql import types as T
 from tidewell.llm.arrow import add_columns
 
 UNKNOWN = "und"
-LETTERS = regex.compile(r"\p{L}+")
 LONGEST = 5
 #: Words that a worker remembers the scores of; the table is emptied when full.
 HELD = 300_000
-#: Words longer than this are cut into pieces before n-grams are looked up.
+#: Runs of letters longer than this are cut into pieces, each of which counts as a word.
 LONGEST_WORD = 64
+WORD = rf"\p{{L}}{{1,{LONGEST_WORD}}}"
+LETTERS = regex.compile(WORD)
 
 
 @dataclass
@@ -77,7 +78,7 @@ class Scorer:
         return self.used - 1
 
     def back_off(self, word: str) -> np.ndarray:
-        padded = f" {word[:LONGEST_WORD]} "
+        padded = f" {word} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
             index, logs = self.grams[n - 1]
             known = [index[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in index]
@@ -129,7 +130,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = labelled.count()
     part = labelled.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1.0, sample / max(1, total)) * 1_000_000)
-    tokens = part.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    tokens = part.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word"))
     counted = tokens.groupBy("lang", "word").count()
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     by_words: dict[str, Counter] = defaultdict(Counter)
@@ -139,7 +140,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     grams: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(LONGEST)]
     for name, c in by_words.items():
         for word, n in c.items():
-            padded = f" {word[:LONGEST_WORD]} "
+            padded = f" {word} "
             for size in range(1, LONGEST + 1):
                 into = grams[size - 1][name]
                 for i in range(len(padded) - size + 1):
