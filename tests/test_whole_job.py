@@ -176,3 +176,12 @@ def test_language_of_a_long_run(spark):
     asked = spark.createDataFrame([(1, "ab" * 32 + "xy" * 10_000)], "doc_id long, text string")
     assert language_id.identify(asked, model).first()["lang_pred"] == "two"
     assert "q" in model.grams[0].entries
+
+
+def test_text_queries_read_documents(spark, views):
+    docs = [("x1", "p/en/x1", "---\ntags: [q]\n---\n# Head\nwords #fresh for [[Second Note]] and enough of them"), ("x2", "p/en/x2", "plain")]
+    views(v_docs=spark.createDataFrame(docs, "doc_id string, file_path string, content string"))
+    made = {name: registry.queries()[name](spark, "").collect() for name in ("doc_tags", "wiki_links", "explicit_edges", "chunk_markdown", "frontmatter")}
+    assert ("x1", "fresh") in {(r["id"], r["tag"]) for r in made["doc_tags"]} and ("x1", "Second Note") in {(r["id"], r["link"]) for r in made["wiki_links"]}
+    assert {("x1", "n2"), ("x1", "tag_fresh")} <= {(r["source_id"], r["target_id"]) for r in made["explicit_edges"]}
+    assert "p/en/x1" in {r["path"] for r in made["frontmatter"]} and any("p/en/x1" in str(r) for r in made["chunk_markdown"])

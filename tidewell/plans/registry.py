@@ -283,18 +283,25 @@ NOTES = [
     ("n2", "Plain text #alpha\n#beta2 [[Second Note]] again [[ ]]"),
     ("n3", "no marks at all"),
 ]
+
+
+def _notes(v: Views) -> DataFrame:
+    """All documents and the literal notes."""
+    return v("v_docs").select(F.col("doc_id").alias("id"), "content").unionByName(rows(v.spark, "id string, content string", NOTES))
+
+
 NOTES_SQL = "(VALUES " + ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in NOTES) + ") t(id, content)"
 
 
 @query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)', 1), lambda y: lower(y)))) AS tag FROM {NOTES_SQL}) SELECT id, tag FROM x""")
 def doc_tags(v: Views) -> DataFrame:
-    return rows(v.spark, "id string, content string", NOTES).select("id", F.explode(text.tags(F.col("content"))).alias("tag"))
+    return _notes(v).select("id", F.explode(text.tags(F.col("content"))).alias("tag"))
 
 
 @query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\[\]]+)\]\]', 1), lambda y: trim(CASE WHEN contains(y, '|') THEN regexp_extract(y, '^[^|]*\|(.*)$', 1) ELSE y END)))) AS link FROM {NOTES_SQL})
     SELECT id, link FROM x WHERE link <> ''""")
 def wiki_links(v: Views) -> DataFrame:
-    return rows(v.spark, "id string, content string", NOTES).select("id", F.explode(text.wiki_links(F.col("content"))).alias("link"))
+    return _notes(v).select("id", F.explode(text.wiki_links(F.col("content"))).alias("link"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents)
@@ -316,14 +323,19 @@ MARKDOWN = [
 ]
 
 
+def _files(v: Views) -> DataFrame:
+    """All documents and the literal files."""
+    return v("v_docs").select(F.col("file_path").alias("path"), "content").unionByName(rows(v.spark, "path string, content string", MARKDOWN))
+
+
 @query()
 def chunk_markdown(v: Views) -> DataFrame:
-    return text.chunk_markdown(rows(v.spark, "path string, content string", MARKDOWN))
+    return text.chunk_markdown(_files(v))
 
 
 @query()
 def frontmatter(v: Views) -> DataFrame:
-    found = text.frontmatter(rows(v.spark, "path string, content string", MARKDOWN))
+    found = text.frontmatter(_files(v))
     return found.select("path", "frontmatter", F.octet_length("body").alias("body_bytes"), text.frontmatter_tags(F.col("frontmatter")).alias("tags"))
 
 
@@ -488,6 +500,13 @@ def graph_boost(v: Views) -> DataFrame:
     return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 10).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
 
 
+@query()
+def graph_boost_fused(v: Views) -> DataFrame:
+    """graph_boost from the boosted fusion of the real lists; graph_boost itself keeps the start that its SQL has."""
+    fused = retrieval.excitability_boost(retrieval.rrf(_lists(v)), v("v_docs"), AS_OF)
+    return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 10).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
+
+
 @query()
 def mmr_diversify(v: Views) -> DataFrame:
     near = retrieval.knn(v("embeddings"), _first_vector(v), 60, key="vec_id").join(v("embeddings").select("vec_id", "embedding"), "vec_id")
@@ -612,7 +631,8 @@ def prune_edges_greedy(v: Views) -> DataFrame:
 @query()
 def explicit_edges(v: Views) -> DataFrame:
     notes = rows(v.spark, "id string, title string, content string", [("n1", "First", NOTES[0][1]), ("n2", "Second Note", NOTES[1][1]), ("n3", "The Third One", NOTES[2][1])])
-    return graph.explicit_edges(notes)[1]
+    docs = v("v_docs").select(F.col("doc_id").alias("id"), text.title_of("file_path").alias("title"), "content")
+    return graph.explicit_edges(docs.unionByName(notes))[1]
 
 
 @query("""WITH d AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders)
