@@ -9,7 +9,6 @@ import pytest
 from tidewell.config import SearchOptions
 from tidewell.engine import Engine
 from tidewell.functions.embed import hashing_embedder
-from tidewell.llm import language_id
 from tidewell.operators import graph, retrieval
 from tidewell.plans import registry
 
@@ -169,15 +168,6 @@ def test_built_graph_links_dates(spark, tmp_path):
     assert [(r["source_id"], r["target_id"], round(r["weight"], 6), r["confidence"]) for r in found] == expected
 
 
-def test_language_of_a_long_run(spark):
-    rows = [(i, x, lang) for i, (x, lang) in enumerate([("abab abba baab", "one"), ("xyxy yxxy xxyy", "two")] * 5)]
-    rows.append((99, "b" * 64 + "q" * 200, "one"))
-    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    asked = spark.createDataFrame([(1, "ab" * 32 + "xy" * 10_000)], "doc_id long, text string")
-    assert language_id.identify(asked, model).first()["lang_pred"] == "two"
-    assert "q" in model.grams[0].entries
-
-
 def test_text_queries_read_documents(spark, views):
     docs = [("x1", "p/en/x1", "---\ntags: [q]\n---\n# Head\nwords #fresh for [[Second Note]] and enough of them"), ("x2", "p/en/x2", "plain")]
     views(v_docs=spark.createDataFrame(docs, "doc_id string, file_path string, content string"))

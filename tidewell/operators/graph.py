@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.scalar import md5_short
+from tidewell.functions.scalar import let, md5_short
 from tidewell.operators import text as T
 from tidewell.sources.scratch import settled
 
 # How much an edge's type counts in a graph search.
 TYPE_WEIGHTS = {"references": 1.5, "tagged_as": 1.3, "mentions": 1.2, "similar_to": 1.1, "discusses": 1.0, "temporal": 0.4}
 OTHER_TYPE = 0.8
+#: Pairs of neighbours that betweenness sends to every task at most.
+MOST_PAIRS = 5_000_000
 # Capitalised words that aren't entities, and technical terms that are.
 COMMON_WORDS = (
     "The This That These Those And But Or So Then Now Here There When Where Why How What Which Who Whom Whose Will Would Could Should Might May Can Must Shall"
@@ -53,12 +55,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     """(node, distance) of all nodes within ``depth`` hops of ``start`` (node). A hop joins the frontier, not the graph."""
-    hops = both_ways(edges).select("node", "other").distinct()
+    hops = settled(both_ways(edges).select("node", "other").distinct())
     reached = start.select("node").distinct().withColumn("distance", F.lit(0).cast("long"))
     frontier = reached
     for d in range(1, depth + 1):
         new = frontier.join(hops, "node").select(F.col("other").alias("node")).distinct().join(reached.select("node"), "node", "left_anti")
-        frontier = new.withColumn("distance", F.lit(d).cast("long"))
+        frontier = settled(new.withColumn("distance", F.lit(d).cast("long")))
         reached = reached.unionByName(frontier)
     return reached
 
@@ -117,7 +119,9 @@ def topic_web(nodes: DataFrame, edges: DataFrame, topic: str) -> DataFrame:
 
 def hubs(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
     counted = both_ways(edges.select("source_id", "target_id", F.col("id").alias("edge"))).groupBy(F.col("node").alias("id")).agg(F.count_distinct("edge").alias("n"))
-    joined = nodes.select("id", "title").join(counted, "id", "left").select("id", "title", F.coalesce("n", F.lit(0)).cast("long").alias("connections"))
+    importance = F.coalesce(F.get_json_object("metadata", "$.importance_score").cast("double"), F.lit(0.0)) if "metadata" in nodes.columns else F.lit(0.0)
+    named = nodes.select("id", "title", importance.alias("importance"))
+    joined = named.join(counted, "id", "left").select("id", "title", F.coalesce("n", F.lit(0)).cast("long").alias("connections"), "importance")
     return joined.orderBy(F.desc("connections"), "id").limit(limit)
 
 
@@ -242,12 +246,23 @@ def entity_mentions(notes: DataFrame, least: int = 2) -> DataFrame:
     return seen.join(frequent, "entity").select("id", "entity", F.concat(F.lit("entity_"), md5_short(F.lower("entity"))).alias("entity_id"), "frequency")
 
 
-def topic_clusters(notes: DataFrame, words: int = 20, least: int = 2) -> DataFrame:
-    """(id, topic, topic_id, n): the corpus's most frequent words, and the notes that use each of them at least twice."""
+def topic_clusters(notes: DataFrame, words: int = 20, least: int = 2, least_notes: int = 1) -> DataFrame:
+    """(id, topic, topic_id, n): the corpus's most frequent words, and the notes that use each of them at least twice.
+
+    One scan finds the words, a second counts only those in each note; no (note, word) rows are shuffled. Fewer than
+    ``least_notes`` notes have no topics.
+    """
     token = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[a-z]{4,}$"))
-    counted = notes.select("id", F.explode(token).alias("topic")).where(~F.col("topic").isin(TOPIC_STOP_WORDS)).groupBy("id", "topic").agg(F.count("*").alias("n"))
-    top = counted.groupBy("topic").agg(F.sum("n").alias("total")).where("total >= 2").orderBy(F.desc("total"), "topic").limit(words)
-    used = counted.where(F.col("n") >= least).join(F.broadcast(top.select("topic")), "topic")
+    totals = notes.select(F.explode(token).alias("topic")).groupBy("topic").agg(F.count("*").alias("total"))
+    frequent = totals.where((F.col("total") >= 2) & ~F.col("topic").isin(TOPIC_STOP_WORDS)).orderBy(F.desc("total"), "topic").limit(words)
+    top = [r["topic"] for r in frequent.collect()]
+    if not top or (least_notes > 1 and notes.limit(least_notes).count() < least_notes):
+        top = []
+    asked = F.array(*[F.lit(t) for t in top]).cast("array<string>")
+    hits = F.filter(token, lambda w: F.array_contains(asked, w))
+    each = lambda h: F.transform(asked, lambda t: F.struct(t.alias("topic"), F.size(F.filter(h, lambda w: w == t)).cast("long").alias("n")))
+    used = notes.select("id", F.explode(F.filter(let(hits, each), lambda x: x["n"] >= least)).alias("x")).select("id", "x.topic", "x.n")
+    used = settled(used)
     shared = used.groupBy("topic").agg(F.count("*").alias("notes")).where("notes >= 2").select("topic")
     return used.join(F.broadcast(shared), "topic").select("id", "topic", F.concat(F.lit("topic_"), md5_short(F.col("topic"))).alias("topic_id"), "n")
 
@@ -281,6 +296,31 @@ def semantic_edges(vectors: DataFrame, least: float = 0.7, per_node: int = 20, b
     return top.select(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), "weight").distinct()
 
 
+def semantic_capped(pairs: DataFrame, per_node: int = 20) -> DataFrame:
+    """Of semantic_edges' pairs, those kept when nodes in order of ids take their nearest while both ends have fewer than ``per_node``."""
+    ways = pairs.unionByName(pairs.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight"))
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id"))
+    first = ways.withColumn("rank", rank).where(F.col("rank") <= per_node)
+    a, b = F.least("source_id", "target_id"), F.greatest("source_id", "target_id")
+    turn = F.struct(F.col("source_id").cast("string").alias("s"), "rank")
+    order = first.groupBy(a.alias("source_id"), b.alias("target_id")).agg(F.min(turn).alias("turn"), F.max("weight").alias("nearness"))
+    # prune_greedy goes by weight, then id; equal weights and ids that sort like the turns make it go turn by turn
+    named = order.select("source_id", "target_id", "nearness", F.lit(1.0).alias("weight"), F.concat_ws("\u0001", "turn.s", F.lpad(F.col("turn.rank").cast("string"), 9, "0")).alias("id"))
+    return prune_greedy(named, 0.0, per_node).select("source_id", "target_id", F.col("nearness").alias("weight"))
+
+
+def allocation_edges(new: DataFrame, docs: DataFrame, above: float = 0.6, k: int = 5) -> DataFrame:
+    """(source_id, target_id, type, weight, confidence): from each new document (doc_id, embedding) to those of its k nearest
+    documents, itself apart, whose excitability is over ``above``."""
+    from tidewell.operators.retrieval import knn_join
+
+    near = knn_join(new.select(F.col("doc_id").alias("query_id"), "embedding"), docs, k + 1)
+    others = near.where("query_id != doc_id").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k)
+    excited = docs.where(F.col("excitability") > above).select("doc_id")
+    kept = others.join(excited, "doc_id", "left_semi")
+    return kept.select(F.col("query_id").alias("source_id"), F.col("doc_id").alias("target_id"), F.lit("similar_to").alias("type"), F.col("score").alias("weight"), F.lit(0.8).alias("confidence"))
+
+
 def degree_centrality(edges: DataFrame) -> DataFrame:
     counted = both_ways(edges.where("source_id != target_id")).groupBy("node").agg(F.count_distinct("other").alias("degree"))
     top = counted.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top"))
@@ -290,9 +330,11 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, samples: int = 500) -> DataFrame:
     """(id, passes): how often a node lies inside the search trees of up to ``samples`` sources, ids in order.
 
-    The adjacency goes to every task; it is bounded by the graph store's own limit of edges a node.
+    The adjacency goes to every task, so a graph of more than MOST_PAIRS neighbours is an error rather than a loss of memory.
     """
-    pairs = both_ways(edges.where("source_id != target_id")).select("node", "other").distinct()
+    pairs = settled(both_ways(edges.where("source_id != target_id")).select("node", "other").distinct())
+    if pairs.count() > MOST_PAIRS:
+        raise ValueError(f"betweenness is for graphs of at most {MOST_PAIRS} pairs of neighbours")
     adjacency: dict[str, list[str]] = {r["node"]: r["others"] for r in pairs.groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("others")).toLocalIterator()}
     shared = edges.sparkSession.sparkContext.broadcast(adjacency)
     sources = pairs.select("node").distinct().orderBy("node").limit(samples)

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,7 +81,9 @@ def title_duplicates(memories: DataFrame, others: DataFrame | None = None, least
     """
     own = others is None
     titled = lambda df: df.select("id", F.lower("title").alias("title")).where("title != ''").distinct()
-    left, right = titled(memories), titled(memories if own else others)
+    left_rows, right_rows = titled(memories), titled(memories if own else others)
+    # titles are compared once, however many rows have them
+    left, right = (r.select("title").distinct().withColumn("id", F.col("title")) for r in (left_rows, right_rows))
     length = lambda c: F.char_length(c)
     allowed = F.floor(F.lit(1 - least + 1e-9) * F.ceil(length("title") / F.lit(least))).cast("int")
     cut = left.withColumn("k", allowed)
@@ -100,9 +99,11 @@ def title_duplicates(memories: DataFrame, others: DataFrame | None = None, least
     a, b = pieces.alias("a"), grams.alias("b")
     near = (F.abs(F.col("a.at") - F.col("b.at")) <= F.col("a.k")) & (F.abs(length("a.title") - length("b.title")) <= F.col("a.k"))
     met = a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.piece") == F.col("b.piece")) & near)
-    met = met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.title").alias("t_a"), F.col("b.title").alias("t_b")).where("id_a != id_b").distinct()
+    met = met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.title").alias("t_a"), F.col("b.title").alias("t_b")).distinct()
     similarity = 1 - F.levenshtein("t_a", "t_b") / F.greatest(length("t_a"), length("t_b"))
-    found = met.withColumn("similarity", similarity).where(F.col("similarity") >= least)
+    close = met.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("t_a", "t_b", "similarity")
+    ids = lambda r, i, t: r.select(F.col("id").alias(i), F.col("title").alias(t))
+    found = close.join(ids(left_rows, "id_a", "t_a"), "t_a").join(ids(right_rows, "id_b", "t_b"), "t_b").where("id_a != id_b")
     if own:
         found = found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity").distinct()
     return found.select("id_a", "id_b", "similarity")
@@ -140,17 +141,17 @@ def content_pairs(memories: DataFrame, least: float = 0.85) -> DataFrame:
 # ---- signatures
 
 
-def sign(memories: DataFrame, key: bytes, out: str = "signature") -> DataFrame:
-    """Adds the HMAC-SHA256 of id:category:title:content in hexadecimal."""
+def hmac_sha256(key: bytes, payload: Column) -> Column:
+    """HMAC-SHA256 in hexadecimal: the two nested digests of its definition, over the padded key."""
+    padded = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.unhex(F.lit(bytes(b ^ mask for b in padded).hex())) for mask in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(payload, "UTF-8")), 256))), 256)
 
-    @F.pandas_udf("string")
-    def mac(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for payload in parts:
-            yield payload.map(lambda p: hmac.new(key, p.encode(), hashlib.sha256).hexdigest())
 
+def sign(memories: DataFrame, key: bytes, out: str = "signature") -> DataFrame:
+    """Adds the HMAC-SHA256 of id:category:title:content in hexadecimal."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    payload = F.concat_ws(":", empty("id"), empty("category"), empty("title"), empty("content"))
-    return memories.withColumn(out, mac(payload))
+    return memories.withColumn(out, hmac_sha256(key, F.concat_ws(":", empty("id"), empty("category"), empty("title"), empty("content"))))
 
 
 def verify(memories: DataFrame, key: bytes) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 from functools import reduce
+from time import perf_counter
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 
 from tidewell.config import SearchOptions
 from tidewell.functions.porter import stem, stems
-from tidewell.functions.scalar import cosine, days_between
+from tidewell.functions.scalar import cosine, days_between, let
 from tidewell.operators import graph
 from tidewell.sources.scratch import settled
 
@@ -65,6 +67,38 @@ def knn_batch(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], k: in
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def knn_join(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding", key: str = "doc_id", block: int = 2048) -> DataFrame:
+    """(query_id, key, score, rank): the k nearest documents of each row of ``queries`` (query_id, ``vector``).
+
+    Queries and documents are dealt into blocks; every block of queries meets every block of documents in one task, as a
+    matrix product that keeps k rows a query, so neither side goes through the driver and no task holds more than two blocks.
+    """
+    asked = queries.select(F.col("query_id"), F.col(vector).alias("v")).where("v is not null")
+    held = docs.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null")
+    n_asked, n_held = max(1, -(-asked.count() // block)), max(1, -(-held.count() // block))
+    deal = lambda df, name, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left = deal(asked, "query_id", "a", n_asked, "b", n_held).groupBy("a", "b")
+    right = deal(held, "key", "b", n_held, "a", n_asked).groupBy("a", "b")
+    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+
+    def unit(rows: pd.Series) -> np.ndarray:
+        found = np.stack(rows.to_numpy()).astype(np.float64)
+        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
+
+    def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(others):
+            return pd.DataFrame({"query_id": [], "key": [], "score": []})
+        scores = unit(some["v"]) @ unit(others["v"]).T
+        most = min(k, len(others))
+        floor = np.partition(scores, -most, axis=1)[:, -most][:, None]
+        i, j = np.nonzero(scores >= floor - 1e-12)
+        return pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "key": others["key"].to_numpy()[j], "score": scores[i, j]})
+
+    near = left.cogroup(right).applyInPandas(meet, f"query_id {kinds[0]}, key {kinds[1]}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("key", key)
+
+
 # ---- keywords
 
 
@@ -78,37 +112,90 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(regex.findall(r"[\p{L}\p{N}]+", query.lower())))
 
 
-def bm25(docs: DataFrame, query: str, k: int, content: str = "content", key: str = "doc_id", porter: bool = False) -> DataFrame:
-    """The k best documents (key, score) by BM25.
+def _stem_prefix(word: Column, size: int) -> Column:
+    return F.translate(F.substring(word, 1, size), "y", "i")
+
+
+def _with_counts(docs: DataFrame, terms: list[str], fields: Sequence[str], key: str, porter: bool) -> DataFrame:
+    """(key, dl, tf): the length of each document and how often it has each term. Tokens are made once.
+
+    Stems differ from their words behind the second letter only (but for y and i), so words that begin like none of the
+    terms are left out before any is stemmed.
+    """
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields])
+    if not porter:
+        asked = F.array(*[F.lit(t) for t in terms])
+        within = lambda t: F.filter(t, lambda x: F.array_contains(asked, x))
+    else:
+        sizes = {min(2, len(t)) for t in terms}
+        starts = {n: F.array(*[F.lit(t[:n].replace("y", "i")) for t in terms if min(2, len(t)) == n]) for n in sizes}
+        alike = lambda x: reduce(lambda a, b: a | b, [F.array_contains(starts[n], _stem_prefix(x, n)) for n in sorted(sizes)])
+        within = lambda t: F.filter(t, alike)
+    made = let(tokens(text), lambda t: F.struct(F.size(t).alias("dl"), within(t).alias("hits")))
+    counted = docs.select(key, made.alias("made_")).select(key, F.col("made_.dl").alias("dl"), F.col("made_.hits").alias("hits"))
+    if porter:
+        counted = counted.withColumn("hits", stems("hits"))
+    times = lambda term: F.size(F.filter("hits", lambda t: t == F.lit(term)))
+    return counted.select(key, "dl", F.array(*[times(t) for t in terms]).alias("tf"))
+
+
+def _bm25_score(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
+    idf = F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / avgdl))
+
 
-    Term frequencies of the query's terms are counted in the scan, so neither tokens nor postings are shuffled; corpus
-    statistics are one row.
+def bm25(docs: DataFrame, query: str, k: int, content: str | Sequence[str] = "content", key: str = "doc_id", porter: bool = False) -> DataFrame:
+    """The k best documents (key, score) by BM25 over one or more fields.
+
+    One scan counts the query's terms, so neither tokens nor postings are shuffled; what it found (a few numbers a document)
+    is settled, and the corpus statistics and the scores read that.
     """
     terms = query_terms(query)
     if porter:
         terms = list(dict.fromkeys(stem(t) for t in terms))
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = docs.select(key, tokens(F.coalesce(F.col(content), F.lit(""))).alias("tokens_"))
-    if porter:
-        counted = counted.withColumn("tokens_", stems("tokens_"))
-    asked = F.array(*[F.lit(t) for t in terms])
-    counted = counted.select(key, F.size("tokens_").alias("dl"), F.filter("tokens_", lambda t: F.array_contains(asked, t)).alias("hits_"))
-    times = lambda term: F.size(F.filter("hits_", lambda t: t == F.lit(term)))
-    counted = counted.select(key, "dl", *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    seen = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *seen)
-    joined = counted.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))])).crossJoin(F.broadcast(stats))
-
-    def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-
+    counted = settled(_with_counts(docs, terms, [content] if isinstance(content, str) else content, key, porter))
+    seen = F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]).alias("df")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), seen)
+    joined = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    part = lambda i: _bm25_score(F.get("tf", F.lit(i)), F.get("df", F.lit(i)), F.col("dl"), F.col("n"), F.col("avgdl"))
     score = reduce(lambda a, b: a + b, [part(i) for i in range(len(terms))])
     return joined.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+#: Buckets of terms in stored postings; a query reads only those of its terms.
+TERM_BUCKETS = 64
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def postings(docs: DataFrame, fields: Sequence[str] = ("doc_id", "content", "file_path"), key: str = "doc_id", porter: bool = True) -> DataFrame:
+    """(term, doc_id, tf, dl, bucket): an inverted index of documents. Distinct words are stemmed, not each occurrence."""
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields if c in docs.columns])
+    made = docs.select(key, tokens(text).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    counted = made.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    if porter:
+        words = counted.select("term").distinct().select("term", F.get(stems(F.array("term")), F.lit(0)).alias("stem"))
+        counted = counted.join(words, "term").groupBy(key, "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return counted.select("term", F.col(key).alias("doc_id"), F.col("tf").cast("long"), F.col("dl").cast("long"), term_bucket(F.col("term")).alias("bucket"))
+
+
+def bm25_index(index: DataFrame, n: int, avgdl: float, query: str, k: int, porter: bool = True) -> DataFrame:
+    """The k best documents (doc_id, score) by BM25 from stored postings of a corpus of n documents."""
+    terms = query_terms(query)
+    terms = list(dict.fromkeys(stem(t) for t in terms)) if porter else terms
+    if not terms or not n:
+        return index.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    buckets = sorted({zlib.crc32(t.encode()) % TERM_BUCKETS for t in terms})
+    met = index.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    df = met.groupBy("term").agg(F.count("*").alias("df"))
+    scored = met.join(F.broadcast(df), "term").withColumn("part", _bm25_score(F.col("tf"), F.col("df"), F.col("dl"), F.lit(float(n)), F.lit(float(avgdl))))
+    return scored.groupBy("doc_id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
 def keyword_layer_score(rank: Column) -> Column:
     """The score that a full-text rank gets in fusion."""
     return F.when(rank == 0, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + rank / 50)))
@@ -184,13 +271,18 @@ def excitability_boost(fused: DataFrame, docs: DataFrame, as_of: datetime, score
     return joined.withColumn("boosted", F.col(score) * (0.9 + 0.2 * F.col("effective")))
 
 
-def graph_boost(fused: DataFrame, edges: DataFrame, as_of: datetime, limit: int, score: str = "boosted", options: SearchOptions = SearchOptions()) -> DataFrame:
-    """Spreads a share of the best documents' scores over their co_retrieved edges; new documents fill up to 2 * limit."""
+def graph_boost(fused: DataFrame, edges: DataFrame, as_of: datetime, limit: int, score: str = "boosted", options: SearchOptions = SearchOptions(), docs: DataFrame | None = None) -> DataFrame:
+    """Spreads a share of the best documents' scores over their co_retrieved edges; new documents fill up to 2 * limit.
+
+    With ``docs`` (doc_id) only neighbours that are documents come in new.
+    """
     live = graph.both_ways(graph.live(edges.where("type = 'co_retrieved'"), as_of)).where("node != other")
     parents = fused.orderBy(F.desc(score), "doc_id").limit(options.boost_parents).select(F.col("doc_id").alias("node"), F.col(score).alias("parent"))
     given = live.join(F.broadcast(parents), "node")
     gain = F.col("parent") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight"))) * options.boost_factor
     gained = given.groupBy(F.col("other").alias("doc_id")).agg(F.sum(gain).alias("gain"))
+    if docs is not None:
+        gained = gained.join(docs.select("doc_id").unionByName(fused.select("doc_id")).distinct(), "doc_id", "left_semi")
     held = fused.select("doc_id", F.col(score).alias("old"))
     joined = held.join(gained, "doc_id", "full_outer")
     room = F.greatest(F.lit(0), F.lit(2 * limit) - F.count("old").over(Window.partitionBy()))
@@ -200,7 +292,10 @@ def graph_boost(fused: DataFrame, edges: DataFrame, as_of: datetime, limit: int,
 
 
 def mmr(candidates: DataFrame, limit: int, score: str = "score", balance: float = 0.7, group: str | None = None) -> DataFrame:
-    """Greedy choice of relevant and diverse rows: (group?, doc_id, position, relevance). Candidates are a few dozen a query."""
+    """Greedy choice of relevant and diverse rows: (group?, doc_id, position, relevance). Candidates are a few dozen a query.
+
+    If there are no more than ``limit``, nothing has to be chosen and they stay in order of score.
+    """
     kind = candidates.schema["doc_id"].dataType.simpleString()
     gkind = candidates.schema[group].dataType.simpleString() if group else None
 
@@ -209,7 +304,7 @@ def mmr(candidates: DataFrame, limit: int, score: str = "score", balance: float
         s = rows[score].to_numpy(dtype=float)
         relevance = (s - s.min()) / max(s.max() - s.min(), 1e-9)
         vectors = [np.asarray(v, dtype=float) if v is not None else None for v in rows["embedding"]]
-        chosen: list[int] = []
+        chosen: list[int] = list(range(len(rows))) if len(rows) <= limit else []
         nearest = np.zeros(len(rows))
         while len(chosen) < min(limit, len(rows)):
             value = balance * relevance - (1 - balance) * nearest
@@ -268,28 +363,44 @@ def hybrid_search(
     as_of: datetime,
     options: SearchOptions = SearchOptions(),
     scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None,
+    keywords: Callable[[str, int], DataFrame] | None = None,
+    stats: list[tuple[str, float, int]] | None = None,
 ) -> DataFrame:
     """(doc_id, position, score): vector, keyword, graph and metadata layers fused, boosted, spread and made diverse.
 
-    The keyword layer asks for the query's stems and those of the best vector hit's terms. A ``scorer`` reranks the chosen rows.
+    The keyword layer asks for the query's stems and those of the best vector hit's terms, in id, content and path; it searches
+    ``keywords`` (stored postings, as a function of query and size) or, without them, scans. A ``scorer`` reranks the chosen
+    rows. Each layer's name, milliseconds and number of candidates go into ``stats``.
     """
+    began = perf_counter()
+
+    def counted(name: str, hits: DataFrame) -> DataFrame:
+        nonlocal began
+        held = settled(hits)
+        if stats is not None:
+            stats.append((name, 1000 * (perf_counter() - began), held.count()))
+        began = perf_counter()
+        return held
+
     wide = options.limit * options.candidates
     lists, asked = [], query
     if options.vector:
-        near = settled(knn(vectors, vector, wide).join(docs.select("doc_id", "content"), "doc_id"))
+        near = counted("vector", ranked(knn(vectors, vector, wide).join(docs.select("doc_id", "content"), "doc_id"), 0, "content"))
         asked = expanded_query(query, near)
-        lists.append(ranked(near, 0, "content"))
+        lists.append(near)
     if options.keyword:
-        hits = ranked(settled(bm25(docs, asked, wide, porter=True)).join(docs.select("doc_id", "content"), "doc_id"), 1, "content")
-        lists.append(hits.withColumn("score", keyword_layer_score(-F.col("score"))))
+        fields = [c for c in ("doc_id", "content", "file_path") if c in docs.columns]
+        best = keywords(asked, wide) if keywords else bm25(docs, asked, wide, fields, porter=True)
+        hits = ranked(best.join(docs.select("doc_id", "content"), "doc_id"), 1, "content")
+        lists.append(counted("keyword", hits.withColumn("score", keyword_layer_score(-F.col("score")))))
     if options.graph:
-        lists.append(ranked(settled(graph.graph_search(query, nodes, edges, as_of)), 2, "content"))
+        lists.append(counted("graph", ranked(graph.graph_search(query, nodes, edges, as_of), 2, "content")))
     meta = metadata_layer(query, tags, xrefs)
-    lists.append(meta.select(F.lit(3).alias("list_id"), "rank", "doc_id", F.lit(None).cast("string").alias("content"), "score"))
+    lists.append(counted("metadata", meta.select(F.lit(3).alias("list_id"), "rank", "doc_id", F.lit(None).cast("string").alias("content"), "score")))
     fused = rrf(reduce(DataFrame.unionByName, lists), options.rrf_k)
     # a few dozen rows that several branches below read
     boosted = settled(excitability_boost(fused, docs, as_of))
-    spread = settled(graph_boost(boosted, edges, as_of, options.limit, options=options))
+    spread = settled(graph_boost(boosted, edges, as_of, options.limit, options=options, docs=docs))
     pool = spread.join(vectors.select("doc_id", "embedding"), "doc_id", "left")
     chosen = mmr(pool, options.limit, "spread", options.mmr_lambda)
     out = chosen.join(spread.select("doc_id", F.col("spread").alias("score")), "doc_id").select("doc_id", "position", "score")

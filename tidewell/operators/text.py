@@ -233,6 +233,17 @@ def chunk_markdown(files: DataFrame, path: str = "path", content: str = "content
     return files.select(path, content).mapInPandas(run, "path string, chunk_index long, section string, content string, doc_id string")
 
 
+def paragraph_chunks(df: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(key, chunk_index, content): the packed paragraphs of each text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(k, i, p) for k, c in zip(batch[key], batch[content], strict=True) for i, p in enumerate(paragraphs(c or ""))]
+            yield pd.DataFrame(made, columns=[key, "chunk_index", "content"])
+
+    return df.select(key, content).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, chunk_index long, content string")
+
+
 def sentence_chunks(df: DataFrame, key: str = "doc_id", content: str = "content", target: int = PARAGRAPH_TARGET) -> DataFrame:
     """(key, chunk_index, content): sentences packed greedily to ``target`` bytes, by a fold over the sentence array."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))

@@ -197,11 +197,25 @@ def excit_top_bottom(v: Views) -> DataFrame:
 # ---- memory
 
 
-@query("""SELECT id, LENGTH(content) >= 50 AND LENGTH(title) >= 10 AND LENGTH(topic) >= 5 AND importance BETWEEN 0 AND 1 AND NOT contains(lower(title || ' ' || topic || ' ' || content), 'act as') AS valid,
-    CAST((CASE WHEN LENGTH(content) < 50 THEN 1 ELSE 0 END) + (CASE WHEN LENGTH(title) < 10 THEN 1 ELSE 0 END) + (CASE WHEN LENGTH(topic) < 5 THEN 1 ELSE 0 END)
-       + (CASE WHEN contains(lower(title || ' ' || topic || ' ' || content), 'act as') THEN 1 ELSE 0 END) AS BIGINT) AS n_errors FROM v_memories""")
+def _injected(v: Views) -> DataFrame:
+    """All memories, and one more for each pattern of an injection."""
+    said = [(f"bad_{i}", "A perfectly plain title", "patterns", f"Some words before it, then {p.upper()} and some words after it.", 0.5) for i, p in enumerate(memory.INJECTION_PATTERNS)]
+    held = v("v_memories").select("id", "title", "topic", "content", "importance")
+    return held.unionByName(rows(v.spark, "id string, title string, topic string, content string, importance double", said))
+
+
+_PATTERNS = "[" + ", ".join(f"'{p}'" for p in memory.INJECTION_PATTERNS) + "]"
+
+
+@query(f"""
+    WITH p AS (SELECT UNNEST({_PATTERNS}) AS p, UNNEST(range({len(memory.INJECTION_PATTERNS)})) AS i),
+    m AS (SELECT id, title, topic, content, importance FROM v_memories
+      UNION ALL SELECT 'bad_' || CAST(i AS STRING), 'A perfectly plain title', 'patterns', 'Some words before it, then ' || upper(p) || ' and some words after it.', 0.5 FROM p),
+    e AS (SELECT id, (LENGTH(content) < 50)::INT + (LENGTH(title) < 10)::INT + (LENGTH(topic) < 5)::INT + (importance < 0 OR importance > 1)::INT
+      + (SELECT COUNT(*) FROM p WHERE contains(lower(title || ' ' || topic || ' ' || content), p.p)) AS n FROM m)
+    SELECT id, n = 0 AS valid, CAST(n AS BIGINT) AS n_errors FROM e""")
 def memory_validate(v: Views) -> DataFrame:
-    return memory.validate(v("v_memories")).select("id", "valid", F.size("errors").cast("long").alias("n_errors"))
+    return memory.validate(_injected(v)).select("id", "valid", F.size("errors").cast("long").alias("n_errors"))
 
 
 @query("""SELECT id, COALESCE(expires_at <= {as_of}, FALSE) AS is_expired,
@@ -215,10 +229,18 @@ def memory_prune(v: Views) -> DataFrame:
     return memory.prune_expired(v("v_memories"), AS_OF).groupBy("category").agg(F.count("*").alias("n"))
 
 
-# no SQL: DuckDB's levenshtein counts bytes, the operator characters; tests compare with brute force
-@query()
+def _plain_titles(v: Views) -> DataFrame:
+    # DuckDB's levenshtein counts bytes, the operator characters: other characters become one plain one, for both
+    return v("v_doc_memories").withColumn("title", F.regexp_replace("title", r"[^\x00-\x7F]", "?"))
+
+
+@query(r"""
+    WITH t AS (SELECT DISTINCT id, lower(regexp_replace(title, '[^\x00-\x7F]', '?', 'g')) AS title FROM v_doc_memories WHERE title <> ''),
+    u AS (SELECT DISTINCT title, LENGTH(title) AS n FROM t),
+    p AS (SELECT a.title AS a, b.title AS b, 1 - levenshtein(a.title, b.title) / CAST(GREATEST(a.n, b.n) AS DOUBLE) AS similarity FROM u a JOIN u b ON abs(a.n - b.n) <= 0.15 * GREATEST(a.n, b.n) + 1e-9 AND a.title <= b.title)
+    SELECT DISTINCT LEAST(x.id, y.id) AS id_a, GREATEST(x.id, y.id) AS id_b, ROUND(similarity, 6) AS similarity FROM p JOIN t x ON x.title = p.a JOIN t y ON y.title = p.b WHERE similarity >= 0.85 AND x.id <> y.id""")
 def memory_dedup(v: Views) -> DataFrame:
-    return memory.title_duplicates(v("v_doc_memories")).withColumns(r6("similarity"))
+    return memory.title_duplicates(_plain_titles(v)).withColumns(r6("similarity"))
 
 
 @query(r"""
@@ -231,7 +253,9 @@ def memory_contradictions(v: Views) -> DataFrame:
     return memory.content_pairs(v("v_doc_memories")).withColumns(r6("jaccard"))
 
 
-@query()
+@query(f"""
+    WITH m AS (SELECT id, sha256(from_hex('{'5c' * 64}') || from_hex(sha256(from_hex('{'36' * 64}') || encode(COALESCE(id, '') || ':' || COALESCE(category, '') || ':' || COALESCE(title, '') || ':' || COALESCE(content, ''))))) AS signature FROM v_memories)
+    SELECT id, signature, 'ok' AS status FROM m""")
 def memory_sign(v: Views) -> DataFrame:
     signed = memory.sign(v("v_memories"), b"\x00" * 32)
     return memory.signature_status(signed, b"\x00" * 32).select("id", "signature", "status")
@@ -291,14 +315,15 @@ def _notes(v: Views) -> DataFrame:
 
 
 NOTES_SQL = "(VALUES " + ", ".join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in NOTES) + ") t(id, content)"
+ALL_NOTES_SQL = f"(SELECT doc_id AS id, content FROM v_docs UNION ALL SELECT id, content FROM {NOTES_SQL}) notes"
 
 
-@query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)', 1), lambda y: lower(y)))) AS tag FROM {NOTES_SQL}) SELECT id, tag FROM x""")
+@query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)', 1), lambda y: lower(y)))) AS tag FROM {ALL_NOTES_SQL}) SELECT id, tag FROM x""")
 def doc_tags(v: Views) -> DataFrame:
     return _notes(v).select("id", F.explode(text.tags(F.col("content"))).alias("tag"))
 
 
-@query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\[\]]+)\]\]', 1), lambda y: trim(CASE WHEN contains(y, '|') THEN regexp_extract(y, '^[^|]*\|(.*)$', 1) ELSE y END)))) AS link FROM {NOTES_SQL})
+@query(rf"""WITH x AS (SELECT id, UNNEST(list_distinct(list_transform(regexp_extract_all(content, '\[\[([^\[\]]+)\]\]', 1), lambda y: trim(CASE WHEN contains(y, '|') THEN regexp_extract(y, '^[^|]*\|(.*)$', 1) ELSE y END)))) AS link FROM {ALL_NOTES_SQL})
     SELECT id, link FROM x WHERE link <> ''""")
 def wiki_links(v: Views) -> DataFrame:
     return _notes(v).select("id", F.explode(text.wiki_links(F.col("content"))).alias("link"))
@@ -311,9 +336,21 @@ def sentences(v: Views) -> DataFrame:
     return found.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"))
 
 
+@query(r"""
+    WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+    r AS (SELECT doc_id, s, 1 AS i, CAST(0 AS BIGINT) AS chunk_index, s[1] AS content FROM s WHERE len(s) > 0
+      UNION ALL SELECT doc_id, s, i + 1, CASE WHEN strlen(content) + 1 + strlen(s[i + 1]) <= 1500 THEN chunk_index ELSE chunk_index + 1 END,
+        CASE WHEN strlen(content) + 1 + strlen(s[i + 1]) <= 1500 THEN content || ' ' || s[i + 1] ELSE s[i + 1] END FROM r WHERE i < len(s)),
+    f AS (SELECT doc_id, chunk_index, max_by(content, i) AS content FROM r GROUP BY 1, 2)
+    SELECT doc_id, chunk_index, md5(content) AS content_md5, CAST(strlen(content) AS BIGINT) AS bytes FROM f""".replace("1500", str(text.PARAGRAPH_TARGET)))
+def sentence_chunks(v: Views) -> DataFrame:
+    found = text.sentence_chunks(v("documents"), "doc_id", "text")
+    return found.select("doc_id", "chunk_index", F.md5(F.col("content").cast("binary")).alias("content_md5"), F.octet_length("content").cast("long").alias("bytes"))
+
+
 @query()
 def paragraph_chunks(v: Views) -> DataFrame:
-    return text.sentence_chunks(v("documents"), "doc_id", "text")
+    return text.paragraph_chunks(v("documents"), "doc_id", "text")
 
 
 MARKDOWN = [
@@ -393,8 +430,8 @@ def knn_cosine(v: Views) -> DataFrame:
 @query("""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings d, embeddings q WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, ROUND(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def knn_batch_join(v: Views) -> DataFrame:
-    asked = [(r[0], list(r[1])) for r in v("embeddings").where("vec_id % 20 = 0").select("vec_id", "embedding").collect()]
-    return retrieval.knn_batch(v("embeddings"), asked, 5, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    asked = v("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.knn_join(asked, v("embeddings"), 5, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _BM25 = r"""
@@ -411,6 +448,15 @@ def bm25_topk(v: Views) -> DataFrame:
     return retrieval.bm25(v("documents"), QUERY_TEXT, 30, "text").withColumns(r6("score"))
 
 
+@query(f"WITH {_BM25.strip()} SELECT 'd' || CAST(doc_id AS STRING) AS doc_id, ROUND(score, 6) AS score FROM bm ORDER BY bm.score DESC, 'd' || CAST(doc_id AS STRING) LIMIT 30")
+def bm25_postings(v: Views) -> DataFrame:
+    """The same search from an inverted index, its terms not stemmed."""
+    docs = v("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    index = retrieval.postings(docs, ["text"], porter=False)
+    size = docs.select(F.size(retrieval.tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return retrieval.bm25_index(index, size[0], size[1] or 0.0, QUERY_TEXT, 30, porter=False).withColumns(r6("score"))
+
+
 @query()
 def bm25_porter(v: Views) -> DataFrame:
     return retrieval.bm25(v("documents"), "reading errors sting", 30, "text", porter=True).withColumns(r6("score"))
@@ -507,7 +553,17 @@ def graph_boost_fused(v: Views) -> DataFrame:
     return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 10).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
 
 
-@query()
+@query("""WITH RECURSIVE q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
+    c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) DESC, vec_id LIMIT 60),
+    n AS (SELECT vec_id, e, (s - MIN(s) OVER ()) / GREATEST(MAX(s) OVER () - MIN(s) OVER (), 1e-9) AS rel, ROW_NUMBER() OVER (ORDER BY s DESC, vec_id) AS place FROM c),
+    p AS (SELECT a.place AS a, b.place AS b, list_cosine_similarity(a.e, b.e) AS sim FROM n a, n b),
+    l AS (SELECT list(struct_pack(place := place, rel := rel) ORDER BY place) AS rels FROM n),
+    m AS (SELECT list(sims ORDER BY a) AS sims FROM (SELECT a, list(sim ORDER BY b) AS sims FROM p GROUP BY a) x),
+    r AS (SELECT 0 AS step, CAST([] AS BIGINT[]) AS chosen
+      UNION ALL SELECT step + 1, list_append(chosen, (list_sort(list_transform(list_filter(rels, lambda x: NOT list_contains(chosen, x.place)), lambda x: struct_pack(v := -(0.7 * x.rel - 0.3 * GREATEST(0.0, COALESCE(list_max(list_transform(chosen, lambda y: sims[x.place][y])), 0.0))), place := x.place)))[1]).place)
+      FROM r, l, m WHERE step < LEAST(10, len(rels)))
+    SELECT n.vec_id AS doc_id, CAST(x.position - 1 AS BIGINT) AS position, ROUND(n.rel, 6) AS relevance
+    FROM (SELECT UNNEST(chosen) AS place, generate_subscripts(chosen, 1) AS position FROM r WHERE step = (SELECT MAX(step) FROM r)) x JOIN n ON n.place = x.place""")
 def mmr_diversify(v: Views) -> DataFrame:
     near = retrieval.knn(v("embeddings"), _first_vector(v), 60, key="vec_id").join(v("embeddings").select("vec_id", "embedding"), "vec_id")
     return retrieval.mmr(near.withColumnRenamed("vec_id", "doc_id"), 10).withColumns(r6("relevance"))
@@ -541,9 +597,12 @@ def neighbors_depth2(v: Views) -> DataFrame:
     return graph.neighbors(v("v_edges"), _start(v), 2, AS_OF, 20)
 
 
-@query("WITH RECURSIVE " + _LIVE + """, r AS (SELECT 'src0::0' AS node, 'src0::0' AS path, CAST(0 AS BIGINT) AS d UNION ALL SELECT hop.other, r.path || '>' || hop.other, r.d + 1 FROM r JOIN hop ON hop.node = r.node
-      WHERE r.d < 2 AND NOT contains('>' || r.path || '>', '>' || hop.other || '>'))
-    SELECT d AS distance, path FROM r WHERE node = (SELECT MAX(id) FROM v_nodes) ORDER BY d, string_split(path, '>') LIMIT 1""")
+@query("WITH RECURSIVE " + _LIVE + """, last AS (SELECT MAX(id) AS id FROM v_nodes),
+    back AS (SELECT id AS node, CAST(0 AS BIGINT) AS d FROM last UNION SELECT hop.other, back.d + 1 FROM back JOIN hop ON hop.node = back.node WHERE back.d < 6),
+    far AS (SELECT node, MIN(d) AS d FROM back GROUP BY node),
+    r AS (SELECT node, node AS path, d FROM far WHERE node = 'src0::0'
+      UNION ALL SELECT far.node, r.path || '>' || far.node, far.d FROM r JOIN hop ON hop.node = r.node JOIN far ON far.node = hop.other AND far.d = r.d - 1)
+    SELECT CAST(len(string_split(path, '>')) - 1 AS BIGINT) AS distance, path FROM r WHERE d = 0 ORDER BY string_split(path, '>') LIMIT 1""")
 def shortest_path(v: Views) -> DataFrame:
     last = v("v_nodes").agg(F.max("id")).first()[0] or ""
     return graph.shortest_path(v("v_edges"), _start(v), last, AS_OF)
@@ -551,7 +610,7 @@ def shortest_path(v: Views) -> DataFrame:
 
 @query("""SELECT n.id, n.title, COUNT(DISTINCT e.id) AS connections FROM v_nodes n LEFT JOIN v_edges e ON e.source_id = n.id OR e.target_id = n.id GROUP BY n.id, n.title ORDER BY connections DESC, n.id LIMIT 10""")
 def hub_nodes(v: Views) -> DataFrame:
-    return graph.hubs(v("v_nodes"), v("v_edges"), 10)
+    return graph.hubs(v("v_nodes"), v("v_edges"), 10).select("id", "title", "connections")
 
 
 @query("""WITH f AS (SELECT id FROM v_nodes WHERE contains(lower(title), 'src1::1') ORDER BY id LIMIT 1)
@@ -574,8 +633,11 @@ def suggest(v: Views) -> DataFrame:
 @query("WITH " + _LIVE + """,
     f AS (SELECT DISTINCT id, title FROM ((SELECT id, title FROM v_nodes WHERE contains(lower(title), 'note') ORDER BY id LIMIT 10) UNION ALL (SELECT id, title FROM v_nodes WHERE contains(lower(title), 'src1::1') ORDER BY id LIMIT 10)) x),
     own AS (SELECT id, title AS content, 1 + 0.5 * (contains(lower(title), 'note')::INT + contains(lower(title), 'src1::1')::INT) AS score FROM f),
-    e AS (SELECT source_id AS node, target_id AS other, type, weight * confidence AS wc FROM live UNION ALL SELECT target_id, source_id, type, weight * confidence FROM live),
-    b AS (SELECT other AS id, MAX(wc * CASE type WHEN 'references' THEN 1.5 WHEN 'mentions' THEN 1.2 WHEN 'similar_to' THEN 1.1 ELSE 0.8 END) AS base FROM e JOIN f ON f.id = e.node GROUP BY other),
+    near AS (SELECT f.id AS start, hop.other AS node FROM f JOIN hop ON hop.node = f.id UNION SELECT f.id, h2.other FROM f JOIN hop h1 ON h1.node = f.id JOIN hop h2 ON h2.node = h1.other),
+    ends AS (SELECT source_id AS node, id, type, weight, confidence FROM live UNION SELECT target_id, id, type, weight, confidence FROM live),
+    met AS (SELECT near.start, ends.*, ROW_NUMBER() OVER (PARTITION BY near.start ORDER BY ends.weight DESC, ends.node, ends.id) AS place
+      FROM near JOIN ends ON ends.node = near.node JOIN v_nodes n ON n.id = near.node WHERE near.node <> near.start),
+    b AS (SELECT node AS id, MAX(weight * confidence * CASE type WHEN 'references' THEN 1.5 WHEN 'mentions' THEN 1.2 WHEN 'similar_to' THEN 1.1 ELSE 0.8 END) AS base FROM met WHERE place <= 20 GROUP BY node),
     led AS (SELECT n.id, n.title AS content, base * (1 + 0.8 * (contains(lower(n.title), 'note')::INT + contains(lower(n.title), 'src1::1')::INT)) AS score FROM b JOIN v_nodes n ON n.id = b.id),
     u AS (SELECT * FROM own UNION ALL SELECT * FROM led)
     SELECT 'graph:' || id AS doc_id, ROUND(MAX(score), 6) AS score FROM u WHERE strlen(content) >= 20 GROUP BY id ORDER BY MAX(score) DESC, 'graph:' || id LIMIT 20""")
@@ -583,7 +645,12 @@ def graph_search(v: Views) -> DataFrame:
     return graph.graph_search("note src1::1", v("v_nodes"), v("v_edges"), AS_OF).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("WITH RECURSIVE " + _LIVE + """, f AS (SELECT id FROM v_nodes WHERE contains(lower(title), 'src1::1') ORDER BY id LIMIT 1),
+    r AS (SELECT id AS node, 0 AS d FROM f UNION SELECT hop.other, r.d + 1 FROM r JOIN hop ON hop.node = r.node WHERE r.d < 2),
+    far AS (SELECT node, MIN(d) AS d FROM r GROUP BY node),
+    e AS (SELECT source_id AS a, target_id AS b, type, weight, id FROM live UNION ALL SELECT target_id, source_id, type, weight, id FROM live),
+    k AS (SELECT x.node, e.type, ROW_NUMBER() OVER (PARTITION BY x.node ORDER BY e.weight DESC, e.id) AS place FROM far x JOIN e ON e.b = x.node JOIN far y ON y.node = e.a AND y.d = x.d - 1 WHERE x.d > 0)
+    SELECT type, COUNT(*) AS n, string_agg(node, ',' ORDER BY node) AS nodes FROM k WHERE place = 1 GROUP BY type""")
 def find_connections(v: Views) -> DataFrame:
     return graph.connections(v("v_nodes"), v("v_edges"), "src1::1", 2, AS_OF).select("type", "n", F.array_join("nodes", ",").alias("nodes"))
 
@@ -620,7 +687,11 @@ def prune_edges_filter(v: Views) -> DataFrame:
     return graph.prune_by_rank(v("v_edges"), 0.2, 5).select("id", "source_id", "target_id", "weight")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY weight DESC, id) AS i FROM v_edges WHERE weight >= 0.2),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS kept
+      UNION ALL SELECT o.i, CASE WHEN free THEN list_concat(used, [source_id, target_id]) ELSE used END, CASE WHEN free THEN id END
+      FROM (SELECT o.i, o.id, o.source_id, o.target_id, r.used, len(list_filter(r.used, lambda x: x = o.source_id)) < 5 AND len(list_filter(r.used, lambda x: x = o.target_id)) < 5 AS free FROM r JOIN o ON o.i = r.i + 1) o)
+    SELECT e.id, e.source_id, e.target_id, e.weight FROM v_edges e JOIN r ON r.kept = e.id""")
 def prune_edges_greedy(v: Views) -> DataFrame:
     return graph.prune_greedy(v("v_edges"), 0.2, 5).select("id", "source_id", "target_id", "weight")
 
@@ -668,6 +739,23 @@ def semantic_edges(v: Views) -> DataFrame:
     return graph.semantic_edges(v("embeddings"), 0.25, key="vec_id").withColumns(r6("weight")).distinct()
 
 
+@query()
+def semantic_capped(v: Views) -> DataFrame:
+    found = graph.semantic_capped(graph.semantic_edges(v("embeddings"), 0.25, key="vec_id"))
+    return found.withColumns(r6("weight"))
+
+
+@query("""
+    WITH n AS (SELECT doc_id, embedding FROM v_vectors WHERE vec_id % 20 = 0),
+    s AS (SELECT n.doc_id AS source_id, d.doc_id AS target_id, list_cosine_similarity(CAST(n.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS w FROM n JOIN v_vectors d ON d.doc_id <> n.doc_id),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY w DESC, target_id) AS r FROM s)
+    SELECT source_id, target_id, ROUND(w, 6) AS weight FROM r JOIN v_docs d ON d.doc_id = r.target_id WHERE r <= 5 AND d.excitability > 0.6""")
+def allocation(v: Views) -> DataFrame:
+    docs = v("v_vectors").join(v("v_docs").select("doc_id", "excitability"), "doc_id", "left")
+    new = v("v_vectors").where("vec_id % 20 = 0")
+    return graph.allocation_edges(new, docs).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+
+
 # ---- streaming
 
 
