@@ -68,6 +68,9 @@ class GraphOptions:
     entity_frequency: int = 2
     topics: int = 10
     semantic: float = 0.7
+    topic_notes: int = 3
+    allocation_k: int = 5
+    allocation_above: float = 0.6
 
 
 @dataclass(frozen=True)

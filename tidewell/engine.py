@@ -5,17 +5,22 @@ Methods give DataFrames where they give rows. Time is an argument everywhere.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import cached_property
+from time import perf_counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.config import Options
-from tidewell.functions.embed import embed, hashing_embedder
+from tidewell.functions.embed import checked_dimension, embed_cached, hashing_embedder
 from tidewell.operators import graph, logs, memory, retrieval, text
 from tidewell.sources import files
 from tidewell.sources.catalog import Catalog
+from tidewell.sources.config import PRIORITIES, Source
+from tidewell.sources.scratch import settled
 
 PHASES = ("reindex", "strengthen", "reorganize", "prune")
 
@@ -36,31 +41,79 @@ class Engine:
 
     def index(self, docs: DataFrame, now: datetime) -> DataFrame:
         """Adds or replaces documents (doc_id, content, file_path?, metadata?); their lifecycle stays. Tags and links follow."""
-        made = embed(docs, make=self.embedder).withColumns({"indexed_at": F.lit(now), "created": F.lit(now), "excitability": F.lit(0.5), "access_count": F.lit(0).cast("long")})
+        docs = settled(docs)
+        vectors, fresh = embed_cached(docs, self.store.read("embedding_cache"), make=self.embedder)
+        if not fresh.isEmpty():
+            self.store.append("embedding_cache", fresh)
+        made = checked_dimension(vectors, self.dimensions).withColumns({"indexed_at": F.lit(now), "created": F.lit(now), "excitability": F.lit(0.5), "access_count": F.lit(0).cast("long")})
         out = self.store.upsert("documents", made, "doc_id", keep=("created", "excitability", "access_count", "last_accessed"))
         ids = docs.select("doc_id")
+        index = retrieval.postings(docs)
+        lengths = index.groupBy("doc_id").agg(F.max("dl").alias("dl"))
         tags = docs.select("doc_id", F.explode(text.tags(F.col("content"))).alias("tag"))
         links = docs.select("doc_id", F.lit("link").alias("ref_type"), F.explode(text.wiki_links(F.col("content"))).alias("ref_target"))
-        for table, rows in (("document_tags", tags), ("cross_refs", links)):
+        for table, rows in (("document_tags", tags), ("cross_refs", links), ("postings", index), ("document_lengths", lengths)):
             self.store.write(table, self.store.read(table).join(ids, "doc_id", "left_anti").unionByName(rows))
         return out
 
-    def index_path(self, root: str, now: datetime, source: str | None = None, prune: bool = True, extensions: tuple[str, ...] = files.CLI) -> dict[str, int]:
-        """Indexes the new and changed files under a folder and drops the documents of those that are gone."""
+    @cached_property
+    def dimensions(self) -> int:
+        return len(self.embedder()([""])[0])
+
+    def index_chunks(self, root: str, now: datetime, extensions: tuple[str, ...] = files.MARKDOWN) -> dict[str, int]:
+        """Indexes the sections of the Markdown files that the file cache doesn't have as they are; those of a changed file go first."""
+        disk = files.scan(self.spark, root, extensions).withColumnRenamed("path", "file_path")
+        todo = settled(files.needs_update(self.store.read("file_cache"), disk.withColumn("cache_key", F.col("file_path"))))
+        front = text.frontmatter(todo)
+        chunks = text.chunk_markdown(todo, "file_path").withColumnRenamed("file_path", "path")
+        meta = front.select(F.col("file_path").alias("path"), F.col("frontmatter").alias("metadata"), text.frontmatter_tags(F.col("frontmatter")).alias("tags"))
+        made = settled(chunks.join(meta, "path").select("doc_id", "content", F.col("path").alias("file_path"), "metadata", "tags"))
+        self.forget_files(todo.select("file_path"))
+        self.index(made.drop("tags"), now)
+        tags = made.select("doc_id", F.explode("tags").alias("tag"))
+        self.store.insert_new("document_tags", tags, ["doc_id", "tag"])
+        seen = todo.select("cache_key", F.col("mtime").alias("last_modified"), F.lit(root).alias("source_name"))
+        self.store.upsert("file_cache", seen, "cache_key")
+        return {"files": todo.count(), "chunks": made.count(), "skipped": disk.count() - todo.count()}
+
+    def forget_files(self, paths: DataFrame) -> None:
+        """Removes all documents of the files (file_path)."""
+        held = self.store.read("documents").join(paths.select("file_path").distinct(), "file_path", "left_semi").select("doc_id")
+        held = settled(held)
+        if not held.isEmpty():
+            self.forget_documents(held)
+
+    def index_path(self, root: str, now: datetime, source: str | None = None, prune: bool = True, extensions: tuple[str, ...] = files.CLI, dry_run: bool = False) -> dict[str, int]:
+        """Indexes the new and changed files under a folder and drops the documents of those that are gone; a dry run counts."""
         disk = files.scan(self.spark, root, extensions, 50, source)
         own = files.under(self.store.read("documents"), f"{source}::", "doc_id") if source else self.store.read("documents")
         held = own.where("file_path is not null").select("doc_id", F.coalesce(F.unix_micros("indexed_at") / 1e6, F.lit(0.0)).alias("indexed"))
         changes = files.delta(disk, held).cache()
         counts = files.reindex_counts(changes).first().asDict()
+        if dry_run:
+            changes.unpersist()
+            return counts
         todo = disk.join(changes.where("state in ('new', 'changed')"), "doc_id", "left_semi")
         self.index(todo.select("doc_id", "content", F.col("path").alias("file_path")), now)
+        if counts["added"]:
+            self.allocate(settled(changes.where("state = 'new'").select("doc_id")))
         if prune and counts["pruned"]:
             self.forget_documents(changes.where("state = 'deleted'").select("doc_id"))
         changes.unpersist()
         return counts
 
+    def allocate(self, ids: DataFrame) -> None:
+        """Edges from new documents (doc_id) to the exciting ones among their nearest."""
+        docs, o = self.store.read("documents").select("doc_id", "embedding", "excitability"), self.options.graph
+        made = graph.allocation_edges(docs.join(ids, "doc_id", "left_semi"), docs, o.allocation_above, o.allocation_k)
+        made = settled(made.withColumn("id", F.sha2(F.concat_ws("::", "type", "source_id", "target_id"), 256)))
+        if not made.isEmpty():
+            ends = made.select(F.col("source_id").alias("id")).unionByName(made.select(F.col("target_id").alias("id")))
+            self.store.insert_new("nodes", ends.select("id", F.lit("document").alias("type"), F.col("id").alias("title")), "id")
+            self.store.upsert("edges", made, "id")
+
     def forget_documents(self, ids: DataFrame) -> None:
-        for table in ("documents", "document_tags", "cross_refs"):
+        for table in ("documents", "document_tags", "cross_refs", "postings", "document_lengths"):
             self.store.delete(table, ids, "doc_id")
 
     def build_graph(self, now: datetime) -> dict[str, int]:
@@ -69,8 +122,8 @@ class Engine:
         docs = self.store.read("documents")
         notes = docs.select(F.col("doc_id").alias("id"), F.lit("note").alias("type"), text.title_of(F.coalesce("file_path", "doc_id")).alias("title"), "content", "embedding")
         tag_nodes, explicit = graph.explicit_edges(notes)
-        entities, topics = graph.entity_mentions(notes, o.entity_frequency), graph.topic_clusters(notes)
-        near = graph.semantic_edges(notes, o.semantic, o.per_node)
+        entities, topics = graph.entity_mentions(notes, o.entity_frequency), graph.topic_clusters(notes, least_notes=o.topic_notes)
+        near = graph.semantic_capped(graph.semantic_edges(notes, o.semantic, o.per_node), o.per_node)
         dated = docs.select(F.col("doc_id").alias("id"), graph.date_of(F.coalesce("file_path", "doc_id"), F.col("metadata")).alias("date")).where("date is not null")
         dates = graph.temporal_edges(dated, o.temporal_days, o.temporal_edges, o.per_node)
 
@@ -93,12 +146,17 @@ class Engine:
 
     # ---- search
 
-    def search(self, query: str, now: datetime, record: bool = False, limit: int | None = None) -> DataFrame:
+    def keywords(self, query: str, k: int) -> DataFrame:
+        """The k best documents by BM25 from the stored postings."""
+        corpus = self.store.read("document_lengths").agg(F.count("*"), F.avg("dl")).first()
+        return retrieval.bm25_index(self.store.read("postings"), corpus[0], corpus[1] or 0.0, query, k)
+
+    def search(self, query: str, now: datetime, record: bool = False, limit: int | None = None, stats: list | None = None) -> DataFrame:
         """(doc_id, position, score, content) of the layered search; ``record`` logs the hits and the pairs found together."""
         options = self.options.search if limit is None else type(self.options.search)(**{**self.options.search.__dict__, "limit": limit})
         docs, read = self.store.read("documents"), self.store.read
         vector = np.asarray(self.embedder()([query])[0], dtype=float).tolist()
-        found = retrieval.hybrid_search(query, vector, docs, docs.where("embedding is not null"), read("document_tags"), read("cross_refs"), read("nodes"), read("edges"), now, options, self.scorer)
+        found = retrieval.hybrid_search(query, vector, docs, docs.where("embedding is not null"), read("document_tags"), read("cross_refs"), read("nodes"), read("edges"), now, options, self.scorer, self.keywords, stats)
         found = found.join(docs.select("doc_id", "content"), "doc_id", "left").orderBy("position")
         if record:
             found = found.cache()
@@ -110,57 +168,107 @@ class Engine:
         self.store.append("document_access", hits)
         top = results.withColumn("batch", F.lit(0))
         self.store.append("co_retrieval", logs.feedback_pairs(top, ["batch"], ["position"]).select("doc_id_a", "doc_id_b", F.lit(query).alias("query"), F.lit(now).alias("ts")))
-        self.store.write("documents", logs.with_accesses(self.store.read("documents"), hits))
+        # counted in a log of their own, which reads of documents add up; no document is rewritten by a search
+        counted = hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+        self.store.append("document_counters", counted)
+
+    def suggest(self, anchor: str, now: datetime, limit: int = 5) -> DataFrame:
+        """Documents often found together with a document, or with the best hit of a search for ``anchor``."""
+        docs = self.store.read("documents")
+        if docs.where(F.col("doc_id") == anchor).isEmpty():
+            best = self.search(anchor, now, limit=1).first()
+            anchor = best["doc_id"] if best else anchor
+        return graph.suggest(self.store.read("edges"), docs, anchor, now, limit)
 
-    def suggest(self, doc_id: str, now: datetime, limit: int = 5) -> DataFrame:
-        return graph.suggest(self.store.read("edges"), self.store.read("documents"), doc_id, now, limit)
+    def invalidate_edges(self, ids: list[str], now: datetime) -> None:
+        self.store.write("edges", graph.invalidate(self.store.read("edges"), self._rows("id string", [(i,) for i in ids]), now))
+
+    def connections(self, title: str, now: datetime, depth: int = 2) -> DataFrame:
+        nodes = self.store.read("nodes")
+        if nodes.where(F.contains(F.lower("title"), F.lit(title.lower()))).isEmpty():
+            raise NotFound(title)
+        return graph.connections(nodes, self.store.read("edges"), title, depth, now)
 
     # ---- consolidation
 
-    def consolidate(self, now: datetime, phases: tuple[str, ...] = PHASES, sources: dict[str, tuple[str, str]] | None = None, dry_run: bool = False) -> dict[str, int]:
-        """Runs the phases and logs the run; ``sources``: name -> (folder, priority). A dry run only counts."""
-        o, read, write = self.options, self.store.read, (lambda *_: None) if dry_run else self.store.write
-        cutoff = logs.last_run(read("consolidation_log"))
-        stats: dict[str, int] = {}
-        if "reindex" in phases and not dry_run:
-            order = {"high": 0, "medium": 1, "low": 2}
-            for name, (folder, _) in sorted((sources or {}).items(), key=lambda x: order.get(x[1][1], 9)):
-                stats[f"reindexed {name}"] = self.index_path(folder, now, name)["reindexed"]
-        if "strengthen" in phases:
-            docs, access = read("documents"), logs.since(read("document_access"), cutoff)
-            boost = logs.strengthen_boost(docs, access, o.lifecycle).select("doc_id", "new_excitability")
-            fade = logs.strengthen_decay(docs, access, now, o.lifecycle).select("doc_id", "new_excitability")
-            stats |= {"strengthened": boost.count(), "decayed": fade.count()}
+    def consolidate(self, now: datetime, phases: tuple[str, ...] = PHASES, sources: Sequence[Source] = (), dry_run: bool = False) -> dict:
+        """Runs the phases and logs the run: a row at its start, which its end replaces. A dry run only counts.
+
+        A source or a phase that fails doesn't stop the others; what went wrong is under "errors".
+        """
+        began, stats, errors = perf_counter(), {}, {}
+        runs = self.store.read("consolidation_log")
+        cutoff, ident = logs.last_run(runs), (runs.agg(F.max("id")).first()[0] or 0) + 1
+        row = self.spark.range(1).select(F.lit(ident).cast("long").alias("id"), F.lit(now).alias("started_at"))
+        if not dry_run:
+            self.store.append("consolidation_log", row)
+
+        def tried(name: str, work) -> None:
+            try:
+                stats.update(work())
+            except Exception as error:  # noqa: BLE001  whatever a source or a phase raises
+                errors[name] = f"{type(error).__name__}: {error}"[:500]
+
+        order = {p: i for i, p in enumerate(PRIORITIES)}
+        if "reindex" in phases:
+            for source in sorted(sources, key=lambda x: order.get(x.priority, 9)):
+                tried(f"reindex {source.name}", lambda source=source: {f"reindexed {source.name}": self.index_path(source.path, now, source.name, dry_run=dry_run)["reindexed"]})
+        for name, phase in (("strengthen", self._strengthen), ("reorganize", self._reorganize), ("prune", self._prune)):
+            if name in phases:
+                tried(name, lambda phase=phase: phase(now, cutoff, sources, dry_run))
+        if not dry_run:
+            counted = {k: v for k, v in stats.items() if k in ("strengthened", "decayed", "reinforced", "faded", "flagged", "removed")}
+            took = perf_counter() - began
+            done = row.select("*", F.lit(now + timedelta(seconds=took)).alias("finished_at"), F.lit(took).alias("duration"), *[F.lit(v).cast("long").alias(k) for k, v in counted.items()])
+            self.store.upsert("consolidation_log", done, "id")
+        return stats | ({"errors": errors} if errors else {})
+
+    def _strengthen(self, now: datetime, cutoff: datetime | None, sources: Sequence[Source], dry_run: bool) -> dict[str, int]:
+        o, docs = self.options, settled(self.store.read("documents"))
+        access = logs.since(self.store.read("document_access"), cutoff)
+        boost = logs.strengthen_boost(docs, access, o.lifecycle).select("doc_id", "new_excitability")
+        fade = logs.strengthen_decay(docs, access, now, o.lifecycle).select("doc_id", "new_excitability")
+        stats = {"strengthened": boost.count(), "decayed": fade.count()}
+        if not dry_run:
             new = docs.join(boost.unionByName(fade), "doc_id", "left").withColumn("excitability", F.coalesce("new_excitability", "excitability"))
-            write("documents", new.drop("new_excitability"))
-        if "reorganize" in phases:
-            pairs, edges = read("co_retrieval"), read("edges")
-            made = logs.reinforce(logs.since(pairs, cutoff, inclusive=False), edges, o.co_retrieval)
-            rows = made.select("id", "source_id", "target_id", F.lit("co_retrieved").alias("type"), "weight", "confidence")
-            stats["reinforced"] = rows.count()
-            if not dry_run:
-                ends = rows.select(F.col("source_id").alias("id")).unionByName(rows.select(F.col("target_id").alias("id")))
-                self.store.insert_new("nodes", ends.select("id", F.lit("document").alias("type"), F.col("id").alias("title")), "id")
-                edges = self.store.upsert("edges", rows, "id")
-            faded = logs.fade_edges(edges, pairs, now, o.co_retrieval).select(F.col("id"), "removed", "new_weight")
-            stats["faded"] = faded.count()
-            joined = edges.join(faded, "id", "left").withColumns({"weight": F.coalesce("new_weight", "weight"), "valid_to": F.when(F.col("removed"), F.lit(now)).otherwise(F.col("valid_to"))})
-            write("edges", joined.drop("removed", "new_weight"))
-        if "prune" in phases:
-            priorities = self._rows("source string, priority string", [(n, p) for n, (_, p) in (sources or {}).items()])
-            stale = logs.prune_stale(read("documents"), priorities, now, o.prune)
-            stats |= {"flagged": stale.where("action = 'flag'").count(), "removed": stale.where("action = 'remove'").count(), "misaligned": logs.prune_misaligned(read("documents"), read("document_access"), o.prune).count()}
-            if stats["removed"] and not dry_run:
-                self.forget_documents(stale.where("action = 'remove'").select("doc_id"))
-            for table in ("document_access", "co_retrieval"):
-                write(table, logs.retain(read(table), now, o.prune))
+            self.store.write("documents", new.drop("new_excitability"))
+        return stats
+
+    def _reorganize(self, now: datetime, cutoff: datetime | None, sources: Sequence[Source], dry_run: bool) -> dict[str, int]:
+        o, pairs, edges = self.options, self.store.read("co_retrieval"), self.store.read("edges")
+        made = logs.reinforce(logs.since(pairs, cutoff, inclusive=False), edges, o.co_retrieval)
+        rows = settled(made.select("id", "source_id", "target_id", F.lit("co_retrieved").alias("type"), "weight", "confidence"))
+        stats = {"reinforced": rows.count()}
+        if not dry_run:
+            ends = rows.select(F.col("source_id").alias("id")).unionByName(rows.select(F.col("target_id").alias("id")))
+            self.store.insert_new("nodes", ends.select("id", F.lit("document").alias("type"), F.col("id").alias("title")), "id")
+            edges = self.store.upsert("edges", rows, "id")
+        faded = logs.fade_edges(edges, pairs, now, o.co_retrieval).select(F.col("id"), "removed", "new_weight")
+        stats["faded"] = faded.count()
         if not dry_run:
-            runs = read("consolidation_log")
-            row = {k: v for k, v in stats.items() if k in ("strengthened", "decayed", "reinforced", "faded", "flagged", "removed")}
-            new = self.spark.range(1).select((F.lit(runs.count()) + 1).alias("id"), F.lit(now).alias("started_at"), F.lit(now).alias("finished_at"), F.lit(0.0).alias("duration"), *[F.lit(v).cast("long").alias(k) for k, v in row.items()])
-            self.store.append("consolidation_log", new)
+            joined = edges.join(faded, "id", "left").withColumns({"weight": F.coalesce("new_weight", "weight"), "valid_to": F.when(F.col("removed"), F.lit(now)).otherwise(F.col("valid_to"))})
+            self.store.write("edges", joined.drop("removed", "new_weight"))
         return stats
 
+    def _prune(self, now: datetime, cutoff: datetime | None, sources: Sequence[Source], dry_run: bool) -> dict[str, int]:
+        o = self.options
+        stale, misaligned = self.prune_candidates(now, sources)
+        stale = settled(stale)
+        stats = {"flagged": stale.where("action = 'flag'").count(), "removed": stale.where("action = 'remove'").count(), "misaligned": misaligned.count()}
+        if dry_run:
+            return stats
+        if stats["removed"]:
+            self.forget_documents(stale.where("action = 'remove'").select("doc_id"))
+        for table in ("document_access", "co_retrieval"):
+            self.store.write(table, logs.retain(self.store.read(table), now, o.prune))
+        return stats
+
+    def prune_candidates(self, now: datetime, sources: Sequence[Source] = ()) -> tuple[DataFrame, DataFrame]:
+        """(stale documents with what is to be done, misaligned documents); sinks.prune_report writes them down."""
+        priorities = self._rows("source string, priority string", [(s.name, s.priority) for s in sources])
+        docs = self.store.read("documents")
+        return logs.prune_stale(docs, priorities, now, self.options.prune), logs.prune_misaligned(docs, self.store.read("document_access"), self.options.prune)
+
     def history(self, n: int = 20) -> DataFrame:
         return logs.run_history(self.store.read("consolidation_log"), n)
 
@@ -178,21 +286,73 @@ class Engine:
 
     # ---- memories
 
-    def remember(self, content: str, category: str, now: datetime, importance: float = 0.5, ttl_hours: int | None = None) -> str:
-        """Checks, signs, stages and approves a memory and indexes it; its id."""
-        made = memory.remembered(self._rows("content string, category string, importance double", [(content, category, importance)]), now)
+    def _made(self, content: str, category: str, now: datetime, importance: float, ttl_hours: int | None, strict: bool, title: int) -> DataFrame:
+        made = memory.remembered(self._rows("content string, category string, importance double", [(content, category, importance)]), now, strict, title)
         made = made.withColumn("abstract_text", F.substring("content", 1, 200))
         if ttl_hours is not None:
             made = memory.with_ttl(made, ttl_hours, now)
-        signed = memory.validate(memory.sign(made, self.store.signing_key)).cache()
-        row = signed.first()
+        return settled(memory.validate(memory.sign(made, self.store.signing_key)))
+
+    def stage(self, content: str, category: str, now: datetime, importance: float = 0.5, ttl_hours: int | None = None, strict: bool = True, title: int = 80) -> str:
+        """Checks and signs a memory and puts it up for review; its id."""
+        made = self._made(content, category, now, importance, ttl_hours, strict, title)
+        row = made.first()
         if row["category"] is None or row["errors"]:
             raise ValueError("; ".join(row["errors"]) or f"unknown category {category}")
-        self.store.upsert("memories", signed, "id")
-        self.index(memory.as_document(signed), now)
-        signed.unpersist()
+        self.store.upsert("staged_memories", made.withColumns({"review_status": F.lit("pending"), "staged_at": F.lit(now)}), "id")
         return row["id"]
 
+    def staged(self) -> DataFrame:
+        return self.store.read("staged_memories").where("review_status = 'pending'").orderBy("staged_at", "id")
+
+    def _reviewed(self, ident: str, approve: bool, notes: str | None) -> DataFrame:
+        held = settled(self.store.read("staged_memories"))
+        if held.where((F.col("id") == ident) & (F.col("review_status") == "pending")).isEmpty():
+            raise NotFound(ident)
+        decision = self._rows("id string, approve boolean, notes string", [(ident, approve, notes)])
+        promoted, left = memory.review(held, decision)
+        promoted = settled(promoted.where(F.col("id") == ident))
+        self.store.write("staged_memories", left)
+        return promoted
+
+    def approve(self, ident: str, now: datetime, notes: str | None = None) -> None:
+        """A staged memory becomes a memory and a document."""
+        promoted = self._reviewed(ident, True, notes)
+        self.store.upsert("memories", promoted, "id")
+        self.index(memory.as_document(promoted), now)
+
+    def reject(self, ident: str, notes: str | None = None) -> None:
+        self._reviewed(ident, False, notes)
+
+    def remember(self, content: str, category: str, now: datetime, importance: float = 0.5, ttl_hours: int | None = None, strict: bool = True, title: int = 80) -> str:
+        """Checks, signs, stages and approves a memory and indexes it; its id. Its title is the first line, ``title`` characters."""
+        ident = self.stage(content, category, now, importance, ttl_hours, strict, title)
+        self.approve(ident, now)
+        return ident
+
+    def accessed(self, ident: str, kind: str, now: datetime) -> None:
+        self.store.append("memory_access", self._rows("memory_id string, access_type string, ts timestamp", [(ident, kind, now)]))
+
+    def log_event(self, kind: str, now: datetime, target: str | None = None, query: str | None = None, metadata: str | None = None) -> None:
+        self.store.append("events", self._rows("event_type string, target_id string, query string, metadata string, ts timestamp", [(kind, target, query, metadata, now)]))
+
+    def memory(self, ident: str) -> dict:
+        """A memory with the status of its signature."""
+        row = self.verified().where(F.col("id") == ident).first()
+        if row is None:
+            raise NotFound(ident)
+        return row.asDict()
+
+    def supersede(self, ident: str, by: str) -> None:
+        held = settled(self.store.read("memories"))
+        if held.where(F.col("id").isin(ident, by)).count() < 2:
+            raise NotFound(ident)
+        self.store.write("memories", memory.supersede(held, self._rows("id string, superseded_by string", [(ident, by)])))
+
+    def duplicates_of(self, content: str, title: str) -> DataFrame:
+        """Memories whose title is nearly that of a new one (id_a "new", id_b, similarity)."""
+        return memory.title_duplicates(self._rows("id string, title string, content string", [("new", title, content)]), self.store.read("memories"))
+
     def memories(self, n: int = 20) -> DataFrame:
         return memory.latest(self.store.read("memories"), n)
 
@@ -200,11 +360,12 @@ class Engine:
         return memory.signature_status(self.store.read("memories"), self.store.signing_key)
 
     def update_memory(self, ident: str, now: datetime, content: str | None = None, importance: float | None = None) -> bool:
-        held = self.store.read("memories")
-        if held.where(F.col("id") == ident).isEmpty():
+        held = settled(self.store.read("memories").where(F.col("id") == ident))
+        if held.isEmpty():
             return False
         changed = memory.update(held, self._rows("id string, content string, importance double", [(ident, content, importance)]), now)
-        self.store.write("memories", memory.sign(changed, self.store.signing_key))
+        # only this memory is signed anew: another that was tampered with must stay so
+        self.store.upsert("memories", settled(memory.sign(changed, self.store.signing_key)), "id")
         self.index(memory.as_document(self.store.read("memories").where(F.col("id") == ident)), now)
         return True
 

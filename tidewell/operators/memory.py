@@ -187,7 +187,7 @@ def prune_expired(memories: DataFrame, as_of: datetime) -> DataFrame:
 def supersede(memories: DataFrame, by: DataFrame) -> DataFrame:
     """Marks memories that ``by`` (id, superseded_by) names, with a tag."""
     joined = memories.drop("superseded_by").join(by.select("id", "superseded_by"), "id", "left")
-    return joined.withColumn("tags", F.when(F.col("superseded_by").isNotNull(), F.array_union("tags", F.array(F.lit("superseded")))).otherwise(F.col("tags")))
+    return joined.withColumn("tags", F.when(F.col("superseded_by").isNotNull(), F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(F.lit("superseded")))).otherwise(F.col("tags")))
 
 
 # ---- records
@@ -220,14 +220,14 @@ def review(staged: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFram
     return left.where("review_status = 'approved'").drop("review_status", "reviewer_notes", "staged_at"), left
 
 
-def remembered(batch: DataFrame, as_of: datetime, strict: bool = True) -> DataFrame:
+def remembered(batch: DataFrame, as_of: datetime, strict: bool = True, title: int = 80) -> DataFrame:
     """Memories from (content, category, importance): title from the first line, id from content and time.
 
     An unknown category is an error in the row (category null) if ``strict``, else "events".
     """
     aliases = F.create_map(*[F.lit(x) for pair in sorted(CATEGORY_ALIASES.items()) for x in pair])
     category = aliases[F.lower("category")]
-    first = F.substring(F.element_at(F.split("content", "\n"), 1), 1, 80)
+    first = F.substring(F.element_at(F.split("content", "\n"), 1), 1, title)
     made = batch.withColumns({"category": category if strict else F.coalesce(category, F.lit("events")), "title": first, "topic": F.coalesce("category", F.lit("general"))})
     return made.withColumns(
         {

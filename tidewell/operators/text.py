@@ -120,9 +120,22 @@ def frontmatter_tags(front: Column) -> Column:
     return F.transform(F.from_json(F.get_json_object(front, "$.tags"), "array<string>"), F.lower)
 
 
-def excerpt(content: Column) -> Column:
-    """Head and tail of a content of over 2000 characters."""
-    return F.when(F.char_length(content) > 2000, F.concat(F.left(content, F.lit(1000)), F.lit("\n...\n"), F.right(content, F.lit(1000)))).otherwise(content)
+def _whole(cut: Column, edge: str) -> Column:
+    """Bytes as text, without the character that the cut went through."""
+    return F.regexp_replace(F.make_valid_utf8(cut.cast("string")), edge, "")
+
+
+def excerpt(content: Column, most: int = 2000) -> Column:
+    """Head and tail, of ``most`` / 2 bytes each, of a content of more than ``most`` bytes."""
+    data, half = content.cast("binary"), most // 2
+    head = _whole(F.substring(data, 1, half), "\ufffd+$")
+    tail = _whole(F.substring(data, -half, half), "^\ufffd+")
+    return F.when(F.octet_length(content) > most, F.concat(head, F.lit("\n...\n"), tail)).otherwise(content)
+
+
+def without_block(content: Column) -> Column:
+    """A content without what stands between its first two ---, if it begins with one."""
+    return F.when(content.rlike(r"(?s)\A---.*?---"), F.regexp_replace(content, r"(?s)\A---.*?---\s*", "")).otherwise(content)
 
 
 def preview(content: Column, lines: int = 3, most: int = 120) -> Column:

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``; where no folder is set (tests), a temporary one is."""
+    """``df`` written to ``spark.checkpoint.dir``. Where no folder is set, a local master gets a temporary one; a cluster, whose
+    executors wouldn't see each other's files, an error."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewell-"))
     return df.checkpoint()
