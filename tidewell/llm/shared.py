@@ -22,15 +22,21 @@ _scratch: dict[str, SparkSession] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this session inside ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set."""
+    """A folder of this session inside ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a temporary folder serves a local master, whose executors are threads of this process; on a cluster
+    it is an error, since executors wouldn't see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
             spark.sparkContext.setCheckpointDir(base)
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = f"{base.rstrip('/')}/tidewell-{spark.sparkContext.applicationId}"
     if path not in _scratch:
         _scratch[path] = spark
@@ -91,15 +97,15 @@ def running_start(df: DataFrame, group: str, value: str, order: list[str], out:
     Rows of a group are ordered by a hash bucket of ``order`` and then by ``order``. Each bucket is summed by its own
     window, and bucket totals (at most groups x buckets rows) give each bucket its offset, so no task ever holds a group.
     """
-    bucket, offset, mine = (temp_name(df, n) for n in ("bucket_", "offset_", "group_"))
+    bucket, offset, mine, at, sum_ = (temp_name(df, n) for n in ("bucket_", "offset_", "group_", "at_bucket_", "sum_bucket_"))
     df = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    totals = df.groupBy(F.col(group).alias(mine), F.col(bucket).alias(bucket + "t")).agg(F.sum(value).alias(offset + "s"))
-    before = Window.partitionBy(mine).orderBy(bucket + "t").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(mine, bucket + "t", F.coalesce(F.sum(offset + "s").over(before), F.lit(0)).alias(offset))
+    totals = df.groupBy(F.col(group).alias(mine), F.col(bucket).alias(at)).agg(F.sum(value).alias(sum_))
+    before = Window.partitionBy(mine).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(mine, at, F.coalesce(F.sum(sum_).over(before), F.lit(0)).alias(offset))
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = df.join(totals, df[group].eqNullSafe(totals[mine]) & (df[bucket] == totals[bucket + "t"]))
-    return joined.withColumn(out, F.col(out) + F.col(offset)).drop(bucket, bucket + "t", offset, mine)
+    joined = df.join(totals, df[group].eqNullSafe(totals[mine]) & (df[bucket] == totals[at]))
+    return joined.withColumn(out, F.col(out) + F.col(offset)).drop(bucket, at, offset, mine)
 
 
 #: A bit filter has at most this many bits; it is sent to all executors, so this bounds it at 16 MB.
@@ -118,19 +124,24 @@ def bit_filter(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> tupl
 
 def maybe_in(df: DataFrame, column: str, made: tuple[DataFrame, int]) -> DataFrame:
     """Rows whose ``column`` may be among the keys of a bit filter: all that are, and few that aren't. No shuffle of ``df``."""
-    return _marked(df, column, made).where("maybe_f").drop("maybe_f")
+    flag = temp_name(df, "maybe_")
+    return marked(df, column, made, flag).where(flag).drop(flag)
 
 
 def surely_not_in(df: DataFrame, column: str, made: tuple[DataFrame, int]) -> DataFrame:
     """The other rows, nulls included."""
-    return _marked(df, column, made, "left").where("not coalesce(maybe_f, false)").drop("maybe_f")
+    flag = temp_name(df, "maybe_")
+    return marked(df, column, made, flag).where(~F.coalesce(F.col(flag), F.lit(False))).drop(flag)
 
 
-def _marked(df: DataFrame, column: str, made: tuple[DataFrame, int], how: str = "inner") -> DataFrame:
+def marked(df: DataFrame, column: str, made: tuple[DataFrame, int], flag: str) -> DataFrame:
+    """Adds ``flag``: whether a bit filter may have ``column``; false or null where it surely hasn't."""
     maps, bits = made
+    bucket, held = temp_name(df, flag + "bucket_"), temp_name(df, flag + "map_")
+    maps = maps.select(F.col("bucket_f").alias(bucket), F.col("map_f").alias(held))
     place = F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(bits)))
     bit = place.bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.substring("map_f", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(held, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     mark = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit.bitwiseAND(F.lit(7)) + 1).cast("int"))
-    joined = df.join(F.broadcast(maps), F.shiftright(place, 15).cast("int") == F.col("bucket_f"), how)
-    return joined.withColumn("maybe_f", byte.bitwiseAND(mark) != 0).drop("bucket_f", "map_f")
+    joined = df.join(F.broadcast(maps), F.shiftright(place, 15).cast("int") == F.col(bucket), "left")
+    return joined.withColumn(flag, byte.bitwiseAND(mark) != 0).drop(bucket, held)
