@@ -1,12 +1,15 @@
 """Sharding by a hierarchical weighted hash tree (law ``key``).
 
-A cluster is a tree of regions, racks and shards with weights. A row descends it: on each level every child draws
-``-ln(u) / weight`` from a hash of the row's key and the child's name, and the least draw wins. A child's draw depends on
-nothing but the key, its name and its weight, so a change of weight moves rows only into or out of that subtree.
-A cluster grows by regions of one shard, so one more shard takes rows only into itself.
-
-Defined cases: null keys hash as a value of their own; null texts count as empty (size 1, CRC 0); repeated rows each get a
-slot; an empty table gives an empty result; extra columns are kept.
+A cluster is a tree of regions, racks and shards with weights. Every shard draws ``-ln(u) / weight`` from a hash of the row's
+key and the shard's name; a rack's draw is the least of its shards', a region's the least of its racks'. The least of several
+exponential draws is an exponential draw whose weight is the sum of theirs, so these are weighted draws on every level. A row
+descends to the region, rack and shard of the least draw. A subtree's draw depends on nothing but the key and the names and
+weights in it, so a change of weight moves rows only into or out of that subtree, and one more shard, wherever it is put,
+takes rows only into itself.
+
+Defined cases: null keys hash as a value of their own; null texts count as empty (size 1, CRC 0); repeated rows and ties each
+get a slot; texts of any length are measured whole; an empty table gives an empty result; extra columns are kept, whatever
+their names (namesakes of the added columns are replaced).
 """
 
 from __future__ import annotations
@@ -27,58 +30,32 @@ class Leaf(NamedTuple):
     weight: float = 1.0
 
 
-def layout(n_shards: int, founded: int = 16, per_rack: int = 2, per_region: int = 4) -> list[Leaf]:
-    """The tree of ``n_shards`` equal shards: ``founded`` of them in regions and racks, later ones in a region each."""
-    old = [Leaf(f"r{s // per_region}", f"k{s // per_rack}", s) for s in range(min(n_shards, founded))]
-    return old + [Leaf(f"g{s}", f"gk{s}", s) for s in range(founded, n_shards)]
-
-
-def _draw(key: Column, name: str, weight: float, seed: int) -> Column:
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(name), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return -F.log(uniform) / F.lit(float(weight))
-
+def layout(n_shards: int, per_rack: int = 2, per_region: int = 4) -> list[Leaf]:
+    """The tree of ``n_shards`` equal shards, racks and regions filled one after another."""
+    return [Leaf(f"r{s // per_region}", f"k{s // per_rack}", s) for s in range(n_shards)]
 
-def _winner(key: Column, children: Sequence[tuple[str, float, Column]], seed: int) -> Column:
-    """The value of the child with the least draw; (name, weight, value) each."""
-    if len(children) == 1:
-        return children[0][2]
-    drawn = [F.struct(_draw(key, name, weight, seed).alias("d"), F.lit(i).alias("i")) for i, (name, weight, _) in enumerate(children)]
-    won = F.array_min(F.array(*drawn))["i"]
-    return F.element_at(F.array(*[value for *_, value in children]), won + 1)
 
+def _draw(key: Column, leaf: Leaf, seed: int) -> Column:
+    """(draw, shard) of a leaf."""
+    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard:{leaf.shard}"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    return F.struct((-F.log(uniform) / F.lit(float(leaf.weight))).alias("draw"), F.lit(leaf.shard).alias("shard"))
 
-def _branch(choice: Column, options: dict[str, Column]) -> Column:
-    """The option that ``choice`` names; the others aren't evaluated."""
-    (first, value), *rest = options.items()
-    out = F.when(choice == first, value)
-    for name, value in rest:
-        out = out.when(choice == name, value)
-    return out
 
-
-def _level(leaves: Sequence[Leaf], field: str) -> dict[str, list[Leaf]]:
-    found: dict[str, list[Leaf]] = {}
-    for leaf in leaves:
-        if leaf.weight > 0:
-            found.setdefault(getattr(leaf, field), []).append(leaf)
-    return found
+def _least(children: Sequence[Column]) -> Column:
+    return children[0] if len(children) == 1 else F.array_min(F.array(*children))
 
 
 def with_shard(df: DataFrame, tree: Sequence[Leaf], key: str, out: str, seed: int = 0) -> DataFrame:
-    """Adds ``out``: the shard of the tree that ``key`` descends to."""
-    weight = lambda leaves: sum(leaf.weight for leaf in leaves)
-    regions = _level(tree, "region")
-    racks = {name: _level(leaves, "rack") for name, leaves in regions.items()}
-    at_region, at_rack = temp_name(df, out + "_region"), temp_name(df, out + "_rack")
-    k = F.col(key)
-    df = df.withColumn(at_region, _winner(k, [(f"region:{n}", weight(v), F.lit(n)) for n, v in regions.items()], seed))
-    df = df.withColumn(
-        at_rack,
-        _branch(F.col(at_region), {n: _winner(k, [(f"rack:{m}", weight(v), F.lit(m)) for m, v in inner.items()], seed) for n, inner in racks.items()}),
-    )
-    by_rack = {m: v for inner in racks.values() for m, v in inner.items()}
-    shard = _branch(F.col(at_rack), {m: _winner(k, [(f"shard:{x.shard}", x.weight, F.lit(x.shard)) for x in v], seed) for m, v in by_rack.items()})
-    return df.withColumn(out, shard.cast("int")).drop(at_region, at_rack)
+    """Adds ``out``: the shard of the tree that ``key`` descends to. Leaves of weight 0 get no rows."""
+    regions: dict[str, dict[str, list[Leaf]]] = {}
+    for leaf in tree:
+        if leaf.weight > 0:
+            regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
+    if not regions:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    rack = lambda leaves: _least([_draw(F.col(key), leaf, seed) for leaf in leaves])
+    region = lambda racks: _least([rack(leaves) for leaves in racks.values()])
+    return df.withColumn(out, _least([region(racks) for racks in regions.values()])["shard"].cast("int"))
 
 
 def assign_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
