@@ -2,39 +2,42 @@
 
 A known word scores by its log frequency in each language. An unseen word backs off to its character n-grams, longest
 first: the first length of which any n-gram is known gives the mean of their log frequencies. A text's score is the sum
-over its words; the best language's posterior is the reported score.
+over its words; the best language's posterior is the reported score. A word is a run of letters; a very long one (scripts
+without spaces) counts stretch by stretch of STRETCH letters, each with all n-grams that begin in it.
 
-The model is fitted on a bounded sample of labelled texts (``sample`` documents by hash) and bounded tables (``words_held``
-words and ``grams_held`` n-grams of each length for each language).
+The model is fitted on a bounded sample of labelled texts (``sample`` documents by hash, of ``size`` bytes together) and keeps
+every word and every n-gram of them.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; texts of any length are read whole; repeated
-rows are scored one by one; an empty table gives an empty result; with no labelled text every text is ``und``; extra columns
-are kept.
+Defined cases: null texts and texts without a letter are ``und`` with score 0; texts and runs of any length are read whole; of
+languages with equal totals the first by name is predicted; repeated rows are scored one by one; an empty table gives an empty
+result; with no labelled text every text is ``und``; extra columns are kept (``lang_pred`` and ``score`` replace namesakes).
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidewell.llm.arrow import add_columns
+from tidewell.llm.shared import stored
 
 UNKNOWN = "und"
 LONGEST = 5
 #: Words that a worker remembers the scores of; the table is emptied when full.
-HELD = 300_000
-#: Runs of letters longer than this are cut into pieces, each of which counts as a word.
-LONGEST_WORD = 64
-WORD = rf"\p{{L}}{{1,{LONGEST_WORD}}}"
+HELD = 200_000
+#: Letters of a stretch: an unseen run of letters counts once for each of its stretches.
+STRETCH = 64
+WORD = r"\p{L}+"
 LETTERS = regex.compile(WORD)
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 16 << 20
 
 
 @dataclass
@@ -78,10 +81,19 @@ class Scorer:
         return self.used - 1
 
     def back_off(self, word: str) -> np.ndarray:
+        """The scores of an unseen run of letters: the sum over its stretches."""
         padded = f" {word} "
+        out = np.zeros(len(self.languages))
+        for start in range(0, max(1, len(word)), STRETCH):
+            # a last stretch has the closing blank as well
+            end = start + STRETCH if start + STRETCH < len(word) else len(padded)
+            out += self._stretch(padded, start, end)
+        return out
+
+    def _stretch(self, padded: str, start: int, end: int) -> np.ndarray:
         for n in range(min(LONGEST, len(padded)), 0, -1):
             index, logs = self.grams[n - 1]
-            known = [index[g] for g in [padded[i : i + n] for i in range(len(padded) - n + 1)] if g in index]
+            known = [index[g] for g in [padded[i : i + n] for i in range(start, min(end, len(padded) - n + 1))] if g in index]
             if known:
                 return logs[known].mean(axis=0)
         return np.zeros(len(self.languages))
@@ -114,39 +126,45 @@ class Scorer:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def _logs(counts: dict[str, Counter], languages: Sequence[str], held: int) -> Table:
-    """Smoothed log frequencies of the most frequent entries of each language."""
-    chosen: set[str] = set()
-    for c in counts.values():
-        chosen.update(k for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:held])
-    entries = sorted(chosen)
-    found = np.array([[counts[x][k] + 0.5 for x in languages] for k in entries]).reshape(len(entries), len(languages))
-    totals = np.array([sum(counts[x].values()) + len(chosen) for x in languages], dtype=float)
+def _logs(counted: pd.DataFrame, languages: list[str]) -> Table:
+    """Smoothed log frequencies of all entries counted (lang, entry, n)."""
+    entries = sorted(counted["entry"].unique().tolist())
+    at = pd.Series(np.arange(len(entries)), index=entries)
+    found = np.full((len(entries), len(languages)), 0.5)
+    found[at[counted["entry"]].to_numpy(), pd.Index(languages).get_indexer(counted["lang"])] += counted["n"].to_numpy()
+    totals = found.sum(axis=0) + 0.5 * len(entries)
     return Table(entries, np.log(found / totals) if entries else found)
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 20_000, words_held: int = 30_000, grams_held: int = 20_000) -> BackoffModel:
-    """Counts words of a sample of about ``sample`` labelled texts in Spark; the tables that come back are bounded."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = labelled.count()
-    part = labelled.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < min(1.0, sample / max(1, total)) * 1_000_000)
-    tokens = part.select(F.col(lang).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = tokens.groupBy("lang", "word").count()
-    languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
-    by_words: dict[str, Counter] = defaultdict(Counter)
-    for name in languages:
-        for row in counted.where(F.col("lang") == name).orderBy(F.desc("count"), "word").limit(2 * words_held).select("word", "count").toLocalIterator():
-            by_words[name][row[0]] = row[1]
-    grams: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(LONGEST)]
-    for name, c in by_words.items():
-        for word, n in c.items():
-            padded = f" {word} "
-            for size in range(1, LONGEST + 1):
-                into = grams[size - 1][name]
-                for i in range(len(padded) - size + 1):
-                    into[padded[i : i + size]] += n
-    tables = [_logs({x: g[x] for x in languages}, languages, grams_held) for g in grams]
-    return BackoffModel(languages, _logs({x: by_words[x] for x in languages}, languages, words_held), tables)
+def grams_of(words: DataFrame) -> DataFrame:
+    """(size, lang, entry, n): all n-grams of counted words (lang, entry, n), blanks before and after each word."""
+    padded = F.concat(F.lit(" "), F.col("entry"), F.lit(" "))
+    # long runs are cut into overlapping pieces first, since a substring costs as much as what stands before it
+    cut = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("entry") + 1, F.lit(STRETCH)), lambda i: F.substring(padded, i + 1, F.lit(STRETCH + LONGEST - 1)))).alias("piece"))
+    each = cut.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))))
+    last = F.least(F.lit(STRETCH - 1), F.char_length("piece") - F.col("size"))
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    made = each.select("size", "lang", "n", F.explode(F.transform(starts, lambda i: F.substring("piece", i + 1, F.col("size")))).alias("entry"))
+    return made.groupBy("size", "lang", "entry").agg(F.sum("n").alias("n"))
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> BackoffModel:
+    """Counts the words and n-grams of a sample of labelled texts in Spark: those with the least hashes of their ids, at most
+    ``sample`` of them, as long as they have at most ``size`` bytes together."""
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    order = [F.xxhash64("key"), F.col("key"), F.col("bytes"), F.col("hash")]
+    facts = labelled.select("key", F.octet_length("text").alias("bytes"), F.xxhash64("text", "lang").alias("hash")).orderBy(*order).limit(sample)
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    fits = facts.withColumn("sum", F.sum("bytes").over(so_far)).where(F.col("sum") <= size)
+    fits = fits.select(F.col("key").alias("key_"), F.col("hash").alias("hash_")).distinct()
+    part = labelled.join(F.broadcast(fits), F.col("key").eqNullSafe(F.col("key_")) & (F.xxhash64("text", "lang") == F.col("hash_")))
+    tokens = part.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("entry"))
+    words = stored(tokens.groupBy("lang", "entry").agg(F.count("*").alias("n")), "words")
+    counted = words.toArrow().to_pandas()
+    languages = sorted(counted["lang"].unique().tolist())
+    grams = grams_of(words).toArrow().to_pandas()
+    tables = [_logs(grams[grams["size"] == size], languages) for size in range(1, LONGEST + 1)]
+    return BackoffModel(languages, _logs(counted, languages), tables)
 
 
 def identify(df: DataFrame, model: BackoffModel, text: str = "text", keep_text: bool = True) -> DataFrame:

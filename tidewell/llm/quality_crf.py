@@ -4,8 +4,8 @@ Every line is good or bad. Its features (letter case, symbols, punctuation, repe
 and after it give each label a score, and neighbouring labels a score of their own. Forward-backward gives each line's
 marginal; a document's quality is the mean of its lines' marginals weighted by length, calibrated on the training rows.
 
-The field is fitted on a bounded sample of labelled documents (``sample`` rows by hash), all lines of a document carrying its
-label. Features are computed on whole slices of text as byte arrays.
+The field is fitted on a bounded sample of labelled documents (``sample`` rows by hash, of ``size`` bytes together), all lines
+of a document carrying its label. Features are computed on whole slices of text as byte arrays.
 
 Defined cases: null texts and texts without a word have the score of an empty text (0); texts of any length are read whole;
 repeated rows are scored one by one; an empty table gives an empty result; without labels of both kinds every text scores
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.arrow import add_columns
+from tidewell.llm.samples import labelled_sample
 
 GAPS = b" \t\n\x0b\x0c\r"
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 32 << 20
 _GROUPS = {
     "lower": bytes(range(97, 123)),
     "upper": bytes(range(65, 91)),
@@ -241,11 +243,9 @@ def calibrate(raw: np.ndarray, label: np.ndarray, rounds: int = 500) -> tuple[fl
     return max(float(slope), 1e-3), float(offset)
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 4000) -> Field:
-    """Fits the field on at most ``sample`` labelled documents, those with the least hashes of their ids."""
-    chosen = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("key_"), F.col(label).cast("int").alias("label_"))
-    chosen = chosen.orderBy(F.xxhash64("key_"), "key_").limit(sample)
-    rows = documents.select(F.col(key).alias("k_"), F.col(text).alias("text_")).join(F.broadcast(chosen), F.col("k_") == F.col("key_"))
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Field:
+    """Fits the field on a sample of at most ``sample`` labelled documents of at most ``size`` bytes together."""
+    rows = labelled_sample(documents, labels, key, text, label, sample, size)
     new = [T.StructField("x", T.ArrayType(T.FloatType())), T.StructField("lengths", T.ArrayType(T.FloatType()))]
 
     def make():
@@ -257,7 +257,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
         return work
 
-    got = add_columns(rows, "text_", new, make, keep_text=False).orderBy("key_").collect()
+    got = add_columns(rows, "text_", new, make, keep_text=False).orderBy("key_", "label_", F.xxhash64("lengths")).collect()
     truth = np.array([r["label_"] for r in got], dtype=int)
     if len(set(truth.tolist())) < 2:
         share = float(truth.mean()) if len(truth) else 0.5
