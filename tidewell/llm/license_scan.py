@@ -1,17 +1,18 @@
 """License scans: TF-IDF cosine of header sentences and whole texts to templates, then inheritance down the directories.
 
-Sentences that speak of a licence are taken line by line and from blocks joined over their lines, comment marks removed; each
-is a sparse TF-IDF vector whose best template is that of the largest cosine, if the cosine reaches ``least``. A whole text that
-speaks of a licence is compared with whole licence bodies too, and is that licence from ``least_body`` on (from ``least`` on if
-it has a licence file's name). SPDX tags count as they stand. Versions and variants whose templates differ by a word or two
+Sentences are taken line by line and from blocks joined over their lines, comment marks removed; each is a sparse TF-IDF vector
+whose best template is that of the largest cosine, if the cosine reaches ``least``. A whole text is compared with whole licence
+bodies too, and is that licence from ``least_body`` on (from ``least`` on if it has a licence file's name). A sentence
+or text that has none of the terms without which no template is near enough (``needed_terms``) is compared with none. SPDX tags count as they stand. Versions and variants whose templates differ by a word or two
 (GPL, CC BY, BSD, ...) are decided by what the sentence or the body's title says; where it names no version, none is reported.
 A file that is a licence body, whose licence sentences make up most of it, or which has a licence file's name, is its
 directory's licence file. A file without a licence of its own takes that of the licence file in its nearest ancestor
 directory, found by joining the distinct directories' ancestors with the directories of licence files.
 
 Defined cases: null and empty texts have no licence of their own; a null path has no directory and inherits nothing; of several
-licence files of a directory the least path counts; texts of any length are read whole; repeated rows are scanned one by one;
-an empty table gives an empty result; extra columns are kept.
+licence files of a directory the least path counts; texts of any length are read whole; of
+templates with equal cosines the first in order counts, of a text's licences with equal scores the last template's; repeated rows
+are scanned one by one; an empty table gives an empty result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import let
+from tidewell.llm.shared import let, stored, temp_name
 
 #: Template sentences by SPDX identifier.
 TEMPLATES = {
@@ -115,8 +116,13 @@ TEMPLATES["MIT"] += [
 ]
 TEMPLATES["GPL-3.0"] += ["GNU General Public License, version 3.", "Licensed under the GPL v3."]
 BODIES = Path(__file__).parent / "licenses"
-TRIGGER = r"(?i)licen[cs]|copyright|redistribut|hereby granted|creative commons|\bSPDX\b|public domain|\b[AL]?GPL|\bMPL\b"
 TOKEN = r"[a-z0-9]+"
+#: Words that don't tell a licence from other texts: they count in cosines, but alone they make no licence.
+EVERYDAY = frozenset(
+    "a all an and any are as at be been but by can could did do does for from had has have he her his how i if in into is it its "
+    "like made many may more most must no not of on one only or other our out over she should so some such than that the their "
+    "them then there these they this those to under up was way we were what when where which who will with would you your".split()
+)
 SENTENCE_END = r"\n|(?<=[.!?])\s+"
 #: Ends of sentences in a joined block; "v. 2.0" is none.
 JOINED_END = r"(?<![vV]\.)(?<=[.!?])\s+"
@@ -149,6 +155,72 @@ def template_vectors(templates: dict[str, list[str]] = TEMPLATES) -> tuple[list[
     return names, idf, vectors, math.log(n + 1) + 1
 
 
+def needed_terms(templates: dict[str, list[str]], least: float) -> list[list[list[str]]]:
+    """For each template groups of its terms, everyday words left out: a text is compared only if, for some template, it has
+    a term of each group.
+
+    A text that lacks some of a template's terms has at most the norm of the template's other weights as cosine. Each group,
+    the heaviest terms first, is so heavy that the norm of the others is below ``least``, so a text without it can't reach
+    that. A template whose other words are too light has them all as its group: everyday words alone don't make a licence.
+    """
+    out = []
+    for vector in template_vectors(templates)[2]:
+        groups: list[list[str]] = [[]]
+        held = 0.0
+        for term in sorted((t for t in vector if t not in EVERYDAY), key=lambda t: (-vector[t], t)):
+            groups[-1].append(term)
+            held += vector[term] ** 2
+            if held > 1 - (least - 1e-9) ** 2:
+                groups.append([])
+                held = 0.0
+        out.append([sorted(g) for g in groups[: max(1, len(groups) - 1)]])
+    return out
+
+
+def needed(templates: dict[str, list[str]], least: float) -> str:
+    """A pattern for texts that have a term of the first group of some template."""
+    return any_of(sorted({t for groups in needed_terms(templates, least) for t in groups[0]}))
+
+
+def has_needed(text: Column, templates: dict[str, list[str]], least: float) -> Column:
+    """Whether a text has a term of each group of some template."""
+    literal = lambda terms: F.array(*[F.lit(t) for t in terms])
+    each = lambda tokens, groups: reduce(Column.__and__, [F.arrays_overlap(tokens, literal(g)) for g in groups])
+    some = lambda tokens: reduce(Column.__or__, [each(tokens, groups) for groups in needed_terms(templates, least)])
+    terms = any_of(sorted({t for groups in needed_terms(templates, least) for g in groups for t in g}))
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(terms), F.lit(0))), F.lower)
+    return let(found, some)
+
+
+def may_reach(text: Column, templates: dict[str, list[str]], least: float) -> Column:
+    """Whether the known tokens of a text can make up enough of its vector: the squares of k known tokens' weights are at most
+    the square of k times the largest, those of the others at least as many times the weight of one."""
+    _, idf, _, unseen = template_vectors(templates)
+    known, bound = F.regexp_count(text, F.lit(any_of(sorted(idf)))).cast("double"), (least - 1e-9) ** 2
+    other = F.regexp_count(text, F.lit(f"(?i){TOKEN}")) - known
+    enough = known * known * (max(idf.values()) ** 2 * (1 - bound)) >= other * (unseen**2 * bound)
+    return enough | text.rlike("[\u0130\u212a]")  # the two other characters that lower-case to a-z
+
+
+def any_of(terms: list[str]) -> str:
+    """A pattern that finds any of the terms as a whole one; a tree of their letters, so that each place is read once."""
+    tree: dict = {}
+    for term in terms:
+        at = tree
+        for letter in term:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def written(at: dict) -> str:
+        branches = [letter + written(below) for letter, below in sorted(at.items()) if letter]
+        if not branches:
+            return ""
+        joined = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return f"(?:{joined})?" if "" in at else joined
+
+    return r"(?i:(?<![a-z0-9])(?:" + written(tree) + r")(?![a-z0-9]))"
+
+
 def _best(sentence: Column, templates: dict[str, list[str]]) -> Column:
     """structure (score, at): the largest cosine of a sentence and the place of its template."""
     names, idf, vectors, unseen = template_vectors(templates)
@@ -224,7 +296,8 @@ def own_licenses(
     t, whole = F.col(text), bodies() if whole is None else whole
     literal = lambda of: F.array(*[F.lit(n) for n in template_vectors(of)[0]])
     names, body_names = literal(templates), literal(whole)
-    speaks = lambda parts: F.filter(parts, lambda s: s.rlike(TRIGGER))
+    in_sentence = needed(templates, least) + "|" + SPDX
+    speaks = lambda parts: F.filter(parts, lambda s: s.rlike(in_sentence))
     plain = F.regexp_replace(t, MARKS, "")
     blocks = F.transform(speaks(F.split(plain, r"\n\s*\n", -1)), lambda b: F.trim(F.regexp_replace(b, r"\s+", " ")))
     lines = speaks(F.split(t, SENTENCE_END, -1))
@@ -236,7 +309,7 @@ def own_licenses(
         tag = F.regexp_extract(s, SPDX, 1)
         tagged = F.struct(F.lit(1.0).alias("score"), F.lit(last + 1).alias("at"), s.alias("header"), tag.alias("name"))
         by_template = let(_best(s, templates), lambda b: F.struct(b["score"].alias("score"), b["at"].alias("at"), s.alias("header"), _decided(F.get(names, b["at"] - 1), s, t).alias("name")))
-        return F.when(tag != "", tagged).otherwise(by_template)
+        return F.when(tag != "", tagged).when(may_reach(s, templates, least), by_template)
 
     sentences = F.array_distinct(F.concat(lines, joined))
     good = F.filter(F.transform(sentences, score), lambda x: x["score"] >= least)
@@ -246,35 +319,43 @@ def own_licenses(
     title = F.left(t, F.lit(TITLE))
     named = lambda b: _decided(F.get(body_names, b["at"] - 1), title, t, body=True)
     body = let(_best(t, whole), lambda b: F.when(b["score"] >= enough, F.struct(b["score"].alias("score"), b["at"].alias("at"), first.alias("header"), named(b).alias("name"))))
-    said = t.rlike(TRIGGER)
-    df = df.withColumns({"licenses_": F.when(said, good), "body_": F.when(said, body)})
-    df = df.withColumn("best_", F.coalesce("body_", F.array_max("licenses_")))
+    columns = df.columns
+    own, whole_, best = (temp_name(df, n) for n in ("licenses_", "body_", "best_"))
+    said = file_name | (t.rlike(needed(whole, least_body)) & has_needed(t, whole, least_body))
+    df = df.withColumns({own: F.when(t.rlike(in_sentence), good), whole_: F.when(said, body)})
+    df = df.withColumn(best, F.coalesce(whole_, F.array_max(own)))
     # a line that is a piece of a longer joined sentence counts once
     bare = lambda h: F.regexp_replace(h, MARKS, "")
     within = lambda x, y: (y["header"] != x["header"]) & (F.char_length(y["header"]) > F.char_length(bare(x["header"]))) & F.contains(y["header"], bare(x["header"]))
-    alone = F.filter("licenses_", lambda x: ~F.exists("licenses_", lambda y: within(x, y)))
+    alone = F.filter(own, lambda x: ~F.exists(own, lambda y: within(x, y)))
     part = F.aggregate(alone, F.lit(0), lambda a, x: a + F.char_length(x["header"])) / F.greatest(F.char_length(t), F.lit(1))
-    return df.withColumns(
-        {
-            "own_license": F.col("best_")["name"],
-            "own_score": F.col("best_")["score"],
-            "header": F.col("best_")["header"],
-            "is_license_file": F.col("best_").isNotNull() & (F.col("body_").isNotNull() | file_name | F.coalesce(part >= 0.5, F.lit(False))),
-        }
-    ).drop("licenses_", "body_", "best_")
-
-
-def scan(df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """own_licenses with license and inherited_from (the licence file's path) added; own licences come first."""
+    return df.select(
+        *columns,
+        F.col(best)["name"].alias("own_license"),
+        F.col(best)["score"].alias("own_score"),
+        F.col(best)["header"].alias("header"),
+        (F.col(best).isNotNull() & (F.col(whole_).isNotNull() | file_name | F.coalesce(part >= 0.5, F.lit(False)))).alias("is_license_file"),
+    )
+
+
+def scan(df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES, keep_text: bool = True) -> DataFrame:
+    """own_licenses with license and inherited_from (the licence file's path) added; own licences come first.
+
+    The rows with their own licences (without the text, unless ``keep_text``) are stored once for the three reads that follow.
+    """
+    df = df.drop("own_license", "own_score", "header", "is_license_file", "license", "inherited_from")
     df = own_licenses(df, text, path, least, templates)
-    cut = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
-    df = df.withColumn("dir_", cut(F.col(path)))
-    holders = df.where("is_license_file").groupBy(F.col("dir_").alias("holder_")).agg(F.min_by(F.struct(F.col("own_license").alias("l"), F.col(path).alias("p")), path).alias("held_"))
-    wanting = df.where("own_license is null and dir_ is not null").select("dir_").distinct()
-    parts = F.split("dir_", "/")
+    df = stored(df if keep_text else df.drop(text), "own")
+    folder = temp_name(df, "dir_")
+    df = df.withColumn(folder, F.regexp_replace(F.col(path), r"/?[^/]*$", ""))
+    held = F.min_by(F.struct(F.col("own_license").alias("l"), F.col(path).alias("p")), path).alias("held")
+    holders = df.where("is_license_file").groupBy(F.col(folder).alias("holder")).agg(held)
+    wanting = df.where(F.col("own_license").isNull() & F.col(folder).isNotNull()).select(F.col(folder).alias("dir")).distinct()
+    parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("up")))
-    up = wanting.withColumn("above_", F.explode(F.when(F.col("dir_") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up")))).otherwise(above)))
-    met = up.join(holders, up["above_"]["up"] == holders["holder_"])
-    nearest = met.groupBy(F.col("dir_").alias("d2_")).agg(F.max_by("held_", F.col("above_")["depth"]).alias("from_"))
-    out = df.join(nearest, (df["dir_"] == nearest["d2_"]) & df["own_license"].isNull(), "left")
-    return out.withColumns({"license": F.coalesce("own_license", F.col("from_")["l"]), "inherited_from": F.col("from_")["p"]}).drop("dir_", "d2_", "from_")
+    up = wanting.withColumn("above", F.explode(F.when(F.col("dir") == "", F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up")))).otherwise(above)))
+    met = up.join(holders, up["above"]["up"] == holders["holder"])
+    of, found = temp_name(df, "of_"), temp_name(df, "from_")
+    nearest = met.groupBy(F.col("dir").alias(of)).agg(F.max_by("held", F.col("above")["depth"]).alias(found))
+    out = df.join(nearest, (df[folder] == nearest[of]) & df["own_license"].isNull(), "left")
+    return out.withColumns({"license": F.coalesce("own_license", F.col(found)["l"]), "inherited_from": F.col(found)["p"]}).drop(folder, of, found)

@@ -4,7 +4,8 @@ A document's measures (lengths, symbols, stop words, lines, repeats) are columns
 ``RULES`` compares one measure with its bounds, and a document is kept if no base rule and no row fails.
 
 Defined cases: null and empty texts have no words and fail the base rule; texts of any length are read whole; repeated
-rows are judged one by one; an empty table gives an empty result; extra columns are kept (measures replace namesakes).
+rows are judged one by one; a value on a threshold passes; an empty table gives an empty result; extra columns are kept, whatever their
+names (measures replace namesakes).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import let, words
+from tidewell.llm.shared import let, temp_name, words
 
 SYMBOLS = "#*$%&|<>"
 SHOUT = "!"
@@ -100,22 +101,23 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     stop_count = count_of(r"(?iu)(?<![^\x20\x09-\x0D])(?:" + "|".join(sorted(STOP_WORDS)) + r")(?![^\x20\x09-\x0D,.;:!?])")
-    at = lambda name: F.col("measures_")[name]
-    df = df.withColumn("measures_", found).withColumn("lines_", line_counts)
+    measures, by_line = temp_name(df, "measures_"), temp_name(df, "lines_")
+    at = lambda name: F.col(measures)[name]
+    df = df.withColumn(measures, found).withColumn(by_line, line_counts)
     df = df.withColumns(
         {
             "n_words": at("n_words"),
             "word_chars": F.char_length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
             "n_symbols": F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": F.col("lines_")["dup"],
+            "n_dup_lines": F.col(by_line)["dup"],
             "n_repeat_words": at("n_repeat_words"),
-            "n_lines": F.col("lines_")["n"],
+            "n_lines": F.col(by_line)["n"],
             "n_stop_words": stop_count,
             "n_shouts": count_of(SHOUT),
             "n_upper": count_of(r"\p{Lu}"),
             "n_letters": count_of(r"\p{L}"),
         }
-    ).drop("measures_", "lines_")
+    ).drop(measures, by_line)
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return df.withColumns(
         {

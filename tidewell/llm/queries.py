@@ -29,9 +29,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewell.llm.exact_dedup import dedup
+    from tidewell.llm.exact_dedup import decisions
 
-    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = decisions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -97,7 +97,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.license_scan import scan
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
-    return scan(documents).select("doc_id", "path", "own_license", "own_score", "header", "is_license_file", "license", "inherited_from")
+    return scan(documents, keep_text=False).select("doc_id", "path", "own_license", "own_score", "header", "is_license_file", "license", "inherited_from")
 
 
 def queries() -> dict[str, Query]:
@@ -144,5 +144,17 @@ _DEDUP_SQL = """
     SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON g.t = n.t"""
 
 
+_JACCARD_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, UNNEST(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+    n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+    hop AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, hop.b FROM reach JOIN hop ON hop.a = reach.b)
+    SELECT d.doc_id, CAST(COALESCE(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _rules_sql(), "op4_exact_dedup": _DEDUP_SQL}
+    return {"op3_quality_rules": _rules_sql(), "op4_exact_dedup": _DEDUP_SQL, "op10_jaccard_join": _JACCARD_SQL}
