@@ -1,7 +1,12 @@
 """A corpus pipeline: toxic documents go, copies go, near copies go, sources are mixed to targets, texts become tokens.
 
-Each stage takes the rows its predecessor kept and returns rows with the same columns, the last one tokens. Between stages
-rows are written as Parquet to the shared folder and read again.
+Each stage takes the rows its predecessor kept and returns rows with the same columns, the last one tokens instead of texts.
+Between stages rows are written as Parquet to the shared folder and read again.
+
+Defined cases: null and empty texts aren't toxic, are copies of each other, are no near copies, and are never taken by the mix,
+which has their words only; rows with a null doc_id or source are rows like others (near copies are told by doc_id, so rows
+without one stay); texts of any length are read whole; of repeated rows the copies stage leaves one; empty tables give an empty
+result, and without labels nothing is toxic; extra columns are carried to the end.
 """
 
 from __future__ import annotations
@@ -63,12 +68,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: token ids instead of texts."""
+    """Operator 6: token ids and their number instead of texts; other columns stay."""
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return encoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    kept = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens")]
+    return encoded.select(*kept, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

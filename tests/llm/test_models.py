@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -139,6 +141,42 @@ def test_language(spark, odd):
     assert {r["lang_pred"] for r in language_id.identify(df, nothing).collect()} == {"und"}
 
 
+def test_language_model_by_recount(spark):
+    """Every word and n-gram of the sample is counted, those of long runs too."""
+    texts = [("Abc abd-abc", "x"), ("zz Éa\u0301 " + "q" * 70 + "rs" * 40, "y"), ("abc", "y")]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    words, grams = {"x": collections.Counter(), "y": collections.Counter()}, [{"x": collections.Counter(), "y": collections.Counter()} for _ in range(5)]
+    for text, lang in texts:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words[lang][w] += 1
+            for n in range(1, 6):
+                grams[n - 1][lang].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    for table, counts in zip([model.words, *model.grams], [words, *grams]):
+        entries = sorted(set(counts["x"]) | set(counts["y"]))
+        assert table.entries == entries and model.languages == ["x", "y"]
+        for j, lang in enumerate("xy"):
+            total = sum(counts[lang].values()) + len(entries)
+            assert np.allclose(table.logs[:, j], [math.log((counts[lang][e] + 0.5) / total) for e in entries])
+
+
+def test_ties_and_samples(spark):
+    df = spark.createDataFrame([(1, "ab", "x"), (2, "ab", "w")], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert {r["lang_pred"] for r in language_id.identify(df, model).collect()} == {"w"}
+    none = language_id.fit(df, size=1)
+    assert none.languages == [] and language_id.fit(df, sample=1).languages in (["x"], ["w"])
+
+
+def test_language_of_a_long_run(spark):
+    rows = [(i, x, lang) for i, (x, lang) in enumerate([("abab abba baab", "one"), ("xyxy yxxy xxyy", "two")] * 5)]
+    rows.append((99, "b" * 64 + "q" * 200, "one"))
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "ab" * 32 + "xy" * 10_000)], "doc_id long, text string")
+    assert language_id.identify(asked, model).first()["lang_pred"] == "two"
+    assert "q" in model.grams[0].entries
+
+
 def test_backoff_takes_the_longest_known_grams():
     table = lambda d: language_id.Table(list(d), np.array([v for v in d.values()], dtype=float).reshape(len(d), 2))
     grams = [table({"a": [-1, -2]}), table({"ab": [-3, -1], "bc": [-5, -1]}), table({}), table({}), table({})]
@@ -179,37 +217,86 @@ def test_toxicity_held_out(spark, odd):
     assert toxicity.fit(docs, labels.where("toxic = 0")).share == 0
 
 
+def random_vectors(generator, n, terms=40, each=5):
+    made = []
+    for _ in range(n):
+        at = np.sort(generator.choice(terms, each, replace=False))
+        made.append((at, toxicity.unit(at, generator.randint(1, 5, each).astype(float), np.ones(terms))))
+    return made
+
+
 def test_nearest_by_brute_force():
     generator = np.random.RandomState(4)
-    vector = lambda: toxicity.unit({int(t): int(n) for t, n in zip(generator.choice(40, 5, replace=False), generator.randint(1, 5, 5))}, [1.0] * 40)
-    index = toxicity.BlockMaxIndex([toxicity.Example(i, i % 2, vector()) for i in range(300)])
-    for _ in range(30):
-        q = vector()
-        scores = [(sum(q.get(t, 0) * w for t, w in e.vector.items()), i) for i, e in enumerate(index.examples)]
-        expected = sorted((x for x in scores if x[0] > 0), key=lambda x: (-x[0], x[1]))[:15]
-        assert np.allclose([s for s, _ in index.nearest(q)], [s for s, _ in expected])
+    vectors = random_vectors(generator, 300)
+    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
+    for trial, (at, q) in enumerate(random_vectors(generator, 40)):
+        asked, without = dict(zip(at, q)), trial if trial % 2 else -1
+        scores = [(sum(asked.get(t, 0) * w for t, w in zip(*v)), i) for i, v in enumerate(vectors) if i != without]
+        expected = sorted((x for x in scores if x[0] > 0), key=lambda x: (-round(x[0], 10), x[1]))[:15]
+        cosines, near = index.nearest(at, q, without=without)
+        assert np.allclose(cosines, [x for x, _ in expected])
+        # among equal cosines at the end any may stand
+        assert {i for i, c in zip(near, cosines) if c > cosines[-1] + 1e-9} == {i for x, i in expected if x > expected[-1][0] + 1e-9}
+
+
+def test_blocks_are_skipped_only_below_the_bound(monkeypatch):
+    generator = np.random.RandomState(1)
+    groups = [np.arange(g * 10, g * 10 + 5) for g in range(30)]
+    vectors = [(g, toxicity.unit(g, generator.randint(1, 9, 5).astype(float), np.ones(300))) for g in groups for _ in range(20)]
+    index = toxicity.BlockMaxIndex(vectors, 300, block=20)
+    cosines, near = index.nearest(groups[7], toxicity.unit(groups[7], np.ones(5), np.ones(300)))
+    assert set(near.tolist()) <= set(range(140, 160)) and len(near) == 15
+
+
+def test_toxicity_model_by_hand():
+    """Weights, vectors, leave-one-out votes and the calibrated score in plain Python."""
+    rows = made_toxic(40)
+    model = toxicity.learn([i for i, _, _ in rows], [y for _, _, y in rows], [t for _, t, _ in rows])
+    bad = sum(y for *_, y in rows)
+    seen, bad_seen, counted = collections.Counter(), collections.Counter(), {}
+    for i, text, y in rows:
+        c = collections.Counter()
+        for w in text.split():
+            c["=" + w] += 1
+            for n in (4, 6):
+                if len(w) > n:
+                    c[w[:n] + "*"] += 1
+        counted[i] = c
+        seen.update(c.keys())
+        bad_seen.update(c.keys() if y else ())
+    assert set(model.terms) == set(seen)
+    n, good = len(rows), len(rows) - bad
+
+    def weight(t):
+        d, a = seen[t], bad_seen[t]
+        gap = a * (good - d + a) - (d - a) * (bad - a)
+        return (math.log((n + 1) / (d + 1)) + 1) * (0.05 + math.log1p(n * gap * gap / (bad * good * d * (n - d + 0.5))))
+
+    vectors = {}
+    for i, c in counted.items():
+        v = {t: (1 + math.log(k)) * weight(t) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    label = {i: y for i, _, y in rows}
+
+    def voted(v, without=None):
+        cosines = sorted(((sum(x * v.get(t, 0) for t, x in u.items()), j) for j, u in vectors.items() if j != without), reverse=True)[:15]
+        w = [(1 / (1 - min(c, 1) + 0.05), label[j]) for c, j in cosines if c > 0]
+        return sum(a * y for a, y in w) / sum(a for a, _ in w)
+
+    x, y = model.curve
+    votes = {i: voted(vectors[i], i) for i in vectors}
+    # least squares: every level is the mean of the labels that fall on it
+    for low, level in zip(x, y):
+        assert 0 <= level <= 1 and any(abs(v - low) < 1 for v in votes.values())
+    scorer = toxicity.Scorer(model)
+    for i, text, _ in rows[:10]:
+        assert scorer.score([text])[0][0] == pytest.approx(np.interp(voted(vectors[i]), x, y), abs=1e-6)
 
 
 # ---- 10
 
 
-def brute(sets, limit):
-    root = list(range(len(sets)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            inter = len(np.intersect1d(a, sets[j], assume_unique=True))
-            if inter and limit.linked(inter, len(a) + len(sets[j]) - inter):
-                x, y = find(i), find(j)
-                root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(sets))]
-
-
 def copies(seed, bases=5, each=8):
     generator = random.Random(seed)
     rows = []
@@ -225,12 +312,34 @@ def copies(seed, bases=5, each=8):
     return rows
 
 
+def tuples(text, k):
+    """The shingles of a text as tuples of words, without the operator's own code."""
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \\t\\n\\x0b\\x0c\\r]+", lowered) if w]
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+
 def check_components(df, k, num):
     found = jaccard_join.jaccard_components(df, k=k, num=num).collect()
     rows = sorted({(r["doc_id"], r["text"]) for r in df.where("doc_id is not null").collect()}, key=lambda x: (x[0], x[1] or ""))
-    sets = [jaccard_join.shingle_set(t, k) for _, t in rows]
-    expected = {rows[i][0]: rows[root][0] for i, root in enumerate(brute(sets, jaccard_join.Threshold(num, 100)))}
-    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == expected
+    sets = [tuples(t, k) for _, t in rows]
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for x, (i, _) in enumerate(rows):
+        for y in range(x):
+            if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= num * len(sets[x] | sets[y]):
+                a, b = find(i), find(rows[y][0])
+                root[max(a, b)] = min(a, b)
+    assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == {i: find(i) for i in root}
+    sizes = collections.defaultdict(set)
+    for (i, _), x in zip(rows, sets):
+        sizes[i].add(len(x))
+    assert all(r["n_shingles"] in sizes[r["doc_id"]] for r in found if r["doc_id"] is not None)
     return found
 
 
@@ -252,6 +361,56 @@ def test_large_regions_split(spark, monkeypatch, rounds):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
 
 
+def test_documents_that_share_a_passage(spark):
+    """Strangers leave before regions are made, linked documents never do; a passage most documents share is hot."""
+    generator = random.Random(8)
+    word = lambda: f"u{generator.randrange(10**6)}"
+    passage = [word() for _ in range(30)]
+    rows = [(i, " ".join([word() for _ in range(120)] + passage)) for i in range(400)]
+    rows += [(1000 + i, " ".join(passage + [word()] * (i % 2))) for i in range(6)] + [(2000 + i, rows[i][1] + " tail") for i in range(0, 40, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_components(df, 3, 90)
+    check_components(df, 5, 80)
+    few = jaccard_join._promising(df.select(F.col("doc_id").alias("id"), "text"), 5, jaccard_join.Threshold(80, 100))
+    assert few.count() < 60
+
+
+def test_small_sets_of_strangers_share_no_region(spark):
+    generator = random.Random(4)
+    rows = [(i, " ".join(f"v{generator.randrange(10**6)}" for _ in range(8))) for i in range(400)]
+    sets = [jaccard_join.shingle_set(t, 5) for _, t in rows]
+    sigs, owner = jaccard_join.signatures(sets, jaccard_join.Threshold(80, 100))
+    held = collections.defaultdict(set)
+    for sig, o in zip(sigs.tolist(), owner.tolist()):
+        held[sig].add(o)
+    assert max(map(len, held.values())) == 1
+
+
+def test_very_long_texts_link(spark):
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:28_500])), (3, " ".join(words[:20_000])), (4, " ".join(reversed(words)))]
+    check_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+
+
+def test_cells_hold_all_links_of_any_metric_space():
+    generator = random.Random(6)
+    limit = jaccard_join.Threshold(80, 100)
+    for trial in range(40):
+        base = [set(generator.sample(range(200), 40)) for _ in range(3)]
+        sets = []
+        for _ in range(60):
+            s = set(generator.choice(base))
+            for _ in range(generator.randint(0, 20)):
+                s.symmetric_difference_update({generator.randrange(400)})
+            sets.append(s)
+        d = np.array([[1 - len(p & s) / len(p | s) for s in sets] for p in sets[:5]])
+        *cells, outside = [set(c.tolist()) for c in limit.cells(d)]
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                    assert any({i, j} <= c for c in [*cells, outside])
+
+
 def test_hot_texts(spark):
     rows = [(i + 1, "same text that many rows have again and again") for i in range(120)] + [(500, "Same text that many rows have again and again")]
     found = check_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -75,11 +76,31 @@ def test_weights_move_only_their_subtree(spark):
     assert max(counts) < 1.4 * 250 and min(counts) > 0.6 * 250
 
 
-@pytest.mark.parametrize("n", [16, 17, 20])
-def test_growth_takes_rows_only_into_the_new_shard(spark, n):
+def test_growth_takes_rows_only_into_the_new_shard(spark):
     keys = spark.range(2000).withColumnRenamed("id", "doc_id")
-    both = sharding.with_shard(sharding.with_shard(keys, sharding.layout(n), "doc_id", "s"), sharding.layout(n + 1), "doc_id", "t")
-    assert both.where(f"s != t and t != {n}").count() == 0
+    for n in range(1, 22):
+        keys = sharding.with_shard(keys, sharding.layout(n), "doc_id", f"s{n}")
+    rows = collected(keys)
+    for n in range(1, 21):
+        moved = [r for r in rows if r[f"s{n}"] != r[f"s{n + 1}"]]
+        assert moved and all(r[f"s{n + 1}"] == n for r in moved)
+        assert abs(len(moved) - 2000 / (n + 1)) < 6 * (2000 / (n + 1)) ** 0.5
+
+
+def test_shards_by_brute_force(spark):
+    """The descent, level by level, in plain Python from the leaves' draws."""
+    tree = [leaf._replace(weight=1.0 + leaf.shard % 3) for leaf in sharding.layout(11)]
+    keys = spark.range(500).withColumnRenamed("id", "doc_id")
+    draws = keys.select("doc_id", *[F.xxhash64("doc_id", F.lit(f"shard:{leaf.shard}"), F.lit(0)).alias(f"h{leaf.shard}") for leaf in tree])
+    hashes = {r["doc_id"]: r for r in collected(draws)}
+    for r in collected(sharding.with_shard(keys, tree, "doc_id", "s")):
+        draw = {}
+        for leaf in tree:
+            u = (((hashes[r["doc_id"]][f"h{leaf.shard}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+            draw[leaf] = -math.log(u) / leaf.weight
+        region = min({x.region for x in tree}, key=lambda name: min(d for x, d in draw.items() if x.region == name))
+        rack = min({x.rack for x in tree if x.region == region}, key=lambda name: min(d for x, d in draw.items() if x.rack == name))
+        assert r["s"] == min((x for x in tree if x.rack == rack), key=draw.get).shard
 
 
 # ---- 3
@@ -147,12 +168,32 @@ def test_bytes_decide_when_digests_clash(docs):
     check_dedup(collected(exact_dedup.dedup(docs, digest=weak)), ROWS)
 
 
-def test_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "GROUP_SALT", 7)
+def test_large_groups(spark):
     rows = [(i, "copy" if i % 3 else f"own {i // 6}") for i in range(300)]
     check_dedup(collected(exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))), rows)
 
 
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a", "x"), (2, "A", "y"), (2, "a", "y"), (2, "a", "y"), (2, "b", "z"), (None, "c", "p"), (None, "c", "q"), (7, None, "n"), (8, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key_ string")
+    found = sorted([tuple(r) for r in exact_dedup.without_copies(df).collect()], key=str)
+    assert len(found) == 4
+    assert [(r[0], (r[1] or "").lower()) for r in found] == [(2, "a"), (2, "b"), (8, ""), (None, "c")]
+    check = {(r["doc_id"], r["text"]): r for r in collected(exact_dedup.decisions(df.select("doc_id", "text")).join(df, "doc_id"))}
+    assert check[(1, "a")]["kept"] is False
+
+
+def test_compaction_shuffles_only_what_runs_may_share(spark):
+    index = exact_dedup.MergeIndex(spark, fanout=4)
+    for k in range(3):
+        index.flush(spark.range(100).select(F.unhex(F.sha2(F.concat(F.lit(str(k if k < 2 else 0)), F.col("id").cast("string")), 256)).alias("digest"), (F.col("id") + 1000 * k).alias("ident"), F.lit(1).cast("long").alias("n")))
+    first = index.levels[0]
+    assert index._contested(first[1], [first[0], first[2]]).where("contested_").count() < 20
+    assert index._contested(first[0], [first[1], first[2]]).where("contested_").count() == 100
+    merged = collected(index.compact())
+    assert len(merged) == 200 and sum(r["n"] for r in merged) == 300 and all(r["ident"] < 1100 for r in merged)
+
+
 def test_index_levels(spark):
     index = exact_dedup.MergeIndex(spark, fanout=2)
     for lot in ([("a", 3), ("b", 1)], [("a", 2)], [("c", 9), ("b", 5)]):
@@ -206,13 +247,71 @@ def test_permutation_is_a_bijection(spark, n):
     assert sorted(r["p"] for r in got.collect()) == list(range(n))
 
 
-def test_mixed_texts_are_the_words_of_their_documents(docs):
-    words = {r[0]: WORD.findall(r[1] or "") for r in ROWS}
-    clashing = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumns({"slot": F.lit("x"), "n_words": F.lit("y"), "word_from": F.lit("z")})
-    for r in collected(mixing.mixed_documents(clashing, block=8)):
-        assert r["n_words"] == "y" and r["word_from"] == "z"
-        piece = r["text"].split(" ")
-        assert " ".join(piece) in " ".join(words[r["doc_id"]])
+def brute_mix(rows, block, out_shards, seed, spark):
+    """(taken words by row, shard counts) in plain Python, from the rows' places in their streams and the two permutations."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    order = sorted((s for s in by if s is not None)) + [None] * (None in by)
+    blocks = {s: -(-by[s][0]["source_size"] // block) for s in order}
+    # Spark rounds halves up
+    slots = {s: math.floor(by[s][0]["target"] / by[s][0]["source_size"] * blocks[s] + 0.5) if by[s][0]["source_size"] else 0 for s in order}
+    total = sum(slots.values())
+    length = max(1, -(-total // out_shards))
+    key = F.xxhash64(F.lit("shards"), F.lit(seed))
+    places = [r["p"] for r in spark.range(total).select(mixing.permuted(F.col("id"), F.lit(total).cast("long"), key).alias("p")).collect()]
+    counts, at, taken = collections.Counter(), 0, collections.Counter()
+    for s in order:
+        for j in range(slots[s]):
+            counts[(places[at + j] // length, s)] += 1
+        at += slots[s]
+        if not slots[s]:
+            continue
+        name = F.xxhash64(F.lit("\x00null" if s is None else s), F.lit(seed))
+        perm = [r["p"] for r in spark.range(blocks[s]).select(mixing.permuted(F.col("id"), F.lit(blocks[s]).cast("long"), name).alias("p")).collect()]
+        for j in range(slots[s]):
+            low = perm[j % blocks[s]] * block
+            for r in by[s]:
+                taken[r["row_"]] += max(0, min(r["start_"] + r["size"], low + block) - max(r["start_"], low))
+    return taken, counts
+
+
+def test_mix_by_brute_force(spark, docs):
+    many = docs.unionByName(docs.where("size is null or size < 9")).unionByName(spark.createDataFrame([(None, f"word {i} of no id", "b", 1, "x") for i in range(9)], SCHEMA))
+    documents, spans = mixing.mix(many, block=8, out_shards=5)
+    rows = collected(mixing.taken_words(documents, spans))
+    taken, counts = brute_mix(rows, 8, 5, 0, spark)
+    assert {r["row_"]: r["taken"] for r in rows if r["taken"]} == {k: v for k, v in taken.items() if v}
+    assert {(r["out_shard"], r["source"]): r["n_blocks"] for r in collected(mixing.shard_counts(spans))} == dict(counts)
+    lengths = collections.Counter()
+    for (shard, _), n in counts.items():
+        lengths[shard] += n
+    assert len({lengths[i] for i in range(4)}) == 1 and lengths[4] <= lengths[0]
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append((r["start_"], r["size"]))
+    for stretches in by.values():
+        at = 0
+        for start, size in sorted(stretches):
+            assert start == at or size == 0
+            at += size
+
+
+def test_mixed_texts_are_the_words_of_their_documents(spark, docs):
+    """Repeated rows and null ids have their own pieces: the words of all pieces are the words taken."""
+    clashing = docs.withColumns({"n": F.monotonically_increasing_id(), "n_words": F.lit("y"), "word_from": F.lit("z"), "row_": F.lit("r"), "mix_row_": F.lit("m"), "key_": F.lit("k")})
+    found = collected(mixing.mixed_documents(clashing, block=8))
+    words = {r["n"]: WORD.findall(r["text"] or "") for r in collected(clashing)}
+    for r in found:
+        assert (r["n_words"], r["word_from"], r["row_"], r["mix_row_"], r["key_"]) == ("y", "z", "r", "m", "k")
+        assert " ".join(r["text"].split(" ")) in " ".join(words[r["n"]])
+    pieces, taken = collections.Counter(), collections.Counter()
+    for r in found:
+        pieces[r["doc_id"], r["source"]] += len(r["text"].split(" "))
+    for r in collected(mixing.taken_words(*mixing.mix(docs, block=8))):
+        taken[r["key_"], r["source"]] += r["taken"]
+    assert pieces == {k: v for k, v in taken.items() if v}
+    assert sum(pieces.values()) == sum(taken.values())
 
 
 # ---- 2
