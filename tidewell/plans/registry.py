@@ -533,24 +533,21 @@ def excitability_boost(v: Views) -> DataFrame:
     return boosted.select("doc_id", F.round("effective", 6).alias("effective"), F.round("boosted", 6).alias("boosted"))
 
 
-@query("""
-    WITH f AS (SELECT doc_id, CAST(1.0 AS DOUBLE) / (doc_num + 1) AS s FROM v_docs WHERE doc_num < 15),
+@query(f"""WITH {_LISTS.strip()},
+    r AS (SELECT doc_id, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 4) AS s FROM l GROUP BY doc_id),
+    f AS (SELECT r.doc_id, r.s * (0.9 + 0.2 * CASE WHEN d.doc_id IS NULL THEN 0.5 ELSE LEAST(1.0, d.excitability * GREATEST(0.7, EXP(-COALESCE((epoch_us({{as_of}}) - epoch_us(d.last_accessed)) / 86400000000.0, 0.0) / 60))
+        + 0.05 * LEAST(0.7, LN(1 + 1 / ((epoch_us({{as_of}}) - epoch_us(d.indexed_at)) / 86400000000.0 + 1)))) END) AS s FROM r LEFT JOIN v_docs d ON d.doc_id = r.doc_id),
     p AS (SELECT * FROM f ORDER BY s DESC, doc_id LIMIT 5),
-    e AS (SELECT * FROM v_edges WHERE type = 'co_retrieved' AND (valid_to IS NULL OR valid_to > {as_of}) AND source_id <> target_id),
+    e AS (SELECT * FROM v_edges WHERE type = 'co_retrieved' AND (valid_to IS NULL OR valid_to > {{as_of}}) AND source_id <> target_id),
     g AS (SELECT doc_id, SUM(g) AS g FROM (SELECT e.target_id AS doc_id, p.s * LEAST(1.0, GREATEST(0.0, e.weight)) * 0.3 AS g FROM e JOIN p ON p.doc_id = e.source_id
-          UNION ALL SELECT e.source_id, p.s * LEAST(1.0, GREATEST(0.0, e.weight)) * 0.3 FROM e JOIN p ON p.doc_id = e.target_id) x GROUP BY doc_id),
+          UNION ALL SELECT e.source_id, p.s * LEAST(1.0, GREATEST(0.0, e.weight)) * 0.3 FROM e JOIN p ON p.doc_id = e.target_id) x
+          WHERE doc_id IN (SELECT doc_id FROM v_docs) OR doc_id IN (SELECT doc_id FROM f) GROUP BY doc_id),
     j AS (SELECT COALESCE(f.doc_id, g.doc_id) AS doc_id, f.s, g.g, ROW_NUMBER() OVER (PARTITION BY f.s IS NULL ORDER BY g.g DESC NULLS LAST, COALESCE(f.doc_id, g.doc_id)) AS place FROM f FULL OUTER JOIN g ON g.doc_id = f.doc_id)
-    SELECT doc_id, ROUND(COALESCE(s, 0) + COALESCE(g, 0), 6) AS spread, s IS NULL AS is_new FROM j WHERE s IS NOT NULL OR place <= 5""")
+    SELECT doc_id, ROUND(COALESCE(s, 0) + COALESCE(g, 0), 6) AS spread, s IS NULL AS is_new FROM j WHERE s IS NOT NULL OR place <= 80 - (SELECT COUNT(*) FROM f)""")
 def graph_boost(v: Views) -> DataFrame:
-    fused = v("v_docs").where("doc_num < 15").select("doc_id", (F.lit(1.0) / (F.col("doc_num") + 1)).alias("boosted"))
-    return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 10).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
-
-
-@query()
-def graph_boost_fused(v: Views) -> DataFrame:
-    """graph_boost from the boosted fusion of the real lists; graph_boost itself keeps the start that its SQL has."""
+    """From the boosted fusion of the keyword and the vector list; room for documents that neither has."""
     fused = retrieval.excitability_boost(retrieval.rrf(_lists(v)), v("v_docs"), AS_OF)
-    return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 10).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
+    return retrieval.graph_boost(fused, v("v_edges"), AS_OF, 40, docs=v("v_docs")).select("doc_id", F.round("spread", 6).alias("spread"), "is_new")
 
 
 @query("""WITH RECURSIVE q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0),
@@ -699,9 +696,22 @@ def prune_edges_greedy(v: Views) -> DataFrame:
 # ---- graph building
 
 
-@query()
+NOTE_TITLES = ["First", "Second Note", "The Third One"]
+
+
+@query(rf"""
+    WITH t AS (SELECT * FROM (VALUES {", ".join(f"('{n[0]}', '{title}')" for n, title in zip(NOTES, NOTE_TITLES, strict=True))}) x(id, title)),
+    notes AS (SELECT doc_id AS id, translate(regexp_replace(regexp_extract(file_path, '[^/]*$'), '\.[^.]*$', ''), '-_', '  ') AS title, content FROM v_docs
+      UNION ALL SELECT t.id, t.title, n.content FROM t JOIN (SELECT * FROM {NOTES_SQL}) n ON n.id = t.id),
+    tags AS (SELECT DISTINCT id, lower(UNNEST(regexp_extract_all(content, '(?:^|\s)#([a-zA-Z][a-zA-Z0-9_-]*)', 1))) AS tag FROM notes),
+    links AS (SELECT DISTINCT id, trim(CASE WHEN contains(y, '|') THEN regexp_extract(y, '^[^|]*\|(.*)$', 1) ELSE y END) AS link FROM (SELECT id, UNNEST(regexp_extract_all(content, '\[\[([^\[\]]+)\]\]', 1)) AS y FROM notes) x),
+    met AS (SELECT links.id, n.id AS target, ROW_NUMBER() OVER (PARTITION BY links.id, link ORDER BY CASE WHEN lower(n.title) = lower(link) THEN 0 WHEN trim(lower(n.title)) = trim(lower(link)) THEN 1 ELSE 2 END, strlen(lower(n.title)), n.id) AS place
+      FROM links JOIN notes n ON n.title <> '' AND link <> '' AND (trim(lower(n.title)) = trim(lower(link)) OR contains(lower(n.title), lower(link)) OR contains(lower(link), lower(n.title))))
+    SELECT id AS source_id, target AS target_id, 'references' AS type, CAST(0.8 AS DOUBLE) AS weight, CAST(0.9 AS DOUBLE) AS confidence FROM met WHERE place = 1 AND id <> target
+    UNION SELECT id, 'tag_' || tag, 'tagged_as', CAST(0.7 AS DOUBLE), CAST(1.0 AS DOUBLE) FROM tags""")
 def explicit_edges(v: Views) -> DataFrame:
-    notes = rows(v.spark, "id string, title string, content string", [("n1", "First", NOTES[0][1]), ("n2", "Second Note", NOTES[1][1]), ("n3", "The Third One", NOTES[2][1])])
+    """Links and tags of all documents and of the literal notes."""
+    notes = rows(v.spark, "id string, title string, content string", [(i, title, content) for (i, content), title in zip(NOTES, NOTE_TITLES, strict=True)])
     docs = v("v_docs").select(F.col("doc_id").alias("id"), text.title_of("file_path").alias("title"), "content")
     return graph.explicit_edges(docs.unionByName(notes))[1]
 
