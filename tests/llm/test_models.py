@@ -375,6 +375,28 @@ def test_documents_that_share_a_passage(spark):
     assert few.count() < 60
 
 
+def test_linked_sets_share_smallest_hashes():
+    """However the hashes of what differs lie, each of two linked sets has as many of the other's as it counts on."""
+    generator = random.Random(12)
+    for trial in range(3000):
+        limit = jaccard_join.Threshold(generator.choice([80, 90]), 100)
+        base = [generator.randrange(10**6) for _ in range(generator.choice([1, 3, 9, 10, 11, 19, 50, 99, 100, 130]))]
+        low, high = generator.choice([(0, 10**6), (0, 1000), (-(10**6), 0)])
+        sets = []
+        for _ in range(2):
+            s = set(base)
+            for _ in range(generator.randint(0, 1 + len(base) // 7)):
+                if generator.random() < 0.7:
+                    s.add(generator.randint(low, high) + 10**6)
+                elif len(s) > 1:
+                    s.remove(generator.choice([min(s), max(s), generator.choice(sorted(s))]))
+            sets.append(np.array(sorted(s), dtype=np.int64))
+        both = len(np.intersect1d(*sets))
+        if both and limit.linked(both, len(sets[0]) + len(sets[1]) - both):
+            (a, need_a), (b, need_b) = (jaccard_join.smallest_hashes(s, limit) for s in sets)
+            assert len(np.intersect1d(a, b)) >= max(need_a, need_b) >= 1
+
+
 def test_small_sets_of_strangers_share_no_region(spark):
     generator = random.Random(4)
     rows = [(i, " ".join(f"v{generator.randrange(10**6)}" for _ in range(8))) for i in range(400)]
