@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,5 +54,14 @@ def add_columns(
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        del work
+        _release()
 
     return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    """Gives the memory of what a task held (models, tables of words) back to the system: its worker stays for other tasks."""
+    gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
