@@ -100,6 +100,27 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents, keep_text=False).select("doc_id", "path", "own_license", "own_score", "header", "is_license_file", "license", "inherited_from")
 
 
+def op11_pareto_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.pareto_layers import layered_offers, offers
+
+    made = offers(*[table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items")])
+    return layered_offers(made)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.pii import find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.periodic_runs import find_runs
+
+    found = find_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), alter=True, keep_text=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
