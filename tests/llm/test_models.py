@@ -493,3 +493,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert 300 in kept[2] and not ({301, 302} & kept[2])
     assert kept[3] <= kept[2] and kept[4] == kept[3]
     assert docs.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+@pytest.mark.parametrize("lengths,size,kept", [([5000] + [10] * 40, 800, 40), ([5000] * 20, 800, 0), ([300, 700] * 10, 800, 2), ([10] * 100, 800, 80)])
+def test_samples_skip_long_texts(spark, lengths, size, kept):
+    """Wherever the long text is in the order of hashes, the others stay in the sample."""
+    from tidewell.llm.samples import labelled_sample
+
+    rows = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    order = [r["doc_id"] for r in rows.orderBy(F.xxhash64("doc_id")).collect()]
+    # the first length goes to the first id by hash
+    documents = spark.createDataFrame([(i, "x" * n) for i, n in zip(order, lengths)], "doc_id long, text string")
+    labels = documents.select("doc_id", F.lit(1).alias("toxic"))
+    found = labelled_sample(documents, labels, "doc_id", "text", "toxic", 1000, size).collect()
+    assert len(found) == kept and sum(len(r["text_"]) for r in found) <= size
+
+
+@pytest.mark.parametrize("size,known", [(4000, True), (100, False)])
+def test_language_is_learned_beside_a_long_text(spark, size, known):
+    texts = [("the house and the garden", "en"), ("das haus und der garten", "de")] * 40
+    rows = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(texts)], "doc_id long, text string, lang string")
+    first = rows.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    long = rows.withColumn("text", F.when((F.col("doc_id") == first) | F.lit(not known), F.repeat("text", F.lit(1000))).otherwise(F.col("text")))
+    found = language_id.identify(rows, language_id.fit(long, size=size)).collect()
+    assert all(r["lang_pred"] == (r["lang"] if known else "und") for r in found)

@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidewell.llm.arrow import add_columns
+from tidewell.llm.samples import fitting, turn
 from tidewell.llm.shared import stored
 
 UNKNOWN = "und"
@@ -150,13 +150,11 @@ def grams_of(words: DataFrame) -> DataFrame:
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> BackoffModel:
     """Counts the words and n-grams of a sample of labelled texts in Spark: those with the least hashes of their ids, at most
-    ``sample`` of them, as long as they have at most ``size`` bytes together."""
+    ``sample`` of them, of at most ``size`` bytes together, long texts last (``samples.turn``)."""
     labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    order = [F.xxhash64("key"), F.col("key"), F.col("bytes"), F.col("hash")]
-    facts = labelled.select("key", F.octet_length("text").alias("bytes"), F.xxhash64("text", "lang").alias("hash")).orderBy(*order).limit(sample)
-    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    fits = facts.withColumn("sum", F.sum("bytes").over(so_far)).where(F.col("sum") <= size)
-    fits = fits.select(F.col("key").alias("key_"), F.col("hash").alias("hash_")).distinct()
+    order = [F.xxhash64("key"), F.col("key"), F.col("bytes_"), F.col("hash")]
+    facts = labelled.select("key", F.octet_length("text").alias("bytes_"), F.xxhash64("text", "lang").alias("hash")).orderBy(*turn(size), *order).limit(sample)
+    fits = fitting(facts, size, sample, order).select(F.col("key").alias("key_"), F.col("hash").alias("hash_")).distinct()
     part = labelled.join(F.broadcast(fits), F.col("key").eqNullSafe(F.col("key_")) & (F.xxhash64("text", "lang") == F.col("hash_")))
     tokens = part.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("entry"))
     words = stored(tokens.groupBy("lang", "entry").agg(F.count("*").alias("n")), "words")
