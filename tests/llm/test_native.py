@@ -77,30 +77,48 @@ def test_weights_move_only_their_subtree(spark):
 
 
 def test_growth_takes_rows_only_into_the_new_shard(spark):
-    keys = spark.range(2000).withColumnRenamed("id", "doc_id")
-    for n in range(1, 22):
-        keys = sharding.with_shard(keys, sharding.layout(n), "doc_id", f"s{n}")
+    keys = spark.range(1500).withColumnRenamed("id", "doc_id")
+    founded = (1, 2, 3, 5, 8, 13, 16, 20)
+    for n in founded:
+        for more in range(5):
+            keys = sharding.with_shard(keys, sharding.layout(n + more, founded=n), "doc_id", f"s{n}_{more}")
     rows = collected(keys)
-    for n in range(1, 21):
-        moved = [r for r in rows if r[f"s{n}"] != r[f"s{n + 1}"]]
-        assert moved and all(r[f"s{n + 1}"] == n for r in moved)
-        assert abs(len(moved) - 2000 / (n + 1)) < 6 * (2000 / (n + 1)) ** 0.5
+    for n in founded:
+        for more in range(4):
+            moved = [r for r in rows if r[f"s{n}_{more}"] != r[f"s{n}_{more + 1}"]]
+            assert moved and all(r[f"s{n}_{more + 1}"] == n + more for r in moved)
+            share = 1500 / (n + more + 1)
+            assert abs(len(moved) - share) < 6 * share**0.5
+
+
+def test_the_tree_decides(spark):
+    """Other regions and racks over the same shards deal the rows otherwise; a rack's weight decides its share."""
+    keys = spark.range(3000).withColumnRenamed("id", "doc_id")
+    flat = [leaf._replace(region="r", rack="k") for leaf in sharding.layout(16)]
+    both = sharding.with_shard(sharding.with_shard(keys, sharding.layout(16), "doc_id", "s"), flat, "doc_id", "t")
+    assert both.where("s != t").count() > 2000
+    uneven = [leaf._replace(weight=3.0 if leaf.rack == "k0" else 1.0) for leaf in sharding.layout(8)]
+    shares = {r["s"]: r["count"] for r in sharding.with_shard(keys, uneven, "doc_id", "s").groupBy("s").count().collect()}
+    assert abs(shares[0] + shares[1] - 3000 * 6 / 12) < 160
 
 
 def test_shards_by_brute_force(spark):
-    """The descent, level by level, in plain Python from the leaves' draws."""
-    tree = [leaf._replace(weight=1.0 + leaf.shard % 3) for leaf in sharding.layout(11)]
-    keys = spark.range(500).withColumnRenamed("id", "doc_id")
-    draws = keys.select("doc_id", *[F.xxhash64("doc_id", F.lit(f"shard:{leaf.shard}"), F.lit(0)).alias(f"h{leaf.shard}") for leaf in tree])
-    hashes = {r["doc_id"]: r for r in collected(draws)}
+    """The descent, level by level, in plain Python from the draws of the nodes on the way."""
+    tree = [leaf._replace(weight=1.0 + leaf.shard % 3) for leaf in sharding.layout(11, founded=9)] + [sharding.Leaf("r0", "k0", 99, 0.0)]
+    keys = spark.range(400).withColumnRenamed("id", "doc_id")
+    held = [x for x in tree if x.weight > 0]
+    names = {f"region:{x.region}" for x in held} | {f"rack:{x.region}:{x.rack}" for x in held} | {f"shard:{x.region}:{x.rack}:{x.shard}" for x in held}
+    hashes = {r["doc_id"]: r for r in collected(keys.select("doc_id", *[F.xxhash64("doc_id", F.lit(n), F.lit(0)).alias(n) for n in names]))}
     for r in collected(sharding.with_shard(keys, tree, "doc_id", "s")):
-        draw = {}
-        for leaf in tree:
-            u = (((hashes[r["doc_id"]][f"h{leaf.shard}"] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
-            draw[leaf] = -math.log(u) / leaf.weight
-        region = min({x.region for x in tree}, key=lambda name: min(d for x, d in draw.items() if x.region == name))
-        rack = min({x.rack for x in tree if x.region == region}, key=lambda name: min(d for x, d in draw.items() if x.rack == name))
-        assert r["s"] == min((x for x in tree if x.rack == rack), key=draw.get).shard
+
+        def draw(name, weight):
+            u = (((hashes[r["doc_id"]][name] % (1 << 64)) >> 11) + 0.5) / (1 << 53)
+            return -math.log(u) / weight
+
+        weight = lambda **of: sum(x.weight for x in held if all(getattr(x, k) == v for k, v in of.items()))
+        region = min({x.region for x in held}, key=lambda n: draw(f"region:{n}", weight(region=n)))
+        rack = min({x.rack for x in held if x.region == region}, key=lambda n: draw(f"rack:{region}:{n}", weight(region=region, rack=n)))
+        assert r["s"] == min((x for x in held if (x.region, x.rack) == (region, rack)), key=lambda x: draw(f"shard:{region}:{rack}:{x.shard}", x.weight)).shard
 
 
 # ---- 3

@@ -1,11 +1,13 @@
 """Sharding by a hierarchical weighted hash tree (law ``key``).
 
-A cluster is a tree of regions, racks and shards with weights. Every shard draws ``-ln(u) / weight`` from a hash of the row's
-key and the shard's name; a rack's draw is the least of its shards', a region's the least of its racks'. The least of several
-exponential draws is an exponential draw whose weight is the sum of theirs, so these are weighted draws on every level. A row
-descends to the region, rack and shard of the least draw. A subtree's draw depends on nothing but the key and the names and
-weights in it, so a change of weight moves rows only into or out of that subtree, and one more shard, wherever it is put,
-takes rows only into itself.
+A cluster is a tree of regions, racks and shards; a rack weighs what its shards weigh together, a region what its racks do. A
+row draws ``-ln(u) / weight`` for each region, from a hash of its key and the region's name, and goes to the region of the least
+draw, since the least of several exponential draws falls to each in proportion to its weight. There it draws for the racks of
+that region, and then for the shards of that rack: draws on one path only. A change of a weight changes the draws of the nodes
+above it alone, so rows move only into, out of or inside that subtree.
+
+A tree is founded with some number of shards; every shard that is added later is a region of its own. Founded regions keep
+their weights then, so one more shard takes rows only into itself.
 
 Defined cases: null keys hash as a value of their own; null texts count as empty (size 1, CRC 0); repeated rows and ties each
 get a slot; texts of any length are measured whole; an empty table gives an empty result; extra columns are kept, whatever
@@ -30,19 +32,31 @@ class Leaf(NamedTuple):
     weight: float = 1.0
 
 
-def layout(n_shards: int, per_rack: int = 2, per_region: int = 4) -> list[Leaf]:
-    """The tree of ``n_shards`` equal shards, racks and regions filled one after another."""
-    return [Leaf(f"r{s // per_region}", f"k{s // per_rack}", s) for s in range(n_shards)]
+def layout(n_shards: int, founded: int | None = None, per_rack: int = 2, per_region: int = 4) -> list[Leaf]:
+    """The tree of ``n_shards`` equal shards: the ``founded`` first (all, unless stated) fill racks and regions one after another,
+    each later one is a region of its own."""
+    founded = n_shards if founded is None else min(founded, n_shards)
+    old = [Leaf(f"r{s // per_region}", f"k{s // per_rack}", s) for s in range(founded)]
+    return old + [Leaf(f"added{s}", f"added{s}", s) for s in range(founded, n_shards)]
 
 
-def _draw(key: Column, leaf: Leaf, seed: int) -> Column:
-    """(draw, shard) of a leaf."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard:{leaf.shard}"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.struct((-F.log(uniform) / F.lit(float(leaf.weight))).alias("draw"), F.lit(leaf.shard).alias("shard"))
+def _descend(key: Column, level: str, children: Sequence[tuple[str, float]], seed: int) -> Column:
+    """The number of the child of the least weighted draw; equal draws go to the first child."""
+    if len(children) == 1:
+        return F.lit(0)
+    draws = []
+    for i, (name, weight) in enumerate(children):
+        uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{level}:{name}"), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+        draws.append(F.struct((-F.log(uniform) / F.lit(float(weight))).alias("draw"), F.lit(i).alias("child")))
+    return F.array_min(F.array(*draws))["child"]
 
 
-def _least(children: Sequence[Column]) -> Column:
-    return children[0] if len(children) == 1 else F.array_min(F.array(*children))
+def _of_chosen(at: str, branches: Sequence[Column]) -> Column:
+    """The value of the branch whose number is in ``at``; no other is evaluated."""
+    out = F.lit(None).cast("int")
+    for i in reversed(range(len(branches))):
+        out = F.when(F.col(at) == i, branches[i]).otherwise(out)
+    return out
 
 
 def with_shard(df: DataFrame, tree: Sequence[Leaf], key: str, out: str, seed: int = 0) -> DataFrame:
@@ -53,19 +67,35 @@ def with_shard(df: DataFrame, tree: Sequence[Leaf], key: str, out: str, seed: in
             regions.setdefault(leaf.region, {}).setdefault(leaf.rack, []).append(leaf)
     if not regions:
         return df.withColumn(out, F.lit(None).cast("int"))
-    rack = lambda leaves: _least([_draw(F.col(key), leaf, seed) for leaf in leaves])
-    region = lambda racks: _least([rack(leaves) for leaves in racks.values()])
-    return df.withColumn(out, _least([region(racks) for racks in regions.values()])["shard"].cast("int"))
+    weigh = lambda leaves: sum(leaf.weight for leaf in leaves)
+    region_at, rack_at = temp_name(df, "region_at_"), temp_name(df, "rack_at_")
+    racks = [(name, leaves) for held in regions.values() for name, leaves in held.items()]
+    first = {id(held): n for held, n in zip(regions.values(), _before([len(h) for h in regions.values()]), strict=True)}
+    chosen_region = _descend(F.col(key), "region", [(name, sum(map(weigh, held.values()))) for name, held in regions.items()], seed)
+    in_region = [_descend(F.col(key), f"rack:{name}", [(rack, weigh(leaves)) for rack, leaves in held.items()], seed) + first[id(held)] for name, held in regions.items()]
+    in_rack = []
+    for name, leaves in racks:
+        child = _descend(F.col(key), f"shard:{leaves[0].region}:{name}", [(str(leaf.shard), leaf.weight) for leaf in leaves], seed)
+        in_rack.append(F.element_at(F.array(*[F.lit(leaf.shard) for leaf in leaves]), child + 1))
+    found = df.withColumn(region_at, chosen_region).withColumn(rack_at, _of_chosen(region_at, in_region)).withColumn(out, _of_chosen(rack_at, in_rack).cast("int"))
+    return found.drop(region_at, rack_at)
+
+
+def _before(sizes: list[int]) -> list[int]:
+    return [sum(sizes[:i]) for i in range(len(sizes))]
 
 
 def assign_shards(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """Adds size, text_crc32, law, shard, slot and grown_shard to the rows; slots of a shard run from 0 without gaps."""
+    """Adds size, text_crc32, law, shard, slot and grown_shard to the rows; slots of a shard run from 0 without gaps.
+
+    The tree is founded with ``n_shards`` shards; grown_shard is the shard when it has one more.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard").withColumns(
         {"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body), "law": F.lit("key")}
     )
     df = with_shard(df, layout(n_shards), key, "shard", seed)
-    df = with_shard(df, layout(n_shards + 1), key, "grown_shard", seed)
+    df = with_shard(df, layout(n_shards + 1, founded=n_shards), key, "grown_shard", seed)
     one = temp_name(df, "one_")
     df = df.withColumn(one, F.lit(1).cast("long"))
     return running_start(df, "shard", one, [key, "size", "text_crc32"], "slot").drop(one)
