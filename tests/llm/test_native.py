@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -402,3 +403,116 @@ def test_whole_licence_bodies(spark):
     assert [found[i]["own_license"] for i in range(len(bodies))] == list(bodies)
     assert all(found[i]["is_license_file"] for i in range(len(bodies)))
     assert found[100]["license"] == list(bodies)[0] and found[102]["license"] == list(bodies)[3] and found[101]["license"] is None
+
+
+# ---- 2, all of it once more in plain Python
+
+
+def plain_vectors(templates):
+    counts = [(name, collections.Counter(re.findall("[a-z0-9]+", t.lower()))) for name, texts in templates.items() for t in texts]
+    df = collections.Counter(t for _, c in counts for t in c)
+    idf = {t: math.log((len(counts) + 1) / (k + 1)) + 1 for t, k in df.items()}
+    return counts, idf, math.log(len(counts) + 1) + 1
+
+
+def plain_cosines(text, templates):
+    counts, idf, unseen = plain_vectors(templates)
+    own = collections.Counter(re.findall("[a-z0-9]+", text.lower()))
+    norm = lambda c: math.sqrt(sum((k * idf.get(t, unseen)) ** 2 for t, k in c.items()))
+    return [(sum(k * c[t] * idf[t] ** 2 for t, k in own.items() if t in c) / (norm(own) * norm(c)) if own else 0.0, name) for name, c in counts]
+
+
+def plain_decision(name, said, text, body=False):
+    s, whole = said.lower(), re.sub(r"\s+", " ", text.lower())
+    found = re.search(license_scan.VERSION, s)
+    version = f"-{found[1]}.{found[2] or 0}" if found else ""
+    has = lambda pattern: re.search(pattern, s) is not None
+    if body and not found and name.split("-")[0] in ("GPL", "LGPL", "AGPL", "Apache", "MPL", "EPL", "EUPL", "CDDL", "GFDL", "Artistic"):
+        return name
+    if name.split("-")[0] in ("GPL", "LGPL", "AGPL"):
+        kind = "AGPL" if has(r"affero|\bagpl") else "LGPL" if has(r"lesser|library general|\blgpl") else "GPL"
+        return kind + version
+    if name.startswith("CC-BY"):
+        if has(r"\bcc0\b|public domain"):
+            return "CC0-1.0"
+        parts = [short for pattern, short in ((r"non-?\s?commercial|\bnc\b", "-NC"), (r"share-?\s?alike|\bsa\b", "-SA"), (r"no-?\s?deriv|\bnd\b", "-ND")) if has(pattern)]
+        number = re.search(r"\b([1-4]\.[05])\b", s)
+        return "CC-BY" + "".join(parts) + (f"-{number[1]}" if number else "")
+    if name.startswith("BSD-"):
+        for clauses, pattern in ((2, r"2.clause|simplified|freebsd"), (3, r"3.clause|new bsd|modified bsd|revised bsd")):
+            if has(pattern):
+                return f"BSD-{clauses}-Clause"
+        if has(r"4.clause|original bsd") or "all advertising materials" in whole:
+            return "BSD-4-Clause"
+        return "BSD-3-Clause" if "neither the name" in whole else "BSD-2-Clause" if "this software is provided by" in whole else name
+    if name.split("-")[0] in ("Apache", "MPL", "EPL", "EUPL", "CDDL", "GFDL", "Artistic"):
+        return name.split("-")[0] + version
+    return name
+
+
+def plain_own(text, path):
+    """(licence, score) of a text, from all its sentences and its whole, none left out beforehand."""
+    if not text:
+        return None, None
+    plain = re.sub(license_scan.MARKS, "", text)
+    blocks = [re.sub(r"\s+", " ", b).strip() for b in re.split(r"\n\s*\n", plain)]
+    sentences = re.split(license_scan.SENTENCE_END, text) + [x for b in blocks for x in re.split(license_scan.JOINED_END, b)]
+    counts = plain_vectors(license_scan.TEMPLATES)[0]
+    telling = {t for _, c in counts for t in c} - license_scan.EVERYDAY
+    found = []
+    for s in dict.fromkeys(sentences):
+        tag = re.search(license_scan.SPDX, s)
+        scores = plain_cosines(s, license_scan.TEMPLATES)
+        top = max(x for x, _ in scores)
+        at = next(i for i, (x, _) in enumerate(scores) if x == top)
+        if tag:
+            found.append((1.0, len(scores) + 1, s, tag[1]))
+        elif top >= 0.6 and set(re.findall("[a-z0-9]+", s.lower())) & telling:
+            found.append((top, at + 1, s, plain_decision(scores[at][1], s, text)))
+    named = re.search(license_scan.FILE_NAME, path or "") is not None
+    bodies = plain_cosines(text, license_scan.bodies())
+    top, name = max(bodies, key=lambda x: x[0])
+    if top >= (0.6 if named else 0.9):
+        lines = [x for x in re.split(r"\r?\n", text) if x.strip() and not re.search(license_scan.OWNERS, x)]
+        return plain_decision(name, " ".join(lines[: license_scan.TITLE_LINES]), text, True), top
+    best = max(found, default=None)
+    return (best[3], best[0]) if best else (None, None)
+
+
+def test_license_results_by_plain_python(spark):
+    chance, rows = random.Random(4), []
+    sentences = [t for texts in license_scan.TEMPLATES.values() for t in texts]
+    for k in range(140):
+        words = chance.choice(sentences).split()
+        for _ in range(chance.randint(0, 7)):
+            at = chance.randrange(len(words))
+            words[at : at + chance.randint(0, 2)] = [chance.choice(["the", "house", "version", "2.0", "license", "GNU", "of", "all", "NonCommercial", "3"])] * chance.randint(0, 2)
+            words = words or ["x"]
+        text = " ".join(words)
+        cut = chance.randrange(len(text))
+        text = chance.choice([text, f"Some prose before. {text} And after that.", "# " + text[:cut].replace("\n", " ") + "\n# " + text[cut:], text[:cut] + "\n\n" + text[cut:]])
+        rows.append((k, f"{chance.choice('ab')}/{chance.choice('cd')}/{chance.choice(['x.py', 'LICENSE', 'y'])}{k % 3 if chance.random() < 0.7 else ''}", text))
+    for k, (name, (body,)) in enumerate(license_scan.bodies().items()):
+        owners = "Copyright (c) 2020 Somebody\n" * 30 + "All rights reserved.\n\n"
+        rows.append((200 + k, f"z/{name}/{chance.choice(['COPYING', 'text'])}", owners + body))
+    rows += [(300, None, sentences[0]), (301, "a/c/none", None), (302, "a/q/plain.txt", "just some prose of no licence"), (303, "a/q/e/deep.txt", ""), (304, "top", "SPDX-License-Identifier: (MIT OR Apache-2.0)")]
+    own = {k: plain_own(text, path) for k, path, text in rows}
+    found = {r["doc_id"]: r for r in collected(license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)))}
+    for k, path, text in rows:
+        name, score = own[k]
+        r = found[k]
+        assert (r["own_license"], r["own_score"]) == (name, score if score is None else pytest.approx(score)), (text, r)
+        if name is None and path is not None:
+            holders = {}
+            for q in found.values():
+                if q["is_license_file"] and q["path"] is not None:
+                    folder = q["path"].rpartition("/")[0]
+                    holders[folder] = min(holders.get(folder, (q["path"], q["own_license"])), (q["path"], q["own_license"]))
+            folder = path.rpartition("/")[0]
+            while folder and folder not in holders:
+                folder = folder.rpartition("/")[0]
+            held = holders.get(folder)
+            assert (r["license"], r["inherited_from"]) == ((held[1], held[0]) if held else (None, None))
+        else:
+            assert r["license"] == name and r["inherited_from"] is None
+    assert sum(name is not None for name, _ in own.values()) > 100

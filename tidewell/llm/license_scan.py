@@ -10,7 +10,7 @@ directory's licence file. A file without a licence of its own takes that of the
 directory, found by joining the distinct directories' ancestors with the directories of licence files.
 
 Defined cases: null and empty texts have no licence of their own; a null path has no directory and inherits nothing; of several
-licence files of a directory the least path counts; texts of any length are read whole; of
+licence files of a directory the least path counts, of equal paths the least licence; texts of any length are read whole; of
 templates with equal cosines the first in order counts, of a text's licences with equal scores the last template's; repeated rows
 are scanned one by one; an empty table gives an empty result; extra columns are kept, whatever their names.
 """
@@ -129,8 +129,9 @@ JOINED_END = r"(?<![vV]\.)(?<=[.!?])\s+"
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|//+|#+|\*+|;+|--+|%+|<!--+)?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t]*\r?$"
 SPDX = r"(?i)SPDX-License-Identifier:\s*(\(*[a-z0-9][a-z0-9.+:-]*\)*(?:\s+(?:AND|OR|WITH)\s+\(*[a-z0-9][a-z0-9.+:-]*\)*)*)"
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying)(?:\.[a-z]+)?$"
-#: How much of a body's beginning is its title.
-TITLE = 300
+#: Lines that make up a body's title: its first that aren't blank and don't say whose work it is.
+TITLE_LINES = 4
+OWNERS = r"(?i)^[\s*#/;%!<>-]*(?:(?:portions|parts)\b.{0,80}?)?(?:copyright\b|copr\.|\(c\)|\u00a9|all rights reserved|authors?\s*:|written by\b)"
 VERSION = r"(?:version|gpl|fdl|mpl|epl|eupl|cddl|artistic|apache|licen[cs]e|\bv)[\s,.(-]*(?:version\s*)?v?([0-9])(?:\.([0-9]))?(?![0-9])"
 
 
@@ -316,7 +317,7 @@ def own_licenses(
     first = F.regexp_extract(t, r"[^\s][^\r\n]*", 0)
     file_name = F.coalesce(F.col(path).rlike(FILE_NAME), F.lit(False))
     enough = F.when(file_name, least).otherwise(least_body)
-    title = F.left(t, F.lit(TITLE))
+    title = F.array_join(F.slice(F.filter(F.split(t, r"\r?\n"), lambda x: x.rlike(r"\S") & ~x.rlike(OWNERS)), 1, TITLE_LINES), " ")
     named = lambda b: _decided(F.get(body_names, b["at"] - 1), title, t, body=True)
     body = let(_best(t, whole), lambda b: F.when(b["score"] >= enough, F.struct(b["score"].alias("score"), b["at"].alias("at"), first.alias("header"), named(b).alias("name"))))
     columns = df.columns
@@ -348,7 +349,7 @@ def scan(df: DataFrame, text: str = "text", path: str = "path", least: float = 0
     df = stored(df if keep_text else df.drop(text), "own")
     folder = temp_name(df, "dir_")
     df = df.withColumn(folder, F.regexp_replace(F.col(path), r"/?[^/]*$", ""))
-    held = F.min_by(F.struct(F.col("own_license").alias("l"), F.col(path).alias("p")), path).alias("held")
+    held = F.min(F.struct(F.col(path).alias("p"), F.col("own_license").alias("l"))).alias("held")
     holders = df.where("is_license_file").groupBy(F.col(folder).alias("holder")).agg(held)
     wanting = df.where(F.col("own_license").isNull() & F.col(folder).isNotNull()).select(F.col(folder).alias("dir")).distinct()
     parts = F.split("dir", "/")
@@ -357,5 +358,7 @@ def scan(df: DataFrame, text: str = "text", path: str = "path", least: float = 0
     met = up.join(holders, up["above"]["up"] == holders["holder"])
     of, found = temp_name(df, "of_"), temp_name(df, "from_")
     nearest = met.groupBy(F.col("dir").alias(of)).agg(F.max_by("held", F.col("above")["depth"]).alias(found))
+    # a table, so that the join deals both sides anew and adaptive execution can split a directory of very many files
+    nearest = stored(nearest, "nearest")
     out = df.join(nearest, (df[folder] == nearest[of]) & df["own_license"].isNull(), "left")
     return out.withColumns({"license": F.coalesce("own_license", F.col(found)["l"]), "inherited_from": F.col(found)["p"]}).drop(folder, of, found)
