@@ -117,6 +117,61 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(good, expected) and np.allclose(pairs, expected_pairs) and np.isclose(total, logs)
 
 
+def plain_features(text):
+    """The features of each line with a word, character by character."""
+    kept = []
+    for line in (text or "").split("\n"):
+        words = [w for w in re.split("[\x20\x09-\x0d]+", line) if w]
+        if words:
+            kept.append((line.encode(), [w.encode() for w in words]))
+    out = []
+    for line, words in kept:
+        count = {name: sum(c in chars for c in line) for name, chars in quality_crf._GROUPS.items()}
+        n, letters = len(words), count["lower"] + count["upper"] + count["other"] + 1
+        capped = [min(count["digit"] / n, 3), min(count["stop"] / n, 2), min(count["bang"] / n, 2), min(count["symbol"] / n, 3), min(count["pipe"] / n, 2)]
+        out.append([
+            count["lower"] / letters, count["upper"] / letters, *capped, count["other"] / letters, math.log1p(n) / 5, min(len(line) / n, 30) / 10,
+            sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n, float([w for _, w in kept].count(words) > 1), float(n < 5), sum(65 <= w[0] <= 90 for w in words) / n,
+        ])
+    return out
+
+
+def test_line_features_by_plain_python():
+    import pyarrow as pa
+
+    texts = ["A line of Words here.\na line | of ## words!!\n\n \t\nWords Words words words 12 3", None, "", "é ü\né ü\nx", "one", "\n\n", "tail \x0b gap\x1cjoined\n" + "word " * 50 + "\nA line of Words here."]
+    found = quality_crf.line_features(pa.array(texts))
+    expected = [(i, f) for i, t in enumerate(texts) for f in plain_features(t)]
+    assert found.document.tolist() == [i for i, _ in expected] and np.allclose(found.features, [f for _, f in expected])
+
+
+def test_a_training_step_and_the_calibration_by_hand():
+    generator = np.random.RandomState(2)
+    document, label = np.repeat([0, 1, 2, 3], [3, 2, 1, 2]), np.repeat([1, 0, 0, 1], [3, 2, 1, 2])
+    x = generator.randn(8, quality_crf.N)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    rows = []
+    for i in range(8):
+        near = [z[j] if 0 <= j < 8 and document[j] == document[i] else np.zeros(quality_crf.N) for j in (i - 1, i + 1)]
+        rows.append([*z[i], *near[0], *near[1], 1.0])
+    # at weights of nought every label is as likely as the other, and so is every pair
+    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
+    unary = np.array(rows).T @ (weight * (label - 0.5)) / 8
+    pairs = np.zeros((2, 2))
+    for i in range(1, 8):
+        if document[i] == document[i - 1]:
+            pairs[label[i - 1], label[i]] += 1
+            pairs -= 0.25
+    field = quality_crf.train(x, document, label, np.ones(8), rounds=1)
+    step = lambda g: 0.1 * g / (np.abs(g) + 1e-8)
+    assert np.allclose(field.unary, step(unary), atol=1e-6) and np.allclose(field.pair, step(pairs / 8), atol=1e-6)
+    raw, truth = generator.rand(60), generator.randint(0, 2, 60)
+    slope, offset = quality_crf.calibrate(raw, truth)
+    loss = lambda a, b: np.log1p(np.exp(-(2 * truth - 1) * (a * (raw - 0.5) + b))).sum() + 0.5e-2 * a * a
+    best = min(((loss(a, b), a, b) for a in np.linspace(-8, 8, 161) for b in np.linspace(-4, 4, 81)))
+    assert slope == 1e-3 and best[1] <= 0.05 or loss(slope, offset) <= best[0] + 1e-9
+
+
 # ---- 8
 
 SAID = {

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,16 +258,17 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
         return work
 
-    got = add_columns(rows, "text_", new, make, keep_text=False).orderBy("key_", "label_", F.xxhash64("lengths")).collect()
-    truth = np.array([r["label_"] for r in got], dtype=int)
+    # as Arrow: some bytes a number, however many lines there are
+    got = add_columns(rows, "text_", new, make, keep_text=False).orderBy("key_", "label_", F.xxhash64("lengths")).toArrow().combine_chunks()
+    truth = np.array(got["label_"].to_pylist(), dtype=int)
     if len(set(truth.tolist())) < 2:
         share = float(truth.mean()) if len(truth) else 0.5
         return Field(np.zeros(3 * N + 1), np.zeros((2, 2)), np.zeros(N), np.ones(N), constant=share)
-    x = np.concatenate([np.array(r["x"], dtype=float).reshape(-1, N) for r in got])
-    length = np.concatenate([np.array(r["lengths"], dtype=float) for r in got])
-    document = np.repeat(np.arange(len(got)), [len(r["lengths"]) for r in got])
+    flat = lambda name: pc.list_flatten(got[name]).to_numpy().astype(float)
+    x, length = flat("x").reshape(-1, N), flat("lengths")
+    document = np.repeat(np.arange(len(truth)), pc.list_value_length(got["lengths"]).to_numpy())
     field = train(x, document, truth[document], length)
-    raw = np.nan_to_num(_weighted(field, x, document, length, len(got)), nan=0.0)
+    raw = np.nan_to_num(_weighted(field, x, document, length, len(truth)), nan=0.0)
     field.slope, field.offset = calibrate(raw, truth)
     return field
 
