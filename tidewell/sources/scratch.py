@@ -1,18 +1,32 @@
-"""Cutting lineage in loops: a checkpoint in the folder that the cluster shares."""
+"""Cutting lineage in loops, and scratch tables: in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir``. Where no folder is set, a local master gets a temporary one; a cluster, whose
-    executors wouldn't see each other's files, an error."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where no folder is set, a local master gets a temporary one; a cluster, whose executors wouldn't
+    see each other's files, an error."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewell-"))
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewell-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path inside the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
