@@ -13,13 +13,12 @@ from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import let, md5_short
 from tidewell.operators import text as T
+from tidewell.operators.vectors import knn_join, similar_pairs
 from tidewell.sources.scratch import settled
 
 # How much an edge's type counts in a graph search.
 TYPE_WEIGHTS = {"references": 1.5, "tagged_as": 1.3, "mentions": 1.2, "similar_to": 1.1, "discusses": 1.0, "temporal": 0.4}
 OTHER_TYPE = 0.8
-#: Pairs of neighbours that betweenness sends to every task at most.
-MOST_PAIRS = 5_000_000
 # Capitalised words that aren't entities, and technical terms that are.
 COMMON_WORDS = (
     "The This That These Those And But Or So Then Now Here There When Where Why How What Which Who Whom Whose Will Would Could Should Might May Can Must Shall"
@@ -177,31 +176,81 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # ---- building
 
 
+def note_parts(notes: DataFrame) -> DataFrame:
+    """(doc_id, kind, value, n): what each note (id, content) adds to a graph: its tags, links and entities, and its topic words
+    with their counts. A graph is made of these rows alone, so of a changed note only its own are made anew."""
+    c = F.col("content")
+    listed = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    each = F.concat(listed("tag", T.tags(c)), listed("link", T.wiki_links(c)), listed("entity", _entities(c)))
+    marks = notes.select(F.col("id").alias("doc_id"), F.explode(each).alias("x")).select("doc_id", "x.kind", "x.value", F.lit(1).cast("long").alias("n"))
+    words = notes.select(F.col("id").alias("doc_id"), F.explode(_topic_words(c)).alias("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+    return marks.unionByName(words.select("doc_id", F.lit("word").alias("kind"), "value", "n"))
+
+
 def explicit_edges(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tag nodes, edges): references by wiki links, resolved by title, and tagged_as by hashtags."""
-    tagged = notes.select("id", F.explode(T.tags(F.col("content"))).alias("tag"))
+    of = lambda kind, values: notes.select(F.col("id").alias("doc_id"), F.explode(values).alias("value")).withColumn("kind", F.lit(kind))
+    return explicit_of(of("tag", T.tags(F.col("content"))).unionByName(of("link", T.wiki_links(F.col("content")))), notes)
+
+
+def explicit_of(parts: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """explicit_edges from the rows of ``note_parts`` and the notes' titles (id, title)."""
+    tagged = parts.where("kind = 'tag'").select(F.col("doc_id").alias("id"), F.col("value").alias("tag"))
     tag_nodes = tagged.select(F.concat(F.lit("tag_"), "tag").alias("id"), F.lit("tag").alias("type"), F.concat(F.lit("#"), "tag").alias("title")).distinct()
     tag_edges = tagged.select(F.col("id").alias("source_id"), F.concat(F.lit("tag_"), "tag").alias("target_id"), F.lit("tagged_as").alias("type"), F.lit(0.7).alias("weight"), F.lit(1.0).alias("confidence"))
-    links = notes.select("id", F.explode(T.wiki_links(F.col("content"))).alias("link"))
+    links = parts.where("kind = 'link'").select(F.col("doc_id").alias("id"), F.col("value").alias("link"))
     found = resolve_titles(links.select("link").distinct(), notes.select("id", "title"))
     refs = links.join(found, "link").where("id != target_id").select(F.col("id").alias("source_id"), "target_id", F.lit("references").alias("type"), F.lit(0.8).alias("weight"), F.lit(0.9).alias("confidence"))
     return tag_nodes, refs.unionByName(tag_edges).distinct()
 
 
 def resolve_titles(links: DataFrame, titles: DataFrame) -> DataFrame:
-    """(link, target_id): the title that equals the link, else equals it trimmed, else contains it or is contained; shortest first."""
-    t = titles.select(F.col("id").alias("target_id"), F.lower("title").alias("t"))
-    l = links.select("link", F.lower("link").alias("l"))  # noqa: E741
+    """(link, target_id): the title that equals the link, else equals it trimmed, else contains it or is contained; shortest first.
+
+    Equal titles are compared once, by the first of them. Containment is a join on pieces (``contained``), not of all with all.
+    """
+    t = titles.groupBy(F.lower("title").alias("t")).agg(F.min("id").alias("target_id"))
+    l = links.select("link", F.lower("link").alias("l")).distinct()  # noqa: E741
     exact = l.join(t, F.col("l") == F.col("t")).withColumn("priority", F.lit(0))
     trimmed = l.join(t, F.trim("l") == F.trim("t")).withColumn("priority", F.lit(1))
-    settled = exact.select("link").distinct().unionByName(trimmed.select("link").distinct())
-    left = l.join(settled, "link", "left_anti")
-    contained = left.join(t, F.contains("t", "l") | F.contains("l", "t")).where("t != '' and l != ''").withColumn("priority", F.lit(2))
-    every = exact.unionByName(trimmed).unionByName(contained)
-    best = every.groupBy("link").agg(F.min(F.struct("priority", F.octet_length("t").alias("size"), "target_id")).alias("b"))
+    settled_ = settled(exact.select("link", "priority", "t", "target_id").unionByName(trimmed.select("link", "priority", "t", "target_id")))
+    left = settled(l.join(settled_.select("link").distinct(), "link", "left_anti"))
+    words, whole = left.select(F.col("l").alias("s")).distinct(), t.select(F.col("t").alias("s"))
+    met = contained(words, whole).select(F.col("short").alias("l"), F.col("long").alias("t"))
+    met = met.unionByName(contained(whole, words).select(F.col("long").alias("l"), F.col("short").alias("t"))).distinct()
+    found = met.join(left, "l").join(t, "t").select("link", F.lit(2).alias("priority"), "t", "target_id")
+    best = settled_.unionByName(found).groupBy("link").agg(F.min(F.struct("priority", F.octet_length("t").alias("size"), "target_id")).alias("b"))
     return best.select("link", F.col("b.target_id").alias("target_id"))
 
 
+#: Characters of the pieces by which strings find those that contain them.
+PIECE = 3
+
+
+def _pieces(text: Column, size: Column | int) -> Column:
+    """The distinct stretches of ``size`` characters."""
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def contained(shorter: DataFrame, longer: DataFrame) -> DataFrame:
+    """(short, long): the strings (s) of ``shorter`` that those (s) of ``longer`` contain; empty strings aside.
+
+    A string that is contained has all its pieces in the other, so it is looked up by the one that the fewest of them have; then
+    the pair is verified. Strings of fewer than PIECE characters are their own piece.
+    """
+    sized = shorter.where("s != ''").select("s", F.least(F.char_length("s"), F.lit(PIECE)).alias("size"))
+    mine = sized.select("s", F.explode(_pieces(F.col("s"), F.col("size"))).alias("piece"))
+    theirs = longer.where("s != ''").select("s", F.explode(F.flatten(F.array(*[F.when(F.char_length("s") >= n, _pieces(F.col("s"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, PIECE + 1)]))).alias("piece"))
+    # only the pieces that are asked for stay
+    theirs = settled(theirs.join(mine.select("piece").distinct(), "piece", "left_semi"))
+    counts = theirs.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    known = mine.join(counts, "piece", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("rarest"))
+    asked = known.where("rarest.n > 0").select(F.col("s").alias("short"), F.col("rarest.piece").alias("piece"))
+    met = asked.join(theirs.select(F.col("s").alias("long"), "piece"), "piece").where(F.contains("long", "short"))
+    return met.select("short", "long")
+
+
 def temporal_pairs(dated: DataFrame, days: int = 7) -> DataFrame:
     """(source_id, target_id, gap, weight) of nodes (id, date) at most ``days`` apart: a band join on buckets of that width."""
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
@@ -216,16 +265,69 @@ def temporal_pairs(dated: DataFrame, days: int = 7) -> DataFrame:
     return pairs.withColumn("weight", F.greatest(F.lit(0.3), 1 - 0.5 * F.col("gap") / days))
 
 
-def temporal_edges(dated: DataFrame, days: int = 7, most: int = 50_000, per_node: int = 20) -> DataFrame:
-    """(source_id, target_id, weight) of pairs at most ``days`` apart: kept in order of dates and ids while both ends have
-    fewer than ``per_node``, and the first ``most`` of those."""
-    pairs = temporal_pairs(dated, days)
-    a, b = dated.select(F.col("id").alias("source_id"), F.col("date").alias("from_")), dated.select(F.col("id").alias("target_id"), F.col("date").alias("to_"))
-    # prune_greedy goes by weight, then id; equal weights and ids that sort like (date, id, date, id) make it go in that order
-    order = F.concat_ws("\u0001", "from_", "source_id", "to_", "target_id")
-    named = pairs.join(a, "source_id").join(b, "target_id").select("source_id", "target_id", F.col("weight").alias("nearness_"), F.lit(1.0).alias("weight"), order.alias("id"))
-    kept = prune_greedy(named, 0.0, per_node).orderBy("id").limit(most)
-    return kept.select("source_id", "target_id", F.col("nearness_").alias("weight"))
+#: Rows of a range in the sweep over dates.
+RANGE = 65_536
+
+
+def temporal_edges(dated: DataFrame, days: int = 7, most: int = 50_000, per_node: int = 20, rows: int = RANGE) -> DataFrame:
+    """(source_id, target_id, weight) of nodes (id, date) at most ``days`` apart: kept in order of dates and ids while both ends
+    have fewer than ``per_node``, and the first ``most`` of those.
+
+    A node that isn't full links to the nodes right behind it, since whoever has linked to a later one has linked to it as well.
+    So a sweep in order only has to know how far the last ``per_node`` nodes reach. The nodes are dealt into ranges of about
+    ``rows``; a range is swept with what reaches into it from the one before, and with the first nodes behind it, and no further
+    range is read once there are ``most`` links. No pairs are made but those that stay.
+    """
+    at = dated.where("date is not null").select("id", F.datediff("date", F.lit("1970-01-01").cast("date")).alias("day"))
+    n = max(1, -(-at.count() // rows))
+    ranged = settled(at.repartitionByRange(n, "day", "id").withColumn("range", F.spark_partition_id()))
+    sizes = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kind = dated.schema["id"].dataType.simpleString()
+    schema = f"source_id {kind}, target_id {kind}, gap long, place long, reach array<long>"
+    parts, reach, made = [], [], 0
+    for r in sorted(sizes):
+        behind, so_far = [], 0
+        for later in sorted(k for k in sizes if k > r):
+            if so_far >= per_node:
+                break
+            behind, so_far = [*behind, later], so_far + sizes[later]
+        ahead = ranged.where(F.col("range").isin(behind)).orderBy("day", "id").limit(per_node) if behind else ranged.limit(0)
+        # one range and a few rows: a bounded number
+        one = ranged.where(F.col("range") == r).unionByName(ahead).coalesce(1).sortWithinPartitions("day", "id")
+        swept = settled(one.mapInPandas(_sweep(days, per_node, sizes[r], reach), schema))
+        state = swept.where("reach is not null").select("reach", "place").first()
+        parts.append(swept.where("reach is null").withColumn("range", F.lit(r)))
+        reach, made = list(state["reach"]), made + state["place"]
+        if made >= most:
+            break
+    if not parts:
+        return dated.select(F.col("id").alias("source_id"), F.col("id").alias("target_id"), F.lit(0.0).alias("weight")).limit(0)
+    kept = reduce(DataFrame.unionByName, parts).orderBy("range", "place").limit(most)
+    return kept.select("source_id", "target_id", F.greatest(F.lit(0.3), 1 - 0.5 * F.col("gap") / days).alias("weight"))
+
+
+def _sweep(days: int, per_node: int, own: int, reach: list[int]):
+    """Links of the first ``own`` of sorted rows, and a last row with their number and how far (from the end of these rows) the
+    last nodes reach. ``reach``: the same of the range before."""
+
+    def run(batches):
+        rows = pd.concat(list(batches), ignore_index=True)
+        day, ids = rows["day"].to_numpy(), rows["id"].to_numpy()
+        last = np.searchsorted(day, day + days, side="right") - 1
+        ends, made = list(reach), []
+        for i in range(min(own, len(rows))):
+            ends = [e for e in ends if e >= i]
+            free = min(per_node - len(ends), int(last[i]) - i)
+            if free > 0:
+                made += [(i, j) for j in range(i + 1, i + free + 1)]
+                ends.append(i + free)
+        i, j = (np.array(x, dtype=np.int64) for x in zip(*made, strict=True)) if made else (np.zeros(0, dtype=np.int64),) * 2
+        links = pd.DataFrame({"source_id": ids[i], "target_id": ids[j], "gap": (day[j] - day[i]).astype(np.int64), "place": np.arange(len(i)), "reach": None})
+        if len(links):
+            yield links
+        yield pd.DataFrame({"source_id": [None], "target_id": [None], "gap": [0], "place": [len(made)], "reach": [[e - own for e in ends if e >= own]]})
+
+    return run
 
 
 def date_of(path: Column, metadata: Column | None = None) -> Column:
@@ -235,24 +337,36 @@ def date_of(path: Column, metadata: Column | None = None) -> Column:
     return F.to_date(F.coalesce(*[F.try_to_timestamp(F.left(x, F.lit(10)), F.lit("yyyy-MM-dd")) for x in [*fields, F.nullif(found, F.lit(""))]]))
 
 
+def _entities(content: Column) -> Column:
+    """Distinct names, technical terms, capitalised words and links."""
+    patterns = [r"(?U)\b[A-Z][a-z]+ [A-Z][a-z]+\b", rf"(?U)\b(?:{TECH_TERMS})\b", r"(?U)\b[A-Z][a-zA-Z]{2,}\b"]
+    found = reduce(F.array_union, [F.regexp_extract_all(content, F.lit(p), F.lit(0)) for p in patterns] + [T.wiki_links(content)])
+    return F.array_distinct(F.filter(found, lambda x: ~x.isin(COMMON_WORDS)))
+
+
 def entity_mentions(notes: DataFrame, least: int = 2) -> DataFrame:
     """(id, entity, entity_id, frequency): names, technical terms, capitalised words and links that occur in several notes."""
-    c = F.col("content")
-    patterns = [r"(?U)\b[A-Z][a-z]+ [A-Z][a-z]+\b", rf"(?U)\b(?:{TECH_TERMS})\b", r"(?U)\b[A-Z][a-zA-Z]{2,}\b"]
-    found = reduce(F.array_union, [F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in patterns] + [T.wiki_links(c)])
-    kept = F.filter(found, lambda x: ~x.isin(COMMON_WORDS))
-    seen = notes.select("id", F.explode(F.array_distinct(kept)).alias("entity"))
+    return entities_of(notes.select(F.col("id").alias("doc_id"), F.lit("entity").alias("kind"), F.explode(_entities(F.col("content"))).alias("value")), least)
+
+
+def entities_of(parts: DataFrame, least: int = 2) -> DataFrame:
+    """entity_mentions from the rows of ``note_parts``."""
+    seen = parts.where("kind = 'entity'").select(F.col("doc_id").alias("id"), F.col("value").alias("entity"))
     frequent = seen.groupBy("entity").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
     return seen.join(frequent, "entity").select("id", "entity", F.concat(F.lit("entity_"), md5_short(F.lower("entity"))).alias("entity_id"), "frequency")
 
 
+def _topic_words(content: Column) -> Column:
+    return F.filter(F.split(F.lower(content), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[a-z]{4,}$"))
+
+
 def topic_clusters(notes: DataFrame, words: int = 20, least: int = 2, least_notes: int = 1) -> DataFrame:
     """(id, topic, topic_id, n): the corpus's most frequent words, and the notes that use each of them at least twice.
 
     One scan finds the words, a second counts only those in each note; no (note, word) rows are shuffled. Fewer than
     ``least_notes`` notes have no topics.
     """
-    token = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{M}\p{N}_]+"), lambda w: w.rlike("^[a-z]{4,}$"))
+    token = _topic_words(F.col("content"))
     totals = notes.select(F.explode(token).alias("topic")).groupBy("topic").agg(F.count("*").alias("total"))
     frequent = totals.where((F.col("total") >= 2) & ~F.col("topic").isin(TOPIC_STOP_WORDS)).orderBy(F.desc("total"), "topic").limit(words)
     top = [r["topic"] for r in frequent.collect()]
@@ -267,32 +381,19 @@ def topic_clusters(notes: DataFrame, words: int = 20, least: int = 2, least_note
     return used.join(F.broadcast(shared), "topic").select("id", "topic", F.concat(F.lit("topic_"), md5_short(F.col("topic"))).alias("topic_id"), "n")
 
 
-def semantic_edges(vectors: DataFrame, least: float = 0.7, per_node: int = 20, block: int = 2048, key: str = "id") -> DataFrame:
-    """(source_id, target_id, weight): pairs of cosine ``least`` or more, each node's ``per_node`` nearest.
+def topics_of(parts: DataFrame, words: int = 20, least: int = 2) -> DataFrame:
+    """topic_clusters from the rows of ``note_parts``: frequencies are sums over notes, so no text is read."""
+    counted = parts.where("kind = 'word'").select(F.col("doc_id").alias("id"), F.col("value").alias("topic"), "n")
+    totals = counted.groupBy("topic").agg(F.sum("n").alias("total")).where((F.col("total") >= 2) & ~F.col("topic").isin(TOPIC_STOP_WORDS))
+    top = F.broadcast(totals.orderBy(F.desc("total"), "topic").limit(words).select("topic"))
+    used = settled(counted.join(top, "topic").where(F.col("n") >= least).select("id", "topic", "n"))
+    shared = used.groupBy("topic").agg(F.count("*").alias("notes")).where("notes >= 2").select("topic")
+    return used.join(F.broadcast(shared), "topic").select("id", "topic", F.concat(F.lit("topic_"), md5_short(F.col("topic"))).alias("topic_id"), "n")
 
-    Vectors are dealt into blocks; every two blocks meet in one task as a matrix product, so no task holds more than two.
-    """
-    kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.select(F.col(key).alias("id"), F.col("embedding")).where("embedding is not null")
-    n = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")})
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        ids, b = group["id"].to_numpy(), group["b"].to_numpy()
-        i, j = np.nonzero(x @ x.T >= least)
-        p, q = group["p"].iloc[0], group["q"].iloc[0]
-        keep = (ids[i] < ids[j]) & ((p == q) | (b[i] != b[j]))
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"source_id": ids[i], "target_id": ids[j], "weight": np.minimum(1.0, np.einsum("ij,ij->i", x[i], x[j]))})
-
-    pairs = dealt.groupBy("p", "q").applyInPandas(meet, f"source_id {kind}, target_id {kind}, weight double")
-    both = pairs.unionByName(pairs.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight"))
-    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("weight"), "target_id"))
-    top = both.withColumn("rank", rank).where(F.col("rank") <= per_node)
+
+def semantic_edges(vectors: DataFrame, least: float = 0.7, per_node: int = 20, key: str = "id", cells: int | None = None) -> DataFrame:
+    """(source_id, target_id, weight): pairs of cosine ``least`` or more, each node's ``per_node`` nearest. Vectors meet in cells."""
+    top = similar_pairs(vectors, least, per_node, key, cells=cells)
     return top.select(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), "weight").distinct()
 
 
@@ -312,8 +413,6 @@ def semantic_capped(pairs: DataFrame, per_node: int = 20) -> DataFrame:
 def allocation_edges(new: DataFrame, docs: DataFrame, above: float = 0.6, k: int = 5) -> DataFrame:
     """(source_id, target_id, type, weight, confidence): from each new document (doc_id, embedding) to those of its k nearest
     documents, itself apart, whose excitability is over ``above``."""
-    from tidewell.operators.retrieval import knn_join
-
     near = knn_join(new.select(F.col("doc_id").alias("query_id"), "embedding"), docs, k + 1)
     others = near.where("query_id != doc_id").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k)
     excited = docs.where(F.col("excitability") > above).select("doc_id")
@@ -330,34 +429,36 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, samples: int = 500) -> DataFrame:
     """(id, passes): how often a node lies inside the search trees of up to ``samples`` sources, ids in order.
 
-    The adjacency goes to every task, so a graph of more than MOST_PAIRS neighbours is an error rather than a loss of memory.
+    All trees grow together, level by level: what the last level's (source, node) rows reach and hasn't been reached hangs from
+    the neighbour that a search would have come to first, that of the least path. Then numbers of descendants are summed up the
+    trees, the deepest level first; a node lies inside the paths to all its descendants. No part of the graph goes to the driver.
     """
-    pairs = settled(both_ways(edges.where("source_id != target_id")).select("node", "other").distinct())
-    if pairs.count() > MOST_PAIRS:
-        raise ValueError(f"betweenness is for graphs of at most {MOST_PAIRS} pairs of neighbours")
-    adjacency: dict[str, list[str]] = {r["node"]: r["others"] for r in pairs.groupBy("node").agg(F.array_sort(F.collect_list("other")).alias("others")).toLocalIterator()}
-    shared = edges.sparkSession.sparkContext.broadcast(adjacency)
-    sources = pairs.select("node").distinct().orderBy("node").limit(samples)
-
-    def search(batches):
-        graph = shared.value
-        for batch in batches:
-            passes: dict[str, int] = {}
-            for source in batch["node"]:
-                parent, depth, queue = {source: None}, {source: 0}, [source]
-                for node in queue:
-                    for other in graph.get(node, ()):
-                        if other not in parent:
-                            parent[other], depth[other] = node, depth[node] + 1
-                            queue.append(other)
-                for target in queue:
-                    inner = parent[target] if depth[target] >= 2 else None
-                    while inner is not None and inner != source:
-                        passes[inner] = passes.get(inner, 0) + 1
-                        inner = parent[inner]
-            yield pd.DataFrame({"id": list(passes), "passes": list(passes.values())})
-
-    return sources.mapInPandas(search, "id string, passes long").groupBy("id").agg(F.sum("passes").alias("passes"))
+    hops = settled(both_ways(edges.where("source_id != target_id")).select("node", "other").distinct())
+    sources = hops.select("node").distinct().orderBy("node").limit(samples)
+    last = sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path"))
+    reached, grown = last.select("source", "node"), []
+    while True:
+        step = last.join(hops, "node").groupBy("source", F.col("other").alias("node")).agg(F.min("path").alias("path"))
+        new = settled(step.join(reached, ["source", "node"], "left_anti").withColumn("path", F.concat("path", F.array("node"))))
+        if new.isEmpty():
+            break
+        grown.append(new.select("source", "node", F.element_at("path", -2).alias("parent")))
+        last = new
+        reached = reached.unionByName(new.select("source", "node"))
+    counted: list[DataFrame] = []
+    below: DataFrame | None = None
+    for level in reversed(grown):
+        if below is None:
+            own = level.withColumn("descendants", F.lit(0).cast("long"))
+        else:
+            under = below.groupBy("source", F.col("parent").alias("node")).agg(F.sum(F.col("descendants") + 1).alias("descendants"))
+            own = level.join(under, ["source", "node"], "left").withColumn("descendants", F.coalesce("descendants", F.lit(0)))
+            own = settled(own.select("source", "node", "parent", "descendants"))
+        counted.append(own.where("descendants > 0").select(F.col("node").alias("id"), "descendants"))
+        below = own
+    if not counted:
+        return hops.select(F.col("node").alias("id"), F.lit(0).cast("long").alias("passes")).limit(0)
+    return reduce(DataFrame.unionByName, counted).groupBy("id").agg(F.sum("descendants").alias("passes"))
 
 
 def centrality(edges: DataFrame, samples: int = 500) -> DataFrame:

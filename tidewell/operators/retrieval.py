@@ -40,65 +40,6 @@ def knn(docs: DataFrame, query: Sequence[float], k: int, vector: str = "embeddin
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
-def knn_batch(docs: DataFrame, queries: list[tuple[int, Sequence[float]]], k: int, vector: str = "embedding", key: str = "doc_id") -> DataFrame:
-    """(query_id, key, score, rank) of the k nearest documents of each of a bounded list of queries.
-
-    Each batch of documents is one matrix product and keeps k rows a query; a window ranks what the batches kept.
-    """
-    ids = [q for q, _ in queries]
-    matrix = np.array([v for _, v in queries], dtype=np.float64)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    schema = f"query_id long, {key} {docs.schema[key].dataType.simpleString()}, score double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vectors = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            scores = matrix @ vectors.T
-            for i, row in enumerate(scores):
-                floor = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
-                at = np.flatnonzero(row >= floor - 1e-12)
-                yield pd.DataFrame({"query_id": ids[i], key: batch[key].to_numpy()[at], "score": row[at]})
-
-    near = docs.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def knn_join(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding", key: str = "doc_id", block: int = 2048) -> DataFrame:
-    """(query_id, key, score, rank): the k nearest documents of each row of ``queries`` (query_id, ``vector``).
-
-    Queries and documents are dealt into blocks; every block of queries meets every block of documents in one task, as a
-    matrix product that keeps k rows a query, so neither side goes through the driver and no task holds more than two blocks.
-    """
-    asked = queries.select(F.col("query_id"), F.col(vector).alias("v")).where("v is not null")
-    held = docs.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null")
-    n_asked, n_held = max(1, -(-asked.count() // block)), max(1, -(-held.count() // block))
-    deal = lambda df, name, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(name), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    left = deal(asked, "query_id", "a", n_asked, "b", n_held).groupBy("a", "b")
-    right = deal(held, "key", "b", n_held, "a", n_asked).groupBy("a", "b")
-    kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
-
-    def unit(rows: pd.Series) -> np.ndarray:
-        found = np.stack(rows.to_numpy()).astype(np.float64)
-        return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
-
-    def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(some) or not len(others):
-            return pd.DataFrame({"query_id": [], "key": [], "score": []})
-        scores = unit(some["v"]) @ unit(others["v"]).T
-        most = min(k, len(others))
-        floor = np.partition(scores, -most, axis=1)[:, -most][:, None]
-        i, j = np.nonzero(scores >= floor - 1e-12)
-        return pd.DataFrame({"query_id": some["query_id"].to_numpy()[i], "key": others["key"].to_numpy()[j], "score": scores[i, j]})
-
-    near = left.cogroup(right).applyInPandas(meet, f"query_id {kinds[0]}, key {kinds[1]}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("key", key)
-
-
 # ---- keywords
 
 
@@ -196,6 +137,64 @@ def bm25_index(index: DataFrame, n: int, avgdl: float, query: str, k: int, porte
     return scored.groupBy("doc_id").agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
+#: Ranges of documents, by their hash, into which the postings of a term are cut.
+RANGES = 1 << 16
+
+
+def posting_blocks(index: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """(term, range, n, most_tf, least_dl, held): postings (term, doc_id, tf, dl) of a term and a range of documents in one row.
+
+    A document's range follows from its hash, so one range holds all its terms, and a frequent term is many rows.
+    """
+    ranged = index.withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
+    held = F.array_sort(F.collect_list(F.struct("doc_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))))
+    return ranged.groupBy("term", "range").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").cast("int").alias("most_tf"), F.min("dl").cast("int").alias("least_dl"), held.alias("held"))
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """In order of terms and ranges, in small row groups, whose least and greatest values then tell what a search can leave out."""
+    ordered = blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+    ordered.write.option("parquet.block.size", 4 << 20).parquet(path)
+
+
+def bm25_blocks(blocks: DataFrame, n: int, avgdl: float, query: str, k: int, porter: bool = True, told: dict | None = None) -> DataFrame:
+    """The k best documents (doc_id, score) by BM25 from ``posting_blocks`` of a corpus of n documents, exactly.
+
+    The largest count and the least length of a block bound the scores in it, and the bounds of a range's blocks add up. First
+    the ``k`` ranges of the largest bounds are scored, which hold k documents at least; then only those ranges whose bound
+    reaches the k-th best score are read. ``told`` gets the numbers of ranges and of those that were read.
+    """
+    terms = query_terms(query)
+    terms = list(dict.fromkeys(stem(t) for t in terms)) if porter else terms
+    if not terms or not n:
+        return blocks.select(F.lit(None).alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
+    met = blocks.where(F.col("term").isin(terms))
+    # numbers of the blocks only; postings stay unread
+    sketch = settled(met.select("term", "range", "n", "most_tf", "least_dl"))
+    df = {r["term"]: r["df"] for r in sketch.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    known = reduce(lambda c, t: c.when(F.col("term") == t, F.lit(df[t])), df, F.when(F.lit(False), F.lit(0))) if df else F.lit(0)
+    score_of = lambda tf, dl: _bm25_score(tf, known, dl, F.lit(float(n)), F.lit(float(avgdl)))
+    bounds = sketch.groupBy("range").agg(F.sum(score_of(F.col("most_tf"), F.col("least_dl"))).alias("bound"))
+
+    def scored(some: DataFrame) -> DataFrame:
+        each = some.select("term", F.explode("held").alias("p")).withColumn("part", score_of(F.col("p.tf"), F.col("p.dl")))
+        return each.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.sum("part").alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
+
+    first = [r["range"] for r in bounds.orderBy(F.desc("bound"), "range").limit(k).collect()]
+    best = [r["score"] for r in scored(met.where(F.col("range").isin(first))).collect()]
+    floor = min(best) if len(best) >= k else 0.0
+    reach = bounds.where(F.col("bound") >= floor - 1e-9).select("range")
+    few = [r["range"] for r in reach.limit(MOST_RANGES + 1).collect()]
+    if told is not None:
+        told |= {"ranges": bounds.count(), "read": reach.count()}
+    # a list of ranges is pushed down to the scan; a longer one is joined
+    return scored(met.where(F.col("range").isin(few)) if len(few) <= MOST_RANGES else met.join(reach, "range", "left_semi"))
+
+
+#: Ranges that a scan is given as a list at most.
+MOST_RANGES = 1000
+
+
 def keyword_layer_score(rank: Column) -> Column:
     """The score that a full-text rank gets in fusion."""
     return F.when(rank == 0, 0.1).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + rank / 50)))

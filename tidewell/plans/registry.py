@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.config import AS_OF
-from tidewell.operators import graph, logs, memory, retrieval, text
+from tidewell.operators import graph, logs, memory, retrieval, text, vectors
 from tidewell.plans.views import Views, duck
+from tidewell.sources.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -427,11 +428,23 @@ def knn_cosine(v: Views) -> DataFrame:
     return retrieval.knn(v("embeddings"), _first_vector(v), 30, key="vec_id").withColumns(r6("score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id IN (0, 1)),
+    s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM embeddings, q),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, ROUND(score, 6) AS score FROM r WHERE rank <= 10""")
+def knn_indexed(v: Views) -> DataFrame:
+    """An index of three quarters of the vectors, to which the others are added, asked twice: exact by the bounds of its cells."""
+    held, late = v("embeddings").where("vec_id % 4 != 1"), v("embeddings").where("vec_id % 4 = 1")
+    index = vectors.VectorIndex.build(held, scratch_folder(v.spark, "vector-index"), "vec_id", cells=16)
+    index.add(late)
+    found = [index.search(_first_vector(v, i), 10).select(F.lit(i).cast("long").alias("query_id"), "vec_id", F.round("score", 6).alias("score")) for i in (0, 1)]
+    return found[0].unionByName(found[1])
+
+
 @query("""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings d, embeddings q WHERE q.vec_id % 20 = 0),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, ROUND(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def knn_batch_join(v: Views) -> DataFrame:
     asked = v("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return retrieval.knn_join(asked, v("embeddings"), 5, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return vectors.knn_join(asked, v("embeddings"), 5, key="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _BM25 = r"""
@@ -457,6 +470,30 @@ def bm25_postings(v: Views) -> DataFrame:
     return retrieval.bm25_index(index, size[0], size[1] or 0.0, QUERY_TEXT, 30, porter=False).withColumns(r6("score"))
 
 
+#: Stored blocks of postings by session and folder of tables.
+_STORED: dict[tuple[str, str], tuple[str, int, float]] = {}
+
+
+def stored_blocks(v: Views) -> tuple[DataFrame, int, float]:
+    """(blocks of postings, number of documents, mean length) of documents' texts, not stemmed: an index in the shared folder that
+    the first search of a session over these tables writes, and later ones read."""
+    key = v.spark.sparkContext.applicationId, v.sf_dir
+    if key not in _STORED:
+        docs = v("documents").select(F.col("doc_id"), "text")
+        size = docs.select(F.size(retrieval.tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+        path = scratch_folder(v.spark, "posting-blocks")
+        retrieval.write_blocks(retrieval.posting_blocks(retrieval.postings(docs, ["text"], porter=False)), path)
+        _STORED[key] = path, size[0], size[1] or 0.0
+    path, n, mean = _STORED[key]
+    return v.spark.read.parquet(path), n, mean
+
+
+@query(f"WITH {_BM25.strip()} SELECT doc_id, ROUND(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 30")
+def bm25_blocks(v: Views) -> DataFrame:
+    """The same search from stored blocks of postings, of which it reads those that may hold one of the best."""
+    return retrieval.bm25_blocks(*stored_blocks(v), QUERY_TEXT, 30, porter=False).withColumns(r6("score"))
+
+
 @query()
 def bm25_porter(v: Views) -> DataFrame:
     return retrieval.bm25(v("documents"), "reading errors sting", 30, "text", porter=True).withColumns(r6("score"))
@@ -506,7 +543,7 @@ _LISTS = f"""
 def _lists(v: Views) -> DataFrame:
     """The keyword list and the vector list, ranked with numeric ids before ids become text."""
     named = lambda c: F.concat(F.lit("src"), (F.col(c) % 20).cast("string"), F.lit("::"), F.col(c).cast("string"))
-    keyword = retrieval.ranked(retrieval.bm25(v("documents"), QUERY_TEXT, 30, "text"), 1)
+    keyword = retrieval.ranked(retrieval.bm25_blocks(*stored_blocks(v), QUERY_TEXT, 30, porter=False), 1)
     vector = retrieval.ranked(retrieval.knn(v("embeddings"), _first_vector(v), 30, key="vec_id").withColumnRenamed("vec_id", "doc_id"), 0)
     both = keyword.unionByName(vector)
     return both.withColumn("doc_id", named("doc_id"))
@@ -663,7 +700,19 @@ def degree_centrality(v: Views) -> DataFrame:
     return graph.degree_centrality(v("v_edges")).withColumns(r6("centrality"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE b AS (SELECT DISTINCT a AS node, b AS other FROM (SELECT source_id AS a, target_id AS b FROM v_edges UNION ALL SELECT target_id, source_id FROM v_edges) x WHERE a <> b),
+    g AS (SELECT node AS id, COUNT(*) AS degree FROM b GROUP BY node),
+    s AS (SELECT id FROM g ORDER BY id LIMIT 500),
+    v AS (SELECT id AS source, id AS node, CAST(0 AS BIGINT) AS depth, [id] AS path FROM s
+      UNION ALL (WITH seen AS (SELECT source, node FROM recurring.v)
+        SELECT v.source, b.other, v.depth + 1, list_append(MIN(v.path), b.other) FROM v JOIN b ON b.node = v.node
+        WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.source = v.source AND seen.node = b.other) GROUP BY v.source, b.other, v.depth)),
+    t AS (SELECT source, node, depth, path[-2] AS parent FROM v),
+    u AS (SELECT source, node AS target, parent AS inner_node FROM t WHERE depth >= 2
+      UNION ALL SELECT u.source, u.target, t.parent FROM u JOIN t ON t.source = u.source AND t.node = u.inner_node WHERE t.depth >= 2),
+    p AS (SELECT inner_node AS id, COUNT(*) AS passes FROM u GROUP BY inner_node)
+    SELECT g.id, g.degree, COALESCE(p.passes, 0) AS passes, ROUND(0.7 * g.degree / (SELECT MAX(degree) FROM g) + 0.3 * COALESCE(p.passes, 0) / GREATEST((SELECT MAX(passes) FROM p), 1), 6) AS score FROM g LEFT JOIN p ON p.id = g.id""")
 def centrality(v: Views) -> DataFrame:
     return graph.centrality(v("v_edges")).withColumns(r6("score"))
 
@@ -720,11 +769,25 @@ def explicit_edges(v: Views) -> DataFrame:
     SELECT CASE WHEN a.d < b.d OR (a.d = b.d AND a.id < b.id) THEN a.id ELSE b.id END AS source_id, CASE WHEN a.d < b.d OR (a.d = b.d AND a.id < b.id) THEN b.id ELSE a.id END AS target_id,
            abs(date_diff('day', a.d, b.d)) AS gap, ROUND(GREATEST(0.3, 1 - 0.5 * abs(date_diff('day', a.d, b.d)) / 7), 6) AS weight
     FROM d a JOIN d b ON a.id < b.id AND abs(date_diff('day', a.d, b.d)) <= 7""")
-def temporal_edges(v: Views) -> DataFrame:
+def temporal_pairs(v: Views) -> DataFrame:
     dated = v("orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
     return graph.temporal_pairs(dated).withColumns(r6("weight"))
 
 
+@query("""
+    WITH RECURSIVE o AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, ROW_NUMBER() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS i FROM orders),
+    w AS (SELECT i, COUNT(*) OVER (ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 7 DAYS FOLLOWING) AS last FROM o),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS got, CAST(0 AS BIGINT) AS made
+      UNION ALL SELECT n.i, list_filter(list_concat(n.used, n.take), lambda x: x > n.i), n.take, n.made + len(n.take)
+      FROM (SELECT w.i, r.used, r.made, list_slice(list_filter(range(w.i + 1, w.last + 1), lambda j: len(list_filter(r.used, lambda x: x = j)) < 20), 1, 20 - len(list_filter(r.used, lambda x: x = w.i))) AS take
+            FROM r JOIN w ON w.i = r.i + 1 WHERE r.made < 50000) n),
+    p AS (SELECT i, UNNEST(got) AS j, made - len(got) AS before, UNNEST(range(1, len(got) + 1)) AS turn FROM r)
+    SELECT a.id AS source_id, b.id AS target_id, ROUND(GREATEST(0.3, 1 - 0.5 * date_diff('day', a.d, b.d) / 7), 6) AS weight FROM p JOIN o a ON a.i = p.i JOIN o b ON b.i = p.j WHERE before + turn <= 50000""")
+def temporal_edges(v: Views) -> DataFrame:
+    dated = v("orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
+    return graph.temporal_edges(dated).withColumns(r6("weight"))
+
+
 @query()
 def entity_mentions(v: Views) -> DataFrame:
     return graph.entity_mentions(v("v_docs").select(F.col("doc_id").alias("id"), "content"))
@@ -749,7 +812,16 @@ def semantic_edges(v: Views) -> DataFrame:
     return graph.semantic_edges(v("embeddings"), 0.25, key="vec_id").withColumns(r6("weight")).distinct()
 
 
-@query()
+@query("""
+    WITH RECURSIVE p AS (SELECT a.vec_id AS s, b.vec_id AS t, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS w FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY s ORDER BY w DESC, t) AS r FROM p WHERE w >= 0.25),
+    e AS (SELECT DISTINCT LEAST(s, t) AS a, GREATEST(s, t) AS b, w FROM r WHERE r <= 20),
+    f AS (SELECT s, t, w, ROW_NUMBER() OVER (PARTITION BY s ORDER BY w DESC, t) AS r FROM (SELECT a AS s, b AS t, w FROM e UNION ALL SELECT b, a, w FROM e) x),
+    o AS (SELECT a, b, w, ROW_NUMBER() OVER (ORDER BY turn) AS i FROM (SELECT LEAST(s, t) AS a, GREATEST(s, t) AS b, MAX(w) AS w, MIN((CAST(s AS STRING), r)) AS turn FROM f WHERE r <= 20 GROUP BY 1, 2) y),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, false AS kept
+      UNION ALL SELECT n.i, CASE WHEN free THEN list_concat(used, [a, b]) ELSE used END, free
+      FROM (SELECT o.i, o.a, o.b, g.used, len(list_filter(g.used, lambda x: x = o.a)) < 20 AND len(list_filter(g.used, lambda x: x = o.b)) < 20 AS free FROM g JOIN o ON o.i = g.i + 1) n)
+    SELECT o.a AS source_id, o.b AS target_id, ROUND(o.w, 6) AS weight FROM o JOIN g ON g.i = o.i AND g.kept""")
 def semantic_capped(v: Views) -> DataFrame:
     found = graph.semantic_capped(graph.semantic_edges(v("embeddings"), 0.25, key="vec_id"))
     return found.withColumns(r6("weight"))
