@@ -175,3 +175,26 @@ def test_text_queries_read_documents(spark, views):
     assert ("x1", "fresh") in {(r["id"], r["tag"]) for r in made["doc_tags"]} and ("x1", "Second Note") in {(r["id"], r["link"]) for r in made["wiki_links"]}
     assert {("x1", "n2"), ("x1", "tag_fresh")} <= {(r["source_id"], r["target_id"]) for r in made["explicit_edges"]}
     assert "p/en/x1" in {r["path"] for r in made["frontmatter"]} and any("p/en/x1" in str(r) for r in made["chunk_markdown"])
+
+
+def test_a_changed_note_gives_the_graph_of_a_full_build(spark, tmp_path):
+    note = lambda i, words: (f"n{i}", f"{words} #tag{i % 3} see [[Note {i + 1}]] by Alice Smith and Python", f"log/2024-01-{i + 1:02d} Note {i}.md")
+    first = [note(i, "garden water garden water spring") for i in range(6)]
+    later = [note(2, "kitchen kitchen oven oven Bob Brown"), note(9, "oven oven kitchen kitchen Bob Brown")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id string, content string, file_path string")
+    slow, fast = (Engine(spark, str(tmp_path / name), embedder=lambda: hashing_embedder(32)) for name in ("full", "step"))
+    for made in (slow, fast):
+        made.index(frame(first), NOW)
+        begun = made.build_graph(NOW)
+        assert begun["notes_read"] == 6 and not begun["skipped"] and begun["stages"]["parts"]["rows"] > 0
+    assert fast.build_graph(NOW)["skipped"]
+    for made in (slow, fast):
+        made.index(frame(later), NOW)
+        made.forget_documents(spark.createDataFrame([("n4",)], "doc_id string"))
+    assert slow.build_graph(NOW, force=True)["notes_read"] == 6
+    stepped = fast.build_graph(NOW)
+    assert stepped["notes_read"] == 2 and set(stepped["stages"]) == {"parts", "explicit", "entities", "topics", "semantic", "temporal", "prune", "centrality"}
+    shape = lambda made, table, *columns: sorted(tuple(str(x) for x in r) for r in made.store.read(table).select(*columns).collect())
+    assert shape(slow, "edges", "id", "source_id", "target_id", "type", "weight") == shape(fast, "edges", "id", "source_id", "target_id", "type", "weight")
+    assert shape(slow, "nodes", "id", "type", "title", "metadata") == shape(fast, "nodes", "id", "type", "title", "metadata")
+    assert shape(slow, "note_parts", "doc_id", "kind", "value", "n") == shape(fast, "note_parts", "doc_id", "kind", "value", "n")

@@ -46,24 +46,29 @@ class Engine:
         if not fresh.isEmpty():
             self.store.append("embedding_cache", fresh)
         made = checked_dimension(vectors, self.dimensions).withColumns({"indexed_at": F.lit(now), "created": F.lit(now), "excitability": F.lit(0.5), "access_count": F.lit(0).cast("long")})
-        out = self.store.upsert("documents", made, "doc_id", keep=("created", "excitability", "access_count", "last_accessed"))
         ids = docs.select("doc_id")
-        index = retrieval.postings(docs)
+        index = settled(retrieval.postings(docs))
         lengths = index.groupBy("doc_id").agg(F.max("dl").alias("dl"))
         tags = docs.select("doc_id", F.explode(text.tags(F.col("content"))).alias("tag"))
         links = docs.select("doc_id", F.lit("link").alias("ref_type"), F.explode(text.wiki_links(F.col("content"))).alias("ref_target"))
         for table, rows in (("document_tags", tags), ("cross_refs", links), ("postings", index), ("document_lengths", lengths)):
-            self.store.write(table, self.store.read(table).join(ids, "doc_id", "left_anti").unionByName(rows))
-        return out
+            self.store.replace(table, ids, "doc_id", rows)
+        # the documents last: if a run breaks off before, the next one finds them unchanged and does all of this again
+        return self.store.upsert("documents", made, "doc_id", keep=("created", "excitability", "access_count", "last_accessed"))
 
     @cached_property
     def dimensions(self) -> int:
         return len(self.embedder()([""])[0])
 
     def index_chunks(self, root: str, now: datetime, extensions: tuple[str, ...] = files.MARKDOWN) -> dict[str, int]:
-        """Indexes the sections of the Markdown files that the file cache doesn't have as they are; those of a changed file go first."""
-        disk = files.scan(self.spark, root, extensions).withColumnRenamed("path", "file_path")
-        todo = settled(files.needs_update(self.store.read("file_cache"), disk.withColumn("cache_key", F.col("file_path"))))
+        """Indexes the sections of the Markdown files that the file cache doesn't have as they are; those of a changed file go first.
+
+        Files that aren't UTF-8 are counted as errors, and tried again by the next run. No other file is read.
+        """
+        disk = settled(files.listed(self.spark, root, extensions).drop("content"))
+        todo = files.needs_update(self.store.read("file_cache"), disk.withColumn("cache_key", F.col("path")))
+        loaded = settled(files.read_some(self.spark, root, todo, extensions=extensions).withColumnRenamed("path", "file_path"))
+        todo = loaded.where("content is not null").withColumn("cache_key", F.col("file_path"))
         front = text.frontmatter(todo)
         chunks = text.chunk_markdown(todo, "file_path").withColumnRenamed("file_path", "path")
         meta = front.select(F.col("file_path").alias("path"), F.col("frontmatter").alias("metadata"), text.frontmatter_tags(F.col("frontmatter")).alias("tags"))
@@ -74,7 +79,8 @@ class Engine:
         self.store.insert_new("document_tags", tags, ["doc_id", "tag"])
         seen = todo.select("cache_key", F.col("mtime").alias("last_modified"), F.lit(root).alias("source_name"))
         self.store.upsert("file_cache", seen, "cache_key")
-        return {"files": todo.count(), "chunks": made.count(), "skipped": disk.count() - todo.count()}
+        read, failed = todo.count(), loaded.where("content is null").count()
+        return {"files": read, "chunks": made.count(), "skipped": disk.count() - read - failed, "errors": failed}
 
     def forget_files(self, paths: DataFrame) -> None:
         """Removes all documents of the files (file_path)."""
@@ -84,22 +90,29 @@ class Engine:
             self.forget_documents(held)
 
     def index_path(self, root: str, now: datetime, source: str | None = None, prune: bool = True, extensions: tuple[str, ...] = files.CLI, dry_run: bool = False) -> dict[str, int]:
-        """Indexes the new and changed files under a folder and drops the documents of those that are gone; a dry run counts."""
-        disk = files.scan(self.spark, root, extensions, 50, source)
+        """Indexes the new and changed files under a folder and drops the documents of those that are gone; a dry run counts.
+
+        Files that can't be read as UTF-8 are counted as errors; files that are as they were aren't read.
+        """
+        disk = settled(files.listed(self.spark, root, extensions, 50, source).drop("content"))
         own = files.under(self.store.read("documents"), f"{source}::", "doc_id") if source else self.store.read("documents")
         held = own.where("file_path is not null").select("doc_id", F.coalesce(F.unix_micros("indexed_at") / 1e6, F.lit(0.0)).alias("indexed"))
-        changes = files.delta(disk, held).cache()
-        counts = files.reindex_counts(changes).first().asDict()
+        changes = settled(files.delta(disk, held))
+        counts = files.reindex_counts(changes).first().asDict() | {"errors": 0}
         if dry_run:
-            changes.unpersist()
             return counts
-        todo = disk.join(changes.where("state in ('new', 'changed')"), "doc_id", "left_semi")
+        chosen = disk.join(changes.where("state in ('new', 'changed')"), "doc_id", "left_semi")
+        loaded = settled(files.read_some(self.spark, root, chosen, extensions=extensions, least_bytes=50, source=source))
+        todo, failed = loaded.where("content is not null"), loaded.where("content is null").select("doc_id")
+        lost = changes.join(failed, "doc_id").groupBy("state").count().collect()
+        for r in lost:
+            name = {"new": "added", "changed": "reindexed"}[r["state"]]
+            counts |= {name: counts[name] - r["count"], "errors": counts["errors"] + r["count"]}
         self.index(todo.select("doc_id", "content", F.col("path").alias("file_path")), now)
         if counts["added"]:
-            self.allocate(settled(changes.where("state = 'new'").select("doc_id")))
+            self.allocate(settled(changes.where("state = 'new'").join(failed, "doc_id", "left_anti").select("doc_id")))
         if prune and counts["pruned"]:
             self.forget_documents(changes.where("state = 'deleted'").select("doc_id"))
-        changes.unpersist()
         return counts
 
     def allocate(self, ids: DataFrame) -> None:
@@ -116,16 +129,38 @@ class Engine:
         for table in ("documents", "document_tags", "cross_refs", "postings", "document_lengths"):
             self.store.delete(table, ids, "doc_id")
 
-    def build_graph(self, now: datetime) -> dict[str, int]:
-        """Nodes and edges from the documents: links, tags, dates, entities, topics and similarity; merged and pruned."""
-        o = self.options.graph
+    def build_graph(self, now: datetime, force: bool = False) -> dict:
+        """Nodes and edges from the documents: links, tags, dates, entities, topics and similarity; merged and pruned.
+
+        What each note adds is kept as rows (graph.note_parts); only notes that are new or changed are read again, and if no
+        note has changed since the last build nothing is done. ``force`` reads all. The result has the numbers of nodes and
+        edges, of notes read, whether the build was skipped, and for each stage its milliseconds and rows.
+        """
+        o, began, stages = self.options.graph, perf_counter(), {}
         docs = self.store.read("documents")
         notes = docs.select(F.col("doc_id").alias("id"), F.lit("note").alias("type"), text.title_of(F.coalesce("file_path", "doc_id")).alias("title"), "content", "embedding")
-        tag_nodes, explicit = graph.explicit_edges(notes)
-        entities, topics = graph.entity_mentions(notes, o.entity_frequency), graph.topic_clusters(notes, least_notes=o.topic_notes)
-        near = graph.semantic_capped(graph.semantic_edges(notes, o.semantic, o.per_node), o.per_node)
+        changes, read = self._changed_notes(docs, force)
+        if changes is None:
+            return graph.graph_stats(self.store.read("nodes"), self.store.read("edges")).first().asDict() | {"notes_read": 0, "skipped": True, "stages": {}}
+
+        def stage(name: str, rows: DataFrame) -> DataFrame:
+            nonlocal began
+            held = settled(rows)
+            stages[name] = {"ms": round(1000 * (perf_counter() - began), 1), "rows": held.count()}
+            began = perf_counter()
+            return held
+
+        made = stage("parts", graph.note_parts(notes.join(changes.where("hash is not null").select(F.col("doc_id").alias("id")), "id", "left_semi")))
+        self.store.replace("note_parts", changes.select("doc_id"), "doc_id", made)
+        parts = self.store.read("note_parts")
+        tag_nodes, explicit = graph.explicit_of(parts, notes)
+        explicit = stage("explicit", explicit)
+        entities = stage("entities", graph.entities_of(parts, o.entity_frequency))
+        enough = o.topic_notes <= 1 or notes.limit(o.topic_notes).count() >= o.topic_notes
+        topics = stage("topics", graph.topics_of(parts if enough else parts.limit(0)))
+        near = stage("semantic", graph.semantic_capped(graph.semantic_edges(notes, o.semantic, o.per_node), o.per_node))
         dated = docs.select(F.col("doc_id").alias("id"), graph.date_of(F.coalesce("file_path", "doc_id"), F.col("metadata")).alias("date")).where("date is not null")
-        dates = graph.temporal_edges(dated, o.temporal_days, o.temporal_edges, o.per_node)
+        dates = stage("temporal", graph.temporal_edges(dated, o.temporal_days, o.temporal_edges, o.per_node))
 
         def edges(rows: DataFrame, kind: str, target: str, weight: float, confidence: float) -> DataFrame:
             return rows.select(F.col("id").alias("source_id"), F.col(target).alias("target_id"), F.lit(kind).alias("type"), F.lit(weight).alias("weight"), F.lit(confidence).alias("confidence")).distinct()
@@ -136,13 +171,28 @@ class Engine:
         every = every.withColumn("id", F.sha2(F.concat_ws("::", "type", "source_id", "target_id"), 256))
         nodes = notes.select("id", "type", "title").unionByName(tag_nodes)
         nodes = nodes.unionByName(entities.select(F.col("entity_id").alias("id"), F.lit("entity").alias("type"), F.col("entity").alias("title")))
-        nodes = nodes.unionByName(topics.select(F.col("topic_id").alias("id"), F.lit("topic").alias("type"), F.col("topic").alias("title"))).dropDuplicates(["id"])
-        nodes, every = graph.merge_duplicates(nodes, every)
-        kept = graph.prune_greedy(every, o.min_weight, o.max_per_node)
-        score = graph.centrality(kept).select("id", F.to_json(F.struct(F.col("score").alias("importance_score"))).alias("metadata"))
+        nodes = nodes.unionByName(topics.select(F.col("topic_id").alias("id"), F.lit("topic").alias("type"), F.col("topic").alias("title")))
+        nodes, every = graph.merge_duplicates(nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("title").alias("title")), every)
+        kept = stage("prune", graph.prune_greedy(every, o.min_weight, o.max_per_node))
+        score = stage("centrality", graph.centrality(kept)).select("id", F.to_json(F.struct(F.col("score").alias("importance_score"))).alias("metadata"))
         self.store.upsert("nodes", nodes.join(score, "id", "left"), "id")
         self.store.upsert("edges", kept, "id")
-        return graph.graph_stats(self.store.read("nodes"), self.store.read("edges")).first().asDict()
+        # the notes' marks last: a build that breaks off is done again
+        self.store.replace("graph_notes", changes.select("doc_id"), "doc_id", changes.where("hash is not null").select("doc_id", "hash"))
+        return graph.graph_stats(self.store.read("nodes"), self.store.read("edges")).first().asDict() | {"notes_read": read, "skipped": False, "stages": stages}
+
+    def _changed_notes(self, docs: DataFrame, force: bool) -> tuple[DataFrame | None, int]:
+        """((doc_id, hash) of the notes that are new or changed since the last build, without hash of those that are gone; how
+        many are there to read), or None if there are none."""
+        fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("content", "file_path", "metadata", "embedding")]
+        now_ = docs.select("doc_id", F.md5(F.concat_ws("\u0001", *fields)).alias("hash"))
+        held = self.store.read("graph_notes").select(F.col("doc_id").alias("held_id"), F.col("hash").alias("held"))
+        both = now_.join(held, F.col("doc_id") == F.col("held_id"), "full_outer")
+        changed = both if force else both.where(~F.col("hash").eqNullSafe(F.col("held")))
+        changes = settled(changed.select(F.coalesce("doc_id", "held_id").alias("doc_id"), "hash"))
+        if changes.isEmpty() and not self.store.read("nodes").isEmpty():
+            return None, 0
+        return changes, changes.where("hash is not null").count()
 
     # ---- search
 
@@ -181,7 +231,8 @@ class Engine:
         return graph.suggest(self.store.read("edges"), docs, anchor, now, limit)
 
     def invalidate_edges(self, ids: list[str], now: datetime) -> None:
-        self.store.write("edges", graph.invalidate(self.store.read("edges"), self._rows("id string", [(i,) for i in ids]), now))
+        held, at = self.store.at("edges")
+        self.store.write("edges", graph.invalidate(held, self._rows("id string", [(i,) for i in ids]), now), at)
 
     def connections(self, title: str, now: datetime, depth: int = 2) -> DataFrame:
         nodes = self.store.read("nodes")
@@ -224,30 +275,32 @@ class Engine:
         return stats | ({"errors": errors} if errors else {})
 
     def _strengthen(self, now: datetime, cutoff: datetime | None, sources: Sequence[Source], dry_run: bool) -> dict[str, int]:
-        o, docs = self.options, settled(self.store.read("documents"))
+        held, at = self.store.at("documents")
+        o, docs = self.options, settled(held)
         access = logs.since(self.store.read("document_access"), cutoff)
         boost = logs.strengthen_boost(docs, access, o.lifecycle).select("doc_id", "new_excitability")
         fade = logs.strengthen_decay(docs, access, now, o.lifecycle).select("doc_id", "new_excitability")
         stats = {"strengthened": boost.count(), "decayed": fade.count()}
         if not dry_run:
             new = docs.join(boost.unionByName(fade), "doc_id", "left").withColumn("excitability", F.coalesce("new_excitability", "excitability"))
-            self.store.write("documents", new.drop("new_excitability"))
+            self.store.write("documents", new.drop("new_excitability"), at)
         return stats
 
     def _reorganize(self, now: datetime, cutoff: datetime | None, sources: Sequence[Source], dry_run: bool) -> dict[str, int]:
-        o, pairs, edges = self.options, self.store.read("co_retrieval"), self.store.read("edges")
+        o, pairs, (edges, at) = self.options, self.store.read("co_retrieval"), self.store.at("edges")
         made = logs.reinforce(logs.since(pairs, cutoff, inclusive=False), edges, o.co_retrieval)
         rows = settled(made.select("id", "source_id", "target_id", F.lit("co_retrieved").alias("type"), "weight", "confidence"))
         stats = {"reinforced": rows.count()}
         if not dry_run:
             ends = rows.select(F.col("source_id").alias("id")).unionByName(rows.select(F.col("target_id").alias("id")))
             self.store.insert_new("nodes", ends.select("id", F.lit("document").alias("type"), F.col("id").alias("title")), "id")
-            edges = self.store.upsert("edges", rows, "id")
+            self.store.upsert("edges", rows, "id")
+            edges, at = self.store.at("edges")
         faded = logs.fade_edges(edges, pairs, now, o.co_retrieval).select(F.col("id"), "removed", "new_weight")
         stats["faded"] = faded.count()
         if not dry_run:
             joined = edges.join(faded, "id", "left").withColumns({"weight": F.coalesce("new_weight", "weight"), "valid_to": F.when(F.col("removed"), F.lit(now)).otherwise(F.col("valid_to"))})
-            self.store.write("edges", joined.drop("removed", "new_weight"))
+            self.store.write("edges", joined.drop("removed", "new_weight"), at)
         return stats
 
     def _prune(self, now: datetime, cutoff: datetime | None, sources: Sequence[Source], dry_run: bool) -> dict[str, int]:
@@ -260,7 +313,8 @@ class Engine:
         if stats["removed"]:
             self.forget_documents(stale.where("action = 'remove'").select("doc_id"))
         for table in ("document_access", "co_retrieval"):
-            self.store.write(table, logs.retain(self.store.read(table), now, o.prune))
+            held, at = self.store.at(table)
+            self.store.write(table, logs.retain(held, now, o.prune), at)
         return stats
 
     def prune_candidates(self, now: datetime, sources: Sequence[Source] = ()) -> tuple[DataFrame, DataFrame]:
@@ -305,24 +359,27 @@ class Engine:
     def staged(self) -> DataFrame:
         return self.store.read("staged_memories").where("review_status = 'pending'").orderBy("staged_at", "id")
 
-    def _reviewed(self, ident: str, approve: bool, notes: str | None) -> DataFrame:
-        held = settled(self.store.read("staged_memories"))
+    def _reviewed(self, ident: str, approve: bool, notes: str | None) -> tuple[DataFrame, DataFrame, tuple]:
+        """(the memory if it is approved, what stays staged, the version that was read)."""
+        held, at = self.store.at("staged_memories")
+        held = settled(held)
         if held.where((F.col("id") == ident) & (F.col("review_status") == "pending")).isEmpty():
             raise NotFound(ident)
         decision = self._rows("id string, approve boolean, notes string", [(ident, approve, notes)])
         promoted, left = memory.review(held, decision)
-        promoted = settled(promoted.where(F.col("id") == ident))
-        self.store.write("staged_memories", left)
-        return promoted
+        return settled(promoted.where(F.col("id") == ident)), left, at
 
     def approve(self, ident: str, now: datetime, notes: str | None = None) -> None:
-        """A staged memory becomes a memory and a document."""
-        promoted = self._reviewed(ident, True, notes)
+        """A staged memory becomes a memory and a document. It leaves the staged ones last, so a run that breaks off loses
+        nothing and can be done again."""
+        promoted, left, at = self._reviewed(ident, True, notes)
         self.store.upsert("memories", promoted, "id")
         self.index(memory.as_document(promoted), now)
+        self.store.write("staged_memories", left, at)
 
     def reject(self, ident: str, notes: str | None = None) -> None:
-        self._reviewed(ident, False, notes)
+        _, left, at = self._reviewed(ident, False, notes)
+        self.store.write("staged_memories", left, at)
 
     def remember(self, content: str, category: str, now: datetime, importance: float = 0.5, ttl_hours: int | None = None, strict: bool = True, title: int = 80) -> str:
         """Checks, signs, stages and approves a memory and indexes it; its id. Its title is the first line, ``title`` characters."""
@@ -344,10 +401,10 @@ class Engine:
         return row.asDict()
 
     def supersede(self, ident: str, by: str) -> None:
-        held = settled(self.store.read("memories"))
+        held, at = self.store.at("memories")
         if held.where(F.col("id").isin(ident, by)).count() < 2:
             raise NotFound(ident)
-        self.store.write("memories", memory.supersede(held, self._rows("id string, superseded_by string", [(ident, by)])))
+        self.store.write("memories", memory.supersede(held, self._rows("id string, superseded_by string", [(ident, by)])), at)
 
     def duplicates_of(self, content: str, title: str) -> DataFrame:
         """Memories whose title is nearly that of a new one (id_a "new", id_b, similarity)."""
@@ -371,25 +428,25 @@ class Engine:
 
     def forget(self, ident: str) -> None:
         """Removes a memory and its document."""
-        held = self.store.read("memories")
-        if held.where(F.col("id") == ident).isEmpty():
+        gone = self._rows("id string", [(ident,)])
+        if self.store.read("memories").join(gone, "id", "left_semi").isEmpty():
             raise NotFound(ident)
-        self.store.write("memories", held.where(F.col("id") != ident))
-        self.forget_documents(self._rows("doc_id string", [(ident,)]))
+        self.store.delete("memories", gone, "id")
+        self.forget_documents(gone.withColumnRenamed("id", "doc_id"))
 
     def prune_expired(self, now: datetime) -> int:
         held = self.store.read("memories")
-        before, kept = held.count(), memory.prune_expired(held, now)
-        gone = held.join(kept.select("id"), "id", "left_anti").select(F.col("id").alias("doc_id"))
-        self.forget_documents(gone)
-        return before - self.store.write("memories", kept).count()
+        gone = settled(held.join(memory.prune_expired(held, now).select("id"), "id", "left_anti").select("id"))
+        self.forget_documents(gone.withColumnRenamed("id", "doc_id"))
+        self.store.delete("memories", gone, "id")
+        return gone.count()
 
     def age_memories(self, now: datetime) -> int:
-        held = self.store.read("memories")
+        held, at = self.store.at("memories")
         aged = memory.decay_and_boost(held, self.store.read("memory_access"), now).select("id", "new_importance")
         joined = held.join(aged, "id", "left").withColumn("importance", F.coalesce("new_importance", "importance"))
         changed = aged.join(held.select("id", "importance"), "id").where("importance != new_importance").count()
-        self.store.write("memories", joined.drop("new_importance"))
+        self.store.write("memories", joined.drop("new_importance"), at)
         return changed
 
     # ---- context
@@ -405,7 +462,8 @@ class Engine:
         return row["value"] if row else None
 
     def clear_handoff(self, now: datetime) -> None:
-        self.store.write("context_data", self.store.read("context_data").where("key != 'handoff'"))
+        held, at = self.store.at("context_data")
+        self.store.write("context_data", held.where("key != 'handoff'"), at)
 
     def boot_context(self, now: datetime, seen: tuple[str, ...] = ()) -> str:
         """What a session starts with: the handoff within 800 bytes, then memories within their budget."""

@@ -11,21 +11,55 @@ CLI = ("md", "txt")
 LIBRARY = ("md", "txt", "rs", "py", "js", "ts", "toml", "yaml", "yml", "json")
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = MARKDOWN, least_bytes: int = 0, source: str | None = None) -> DataFrame:
-    """(path, doc_id, content, mtime) of the text files under ``root``.
+def _pattern(extensions: tuple[str, ...]) -> str:
+    """A pattern of file names with these extensions, in any case."""
+    cased = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    return "*.{" + ",".join(cased) + "}"
+
 
-    path is relative to the root; doc_id is the path without its extension, / as ::, after the source's name if given.
+def listed(spark: SparkSession, root: str, extensions: tuple[str, ...] = MARKDOWN, least_bytes: int = 0, source: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """(path, doc_id, mtime, full_path, content) of the files under ``root``, or of those of ``paths`` alone.
+
+    path is relative to the root; doc_id is the path without its extension, / as ::, after the source's name if given. Names,
+    times and lengths come from the listing; a file is read only if its content (bytes) is asked for.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _pattern(extensions))
+    files = reader.load(paths if paths is not None else root).where(F.col("length") >= least_bytes)
     base = F.lit(root.rstrip("/").removeprefix("file://"))
     bare = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
     relative = F.substring(bare, F.length(base) + 2, F.length(bare)) if root.startswith(("/", "file:")) else F.col("path")
-    files = found.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions)).where(F.length("content") >= least_bytes)
-    body = F.try_validate_utf8(F.col("content").cast("string"))
     stem = F.regexp_replace(F.replace(relative, F.lit("/"), F.lit("::")), r"\.[^.:]*$", "")
     named = F.concat(F.lit(f"{source}::"), stem) if source else stem
     mtime = F.unix_micros("modificationTime") / 1e6
-    return files.select(relative.alias("path"), named.alias("doc_id"), body.alias("content"), mtime.alias("mtime")).where("content is not null")
+    return files.select(relative.alias("path"), named.alias("doc_id"), mtime.alias("mtime"), F.col("path").alias("full_path"), "content")
+
+
+def with_text(files: DataFrame) -> DataFrame:
+    """``files`` of ``listed`` with text for bytes: null where they aren't UTF-8."""
+    return files.withColumn("content", F.try_validate_utf8(F.col("content").cast("string")))
+
+
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = MARKDOWN, least_bytes: int = 0, source: str | None = None) -> DataFrame:
+    """(path, doc_id, content, mtime) of the text files under ``root``; those that aren't UTF-8 are left out."""
+    found = with_text(listed(spark, root, extensions, least_bytes, source))
+    return found.select("path", "doc_id", "content", "mtime").where("content is not null")
+
+
+#: Up to so many files are read by their names; of more, the whole folder is.
+MOST_PATHS = 10_000
+
+
+def read_some(spark: SparkSession, root: str, chosen: DataFrame, **of) -> DataFrame:
+    """(path, doc_id, mtime, full_path, content) of the files of ``listed`` that ``chosen`` names (full_path), and of no others.
+
+    Spark's listing of files is on the driver in any case, and so are the names of some of them.
+    """
+    names = [r["full_path"] for r in chosen.select("full_path").limit(MOST_PATHS + 1).collect()]
+    if len(names) > MOST_PATHS:
+        return with_text(listed(spark, root, **of).join(chosen.select("full_path"), "full_path", "left_semi"))
+    if not names:
+        return with_text(listed(spark, root, **of).limit(0))
+    return with_text(listed(spark, root, paths=names, **of))
 
 
 def delta(disk: DataFrame, held: DataFrame, slack: float = 0.5) -> DataFrame:
