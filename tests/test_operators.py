@@ -100,6 +100,29 @@ def test_signatures(spark):
     assert status(signed) == "ok" and status(signed.withColumn("content", F.lit("x"))) == "TAMPERED" and status(df.withColumn("signature", F.lit(None).cast("string"))) == "UNSIGNED"
 
 
+def test_updates_leave_what_they_do_not_name(spark):
+    held = table(spark, "id string, content string, importance double", [("a", "one", 0.3), ("b", "two", 0.4), ("c", "three", 0.5)])
+    changes = table(spark, "id string, content string, importance double", [("a", "new", None), ("b", None, 7.0)])
+    found = {r["id"]: (r["content"], r["importance"], r["updated"]) for r in memory.update(held, changes, NOW).collect()}
+    assert found == {"a": ("new", 0.3, NOW), "b": ("two", 1.0, NOW), "c": ("three", 0.5, None)}
+
+
+def test_classes_count_the_pairs(spark):
+    """Counts of links by class are those of the pairs, which aren't made."""
+    titles = ["A title long enough", "A title long enough", "a TITLE long enough", "A title long enougd", "Something else", "", None, "x", "x"]
+    bodies = ["one two three four five six seven", "one two three four five six seven", "one two three four five six seven ", "one two three four five six eight", "", None, "!!", "!!", "other"]
+    df = table(spark, "id string, title string, content string", [(f"m{i}", t, b) for i, (t, b) in enumerate(zip(titles, bodies))])
+    for pairs, classes, n in ((memory.title_duplicates(df), memory.title_classes(df), "n_duplicates"), (memory.content_pairs(df, 0.7), memory.content_classes(df, 0.7), "n_similar")):
+        expected = {}
+        for r in pairs.collect():
+            for i in (r["id_a"], r["id_b"]):
+                expected[i] = expected.get(i, 0) + 1
+        found = classes.collect()
+        assert {r["id"]: r[n] for r in found if r[n]} == expected and expected
+    against = {r["id"]: r["n_contradicting"] for r in memory.content_classes(df, 0.7).collect()}
+    assert against["m3"] == 3 and against["m0"] == 1 and against["m2"] == 1
+
+
 def test_ageing(spark):
     memories = table(spark, "id string, importance double", [(x, 0.5) for x in "abcd"])
     access = table(spark, "memory_id string, ts timestamp", [("a", NOW - 2 * DAY), ("b", NOW - 30 * DAY), ("c", NOW - 10 * DAY)] + [("d", NOW)] * 1000)

@@ -174,8 +174,10 @@ class Engine:
         nodes = nodes.unionByName(topics.select(F.col("topic_id").alias("id"), F.lit("topic").alias("type"), F.col("topic").alias("title")))
         nodes, every = graph.merge_duplicates(nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("title").alias("title")), every)
         kept = stage("prune", graph.prune_greedy(every, o.min_weight, o.max_per_node))
-        score = stage("centrality", graph.centrality(kept)).select("id", F.to_json(F.struct(F.col("score").alias("importance_score"))).alias("metadata"))
-        self.store.upsert("nodes", nodes.join(score, "id", "left"), "id")
+        score = stage("centrality", graph.centrality(kept)).select("id", F.col("score").alias("importance_score"))
+        told = nodes.join(score, "id", "left").join(text.note_facts(docs), "id", "left")
+        facts = F.to_json(F.struct("importance_score", "word_count", "modified_time"))
+        self.store.upsert("nodes", told.select("id", "type", "title", F.nullif(facts, F.lit("{}")).alias("metadata")), "id")
         self.store.upsert("edges", kept, "id")
         # the notes' marks last: a build that breaks off is done again
         self.store.replace("graph_notes", changes.select("doc_id"), "doc_id", changes.where("hash is not null").select("doc_id", "hash"))

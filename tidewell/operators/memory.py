@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import days_between
+from tidewell.sources.scratch import settled
 
 # Texts that look like an attempt to give instructions.
 INJECTION_PATTERNS = [
@@ -80,10 +81,34 @@ def title_duplicates(memories: DataFrame, others: DataFrame | None = None, least
     by at most k; pairs meet by that piece, so they aren't all compared. Without ``others`` each pair of memories comes once.
     """
     own = others is None
-    titled = lambda df: df.select("id", F.lower("title").alias("title")).where("title != ''").distinct()
-    left_rows, right_rows = titled(memories), titled(memories if own else others)
-    # titles are compared once, however many rows have them
-    left, right = (r.select("title").distinct().withColumn("id", F.col("title")) for r in (left_rows, right_rows))
+    left_rows, right_rows = _titled(memories), _titled(memories if own else others)
+    close = _near_titles(left_rows.select("title").distinct(), right_rows.select("title").distinct(), least)
+    ids = lambda r, i, t: r.select(F.col("id").alias(i), F.col("title").alias(t))
+    found = close.join(ids(left_rows, "id_a", "t_a"), "t_a").join(ids(right_rows, "id_b", "t_b"), "t_b").where("id_a != id_b")
+    if own:
+        found = found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity").distinct()
+    return found.select("id_a", "id_b", "similarity")
+
+
+def title_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
+    """(id, class_id, class_size, n_duplicates): each memory with a title, the first memory of the same title, how many have it,
+    and with how many others it makes a pair of ``title_duplicates``. The pairs themselves, the square of a class, aren't made."""
+    rows = settled(_titled(memories))
+    held = rows.groupBy("title").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
+    near = _near_titles(held.select("title"), held.select("title"), least)
+    both = near.select("t_a", "t_b").unionByName(near.select(F.col("t_b").alias("t_a"), F.col("t_a").alias("t_b"))).where("t_a != t_b").distinct()
+    linked = both.join(held.select(F.col("title").alias("t_b"), "class_size"), "t_b").groupBy(F.col("t_a").alias("title")).agg(F.sum("class_size").alias("others"))
+    told = held.join(linked, "title", "left")
+    return rows.join(told, "title").select("id", "class_id", "class_size", (F.coalesce("others", F.lit(0)) + F.col("class_size") - 1).alias("n_duplicates"))
+
+
+def _titled(memories: DataFrame) -> DataFrame:
+    return memories.select("id", F.lower("title").alias("title")).where("title != ''").distinct()
+
+
+def _near_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(t_a, t_b, similarity) of distinct titles of either side, each with itself among them."""
+    left, right = left.withColumn("id", F.col("title")), right.withColumn("id", F.col("title"))
     length = lambda c: F.char_length(c)
     allowed = F.floor(F.lit(1 - least + 1e-9) * F.ceil(length("title") / F.lit(least))).cast("int")
     cut = left.withColumn("k", allowed)
@@ -101,12 +126,7 @@ def title_duplicates(memories: DataFrame, others: DataFrame | None = None, least
     met = a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.piece") == F.col("b.piece")) & near)
     met = met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.title").alias("t_a"), F.col("b.title").alias("t_b")).distinct()
     similarity = 1 - F.levenshtein("t_a", "t_b") / F.greatest(length("t_a"), length("t_b"))
-    close = met.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("t_a", "t_b", "similarity")
-    ids = lambda r, i, t: r.select(F.col("id").alias(i), F.col("title").alias(t))
-    found = close.join(ids(left_rows, "id_a", "t_a"), "t_a").join(ids(right_rows, "id_b", "t_b"), "t_b").where("id_a != id_b")
-    if own:
-        found = found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity").distinct()
-    return found.select("id_a", "id_b", "similarity")
+    return met.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("t_a", "t_b", "similarity")
 
 
 def token_set(text: Column) -> Column:
@@ -138,6 +158,23 @@ def content_pairs(memories: DataFrame, least: float = 0.85) -> DataFrame:
     return full.where(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard", (F.col("body_a") != F.col("body_b")).alias("contradicts"))
 
 
+def content_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
+    """(id, class_id, class_size, n_similar, n_contradicting): each memory, the first of the same content, how many have it, with
+    how many others it makes a pair of ``content_pairs`` and with how many of these it disagrees. Equal contents are compared
+    once, and no pairs of their rows are made. Contents without a token are similar to none."""
+    rows = settled(memories.select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("key"), F.coalesce(F.size(token_set(F.col("content"))), F.lit(0)).alias("tokens_")))
+    held = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.max("tokens_").alias("tokens_"))
+    first = memories.join(held.select(F.col("class_id").alias("id")), "id", "left_semi")
+    pairs = content_pairs(first, least)
+    ways = pairs.select("id_a", "id_b", "contradicts").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "contradicts"))
+    sized = ways.join(held.select(F.col("class_id").alias("id_b"), "class_size"), "id_b")
+    linked = sized.groupBy(F.col("id_a").alias("class_id")).agg(F.sum("class_size").alias("others"), F.sum(F.when(F.col("contradicts"), F.col("class_size")).otherwise(0)).alias("against"))
+    told = held.join(linked, "class_id", "left")
+    own = F.when(F.col("tokens_") > 0, F.col("class_size") - 1).otherwise(0)
+    counted = told.select("key", "class_id", "class_size", (F.coalesce("others", F.lit(0)) + own).alias("n_similar"), F.coalesce("against", F.lit(0)).alias("n_contradicting"))
+    return rows.select("id", "key").join(counted, "key").drop("key")
+
+
 # ---- signatures
 
 
@@ -201,7 +238,8 @@ def update(memories: DataFrame, changes: DataFrame, as_of: datetime) -> DataFram
     return joined.withColumns(
         {
             "content": F.coalesce("content_", "content"),
-            "importance": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance_"))), F.col("importance")),
+            # least and greatest leave nulls out, so no change must not get as far as that
+            "importance": F.when(F.col("importance_").isNull(), F.col("importance")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("importance_")))),
             "updated": F.when(hit, F.lit(as_of).cast("timestamp")).otherwise(F.col("updated") if "updated" in memories.columns else F.lit(None).cast("timestamp")),
         }
     ).drop("id_", "content_", "importance_")

@@ -143,6 +143,12 @@ def preview(content: Column, lines: int = 3, most: int = 120) -> Column:
     return F.substring(F.array_join(F.slice(kept, 1, lines), " "), 1, most)
 
 
+def note_facts(docs: DataFrame) -> DataFrame:
+    """(id, word_count, modified_time): what a graph keeps of a note besides its title; the time in whole seconds, as indexed."""
+    words = F.size(F.filter(F.split("content", r"(?U)\s+"), lambda w: w != "")).cast("long")
+    return docs.select(F.col("doc_id").alias("id"), F.coalesce(words, F.lit(0)).alias("word_count"), F.unix_seconds("indexed_at").alias("modified_time"))
+
+
 # ---- ids
 
 

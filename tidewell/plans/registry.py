@@ -6,9 +6,11 @@ A query is a thin composition of operators over the views of ``views.py``; its o
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.config import AS_OF
 from tidewell.operators import graph, logs, memory, retrieval, text, vectors
@@ -254,6 +256,32 @@ def memory_contradictions(v: Views) -> DataFrame:
     return memory.content_pairs(v("v_doc_memories")).withColumns(r6("jaccard"))
 
 
+@query(r"""
+    WITH t AS (SELECT DISTINCT id, lower(regexp_replace(title, '[^\x00-\x7F]', '?', 'g')) AS title FROM v_doc_memories WHERE title <> ''),
+    u AS (SELECT DISTINCT title, LENGTH(title) AS n FROM t),
+    p AS (SELECT a.title AS a, b.title AS b, 1 - levenshtein(a.title, b.title) / CAST(GREATEST(a.n, b.n) AS DOUBLE) AS similarity FROM u a JOIN u b ON abs(a.n - b.n) <= 0.15 * GREATEST(a.n, b.n) + 1e-9 AND a.title <= b.title)
+    , pairs AS (SELECT DISTINCT LEAST(x.id, y.id) AS id_a, GREATEST(x.id, y.id) AS id_b, ROUND(similarity, 6) AS similarity FROM p JOIN t x ON x.title = p.a JOIN t y ON y.title = p.b WHERE similarity >= 0.85 AND x.id <> y.id),
+    c AS (SELECT title, MIN(id) AS class_id, COUNT(*) AS class_size FROM t GROUP BY title)
+    SELECT t.id, c.class_id, c.class_size, (SELECT COUNT(*) FROM pairs WHERE pairs.id_a = t.id OR pairs.id_b = t.id) AS n_duplicates FROM t JOIN c ON c.title = t.title""")
+def memory_dedup_classes(v: Views) -> DataFrame:
+    """The links of memory_dedup counted, without its pairs."""
+    return memory.title_classes(_plain_titles(v))
+
+
+@query(r"""
+    WITH w AS (SELECT id, trim(content) AS body, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(content), '\s+'), lambda x: regexp_replace(x, '[^\p{L}\p{N}]', '', 'g')), lambda x: x <> '')) AS t FROM v_doc_memories),
+    tok AS (SELECT id, UNNEST(t) AS token FROM w),
+    shared AS (SELECT a.id AS id_a, b.id AS id_b, COUNT(*) AS n FROM tok a JOIN tok b ON a.token = b.token AND a.id < b.id GROUP BY 1, 2)
+    , pairs AS (SELECT s.id_a, s.id_b, ROUND(s.n / CAST(len(a.t) + len(b.t) - s.n AS DOUBLE), 6) AS jaccard, a.body <> b.body AS contradicts
+    FROM shared s JOIN w a ON a.id = s.id_a JOIN w b ON b.id = s.id_b WHERE s.n / CAST(len(a.t) + len(b.t) - s.n AS DOUBLE) >= 0.85),
+    c AS (SELECT content, MIN(id) AS class_id, COUNT(*) AS class_size FROM v_doc_memories GROUP BY content)
+    SELECT d.id, c.class_id, c.class_size, COUNT(p.id_a) AS n_similar, COUNT(p.id_a) FILTER (WHERE p.contradicts) AS n_contradicting
+    FROM v_doc_memories d JOIN c ON c.content = d.content LEFT JOIN pairs p ON p.id_a = d.id OR p.id_b = d.id GROUP BY 1, 2, 3""")
+def memory_contradiction_classes(v: Views) -> DataFrame:
+    """The pairs of memory_contradictions counted, equal contents compared once."""
+    return memory.content_classes(v("v_doc_memories"))
+
+
 @query(f"""
     WITH m AS (SELECT id, sha256(from_hex('{'5c' * 64}') || from_hex(sha256(from_hex('{'36' * 64}') || encode(COALESCE(id, '') || ':' || COALESCE(category, '') || ':' || COALESCE(title, '') || ':' || COALESCE(content, ''))))) AS signature FROM v_memories)
     SELECT id, signature, 'ok' AS status FROM m""")
@@ -838,6 +866,124 @@ def allocation(v: Views) -> DataFrame:
     return graph.allocation_edges(new, docs).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
+# ---- parts of the lifecycle, the graph and the memories by themselves
+
+
+@query("SELECT source_id AS node, target_id AS other, id FROM v_edges UNION ALL SELECT target_id, source_id, id FROM v_edges")
+def edges_both(v: Views) -> DataFrame:
+    return graph.both_ways(v("v_edges")).select("node", "other", "id")
+
+
+@query("SELECT id, CASE WHEN type = 'mentions' THEN 1706745600 ELSE CAST(epoch(valid_to) AS BIGINT) END AS ends FROM v_edges")
+def edges_invalidated(v: Views) -> DataFrame:
+    """Edges of one type ended now; the others end when they did."""
+    edges = v("v_edges")
+    return graph.invalidate(edges, edges.where("type = 'mentions'").select("id"), AS_OF).select("id", F.unix_seconds(F.col("valid_to").cast("timestamp")).alias("ends"))
+
+
+@query("SELECT doc_id, COUNT(*) AS n FROM v_access WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' GROUP BY doc_id")
+def accesses_since(v: Views) -> DataFrame:
+    return logs.since(v("v_access"), datetime(2024, 1, 20)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id_a, doc_id_b, sha256(LEAST(doc_id_a, doc_id_b) || '::' || GREATEST(doc_id_a, doc_id_b)) AS id FROM (SELECT DISTINCT doc_id_a, doc_id_b FROM v_coret) x")
+def edge_ids(v: Views) -> DataFrame:
+    pairs = v("v_coret").select("doc_id_a", "doc_id_b").distinct()
+    return pairs.withColumn("id", logs.edge_id(F.col("doc_id_b"), F.col("doc_id_a")))
+
+
+_RUNS_SQL = """runs AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS id, MAX(ts) AS finished_at, COUNT(*) AS n,
+      CASE WHEN COUNT(*) % 2 = 0 THEN CAST(COUNT(*) AS DOUBLE) END AS duration FROM v_access GROUP BY 1)"""
+
+
+def _runs(v: Views) -> DataFrame:
+    """A run for each day of the log; those of an odd number of accesses have no duration."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
+    runs = v("v_access").groupBy(day.alias("id")).agg(F.max("ts").alias("finished_at"), F.count("*").alias("n"))
+    return runs.withColumn("duration", F.when(F.col("n") % 2 == 0, F.col("n").cast("double")))
+
+
+@query(f"""WITH {_RUNS_SQL}
+    SELECT CASE WHEN MAX(finished_at) IS NULL THEN 'never consolidated' ELSE 'consolidation overdue' END AS alert FROM runs HAVING MAX(finished_at) IS NULL OR MAX(finished_at) < {{as_of}} - INTERVAL '12' HOUR
+    UNION ALL SELECT 'flat excitability' FROM v_docs HAVING COUNT(*) > 100 AND MAX(excitability) - MIN(excitability) < 0.01""")
+def health_alerts(v: Views) -> DataFrame:
+    return logs.health_alerts(v("v_docs"), _runs(v), AS_OF)
+
+
+@query(f"WITH {_RUNS_SQL} SELECT id, n, duration FROM runs WHERE duration IS NOT NULL ORDER BY id DESC LIMIT 20")
+def run_history(v: Views) -> DataFrame:
+    return logs.run_history(_runs(v)).select("id", "n", "duration")
+
+
+@query(f"WITH {_BM25.strip()}, t AS (SELECT doc_id, score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 30) SELECT doc_id, ROUND(CASE WHEN score = 0 THEN 0.1 ELSE GREATEST(0, LEAST(1, 1 - score / 50)) END, 6) AS score FROM t")
+def keyword_scores(v: Views) -> DataFrame:
+    """What the keyword layer hands to the fusion."""
+    best = retrieval.bm25_blocks(*stored_blocks(v), QUERY_TEXT, 30, porter=False)
+    return best.select("doc_id", F.round(retrieval.keyword_layer_score(-F.col("score")), 6).alias("score"))
+
+
+@query("""
+    WITH l AS (SELECT 0 AS list_id, ROW_NUMBER() OVER (ORDER BY doc_num) AS rank, CASE WHEN doc_num % 2 = 0 THEN 'hash_' || sha256(content) ELSE doc_id END AS doc_id, excitability AS score FROM v_docs WHERE doc_num % 3 = 0
+      UNION ALL SELECT 1, ROW_NUMBER() OVER (ORDER BY doc_num), CASE WHEN doc_num % 2 = 0 THEN 'hash_' || sha256(content) ELSE doc_id END, excitability FROM v_docs WHERE doc_num % 5 = 0),
+    c AS (SELECT * FROM l WHERE (SELECT COUNT(*) FROM l) <= 1000 OR rank <= 500)
+    SELECT doc_id, ROUND(SUM(1.0::DOUBLE / (60 + rank)), 4) AS rrf_score, ROUND(MAX(score), 6) AS best_score FROM c GROUP BY doc_id""")
+def rrf_hash_keys(v: Views) -> DataFrame:
+    """Rows without an id are told by their content."""
+    docs = v("v_docs")
+
+    def ranked(number: int, every: int) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy("doc_num")).cast("long")
+        doc_id = F.when(F.col("doc_num") % 2 == 0, "").otherwise(F.col("doc_id"))
+        return docs.where(F.col("doc_num") % every == 0).select(F.lit(number).alias("list_id"), rank.alias("rank"), doc_id.alias("doc_id"), "content", F.col("excitability").alias("score"))
+
+    return retrieval.rrf(ranked(0, 3).unionByName(ranked(1, 5))).select("doc_id", "rrf_score", F.round("best_score", 6).alias("best_score"))
+
+
+@query("""SELECT doc_id AS id, CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '')) AS BIGINT) AS word_count, CAST(epoch(indexed_at) AS BIGINT) AS modified_time FROM v_docs""")
+def note_facts(v: Views) -> DataFrame:
+    return text.note_facts(v("v_docs"))
+
+
+@query("SELECT doc_id, substr(array_to_string(list_slice(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''), 1, 3), ' '), 1, 120) AS preview FROM v_docs")
+def previews(v: Views) -> DataFrame:
+    return v("v_docs").select("doc_id", text.preview(F.col("content")).alias("preview"))
+
+
+@query("""SELECT id, CASE WHEN importance >= 0.8 THEN id || '_new' END AS superseded_by, CASE WHEN importance >= 0.8 THEN category || ',superseded' ELSE category END AS tags FROM v_memories""")
+def memory_supersede(v: Views) -> DataFrame:
+    held = v("v_memories").withColumn("tags", F.array("category")).withColumn("superseded_by", F.lit(None).cast("string"))
+    by = held.where("importance >= 0.8").select("id", F.concat("id", F.lit("_new")).alias("superseded_by"))
+    return memory.supersede(held, by).select("id", "superseded_by", F.array_join("tags", ",").alias("tags"))
+
+
+@query("""SELECT id, CASE WHEN importance < 0.2 THEN content || ' again' ELSE content END AS content, ROUND(CASE WHEN importance < 0.2 THEN LEAST(1.0, GREATEST(0.0, importance * 9 - 0.4)) ELSE importance END, 6) AS importance, importance < 0.2 AS changed FROM v_memories""")
+def memory_update(v: Views) -> DataFrame:
+    held = v("v_memories")
+    changes = held.where("importance < 0.2").select("id", F.concat("content", F.lit(" again")).alias("content"), (F.col("importance") * 9 - 0.4).alias("importance"))
+    return memory.update(held, changes, AS_OF).select("id", "content", F.round("importance", 6).alias("importance"), F.col("updated").isNotNull().alias("changed"))
+
+
+@query("SELECT id, title FROM v_memories ORDER BY created DESC, id LIMIT 50")
+def memory_latest(v: Views) -> DataFrame:
+    return memory.latest(v("v_memories"), 50).select("id", "title")
+
+
+_CATEGORY_SQL = "CASE lower(role) " + " ".join(f"WHEN '{k}' THEN '{c}'" for k, c in sorted(memory.CATEGORY_ALIASES.items())) + " ELSE 'events' END"
+
+
+@query(f"""SELECT 'mem_' || substr(sha256('{AS_OF.isoformat()}|' || text), 1, 8) AS id, substr(string_split(text, chr(10))[1], 1, 60) AS title, {_CATEGORY_SQL} AS category,
+      CAST(GREATEST(0.0, LEAST(1.0, turn / 4.0)) AS DOUBLE) AS importance FROM conversations""")
+def memory_remembered(v: Views) -> DataFrame:
+    """A batch of memories from turns of conversations; categories that aren't known are events."""
+    batch = v("conversations").select(F.col("text").alias("content"), F.col("role").alias("category"), (F.col("turn") / 4.0).alias("importance"))
+    return memory.remembered(batch, AS_OF, strict=False, title=60).select("id", "title", "category", "importance")
+
+
+@query("SELECT id AS doc_id, title || chr(10) || chr(10) || abstract_text || chr(10) || chr(10) || content AS content FROM v_memories")
+def memory_documents(v: Views) -> DataFrame:
+    return memory.as_document(v("v_memories")).select("doc_id", "content")
+
+
 # ---- streaming
 
 
