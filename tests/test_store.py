@@ -391,3 +391,47 @@ def test_equal_titles_are_compared_once(spark):
     rows = [(f"m{i}", "The same long title for all", "x") for i in range(30)] + [("n", "The same long title for al", "x"), ("o", "Something else entirely", "x")]
     found = memory.title_duplicates(spark.createDataFrame(rows, "id string, title string, content string")).collect()
     assert len(found) == 30 * 29 // 2 + 30 and all(r["id_a"] < r["id_b"] for r in found)
+
+
+def test_the_cache_keeps_what_was_used_last(spark, tmp_path):
+    from tidewell.config import Options
+
+    made = Engine(spark, str(tmp_path / "store"), Options(cached_embeddings=3), embedder=lambda: hashing_embedder(8))
+    docs = lambda *words: spark.createDataFrame([(w, w) for w in words], "doc_id string, content string")
+    made.index(docs("one", "two", "three"), NOW)
+    made.index(docs("one"), NOW + timedelta(days=2))
+    made.index(docs("four"), NOW + timedelta(days=1))
+    key = lambda w: hashlib.md5(w.encode()).hexdigest()
+    kept = {r["key"] for r in made.store.read("embedding_cache").collect()}
+    assert len(kept) == 3 and {key("one"), key("four")} <= kept
+    assert made.store.read("embedding_uses").count() == 3
+    made.index(docs("two", "three"), NOW + timedelta(days=3))
+    assert {key("two"), key("three")} <= {r["key"] for r in made.store.read("embedding_cache").collect()}
+
+
+def test_searches_read_the_vector_index(spark, engine, monkeypatch):
+    docs = [("a", "water the garden in spring"), ("b", "a key to the tools"), ("c", "paint the kitchen wall")]
+    engine.index(spark.createDataFrame(docs, "doc_id string, content string"), NOW)
+    engine.index(spark.createDataFrame([("b", "water for the garden"), ("d", "an oven for bread")], "doc_id string, content string"), NOW)
+    held = {r["doc_id"]: r["embedding"] for r in engine.store.read("documents").collect()}
+    same = lambda: {r["doc_id"]: r["embedding"] for r in engine.vectors.rows().collect()} == held
+    assert len(held) == 4 and same()
+    query = hashing_embedder(32)(["garden water"])[0].tolist()
+    scan = [r["doc_id"] for r in retrieval.knn(engine.store.read("documents"), query, 3).collect()]
+    assert [r["doc_id"] for r in engine.vectors.search(query, 3).collect()] == scan
+    monkeypatch.setattr(retrieval, "knn", lambda *a, **k: (_ for _ in ()).throw(AssertionError("scanned")))
+    assert "b" in {r["doc_id"] for r in engine.search("garden water", NOW).collect()}
+    engine.forget_documents(spark.createDataFrame([("b",)], "doc_id string"))
+    held.pop("b")
+    assert same()
+    engine.rebuild_vectors()
+    assert same() and engine.vectors.path.rpartition("/")[2] != "vectors_0"
+
+
+def test_a_batch_of_memories(spark, engine):
+    rows = [(LONG + " One.", "events", 0.5), (LONG + " Two.", "event", 7.0), (LONG + " Two.", "event", 7.0), ("too short", "events", 0.5), (LONG + " Three.", "nonsense", None)]
+    told = {r["id"]: r for r in engine.remember_all(spark.createDataFrame(rows, "content string, category string, importance double"), NOW).collect()}
+    assert len(told) == 4 and sum(r["stored"] for r in told.values()) == 2
+    assert engine.store.read("memories").count() == 2 and engine.store.read("documents").count() == 2
+    assert {r["status"] for r in engine.verified().collect()} == {"ok"}
+    assert any("unknown category" in r["errors"] for r in told.values())

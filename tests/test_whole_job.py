@@ -64,6 +64,33 @@ def test_shortest_path_query_by_brute_force(spark, views, hops):
     assert [(r["distance"], r["path"]) for r in found] == ([(depth["zz"], ">".join(chain))] if depth["zz"] <= 6 else [])
 
 
+def test_two_sided_search_by_brute_force(spark):
+    dice = random.Random(8)
+    pairs = [(f"n{dice.randrange(i):02}", f"n{i:02}") for i in range(1, 50)] + [(f"n{dice.randrange(50):02}", f"n{dice.randrange(50):02}") for _ in range(12)]
+    edges, near = edges_of(spark, pairs), {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def least(a, b):
+        paths = [[a]]
+        while paths and not any(p[-1] == b for p in paths):
+            paths = [[*p, n] for p in paths for n in near.get(p[-1], ()) if n not in p]
+            paths = [p for p in paths if len(p) <= 7]
+        return min((p for p in paths if p[-1] == b), default=None)
+
+    for a, b in (("n49", "n31"), ("n00", "n44"), ("n12", "n12"), ("n03", "nowhere")):
+        found = [(r["distance"], r["path"]) for r in graph.shortest_path(edges, a, b, NOW).collect()]
+        path = least(a, b)
+        assert found == ([(len(path) - 1, ">".join(path))] if path else [])
+    # two long chains behind the start: a search from one side goes down both of them
+    star = [(f"c{k}_{i}", f"c{k}_{i + 1}") for k in range(30) for i in range(4)] + [("hub", f"c{k}_0") for k in range(30)]
+    told = {}
+    assert graph.shortest_path(edges_of(spark, star), "hub", "c7_4", NOW, told=told).first()["distance"] == 5
+    assert told["reached"] < 50
+
+
 def search_tables(spark):
     docs = [("near", "orchid orchid greenhouse"), ("other", "plain words"), ("expanded", "an orchid on the shelf"), ("stemmed", "she was watering them"), ("none", "nothing to see")]
     rows = [(d, t, NOW, None, 0.5) for d, t in docs]

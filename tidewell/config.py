@@ -80,3 +80,5 @@ class Options:
     search: SearchOptions = field(default_factory=SearchOptions)
     prune: PruneRules = field(default_factory=PruneRules)
     graph: GraphOptions = field(default_factory=GraphOptions)
+    #: Embeddings that are kept by content; beyond, the least recently used go.
+    cached_embeddings: int = 10_000

@@ -5,6 +5,7 @@ Methods give DataFrames where they give rows. Time is an argument everywhere.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import cached_property
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tidewell.config import Options
 from tidewell.functions.embed import checked_dimension, embed_cached, hashing_embedder
 from tidewell.operators import graph, logs, memory, retrieval, text
+from tidewell.operators.vectors import VectorIndex
 from tidewell.sources import files
 from tidewell.sources.catalog import Catalog
 from tidewell.sources.config import PRIORITIES, Source
@@ -45,6 +47,8 @@ class Engine:
         vectors, fresh = embed_cached(docs, self.store.read("embedding_cache"), make=self.embedder)
         if not fresh.isEmpty():
             self.store.append("embedding_cache", fresh)
+        self.store.append("embedding_uses", docs.select(F.md5(F.coalesce("content", F.lit("")).cast("binary")).alias("key"), F.lit(now).alias("used")).distinct())
+        self._trim_cache()
         made = checked_dimension(vectors, self.dimensions).withColumns({"indexed_at": F.lit(now), "created": F.lit(now), "excitability": F.lit(0.5), "access_count": F.lit(0).cast("long")})
         ids = docs.select("doc_id")
         index = settled(retrieval.postings(docs))
@@ -53,9 +57,39 @@ class Engine:
         links = docs.select("doc_id", F.lit("link").alias("ref_type"), F.explode(text.wiki_links(F.col("content"))).alias("ref_target"))
         for table, rows in (("document_tags", tags), ("cross_refs", links), ("postings", index), ("document_lengths", lengths)):
             self.store.replace(table, ids, "doc_id", rows)
+        self._keep_vectors(made.select("doc_id", "embedding"))
         # the documents last: if a run breaks off before, the next one finds them unchanged and does all of this again
         return self.store.upsert("documents", made, "doc_id", keep=("created", "excitability", "access_count", "last_accessed"))
 
+    def _trim_cache(self) -> None:
+        """Keeps the embeddings that were used last, as many as the options say, once there are more."""
+        held, most = self.store.read("embedding_cache"), self.options.cached_embeddings
+        if held.count() <= most:
+            return
+        (held, at), (uses, uses_at) = self.store.at("embedding_cache"), self.store.at("embedding_uses")
+        last = uses.groupBy("key").agg(F.max("used").alias("used"))
+        kept = settled(held.select("key").distinct().join(last, "key", "left").orderBy(F.desc_nulls_last("used"), "key").limit(most))
+        self.store.write("embedding_cache", held.join(kept, "key", "left_semi").dropDuplicates(["key"]), at)
+        self.store.write("embedding_uses", kept, uses_at)
+
+    @property
+    def vectors(self) -> VectorIndex:
+        """The documents' vectors by cell, beside the store's tables; ``rebuild_vectors`` makes it anew."""
+        return VectorIndex(self.spark, f"{self.store.path}/{self.store._text('_vectors') or 'vectors_0'}")
+
+    def _keep_vectors(self, rows: DataFrame) -> None:
+        index = self.vectors
+        if index.exists():
+            index.add(rows)
+        else:
+            VectorIndex.build(rows, index.path)
+
+    def rebuild_vectors(self) -> None:
+        """New cells for the vectors as they are, in a new folder, which searches read from then on."""
+        name = f"vectors_{uuid.uuid4().hex}"
+        VectorIndex.build(self.store.read("documents").select("doc_id", "embedding"), f"{self.store.path}/{name}")
+        self.store._put("_vectors", name)
+
     @cached_property
     def dimensions(self) -> int:
         return len(self.embedder()([""])[0])
@@ -126,6 +160,8 @@ class Engine:
             self.store.upsert("edges", made, "id")
 
     def forget_documents(self, ids: DataFrame) -> None:
+        if self.vectors.exists():
+            self.vectors.remove(ids)
         for table in ("documents", "document_tags", "cross_refs", "postings", "document_lengths"):
             self.store.delete(table, ids, "doc_id")
 
@@ -208,7 +244,7 @@ class Engine:
         options = self.options.search if limit is None else type(self.options.search)(**{**self.options.search.__dict__, "limit": limit})
         docs, read = self.store.read("documents"), self.store.read
         vector = np.asarray(self.embedder()([query])[0], dtype=float).tolist()
-        found = retrieval.hybrid_search(query, vector, docs, docs.where("embedding is not null"), read("document_tags"), read("cross_refs"), read("nodes"), read("edges"), now, options, self.scorer, self.keywords, stats)
+        found = retrieval.hybrid_search(query, vector, docs, docs.where("embedding is not null"), read("document_tags"), read("cross_refs"), read("nodes"), read("edges"), now, options, self.scorer, self.keywords, self.vectors.search if self.vectors.exists() else None, stats)
         found = found.join(docs.select("doc_id", "content"), "doc_id", "left").orderBy("position")
         if record:
             found = found.cache()
@@ -389,6 +425,19 @@ class Engine:
         self.approve(ident, now)
         return ident
 
+    def remember_all(self, batch: DataFrame, now: datetime, strict: bool = True, title: int = 80) -> DataFrame:
+        """(id, title, stored, errors) of a batch of memories (content, category, importance): those without errors become memories
+        and documents together. Of equal contents one is kept."""
+        made = memory.remembered(batch, now, strict, title).withColumn("abstract_text", F.substring("content", 1, 200)).dropDuplicates(["id"])
+        checked = settled(memory.validate(memory.sign(made, self.store.signing_key)))
+        unknown = F.when(F.col("category").isNull(), F.array(F.lit("unknown category"))).otherwise(F.array().cast("array<string>"))
+        told = checked.withColumn("errors", F.concat("errors", unknown)).withColumn("stored", F.size("errors") == 0)
+        good = settled(told.where("stored"))
+        if not good.isEmpty():
+            self.store.upsert("memories", good, "id")
+            self.index(memory.as_document(good), now)
+        return told.select("id", "title", "stored", "errors")
+
     def accessed(self, ident: str, kind: str, now: datetime) -> None:
         self.store.append("memory_access", self._rows("memory_id string, access_type string, ts timestamp", [(ident, kind, now)]))
 

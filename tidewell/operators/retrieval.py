@@ -363,12 +363,14 @@ def hybrid_search(
     options: SearchOptions = SearchOptions(),
     scorer: Callable[[list[tuple[str, str]]], list[float]] | None = None,
     keywords: Callable[[str, int], DataFrame] | None = None,
+    nearest: Callable[[Sequence[float], int], DataFrame] | None = None,
     stats: list[tuple[str, float, int]] | None = None,
 ) -> DataFrame:
     """(doc_id, position, score): vector, keyword, graph and metadata layers fused, boosted, spread and made diverse.
 
     The keyword layer asks for the query's stems and those of the best vector hit's terms, in id, content and path; it searches
-    ``keywords`` (stored postings, as a function of query and size) or, without them, scans. A ``scorer`` reranks the chosen
+    ``keywords`` (stored postings, as a function of query and size) or, without them, scans; so does the vector layer with
+    ``nearest`` (an index, as a function of vector and size). A ``scorer`` reranks the chosen
     rows. Each layer's name, milliseconds and number of candidates go into ``stats``.
     """
     began = perf_counter()
@@ -384,7 +386,8 @@ def hybrid_search(
     wide = options.limit * options.candidates
     lists, asked = [], query
     if options.vector:
-        near = counted("vector", ranked(knn(vectors, vector, wide).join(docs.select("doc_id", "content"), "doc_id"), 0, "content"))
+        best = nearest(vector, wide) if nearest else knn(vectors, vector, wide)
+        near = counted("vector", ranked(best.join(docs.select("doc_id", "content"), "doc_id"), 0, "content"))
         asked = expanded_query(query, near)
         lists.append(near)
     if options.keyword:

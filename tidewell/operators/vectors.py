@@ -289,6 +289,10 @@ class VectorIndex:
         }
         return self.spark.read.schema(schemas[name]).parquet(f"{self.path}/{name}")
 
+    def exists(self) -> bool:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/gone/_SUCCESS")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
     def _centroids(self) -> np.ndarray:
         return np.array([r["centroid"] for r in self._read("centroids").orderBy("cell").collect()], dtype=np.float64)
 
