@@ -177,5 +177,42 @@ _JACCARD_SQL = r"""
     FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, MIN(b) AS component_id FROM reach GROUP BY a) c ON c.a = d.doc_id"""
 
 
+def _peeled_sql(name: str, of_types: bool) -> str:
+    """Tables that peel twelve layers of the table ``name`` (ty?, p, d, w, q; less is better) one after the other."""
+    same = "a.ty IS NOT DISTINCT FROM b.ty AND " if of_types else ""
+    tables, rest = [], name
+    for k in range(1, 13):
+        tables.append(f"""{name}{k} AS MATERIALIZED (SELECT * FROM {rest} b WHERE NOT EXISTS (SELECT 1 FROM {rest} a
+      WHERE {same}a.p <= b.p AND a.d <= b.d AND a.w <= b.w AND a.q <= b.q AND (a.p < b.p OR a.d < b.d OR a.w < b.w OR a.q < b.q)))""")
+        tables.append(f"{name}_behind{k} AS MATERIALIZED (SELECT * FROM {rest} EXCEPT SELECT * FROM {name}{k})")
+        rest = f"{name}_behind{k}"
+    every = " UNION ALL ".join(f"SELECT *, {k} AS layer FROM {name}{k}" for k in range(1, 13))
+    return ",\n    ".join([*tables, f"{name}_layers AS ({every})"])
+
+
+def _offers_sql() -> str:
+    """op11 in SQL: offers from lines, then layer after layer by comparing all that is left with all that is left."""
+    best = "-4611686018427387904"
+    codes = f"COALESCE(price, {best}) AS p, COALESCE(-discount, {best}) AS d, COALESCE(delay, {best}) AS w, COALESCE(-quantity, {best}) AS q"
+    return f"""
+    WITH l AS (SELECT s.item_id, s.vendor_id, CAST(s.quantity AS BIGINT) AS q, CAST(floor(100 * s.amount + 0.5) AS BIGINT) AS c, CAST(floor(100 * s.discount + 0.5) AS BIGINT) AS d,
+        date_diff('day', CAST(o.sold_at AS DATE), CAST(s.shipped_at AS DATE)) AS days, i.brand, CAST(floor(100 * i.price + 0.5) AS BIGINT) AS p
+      FROM sale_lines s LEFT JOIN sales o ON o.sale_id = s.sale_id LEFT JOIN items i ON i.item_id = s.item_id WHERE s.item_id IS NOT NULL AND s.vendor_id IS NOT NULL),
+    g AS (SELECT item_id, vendor_id, MAX(brand) AS part_type, MAX(p) AS p, CAST(SUM(c * (100 - d)) FILTER (WHERE q IS NOT NULL) AS HUGEINT) AS paid,
+        CAST(SUM(q) FILTER (WHERE c IS NOT NULL AND d IS NOT NULL) AS HUGEINT) AS pieces, CAST(SUM(d) AS HUGEINT) AS ds, COUNT(d) AS dn, CAST(SUM(days) AS HUGEINT) AS ts, COUNT(days) AS tn, MAX(q) AS quantity
+      FROM l GROUP BY item_id, vendor_id),
+    o AS (SELECT item_id, vendor_id, part_type, CASE WHEN p >= 1 THEN CAST(paid // (p * pieces) AS BIGINT) END AS price, CAST(ds // dn AS BIGINT) AS discount,
+        CAST((ts - ((ts % tn) + tn) % tn) // tn AS BIGINT) AS delay, quantity FROM g),
+    coded AS MATERIALIZED (SELECT *, {codes} FROM o),
+    own AS MATERIALIZED (SELECT DISTINCT part_type AS ty, p, d, w, q FROM coded),
+    every AS MATERIALIZED (SELECT DISTINCT p, d, w, q FROM coded),
+    {_peeled_sql("own", True)},
+    {_peeled_sql("every", False)},
+    n AS (SELECT p, d, w, q, COUNT(*) AS n_equal FROM coded GROUP BY ALL)
+    SELECT c.item_id, c.vendor_id, c.part_type, c.price, c.discount, c.delay, c.quantity, CAST(COALESCE(t.layer, 0) AS BIGINT) AS type_layer, CAST(COALESCE(e.layer, 0) AS BIGINT) AS global_layer, n.n_equal
+    FROM coded c JOIN n ON (n.p, n.d, n.w, n.q) = (c.p, c.d, c.w, c.q) LEFT JOIN every_layers e ON (e.p, e.d, e.w, e.q) = (c.p, c.d, c.w, c.q)
+      LEFT JOIN own_layers t ON t.ty IS NOT DISTINCT FROM c.part_type AND (t.p, t.d, t.w, t.q) = (c.p, c.d, c.w, c.q)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _rules_sql(), "op4_exact_dedup": _DEDUP_SQL, "op10_jaccard_join": _JACCARD_SQL}
+    return {"op11_pareto_layers": _offers_sql(), "op3_quality_rules": _rules_sql(), "op4_exact_dedup": _DEDUP_SQL, "op10_jaccard_join": _JACCARD_SQL}
