@@ -48,11 +48,14 @@ def test_markdown_sections():
     assert len(long) > 2 and all(len(t.encode()) <= text.CHUNK_MOST + 3 for _, t in long)
 
 
-def test_variants_and_match_queries():
+def test_variants_and_match_queries(spark):
     assert text.query_variants("CS656") == ["CS656", "cs656", "CS 656", "cs 656"]
     assert "machine learning" in text.query_variants("ML") and "ml" in text.query_variants("machine learning")
     assert "machine learning" in text.query_variants("what is machine learning?")
     assert text.query_variants(" ") == [] and len(text.query_variants("a-b_c.d e1 f 2 rag api db")) <= 12
+    said = ["hello (world) -x- a", "", " -a-b- c 'd' ", "\\back |slash| \u00e9 x"]
+    made = spark.createDataFrame([(q,) for q in said], "q string").select("q", text.match_expression(F.col("q")).alias("m")).collect()
+    assert {r["q"]: r["m"] for r in made} == {q: text.match_query(q) for q in said}
     assert text.match_query("hello (world) -x- a") == '"hello" OR "world"' and text.match_query("") == ""
 
 

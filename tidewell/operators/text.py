@@ -291,6 +291,14 @@ def match_query(query: str) -> str:
     return " OR ".join(f'"{w}"' for w in words)
 
 
+def match_expression(query: Column) -> Column:
+    """``match_query`` of a column of queries."""
+    special = "\"'\\(){}[]*^:~@#$%&|<>!"
+    bare = F.transform(F.split(F.translate(query, special, ""), r"\s+"), lambda w: F.regexp_replace(w, "^-+|-+$", ""))
+    words = F.filter(bare, lambda w: F.octet_length(w) >= 2)
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
+
+
 def query_variants(query: str) -> list[str]:
     """Up to twelve spellings of a query, itself first."""
     if not query.strip():

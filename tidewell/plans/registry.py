@@ -422,7 +422,15 @@ VARIANT_QUERIES = ["CS656", "CS 656 exam", "state-of-art", "file_name.py", "ML",
 
 @query()
 def query_variants(v: Views) -> DataFrame:
-    return text.variants_table(rows(v.spark, "query string", [(q,) for q in VARIANT_QUERIES]))
+    """Variants of the first words of all turns of conversations, and of literal queries with marks that these lack."""
+    asked = v("conversations").select(F.substring_index("text", " ", 4).alias("query")).distinct()
+    return text.variants_table(asked.unionByName(rows(v.spark, "query string", [(q,) for q in VARIANT_QUERIES])))
+
+
+@query(r"""SELECT conv_id, turn, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(translate(text, '"''\(){}[]*^:~@#$%&|<>!', ''), '\s+'), lambda w: regexp_replace(w, '^-+|-+$', '', 'g')), lambda w: strlen(w) >= 2), lambda w: '"' || w || '"'), ' OR ') AS expression FROM conversations""")
+def match_expressions(v: Views) -> DataFrame:
+    """All turns of conversations as full-text queries."""
+    return v("conversations").select("conv_id", "turn", text.match_expression(F.col("text")).alias("expression"))
 
 
 # ---- ingest
