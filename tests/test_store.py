@@ -173,6 +173,7 @@ def test_search_reads_postings_and_reports_layers(spark, engine):
     stats = []
     engine.search("watered", NOW, stats=stats)
     assert [name for name, *_ in stats] == ["vector", "keyword", "graph", "metadata"] and all(ms >= 0 for _, ms, _ in stats)
+    assert {name: n for name, _, n in stats} == {"vector": 3, "keyword": 3, "graph": 0, "metadata": 0}
     engine.index(spark.createDataFrame([("one", "dry")], "doc_id string, content string"), NOW)
     assert set(shape(engine.keywords("watered", 5))) == {"two", "three"}
     engine.forget_documents(spark.createDataFrame([("two",)], "doc_id string"))
