@@ -824,7 +824,18 @@ def temporal_edges(v: Views) -> DataFrame:
     return graph.temporal_edges(dated).withColumns(r6("weight"))
 
 
-@query()
+# Words end where Unicode says so: letters, marks and digits beyond ASCII, which no entity has but in links, count as "_".
+@query(r"""
+    WITH c AS (SELECT doc_id AS id, content, regexp_replace(content, '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{M}]|[^\x00-\x7F\P{Nd}]', '_', 'g') AS a FROM v_docs),
+    x AS (SELECT DISTINCT id, UNNEST(list_concat(regexp_extract_all(a, '\b[A-Z][a-z]+ [A-Z][a-z]+\b'), regexp_extract_all(a, '\b(?:"""
+    + graph.TECH_TERMS
+    + r""")\b'), regexp_extract_all(a, '\b[A-Z][a-zA-Z]{2,}\b'),
+      list_filter(list_transform(regexp_extract_all(content, '\[\[([^\[\]]+)\]\]', 1), lambda y: trim(CASE WHEN contains(y, '|') THEN regexp_extract(y, '^[^|]*\|(.*)$', 1) ELSE y END)), lambda y: y <> ''))) AS entity FROM c),
+    e AS (SELECT * FROM x WHERE entity NOT IN ("""
+    + ", ".join(f"'{w}'" for w in graph.COMMON_WORDS)
+    + """)),
+    f AS (SELECT entity, COUNT(*) AS frequency, md5(lower(entity)) AS m FROM e GROUP BY entity HAVING COUNT(*) >= 2)
+    SELECT e.id, e.entity, 'entity_' || COALESCE(NULLIF(ltrim(substr(m, 7, 2) || substr(m, 5, 2) || substr(m, 3, 2) || substr(m, 1, 2), '0'), ''), '0') AS entity_id, f.frequency FROM e JOIN f ON f.entity = e.entity""")
 def entity_mentions(v: Views) -> DataFrame:
     return graph.entity_mentions(v("v_docs").select(F.col("doc_id").alias("id"), "content"))
 
