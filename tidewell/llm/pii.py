@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -127,12 +128,16 @@ class Finder:
             if start >= self.past[kind]:
                 self.parsers[kind](text, start, last + 1)
         order = {k: i for i, k in enumerate(KINDS)}
-        held = set(self.base)
-        more = sorted({s for s in self.more if s not in held and not self._covered(s)}, key=lambda s: (order[s[0]], s[1], s[2]))
-        return sorted(self.base, key=lambda s: (order[s[0]], s[1])), more
+        ends = {k: [b for kind, _, b in self.base if kind == k] for k in BASE}
+        starts = {k: [a for kind, a, _ in self.base if kind == k] for k in BASE}
+
+        def covered(kind: str, start: int, end: int) -> bool:
+            """Whether a base span of the kind, which come in order and apart from each other, has a place in common with this one."""
+            at = bisect_right(ends.get(kind, []), start)
+            return kind in starts and at < len(starts[kind]) and starts[kind][at] < end
 
-    def _covered(self, span: Span) -> bool:
-        return any(k == span[0] and a < span[2] and span[1] < b for k, a, b in self.base)
+        more = sorted({s for s in self.more if not covered(*s)}, key=lambda s: (order[s[0]], s[1], s[2]))
+        return sorted(self.base, key=lambda s: (order[s[0]], s[1])), more
 
     # ---- base kinds
 
