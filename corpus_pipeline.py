@@ -11,6 +11,7 @@ result, and without labels nothing is toxic; extra columns are carried to the en
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,16 @@ from tidewell.llm.shared import stored
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Words of a block of the mix: most documents stay in one piece.
 MIX_BLOCK = 1024
+#: Bytes of a batch of rows on their way to Python. A batch is held several times, in the JVM and in its worker.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on this session sends rows to Python in batches of BATCH_BYTES, unless it has been told to send smaller ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.match(r"(-?\d+)b?$", spark.conf.get(name, "-1"))
+    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def _apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
@@ -42,6 +53,7 @@ def _back(df: DataFrame, columns: list[str], back: dict[str, str]) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that score 0.5 or more go. Learns from labelled rows of the folds that op9 learns from."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit(docs.where(fold_of("doc_id", 5) != 0), labels.where(fold_of("doc_id", 5) != 0))
     apart, back = _apart(docs, "score")
@@ -55,6 +67,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 with shingles of five words and a similarity of 0.8: the smallest doc_id of each group stays."""
+    _small_batches(spark)
     return jaccard_join.one_of_each(docs, k=5, num=80, den=100)
 
 
@@ -69,6 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: token ids and their number instead of texts; other columns stay."""
+    _small_batches(spark)
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
