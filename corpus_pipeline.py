@@ -31,8 +31,8 @@ BATCH_BYTES = 4 << 20
 def _small_batches(spark: SparkSession) -> None:
     """From now on this session sends rows to Python in batches of BATCH_BYTES, unless it has been told to send smaller ones."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.match(r"(-?\d+)b?$", spark.conf.get(name, "-1"))
-    if now is None or not 0 < int(now[1]) <= BATCH_BYTES:
+    now = re.match(r"(\d+)b?$", spark.conf.get(name))
+    if now is None or int(now[1]) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
