@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -195,3 +196,16 @@ def test_title_resolution_and_merge(spark):
     edges = table(spark, EDGE, [("x", "1", "2", "t", 1.0, 1.0, None), ("y", "2", "3", "t", 1.0, 1.0, None)])
     kept, moved = graph.merge_duplicates(nodes, edges)
     assert kept.count() == 2 and [(r["source_id"], r["target_id"]) for r in moved.collect()] == [("1", "3")]
+
+
+def test_token_sets_by_parts_equal_brute_force(spark):
+    """Sets of frequent tokens only, any two of which share most of their tokens but for the last part of their likeness."""
+    rng = random.Random(6)
+    held = [frozenset(rng.sample(range(60), rng.randint(1, 50))) for _ in range(150)]
+    held += [h ^ frozenset(rng.sample(range(60), rng.randint(1, 5))) for h in held]
+    held = sorted({h for h in held if h}, key=sorted)
+    rows = [(str(i), sorted(f"w{x}" for x in h)) for i, h in enumerate(held)]
+    for least in (0.6, 0.85):
+        expected = {frozenset((str(i), str(j))) for i, a in enumerate(held) for j, b in enumerate(held) if i < j and len(a & b) / len(a | b) >= least}
+        found = memory._near_sets(spark.createDataFrame(rows, "set string, tokens array<string>"), least).collect()
+        assert len(found) == len(expected) and {frozenset((r["set_a"], r["set_b"])) for r in found} == expected

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -131,7 +136,7 @@ def _near_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
 
 def token_set(text: Column) -> Column:
     """Lower-case words with what isn't a letter or digit removed."""
-    bare = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    bare = F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", ""), r"\s+")
     return F.array_distinct(F.filter(bare, lambda w: w != ""))
 
 
@@ -143,36 +148,103 @@ def jaccard(a: Column, b: Column) -> Column:
 def content_pairs(memories: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs (id_a, id_b, jaccard, contradicts) of similar contents; they contradict if the trimmed contents differ.
 
-    Tokens are ranked from rare to frequent; two sets as similar as that share one of the first n - ceil(least * n) + 1.
+    Memories of the same tokens are one class; classes are compared once, by ``_near_sets``.
     """
-    docs = memories.select("id", F.trim("content").alias("body"), token_set(F.col("content")).alias("tokens"))
-    tokens = docs.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(df, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least - 1e-9) * F.col("n")) + 1).select("id", "n", "token")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    sized = (F.col("a.n") >= F.col("b.n") * (least - 1e-9)) & (F.col("b.n") >= F.col("a.n") * (least - 1e-9))
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-    left, right = docs.select(F.col("id").alias("id_a"), F.col("body").alias("body_a"), F.col("tokens").alias("ta")), docs.select(F.col("id").alias("id_b"), F.col("body").alias("body_b"), F.col("tokens").alias("tb"))
-    full = met.join(left, "id_a").join(right, "id_b").withColumn("jaccard", jaccard(F.col("ta"), F.col("tb")))
-    return full.where(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard", (F.col("body_a") != F.col("body_b")).alias("contradicts"))
+    rows, sets = _token_classes(memories)
+    near = _near_sets(sets, least)
+    of = lambda x: rows.select(F.col("set").alias(f"set_{x}"), F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"))
+    within = of("a").join(of("b"), F.col("set_a") == F.col("set_b")).where("id_a < id_b").withColumn("jaccard", F.lit(1.0))
+    across = near.join(of("a"), "set_a").join(of("b"), "set_b").where("id_a != id_b")
+    told = ["jaccard", (F.col("body_a") != F.col("body_b")).alias("contradicts")]
+    across = across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), *told)
+    return within.select("id_a", "id_b", *told).unionByName(across)
 
 
 def content_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, class_id, class_size, n_similar, n_contradicting): each memory, the first of the same content, how many have it, with
-    how many others it makes a pair of ``content_pairs`` and with how many of these it disagrees. Equal contents are compared
-    once, and no pairs of their rows are made. Contents without a token are similar to none."""
-    rows = settled(memories.select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("key"), F.coalesce(F.size(token_set(F.col("content"))), F.lit(0)).alias("tokens_")))
-    held = rows.groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.max("tokens_").alias("tokens_"))
-    first = memories.join(held.select(F.col("class_id").alias("id")), "id", "left_semi")
-    pairs = content_pairs(first, least)
-    ways = pairs.select("id_a", "id_b", "contradicts").unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "contradicts"))
-    sized = ways.join(held.select(F.col("class_id").alias("id_b"), "class_size"), "id_b")
-    linked = sized.groupBy(F.col("id_a").alias("class_id")).agg(F.sum("class_size").alias("others"), F.sum(F.when(F.col("contradicts"), F.col("class_size")).otherwise(0)).alias("against"))
-    told = held.join(linked, "class_id", "left")
-    own = F.when(F.col("tokens_") > 0, F.col("class_size") - 1).otherwise(0)
-    counted = told.select("key", "class_id", "class_size", (F.coalesce("others", F.lit(0)) + own).alias("n_similar"), F.coalesce("against", F.lit(0)).alias("n_contradicting"))
-    return rows.select("id", "key").join(counted, "key").drop("key")
+    how many others it makes a pair of ``content_pairs`` and with how many of these it disagrees. Memories of the same tokens are
+    compared once, and no pairs of rows are made. Contents without a token are similar to none."""
+    rows, sets = _token_classes(memories)
+    near = settled(_near_sets(sets, least).select("set_a", "set_b"))
+    ways = near.unionByName(near.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
+    held = rows.groupBy("set").agg(F.count(F.lit(1)).alias("in_set"))
+    others = ways.join(held.select(F.col("set").alias("set_b"), "in_set"), "set_b").groupBy(F.col("set_a").alias("set")).agg(F.sum("in_set").alias("others"))
+    # memories of other tokens have other contents, so they all disagree; those of the same tokens do if their trimmed contents differ
+    agreeing = rows.groupBy("set", "body").agg(F.count(F.lit(1)).alias("agreeing")).join(held, "set").join(others, "set", "left")
+    told = agreeing.select("set", "body", (F.coalesce("others", F.lit(0)) + F.col("in_set") - 1).alias("n_similar"), (F.coalesce("others", F.lit(0)) + F.col("in_set") - F.col("agreeing")).alias("n_contradicting"))
+    named = memories.select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("key"))
+    classes = named.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    counts = rows.join(told, ["set", "body"]).groupBy("key").agg(F.first("n_similar").alias("n_similar"), F.first("n_contradicting").alias("n_contradicting"))
+    counted = classes.join(counts, "key", "left")
+    return named.join(counted, "key").select("id", "class_id", "class_size", F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("n_contradicting", F.lit(0)).alias("n_contradicting"))
+
+
+def _token_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): (id, key, body, set) of memories with tokens, contents and trimmed contents by digest and the number of their
+    set of tokens; and (set, tokens) of each set."""
+    words = memories.select("id", "content", F.array_sort(token_set(F.col("content"))).alias("tokens")).where(F.size("tokens") > 0)
+    digest = F.sha2(F.concat_ws(" ", "tokens"), 256)
+    told = settled(words.select("id", F.sha2("content", 256).alias("key"), F.sha2(F.trim("content"), 256).alias("body"), digest.alias("set"), "tokens"))
+    rows = told.drop("tokens")
+    first = rows.groupBy("set").agg(F.min(F.struct("id", "key")).alias("first")).select("set", F.col("first.id").alias("id"), F.col("first.key").alias("key"))
+    return rows, told.join(first, ["set", "id", "key"]).select("set", "tokens").dropDuplicates(["set"])
+
+
+#: Bits of the sketch of a set.
+SKETCH = 256
+
+
+def _near_sets(sets: DataFrame, least: float) -> DataFrame:
+    """(set_a, set_b, jaccard), each pair once, of different sets (set, tokens) whose Jaccard similarity is ``least`` or more.
+
+    Sizes fall into classes, each ``1 / least`` times the one before, so similar sets are in the same class or in neighbouring ones.
+    Sets that similar differ by k tokens at most, where k follows from the class. Tokens are dealt by hash into k + 1 parts, of
+    which one is then the same in both; pairs meet by a part's digest. Of those that meet, the parities of the tokens by hash
+    tell most of the others apart, since each token that differs changes one of them; the rest is compared token by token.
+    """
+    ratio, width = (1 - least) / (1 + least), math.log(1 / (least - 1e-9))
+    schema = "part long, own boolean, nr long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH // 64))
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                yield of(batch.iloc[start : start + 256])
+
+    def of(some: pd.DataFrame) -> pd.DataFrame:
+        digests, own, nr, sizes, sketches = [], [], [], [], []
+        for name, held in zip(some["nr"], some["hashes"], strict=True):
+            h = np.asarray(held, dtype=np.int64).view(np.uint64)
+            sketch = np.packbits((np.bincount((h >> np.uint64(32)) % np.uint64(SKETCH), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
+            size = int(math.log(len(h)) / width)
+            for group in (size, size + 1):
+                k = int(2 * ratio * math.exp(width * (group + 1)) + 1e-6)
+                parts = np.arange(k + 1, dtype=np.uint64) + np.uint64(group << 32)
+                np.add.at(parts, (h % np.uint64(k + 1)).astype(np.int64), mixed(h))
+                for column, value in ((digests, mixed(parts)), (own, group == size), (nr, name), (sizes, len(h)), (sketches, sketch)):
+                    column.append(value)
+        times = [len(x) for x in digests]
+        spread = np.repeat(np.stack(sketches), times, axis=0)
+        rows = {"part": np.concatenate(digests).view(np.int64), "own": np.repeat(own, times), "nr": np.repeat(nr, times), "n": np.repeat(sizes, times)}
+        return pd.DataFrame(rows | {f"s{i}": spread[:, i] for i in range(SKETCH // 64)})
+
+    sets = settled(settled(sets).withColumn("nr", F.monotonically_increasing_id()))
+    hashed = sets.select("nr", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
+    met = settled(hashed.repartition("nr").mapInPandas(parts, schema))
+    a, b = met.where("own").alias("a"), met.alias("b")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH // 64)])
+    sizes = (F.col("b.n") >= F.col("a.n") * (least - 1e-9)) & (F.col("a.n") >= F.col("b.n") * (least - 1e-9))
+    once = ~F.col("b.own") | (F.col("a.nr") < F.col("b.nr"))
+    few = differ <= F.floor(F.lit(ratio + 1e-9) * (F.col("a.n") + F.col("b.n")) + 1e-6)
+    pairs = a.join(b, F.col("a.part") == F.col("b.part")).where(once & sizes & few & (F.col("a.nr") != F.col("b.nr")))
+    pairs = pairs.select(F.least("a.nr", "b.nr").alias("nr_a"), F.greatest("a.nr", "b.nr").alias("nr_b")).distinct()
+    of = lambda x: sets.select(F.col("nr").alias(f"nr_{x}"), F.col("set").alias(f"set_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    full = pairs.join(of("a"), "nr_a").join(of("b"), "nr_b")
+    return full.select("set_a", "set_b", jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 # ---- signatures
