@@ -198,6 +198,29 @@ def test_title_resolution_and_merge(spark):
     assert kept.count() == 2 and [(r["source_id"], r["target_id"]) for r in moved.collect()] == [("1", "3")]
 
 
+def test_titles_by_sketches_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [rng.choice("abcdeé") + rng.choice("aeiou") + rng.choice(["n", "th", "st"]) for _ in range(12)]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    for t in titles[:100]:
+        place = rng.randrange(len(t))
+        titles.append(t[:place] + rng.choice(["", "x", "yz"]) + t[place + rng.randint(0, 2) :])
+    titles = sorted({*titles, "a", "b", "ab"} - {""})
+    apart = lambda a, b: 1 - _distance(a, b) / max(len(a), len(b))
+    expected = {(a, b): apart(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if apart(a, b) >= 0.85}
+    found = memory._near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), None, 0.85).collect()
+    assert len(found) == len(expected) and {(r["t_a"], r["t_b"]): r["similarity"] for r in found} == pytest.approx(expected)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_token_sets_by_parts_equal_brute_force(spark):
     """Sets of frequent tokens only, any two of which share most of their tokens but for the last part of their likeness."""
     rng = random.Random(6)

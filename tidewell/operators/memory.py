@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from datetime import datetime
 from functools import reduce
@@ -82,26 +83,33 @@ def validate(memories: DataFrame) -> DataFrame:
 def title_duplicates(memories: DataFrame, others: DataFrame | None = None, least: float = 0.85) -> DataFrame:
     """Pairs (id_a, id_b, similarity) of titles whose edit similarity, 1 - distance / longer length, is ``least`` or more.
 
-    A title of n characters within the distance allowed, k, has one of its k + 1 equal pieces unchanged in the other, shifted
-    by at most k; pairs meet by that piece, so they aren't all compared. Without ``others`` each pair of memories comes once.
+    Distinct titles are compared, by ``_near_titles``. Without ``others`` each pair of memories comes once.
     """
-    own = others is None
-    left_rows, right_rows = _titled(memories), _titled(memories if own else others)
-    close = _near_titles(left_rows.select("title").distinct(), right_rows.select("title").distinct(), least)
-    ids = lambda r, i, t: r.select(F.col("id").alias(i), F.col("title").alias(t))
-    found = close.join(ids(left_rows, "id_a", "t_a"), "t_a").join(ids(right_rows, "id_b", "t_b"), "t_b").where("id_a != id_b")
-    if own:
-        found = found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity").distinct()
-    return found.select("id_a", "id_b", "similarity")
+    ids = lambda r, x: r.select(F.col("id").alias(f"id_{x}"), F.col("title").alias(f"t_{x}"), *([f"several_{x}"] if f"several_{x}" in r.columns else []))
+    if others is not None:
+        left, right = _titled(memories), _titled(others)
+        close = _near_titles(left.select("title").distinct(), right.select("title").distinct(), least)
+        return close.join(ids(left, "a"), "t_a").join(ids(right, "b"), "t_b").where("id_a != id_b").select("id_a", "id_b", "similarity")
+    rows = settled(_titled(memories))
+    # only a memory of several titles can make a pair twice
+    several = rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("several")).where("several")
+    rows = rows.join(several, "id", "left")
+    marked = lambda x: ids(rows.withColumn(f"several_{x}", F.coalesce("several", F.lit(False))), x)
+    near = _near_titles(rows.select("title").distinct(), None, least)
+    same = marked("a").join(marked("b"), F.col("t_a") == F.col("t_b")).where("id_a < id_b").withColumn("similarity", F.lit(1.0))
+    across = near.join(marked("a"), "t_a").join(marked("b"), "t_b").where("id_a != id_b")
+    pair = [F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity"]
+    found = same.select(*pair, (F.col("several_a") & F.col("several_b")).alias("again")).unionByName(across.select(*pair, (F.col("several_a") | F.col("several_b")).alias("again")))
+    return found.where("not again").drop("again").unionByName(found.where("again").drop("again").distinct())
 
 
 def title_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, class_id, class_size, n_duplicates): each memory with a title, the first memory of the same title, how many have it,
     and with how many others it makes a pair of ``title_duplicates``. The pairs themselves, the square of a class, aren't made."""
     rows = settled(_titled(memories))
-    held = rows.groupBy("title").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    near = _near_titles(held.select("title"), held.select("title"), least)
-    both = near.select("t_a", "t_b").unionByName(near.select(F.col("t_b").alias("t_a"), F.col("t_a").alias("t_b"))).where("t_a != t_b").distinct()
+    held = settled(rows.groupBy("title").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")))
+    near = settled(_near_titles(held.select("title"), None, least).select("t_a", "t_b"))
+    both = near.unionByName(near.select(F.col("t_b").alias("t_a"), F.col("t_a").alias("t_b")))
     linked = both.join(held.select(F.col("title").alias("t_b"), "class_size"), "t_b").groupBy(F.col("t_a").alias("title")).agg(F.sum("class_size").alias("others"))
     told = held.join(linked, "title", "left")
     return rows.join(told, "title").select("id", "class_id", "class_size", (F.coalesce("others", F.lit(0)) + F.col("class_size") - 1).alias("n_duplicates"))
@@ -111,27 +119,75 @@ def _titled(memories: DataFrame) -> DataFrame:
     return memories.select("id", F.lower("title").alias("title")).where("title != ''").distinct()
 
 
-def _near_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(t_a, t_b, similarity) of distinct titles of either side, each with itself among them."""
-    left, right = left.withColumn("id", F.col("title")), right.withColumn("id", F.col("title"))
-    length = lambda c: F.char_length(c)
-    allowed = F.floor(F.lit(1 - least + 1e-9) * F.ceil(length("title") / F.lit(least))).cast("int")
-    cut = left.withColumn("k", allowed)
-    size = F.greatest(F.lit(1), F.floor(length("title") / (F.col("k") + 1)).cast("int"))
-    pieces = cut.withColumn("size", size).withColumn("i", F.explode(F.expr("sequence(0, k)")))
-    pieces = pieces.withColumn("at", F.col("i") * F.col("size") + 1).where(F.col("at") <= length("title"))
-    pieces = pieces.select("id", "title", "k", "size", "at", F.substring("title", F.col("at"), F.col("size")).alias("piece")).where("char_length(piece) = size")
-    sizes = pieces.select("size").distinct()
-    grams = right.withColumn("lens", F.expr("sequence(1, char_length(title))"))
-    grams = grams.select("id", "title", F.explode("lens").alias("size")).join(F.broadcast(sizes), "size")
-    grams = grams.withColumn("at", F.explode(F.expr("sequence(1, char_length(title) - size + 1)")))
-    grams = grams.select("id", "title", "size", "at", F.substring("title", F.col("at"), F.col("size")).alias("piece"))
-    a, b = pieces.alias("a"), grams.alias("b")
-    near = (F.abs(F.col("a.at") - F.col("b.at")) <= F.col("a.k")) & (F.abs(length("a.title") - length("b.title")) <= F.col("a.k"))
-    met = a.join(b, (F.col("a.size") == F.col("b.size")) & (F.col("a.piece") == F.col("b.piece")) & near)
-    met = met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.title").alias("t_a"), F.col("b.title").alias("t_b")).distinct()
-    similarity = 1 - F.levenshtein("t_a", "t_b") / F.greatest(length("t_a"), length("t_b"))
-    return met.withColumn("similarity", similarity).where(F.col("similarity") >= least).select("t_a", "t_b", "similarity")
+#: Bits of a title's sketch; titles of a block at most, and of one product of sketches.
+TITLE_BITS, TITLE_BLOCK, TITLE_TILE = 256, 8192, 2048
+
+
+def _sketched(titles: DataFrame, blocks: int) -> DataFrame:
+    """(title, block, bits): a bit for each pair of neighbouring characters and its turn among equal ones, by hash."""
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = []
+            for title in batch["title"]:
+                turns, bits = {}, np.zeros(TITLE_BITS, dtype=np.uint8)
+                for i in range(len(title) - 1):
+                    pair = title[i : i + 2]
+                    turns[pair] = turns.get(pair, 0) + 1
+                    bits[zlib.crc32(f"{pair}{turns[pair]}".encode("utf-8", "surrogatepass")) % TITLE_BITS] = 1
+                made.append(np.packbits(bits).tobytes())
+            yield batch.assign(bits=made)
+
+    dealt = titles.select("title", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("block"))
+    return dealt.repartition("block", "title").mapInPandas(sketch, "title string, block int, bits binary")
+
+
+def _near_titles(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """(t_a, t_b, similarity) of distinct titles of either side; without ``right`` each pair of different titles of ``left`` once.
+
+    An edit changes four at most of the bits of a title, so titles within k edits differ in 4 k bits at most. Bits are compared
+    by products of matrices, block by block, and only pairs that pass are measured. With an edit in every seven characters no
+    piece of a title is sure to stay whole that is long enough to tell titles apart by a join.
+    """
+    own = right is None
+    left = settled(left)
+    right = left if own else settled(right)
+    counts = [df.count() for df in ((left,) if own else (left, right))]
+    blocks = [max(1, -(-n // min(TITLE_BLOCK, max(256, -(-n // 16))))) for n in counts]
+    n_a, n_b = blocks[0], blocks[-1]
+    a = settled(_sketched(left, n_a))
+    b = a if own else settled(_sketched(right, n_b))
+    meets = lambda df, mine, other, seq: df.withColumn(mine, F.col("block")).withColumn(other, F.explode(seq)).drop("block")
+    some = meets(a, "x", "y", F.sequence(F.col("block") if own else F.lit(0), F.lit(n_b - 1)))
+    others = meets(b, "y", "x", F.sequence(F.lit(0), F.col("block") if own else F.lit(n_a - 1)))
+
+    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"t_a": [], "t_b": []}, dtype=object)
+        if not len(p) or not len(q):
+            return none
+        same = own and p["x"].iloc[0] == q["y"].iloc[0]
+        bits = lambda df: np.unpackbits(np.frombuffer(b"".join(df["bits"]), dtype=np.uint8).reshape(len(df), -1), axis=1).astype(np.float32)
+        u, v = bits(p), bits(q)
+        m, n = (df["title"].str.len().to_numpy().astype(np.float32) for df in (p, q))
+        s, t, ones, twos = p["title"].to_numpy(), q["title"].to_numpy(), u.sum(axis=1), v.sum(axis=1)
+        found = [none]
+        for i in range(0, len(p), TITLE_TILE):
+            for j in range(0, len(q), TITLE_TILE):
+                k, r = slice(i, i + TITLE_TILE), slice(j, j + TITLE_TILE)
+                # bits that differ are ones + twos - 2 * shared; a little more than 1 - least, for rounding
+                most = (1 - least + 1e-5) * np.maximum(m[k, None], n[None, r])
+                near = (4 * most >= ones[k, None] + twos[None, r] - 2 * (u[k] @ v[r].T)) & (np.abs(m[k, None] - n[None, r]) <= most)
+                y, z = np.nonzero(near)
+                if same:
+                    keep = s[k][y] < t[r][z]
+                    y, z = y[keep], z[keep]
+                found.append(pd.DataFrame({"t_a": s[k][y], "t_b": t[r][z]}))
+        return pd.concat(found, ignore_index=True)
+
+    met = some.groupBy("x", "y").cogroup(others.groupBy("x", "y")).applyInPandas(meet, "t_a string, t_b string")
+    longer = F.greatest(F.char_length("t_a"), F.char_length("t_b"))
+    near = met.withColumn("distance", F.levenshtein("t_a", "t_b"))
+    return near.select("t_a", "t_b", (1 - F.col("distance") / longer).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def token_set(text: Column) -> Column:
