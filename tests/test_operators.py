@@ -232,3 +232,15 @@ def test_token_sets_by_parts_equal_brute_force(spark):
         expected = {frozenset((str(i), str(j))) for i, a in enumerate(held) for j, b in enumerate(held) if i < j and len(a & b) / len(a | b) >= least}
         found = memory._near_sets(spark.createDataFrame(rows, "set string, tokens array<string>"), least).collect()
         assert len(found) == len(expected) and {frozenset((r["set_a"], r["set_b"])) for r in found} == expected
+
+
+def test_temporal_pairs_are_not_shuffled(spark, capsys):
+    dated = spark.sql("SELECT id, date_add(date '2024-01-01', cast(id % 10 as int)) AS date FROM range(60)")
+    pairs = graph.temporal_pairs(dated, 3)
+    expected = {(a, b) if (a % 10, a) < (b % 10, b) else (b, a) for a in range(60) for b in range(a) if abs(a % 10 - b % 10) <= 3}
+    found = [(r["source_id"], r["target_id"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    pairs.explain()
+    # nothing is exchanged or made distinct above the join
+    above = capsys.readouterr().out.split("Join")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
