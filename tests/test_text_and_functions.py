@@ -97,3 +97,13 @@ def test_scan_and_delta(spark, tmp_path):
     disk = spark.createDataFrame([("a", 10.0), ("b", 10.0), ("c", 10.2)], "doc_id string, mtime double")
     held = spark.createDataFrame([("b", 5.0), ("c", 10.0), ("d", 1.0)], "doc_id string, indexed double")
     assert {r["doc_id"]: r["state"] for r in files.delta(disk, held).collect()} == {"a": "new", "b": "changed", "c": "same", "d": "deleted"}
+
+
+def test_chunks_leave_a_worker_in_parts():
+    import pandas as pd
+
+    from tidewell.operators import text
+
+    batch = pd.DataFrame({"doc_id": range(6), "content": ["x" * (text.CHUNK_BATCH // 2), None] * 3})
+    parts = list(text._in_parts(iter([batch]), "content"))
+    assert len(parts) > 1 and sorted(i for p in parts for i in p["doc_id"]) == list(range(6))

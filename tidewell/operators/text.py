@@ -241,7 +241,7 @@ def chunk_markdown(files: DataFrame, path: str = "path", content: str = "content
     """(path, chunk_index, section, content, doc_id) for each chunk of each file."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _in_parts(batches, content):
             rows = [
                 (p, i, section, text, hashlib.sha256(p.encode() + i.to_bytes(8, "little")).hexdigest()[:12] + f"_{i}")
                 for p, c in zip(batch[path], batch[content], strict=True)
@@ -252,11 +252,23 @@ def chunk_markdown(files: DataFrame, path: str = "path", content: str = "content
     return files.select(path, content).mapInPandas(run, "path string, chunk_index long, section string, content string, doc_id string")
 
 
+#: Characters of texts that are cut before their chunks leave a worker.
+CHUNK_BATCH = 1 << 20
+
+
+def _in_parts(batches: Iterator[pd.DataFrame], content: str) -> Iterator[pd.DataFrame]:
+    """The rows of batches in parts of about CHUNK_BATCH characters, of a row at least."""
+    for batch in batches:
+        part = (batch[content].str.len().fillna(0).cumsum() // CHUNK_BATCH).astype("int64")
+        for _, rows in batch.groupby(part.to_numpy(), sort=False):
+            yield rows
+
+
 def paragraph_chunks(df: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
     """(key, chunk_index, content): the packed paragraphs of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _in_parts(batches, content):
             made = [(k, i, p) for k, c in zip(batch[key], batch[content], strict=True) for i, p in enumerate(paragraphs(c or ""))]
             yield pd.DataFrame(made, columns=[key, "chunk_index", "content"])
 
