@@ -1,5 +1,7 @@
 """Vectors in cells against plain numpy."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +121,30 @@ def test_most_cells_are_skipped(spark):
     assert visits < 0.3 * 40 * len(found)
     truth = np.argwhere(np.triu(cosines(found, found) >= 0.8, 1))
     assert pairs.count() == len(truth)
+
+
+def test_similar_pairs_beyond_the_nearest_are_never_written(spark):
+    found = np.abs(np.random.default_rng(6).normal(size=(700, 6))) + 1  # every pair is similar
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared) for f in files)
+    before = size()
+    result = vectors.similar_pairs(frame(spark, found), 0.3, 3, "doc_id", cells=4).collect()
+    assert len(result) == 3 * len(found)
+    assert size() - before < 1_000_000  # 244,650 pairs took five times that
+    scores = cosines(found, found) - 2 * np.eye(len(found))
+    assert all(r["weight"] >= np.sort(scores[r["source_id"]])[-3] - 1e-9 for r in result)
+
+
+def test_nearest_of_equal_directions_go_by_id(spark):
+    base = clustered(40, dims=4, groups=3, seed=5)
+    rows = [(f"n{(9 * i + p) * 7 % 1000:03}", i, [float(np.float32(x)) * 2.0**p for x in v]) for i, v in enumerate(base) for p in range(9)]
+    assert len({r[0] for r in rows}) == len(rows)
+    held = spark.createDataFrame([(a, v) for a, _, v in rows], "id string, v array<double>")
+    got = {}
+    for r in vectors.nearest_classes(held, 0.9, 5, cells=3, block=16).collect():
+        got.setdefault(r["class"], set()).add(r["other"])
+    scores = cosines(base, base)
+    np.fill_diagonal(scores, 1.0)
+    for a, i, _ in rows:
+        order = sorted((o for o in rows if o[0] != a and scores[i, o[1]] >= 0.9), key=lambda o: (-round(scores[i, o[1]], 12), o[0]))
+        assert got[a] == {o[0] for o in order[:5]}

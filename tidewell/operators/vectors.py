@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,11 @@ from tidewell.functions.scalar import cosine
 from tidewell.sources.scratch import settled
 
 #: Vectors from which centroids are found; cells at most; vectors for each of which there is a cell; vectors of one side that
-#: meet in one task.
+#: are compared at a time.
 SAMPLE, MOST_CELLS, CELL_ROWS, BLOCK = 16_384, 4096, 1024, 2048
+#: Tasks into which a search for nearest vectors is dealt, and bytes of directions that one of them holds; only where these bytes
+#: don't suffice there are more tasks.
+TASKS, HELD_BYTES = 48, 1 << 26
 NOWHERE = -1
 #: Angles are taken to be off by as much as this at most.
 SLACK = 1e-7
@@ -46,16 +50,17 @@ class Cells(NamedTuple):
     def ids(self) -> np.ndarray:
         return np.array(sorted(self.radius), dtype=np.int64)
 
-    def bounds(self, directions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, directions: np.ndarray, spread: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(angles, bounds) by direction (a unit vector) and cell, in order of ``ids``: the angle to the centroid, and the largest
-        cosine that a vector of the cell may have. Directions of another length than the centroids' have cosine 0 with all."""
+        cosine that a vector of the cell may have with one within ``spread`` of the direction. Directions of another length than
+        the centroids' have cosine 0 with all."""
         ids = self.ids()
         radius = np.array([self.radius[c] for c in ids])
         if directions.shape[1] != (self.centroids.shape[1] if self.centroids.size else 0):
             return np.full((len(directions), len(ids)), math.pi / 2), np.ones((len(directions), len(ids)))
         angles = np.arccos(np.clip(directions @ self.centroids[np.maximum(ids, 0)].T, -1, 1))
         angles[:, ids == NOWHERE] = math.pi / 2
-        return angles, np.where(ids == NOWHERE, 0.0, np.cos(np.maximum(0.0, angles - radius - SLACK)))
+        return angles, np.where(ids == NOWHERE, 0.0, np.cos(np.maximum(0.0, angles - radius - spread - SLACK)))
 
     def nearest(self, angles: np.ndarray, k: int, probe: int | None = None) -> np.ndarray:
         """By direction and cell: whether it is among the nearest cells that hold ``k`` vectors, or among the ``probe`` nearest."""
@@ -155,6 +160,175 @@ def _visits(df: DataFrame, cells: Cells, choose: Callable[[np.ndarray, np.ndarra
     return df.select("id", "v", *extra).mapInPandas(visit, schema)
 
 
+# ---- the nearest of each vector
+
+
+class _Lists:
+    """The ``k`` nearest of some vectors (``ids``, ``x``; all of one length) among those offered so far, ties by id."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int):
+        self.ids, self.x, self.floor, self.k = ids, x, floor.copy(), k
+        self.short = x.astype(np.float32)
+        # twice what sums of so many products of unit vectors lose in single precision
+        self.lost = 2 * (x.shape[1] + 4) * 2.0**-24
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def offer(self, near: np.ndarray, y: np.ndarray, short: np.ndarray) -> None:
+        """Vectors of the same length. Single precision tells which may be among the nearest, double precision which are."""
+        scores = self.short @ short.T
+        may = scores >= (self.floor - self.lost).astype(np.float32)[:, None] - np.float32(1e-7)
+        if self.k < len(near) and np.count_nonzero(may) > 4 * self.k * len(self.ids):
+            may &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k][:, None] - np.float32(2 * self.lost)
+        rows, cols = np.divmod(np.flatnonzero(may), len(near))  # much faster than np.nonzero of two axes
+        step = max(1, (1 << 22) // max(1, y.shape[1]))
+        for start in range(0, len(rows), step):
+            i, j = rows[start : start + step], cols[start : start + step]
+            self._take(i, np.minimum(1.0, np.einsum("ij,ij->i", self.x[i], y[j])), near[j])
+
+    def offer_across(self, near: np.ndarray) -> None:
+        """Vectors whose cosine with all of these is 0."""
+        if len(near) and (self.floor <= 0).any():
+            first = np.sort(near)[: self.k]
+            i, j = np.indices((len(self.ids), len(first))).reshape(2, -1)
+            self._take(i, np.zeros(len(i)), first[j])
+
+    def _take(self, rows: np.ndarray, weights: np.ndarray, near: np.ndarray) -> None:
+        keep = weights >= self.floor[rows]
+        self.found.append((rows[keep], weights[keep], near[keep]))
+        self.waiting += int(keep.sum())
+        if self.waiting > self.k * len(self.ids):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        if not self.found:
+            return None
+        rows, weights, near = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((near, -weights, rows))
+        rows, weights, near = rows[order], weights[order], near[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(self.ids)))[rows]
+        last = place == self.k - 1
+        self.floor[rows[last]] = np.maximum(self.floor[rows[last]], weights[last])
+        keep = place < self.k
+        self.found, self.waiting = [(rows[keep], weights[keep], near[keep])], 0
+        return self.found[0]
+
+
+def _directions(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors) by length; vectors without a direction stay zeros."""
+    width = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    start = np.cumsum(width) - width
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        found = flat[start[rows][:, None] + np.arange(w)]
+        yield rows, found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
+
+
+def _panels(size: dict[int, int], most: int) -> tuple[dict[int, list[int]], int]:
+    """(panels by cell, number of panels): cells in order fill panels of about ``most`` rows; larger cells have several."""
+    out: dict[int, list[int]] = {}
+    panel, filled = 0, 0.0
+    for cell in sorted(size):
+        pieces = -(-size[cell] // most)
+        for _ in range(pieces):
+            if filled and filled + size[cell] / pieces > most:
+                panel, filled = panel + 1, 0.0
+            filled += size[cell] / pieces
+            out.setdefault(cell, []).append(panel)
+    return out, panel + 1
+
+
+def _nearest(probes: DataFrame, members: DataFrame, centroids: np.ndarray, k: int, block: int = BLOCK) -> DataFrame:
+    """(asked, near, weight): for each of ``probes`` (cell, angle, id, v, floor) the ``k`` nearest of ``members`` (cell, angle, id, v)
+    of cosine ``floor`` or more, ties by id.
+
+    Cells of probes make panels; a task holds a panel, and one share of the members streams past it, those of cells that may
+    hold a vector near enough to one of the panel's cells. Only the nearest leave the task. There are TASKS tasks unless
+    HELD_BYTES makes more, so what is shuffled grows with the vectors and not with the pairs that are compared.
+    """
+    spark, width = probes.sparkSession, centroids.shape[1] if centroids.size else 0
+    summed = probes.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"), F.min("floor").alias("floor")).collect()
+    asked = Cells(centroids, {r["cell"]: r["radius"] for r in summed}, {r["cell"]: r["n"] for r in summed})
+    held = cells_of(members, centroids)
+    n, m = sum(asked.size.values()), sum(held.size.values())
+    # a share costs a probe its vector and k rows, a panel costs a member its vector
+    panels = min(TASKS, math.ceil(math.sqrt(TASKS * n * (1 + k / 12) / max(m, 1)))) or 1
+    most = max(1, min(max(block, -(-n // panels)), HELD_BYTES // (8 * max(width, 1))))
+    of_cell, panels = _panels(asked.size, most)
+    shares = max(1, min(-(-TASKS // panels), -(-m // block)))
+    lowest = {r["cell"]: r["floor"] for r in summed}
+    reached: dict[int, set[int]] = {c: set() for c in held.size}
+    for h, own in of_cell.items():
+        middle = asked.centroids[[h]] if h != NOWHERE else np.zeros((1, 0 if width else 1))
+        _, bounds = held.bounds(middle, asked.radius[h])
+        # what has no direction, or another length, has cosine 0 with all vectors that aren't alike in that
+        bound = np.where(held.ids() == NOWHERE, 1.0, 0.0) if h == NOWHERE else bounds[0]
+        for c in held.ids()[bound >= lowest[h] - 1e-9].tolist():
+            reached[c].update(own)
+    table = lambda rows: F.broadcast(spark.createDataFrame([(c, sorted(p)) for c, p in rows.items()], "cell int, panels array<int>"))
+    kinds = [next(f for f in df.schema.fields if f.name == "id").dataType.simpleString() for df in (probes, members)]
+    share = lambda c: (F.col("panel") * shares + c).alias("task")
+    piece = F.pmod(F.xxhash64("id"), F.size("panels")).cast("int")
+    a = probes.join(table(of_cell), "cell").select("*", F.get("panels", piece).alias("panel")).select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    a = a.select(share(F.col("share")), F.lit(0).alias("side"), "cell", "angle", F.col("id").alias("asked"), F.lit(None).cast(kinds[1]).alias("near"), "v", "floor")
+    b = members.join(table(reached), "cell").select("*", F.explode("panels").alias("panel"))
+    b = b.select(share(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int")), F.lit(1).alias("side"), "cell", F.lit(0.0).alias("angle"), F.lit(None).cast(kinds[0]).alias("asked"), F.col("id").alias("near"), "v", F.lit(0.0).alias("floor"))
+    met = a.unionByName(b).repartitionById(panels * shares, "task").sortWithinPartitions("side", "cell")
+    shared = spark.sparkContext.broadcast(centroids)
+
+    def lists(some: pa.Table) -> list[tuple[int, float, bool, _Lists]]:
+        """(cell, radius, whether they have directions, lists) of the probes, ``block`` of a cell at a time."""
+        cell, angle, floor = (some[c].to_numpy() for c in ("cell", "angle", "floor"))
+        ids, out = some["asked"].to_numpy(), []
+        for rows, x in _directions(some["v"].combine_chunks()):
+            kind = np.where(x.any(axis=1), cell[rows], NOWHERE - 1) if x.shape[1] else np.full(len(rows), NOWHERE - 1)
+            for c in np.unique(kind):
+                of = np.flatnonzero(kind == c)
+                for i in (of[start : start + block] for start in range(0, len(of), block)):
+                    out.append((int(c), float(angle[rows[i]].max()), bool(c >= NOWHERE), _Lists(ids[rows[i]], x[i], floor[rows[i]], k)))
+        return out
+
+    def meet(held: list[tuple[int, float, bool, _Lists]], some: pa.RecordBatch) -> None:
+        near = some.column("near").to_numpy(zero_copy_only=False)
+        for rows, y in _directions(some.column("v")):
+            short = y.astype(np.float32)
+            own = sorted({c for c, _, _, _ in held if c >= 0}) if y.shape[1] == width else []
+            angles = dict(zip(own, np.arccos(np.clip(shared.value[own] @ y.T, -1, 1)), strict=True)) if own else {}
+            for c, radius, directed, found in held:
+                if not directed or found.x.shape[1] != y.shape[1]:
+                    found.offer_across(near[rows])
+                    continue
+                hit = np.flatnonzero(np.cos(np.maximum(0.0, angles[c] - radius - SLACK)) >= found.floor.min() - 1e-9) if c in angles else rows
+                if len(hit) == len(rows):
+                    found.offer(near[rows], y, short)
+                elif len(hit):
+                    found.offer(near[rows[hit]], y[hit], short[hit])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, kinds = [], None, None
+        for batch in batches:
+            n = int((batch.column("side").to_numpy() == 0).sum())
+            if n:
+                first.append(batch.slice(0, n))
+            if n == batch.num_rows or not first:
+                continue
+            if held is None:
+                held, kinds = lists(pa.Table.from_batches(first)), batch.schema
+            for start in range(n, batch.num_rows, block):
+                meet(held, batch.slice(start, block))
+        for _, _, _, found in held or []:
+            best = found.settle()
+            if best is not None and len(best[0]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.ids[best[0]], kinds.field("asked").type), pa.array(best[2], kinds.field("near").type), pa.array(best[1], pa.float64())], ["asked", "near", "weight"]
+                )
+
+    found = met.mapInArrow(compare, f"asked {kinds[0]}, near {kinds[1]}, weight double")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("weight"), "near"))
+    return found.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def knn_join(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding", key: str = "doc_id", cells: int | None = None, probe: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, key, score, rank): the k nearest documents of each row of ``queries`` (query_id, ``vector``).
 
@@ -231,25 +405,34 @@ def similar_classes(vectors: DataFrame, least: float, cells: int | None = None,
     return _met(visits, members.drop("home"), meet, f"a {kind}, b {kind}, weight double", block), visits.count()
 
 
+def nearest_classes(vectors: DataFrame, least: float, most: int, cells: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(class, other, weight): for each row of ``vectors`` (id, v; different vectors) its ``most`` nearest others of cosine ``least``
+    or more, ties by id. Unlike ``similar_classes`` it never makes the other pairs."""
+    centroids = fit_centroids(vectors, "id", "v", cells)
+    celled = settled(with_cell(vectors.select("id", "v"), centroids, "v")).where(F.col("cell") != NOWHERE)
+    near = _nearest(celled.withColumn("floor", F.lit(float(least))), celled, centroids, most + 1, block).where("asked != near")
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("weight"), "near"))
+    near = near.withColumn("place", place).where(F.col("place") <= most)
+    return near.select(F.col("asked").alias("class"), F.col("near").alias("other"), "weight")
+
+
 def similar_pairs(vectors: DataFrame, least: float, per_node: int, key: str = "id", vector: str = "embedding", cells: int | None = None, block: int = BLOCK) -> DataFrame:
     """(source_id, target_id, weight): for each vector its ``per_node`` nearest others of cosine ``least`` or more, ties by key.
 
     Equal vectors are one class, which is compared once. As many of a class's keys as can be among anyone's nearest stand for it.
     """
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    named = settled(rows.withColumn("place", place).where(F.col("place") <= per_node + 1))
+    kind = "array<float>" if vectors.schema[vector].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast(kind).alias("v"))
+    alike = Window.partitionBy("v").orderBy("id")
+    named = rows.withColumns({"class": F.first("id").over(alike), "place": F.row_number().over(alike)})
+    named = settled(named.withColumn("v", F.when(F.col("place") == 1, F.col("v"))))
     classes = named.where("place = 1").select("id", "v")
-    pairs, _ = similar_classes(classes, least, cells, block)
-    pairs = settled(pairs)
-    ways = pairs.select(F.col("a").alias("class"), F.col("b").alias("other"), "weight")
-    ways = ways.unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other"), "weight"))
+    ways = nearest_classes(classes, least, per_node + 1, cells, block)
     ways = ways.unionByName(classes.where(F.exists("v", lambda x: x != 0)).select(F.col("id").alias("class"), F.col("id").alias("other"), F.lit(1.0).alias("weight")))
-    shown = named.join(classes.select(F.col("id").alias("other"), "v"), "v").select("other", F.col("id").alias("near"))
+    shown = named.where(F.col("place") <= per_node + 1).select(F.col("class").alias("other"), F.col("id").alias("near"))
     turn = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("weight"), "near"))
     lists = ways.join(shown, "other").withColumn("turn", turn).where(F.col("turn") <= per_node + 1).select("class", "near", "weight", "turn")
-    mine = rows.join(classes.select(F.col("id").alias("class"), "v"), "v").select("id", "class")
-    met = mine.join(lists, "class").where("near != id")
+    met = named.select("id", "class").join(lists, "class").where("near != id")
     own = F.row_number().over(Window.partitionBy("id").orderBy("turn"))
     top = met.withColumn("own", own).where(F.col("own") <= per_node)
     return top.select(F.col("id").alias("source_id"), F.col("near").alias("target_id"), "weight")
