@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators import graph, logs, memory, retrieval
+from tidewell.sources.scratch import settled
 
 NOW = datetime(2024, 2, 1)
 DAY = timedelta(days=1)
@@ -181,6 +183,19 @@ def test_greedy_cap_by_brute_force(spark):
     assert {r["id"] for r in graph.prune_greedy(table(spark, EDGE, rows), 0.3, 3).collect()} == expected
 
 
+def test_greedy_cap_carries_settled_edges_no_further(spark):
+    # each edge of the chain waits for the one before it, while all others are settled at once
+    chain = [(f"c{i:02}", f"n{i:02}", f"n{i + 1:02}", "references", 0.9 - i / 100, 1.0, None) for i in range(10)]
+    rows = chain + [(f"e{i:04}", f"a{i:04}", f"b{i:04}", "references", 0.5, 1.0, None) for i in range(3000)]
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared) for f in files)
+    before = size()
+    edges = settled(table(spark, EDGE, rows))
+    once = size() - before
+    assert {r["id"] for r in graph.prune_greedy(edges, 0.3, 1).collect()} == {r[0] for r in rows[10:]} | {r[0] for r in chain[::2]}
+    assert size() - before < 6 * once
+
+
 def test_temporal_band_by_brute_force(spark):
     days = [0, 1, 7, 8, 15, 16, 16, 30]
     df = table(spark, "id long, date date", [(i, (datetime(2024, 1, 1) + d * DAY).date()) for i, d in enumerate(days)])
