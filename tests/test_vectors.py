@@ -148,3 +148,17 @@ def test_nearest_of_equal_directions_go_by_id(spark):
     for a, i, _ in rows:
         order = sorted((o for o in rows if o[0] != a and scores[i, o[1]] >= 0.9), key=lambda o: (-round(scores[i, o[1]], 12), o[0]))
         assert got[a] == {o[0] for o in order[:5]}
+
+
+def test_join_copies_no_query_into_every_cell(spark, monkeypatch):
+    found, asked = np.random.default_rng(4).normal(size=(600, 16)).round(3), np.random.default_rng(5).normal(size=(30, 16)).round(3)
+    asked[7] = 0
+    docs = spark.createDataFrame([(f"d{i:03}", [float(x) for x in v]) for i, v in enumerate(found)] + [("zero", [0.0] * 16), ("other", [1.0]), ("none", None)], "doc_id string, embedding array<float>")
+    queries = frame(spark, asked).unionByName(frame(spark, np.ones((1, 1)), 30)).withColumnRenamed("doc_id", "query_id")
+    visits, made = [], vectors._visits
+    monkeypatch.setattr(vectors, "_visits", lambda *a, **b: visits.append(made(*a, **b)) or visits[-1])
+    got = {}
+    for r in vectors.knn_join(queries, docs, 4, cells=12, block=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {i: [f"d{j:03}" for j in top(found, q, 4)] for i, q in enumerate(asked)} | {30: ["other", "d000", "d001", "d002"]}
+    assert sum(v.count() for v in visits) < 3 * (len(asked) + 1)

@@ -332,8 +332,8 @@ def _nearest(probes: DataFrame, members: DataFrame, centroids: np.ndarray, k: in
 def knn_join(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embedding", key: str = "doc_id", cells: int | None = None, probe: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, key, score, rank): the k nearest documents of each row of ``queries`` (query_id, ``vector``).
 
-    A query visits its nearest cells that hold k documents; then those that may hold a nearer one than the k-th it has found,
-    so the result is exact. With ``probe`` it visits that many cells and no others.
+    A query visits its nearest cells that hold k documents; then it meets all cells that may hold one as near as the k-th it has
+    found, so the result is exact. With ``probe`` it visits that many cells and no others.
     """
     kinds = queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString()
     schema = f"query_id {kinds[0]}, key {kinds[1]}, score double"
@@ -341,7 +341,6 @@ def knn_join(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embeddi
     centroids = fit_centroids(docs, key, vector, cells)
     members = settled(with_cell(docs.select(F.col(key).alias("id"), F.col(vector).alias("v")), centroids, "v"))
     held = cells_of(members, centroids)
-    members = members.select("cell", "id", "v")
 
     def meet(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(others):
@@ -359,18 +358,14 @@ def knn_join(queries: DataFrame, docs: DataFrame, k: int, vector: str = "embeddi
     def nearest(angles: np.ndarray, bounds: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
         return held.nearest(angles, k, probe)
 
-    def may_be_nearer(angles: np.ndarray, bounds: np.ndarray, rows: pd.DataFrame) -> np.ndarray:
-        return (bounds >= rows["floor"].to_numpy()[:, None] - 1e-9) & ~held.nearest(angles, k)
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
     best = lambda df: df.withColumn("rank", rank).where(F.col("rank") <= k)
-    first = best(_met(_visits(asked, held, nearest), members, meet, schema, block))
+    first = best(_met(_visits(asked, held, nearest), members.select("cell", "id", "v"), meet, schema, block))
     if not probe:
-        first = settled(first)
         floors = first.groupBy(F.col("query_id").alias("q_")).agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n_"))
-        floored = asked.join(floors, F.col("id") == F.col("q_"), "left").select("id", "v", F.when(F.col("n_") >= k, F.col("floor")).otherwise(F.lit(-2.0)).alias("floor"))
-        more = _met(_visits(floored, held, may_be_nearer, ["floor"]), members, meet, schema, block)
-        first = best(first.drop("rank").unionByName(best(more).drop("rank")))
+        floored = asked.join(floors, F.col("id") == F.col("q_"), "left").select("id", "v", F.when(F.col("n_") >= k, F.col("floor") - 1e-9).otherwise(F.lit(-2.0)).alias("floor"))
+        found = _nearest(settled(with_cell(floored, centroids, "v")), members, centroids, k, block)
+        first = best(found.select(F.col("asked").alias("query_id"), F.col("near").alias("key"), F.col("weight").alias("score")))
     return first.withColumnRenamed("key", key)
 
 
