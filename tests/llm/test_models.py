@@ -516,6 +516,59 @@ def test_linked_sets_share_a_signature():
                     assert held[i] & held[j]
 
 
+def test_linked_sets_share_a_signature_that_is_not_left_out():
+    """Whichever signatures are frequent; and of a passage that all have, strangers keep nothing in common."""
+    generator = random.Random(13)
+    for trial in range(60):
+        limit, n = jaccard_join.Threshold(generator.choice([80, 90]), 100), generator.choice([9, 11, 25, 40, 200])
+        base = {generator.getrandbits(64) for _ in range(n)}
+        sets = []
+        for _ in range(6):
+            s = set(base)
+            for _ in range(generator.randint(0, 1 + n // 8)):
+                s.symmetric_difference_update({generator.choice(sorted(base))} if generator.random() < 0.5 else {generator.getrandbits(64)})
+            sets.append(np.array(sorted(s), dtype=np.uint64))
+        known = np.unique(jaccard_join.signatures(sets, limit)[0])
+        known = known[np.array([generator.random() < 0.7 for _ in known], dtype=bool)]
+        hot = (known, np.array([generator.randint(3, 6) for _ in known], dtype=np.int64))
+        sig, owner = jaccard_join.signatures(sets, limit, hot)
+        held = [set(sig[owner == i].tolist()) for i in range(6)]
+        for i in range(6):
+            for j in range(i):
+                inter = len(np.intersect1d(sets[i], sets[j]))
+                if inter and limit.linked(inter, len(sets[i]) + len(sets[j]) - inter):
+                    assert held[i] & held[j]
+    limit, passage = jaccard_join.Threshold(80, 100), {generator.getrandbits(64)}
+    strangers = [np.array(sorted(passage | {generator.getrandbits(64) for _ in range(60)}), dtype=np.uint64) for _ in range(300)]
+    found, times = np.unique(jaccard_join.signatures(strangers, limit)[0], return_counts=True)
+    hot = (found[times > 3], times[times > 3])
+    assert np.unique(jaccard_join.signatures(strangers, limit, hot)[0], return_counts=True)[1].max() <= 3
+
+
+def test_regions_that_pivots_do_not_tell_apart_stay_whole(spark):
+    """Near copies of one text, all as far from each other: cells would hold each of them many times over."""
+    generator = random.Random(14)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for place in generator.sample(range(100), 4 + i % 5):
+            words[place] = f"x{generator.randrange(10**6)}"
+        rows.append((1, i, " ".join(words)))
+    df = spark.createDataFrame(rows, "region long, id long, text string")
+    _, again = jaccard_join._split(df, jaccard_join.Threshold(90, 100), 3, 10)
+    held = again.collect()
+    assert 0 < len(held) <= len(rows) and {r["whole"] for r in held} == {True} and {r["region"] for r in held} == {1}
+
+
+def test_equal_texts_link_by_the_first(spark):
+    words = " ".join(f"v{i}" for i in range(60))
+    rows = [(10 + i, words) for i in range(40)] + [(5, words + " tail"), (70, "another text of some words")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert {(r["a"], r["b"]) for r in jaccard_join._copies(df).collect()} == {(10 + i, 10) for i in range(1, 40)}
+    check_components(df.withColumnRenamed("id", "doc_id"), 3, 90)
+
+
 def test_connected_components(spark):
     pairs = [(i, i + 1) for i in range(0, 12)] + [(100, 200), (200, 150), (7, 7), (300, 100)]
     found = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -16,8 +16,13 @@ rest is at home with its nearest pivot, or outside if that is farther than 1 - r
 and, by the triangle inequality, boundary documents that are at most 2r farther from it than from their own pivot. Documents
 linked to a cell's pivot that are too far from all others of the cell leave it; cells and the outside join in the same way.
 Where pivots don't tell the documents of a cell apart, those that share one of their rarest shingles are compared.
-Regions within REGION_BYTES of text are joined by one task, larger ones are cut into cells by Spark, round by round, and at
-last in pairs of blocks. No pair is lost and no group of near copies is expanded into pairs.
+Regions within REGION_BYTES of text are joined by one task, larger ones are cut into cells by Spark, round by round, or in pairs
+of blocks where pivots don't tell their documents apart: cells that overlap would hold each text many times over. No pair is
+lost and no group of near copies is expanded into pairs.
+
+Passages that very many documents have would make large regions of strangers. Linked sets share more classes than one, so each
+set leaves out as many of the classes that a sample knows to be frequent, from the most frequent on (``signatures``). Of equal
+texts only the first is in a region.
 
 Defined cases: null and empty texts have no shingles and link with nothing; a text of fewer than k words is one shingle;
 a null doc_id links with nothing and has a null component; rows with one doc_id are one node; repeated rows each get the
@@ -126,9 +131,14 @@ class Threshold:
         return out
 
 
-def signatures(sets: list[np.ndarray], limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], limit: Threshold, hot: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) for every class with shingles of every set on each of its levels.
 
+    ``hot``: signatures known to be frequent, sorted, and how frequent they are. A set that has shingles in f classes on a level
+    leaves out the f - d - 1 most frequent of them (others count as 0, and equal counts are ordered by signature), where d classes
+    at most may differ: of the classes that two linked sets share, the last in this order has d others at most behind it in either
+    set, so both keep it.
+
     If a set has shingles in no more classes than may differ, its smallest hashes, one more than may differ from a linked set,
     are signatures too: of two linked sets either one has an unchanged class with shingles, or both have such hashes, of
     which they share one.
@@ -149,9 +159,18 @@ def signatures(sets: list[np.ndarray], limit: Threshold) -> tuple[np.ndarray, np
     job = np.repeat(np.arange(len(jobs)), sizes)
     place = np.arange(base[-1]) - base[job]
     tag = _mix((sizes[job].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64) + _C)
-    found, of = [_mix(total ^ tag)[keep]], [owner[job][keep]]
+    tokens, job = _mix(total ^ tag)[keep], job[keep]
     filled = np.add.reduceat(keep.astype(np.int64), base[:-1])
-    for j in np.flatnonzero(filled <= np.array([limit.most_different(len(sets[i])) for i in owner])).tolist():
+    most = np.array([limit.most_different(len(sets[i])) for i in owner])
+    often = np.zeros(len(tokens), np.int64)
+    if hot is not None and len(hot[0]):
+        at = np.minimum(np.searchsorted(hot[0], tokens), len(hot[0]) - 1)
+        often = np.where(hot[0][at] == tokens, hot[1][at], 0)
+    order = np.lexsort((tokens, -often, job))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(filled) - filled, filled)
+    stay = order[place >= (filled - most - 1)[job[order]]]
+    found, of = [tokens[stay]], [owner[job[stay]]]
+    for j in np.flatnonzero(filled <= most).tolist():
         one = sets[owner[j]]
         least = one[: len(one) - limit.least_common(len(one)) + 1]
         found.append(_mix(least * _C + sizes[j].astype(np.uint64)))
@@ -165,8 +184,10 @@ def signatures(sets: list[np.ndarray], limit: Threshold) -> tuple[np.ndarray, np
 class _Region:
     """Sets of a region in one flat array; finds components, not all pairs."""
 
-    def __init__(self, sets: list[np.ndarray], limit: Threshold):
+    def __init__(self, sets: list[np.ndarray], limit: Threshold, blocks: np.ndarray | None = None):
+        """blocks: of two blocks, each of which is joined elsewhere, only documents of different ones have to be compared."""
         self.sets, self.limit = sets, limit
+        self.blocks = blocks if blocks is not None and len(np.unique(blocks)) > 1 else None
         self.sizes = np.array([len(s) for s in sets])
         self.root = list(range(len(sets)))
 
@@ -248,6 +269,8 @@ class _Region:
                 near.update(held)
                 held.append(k)
             n = int(lengths[k])
+            if self.blocks is not None:
+                near = {j for j in near if self.blocks[members[j]] != self.blocks[mine]}
             near = sorted(j for j in near if lengths[j] >= self.limit.least_common(n) and n >= self.limit.least_common(int(lengths[j])))
             by_root: dict[int, int] = {}
             for j in near:
@@ -284,7 +307,7 @@ def _joiner(limit: Threshold, k: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         ids = group["id"].to_numpy()
-        region = _Region([shingle_set(t, k) for t in group["text"]], limit)
+        region = _Region([shingle_set(t, k) for t in group["text"]], limit, group["block"].to_numpy() if "block" in group else None)
         region.join(np.arange(len(ids)))
         roots = [region.find(i) for i in range(len(ids))]
         pairs = [(int(ids[i]), int(ids[r])) for i, r in enumerate(roots) if ids[i] != ids[r]]
@@ -296,7 +319,7 @@ def _joiner(limit: Threshold, k: int):
 # ---- the join
 
 
-def signature_rows(df: DataFrame, key: str, text: str, k: int, limit: Threshold) -> DataFrame:
+def signature_rows(df: DataFrame, key: str, text: str, k: int, limit: Threshold, hot: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(sig, id): a row for each signature of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +328,7 @@ def signature_rows(df: DataFrame, key: str, text: str, k: int, limit: Threshold)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             for part in slices(batch, at):
-                sigs, owner = signatures([shingle_set(t, k) for t in part.column(at).to_pylist()], limit)
+                sigs, owner = signatures([shingle_set(t, k) for t in part.column(at).to_pylist()], limit, hot)
                 ids = part.column(part.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
                 for start in range(0, len(sigs), 50_000):
                     piece = slice(start, start + 50_000)
@@ -379,9 +402,26 @@ def _promising(documents: DataFrame, k: int, limit: Threshold) -> DataFrame:
     return maybe_in(documents, "id", bit_filter(left, "left_id")).join(left, F.col("id") == F.col("left_id")).select("id", "text")
 
 
+def _hot_signatures(documents: DataFrame, k: int, limit: Threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent signatures and their counts in a sample of one document in 64; HOT_SHINGLES times a text's signatures at most."""
+    sample = documents.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(64)) == 0)
+    least = max(3, sample.count() // HOT_SHINGLES)
+    known = signature_rows(sample, "id", "text", k, limit).groupBy("sig").count().where(F.col("count") >= least).toPandas()
+    sigs = known["sig"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(sigs)
+    return sigs[order], known["count"].to_numpy(np.int64)[order]
+
+
+def _copies(documents: DataFrame) -> DataFrame:
+    """(a, b): each document whose text an earlier one has, and the first of these."""
+    told = documents.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("mark"))
+    first = F.min("id").over(Window.partitionBy("mark"))
+    return stored(told.select(F.col("id").alias("a"), first.alias("b")).where("a != b"), "copies")
+
+
 def _regions(documents: DataFrame, k: int, limit: Threshold) -> DataFrame:
     """(region, id): every document that agrees in a class with others, for each pivot it meets."""
-    rows = signature_rows(documents, "id", "text", k, limit)
+    rows = signature_rows(documents, "id", "text", k, limit, _hot_signatures(documents, k, limit))
     least = rows.groupBy("sig").agg(F.min("id").alias("region"), F.max("id").alias("most"))
     shared = stored(least.where("region < most").select(F.col("sig").alias("sig2"), "region"), "shared")
     again = maybe_in(rows, "sig", bit_filter(shared, "sig2"))
@@ -407,7 +447,8 @@ def _chunks(rows: DataFrame, more: int = 0) -> DataFrame:
 def _split(rows: DataFrame, limit: Threshold, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """One round for regions (region, id, text) that are too large: (links, rows of the new regions).
 
-    PIVOTS documents of each region are sent to every chunk of it; each chunk measures its documents against them.
+    PIVOTS documents of each region are sent to every chunk of it; each chunk measures its documents against them. A region stays
+    ``whole`` if its cells would hold more rows than it has, or one of them more than half of it.
     """
     chunks = _chunks(rows)
     slot = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(PIVOTS))
@@ -446,23 +487,29 @@ def _split(rows: DataFrame, limit: Threshold, k: int, seed: int) -> tuple[DataFr
     made = made.withColumn("child", F.xxhash64("parent", F.coalesce("pivot", F.lit(0)), F.col("pivot").isNull(), F.lit(seed)))
     open_ = made.where("not linked").groupBy(F.col("child").alias("child2")).agg(F.min("d").alias("from"))
     kept = made.join(open_, F.col("child") == F.col("child2")).where(F.col("d") >= F.col("from") - limit.r - 1e-12)
-    kept = kept.select("parent", "child", F.col("id").alias("id2")).distinct()
-    again = kept.join(rows, (F.col("parent") == rows["region"]) & (F.col("id2") == rows["id"]))
-    return links, again.select(F.col("child").alias("region"), "id", "text")
+    kept = stored(kept.select("parent", "child", F.col("id").alias("id2")).distinct(), "kept")
+    cells = kept.groupBy("parent", "child").count().groupBy("parent").agg(F.sum("count").alias("held"), F.max("count").alias("largest"))
+    members = rows.groupBy(F.col("region").alias("parent")).agg(F.count(F.lit(1)).alias("members"))
+    told = cells.join(members, "parent").select("parent", ((F.col("held") > F.col("members")) | (2 * F.col("largest") > F.col("members"))).alias("whole"))
+    to = kept.join(told, "parent").select("parent", F.when(F.col("whole"), F.col("parent")).otherwise(F.col("child")).alias("to"), "id2", "whole").distinct()
+    again = to.join(rows, (F.col("parent") == rows["region"]) & (F.col("id2") == rows["id"]))
+    return links, again.select(F.col("to").alias("region"), "id", "text", "whole")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Regions that pivots don't split: every two blocks of a region as a region of their own."""
+    """Regions that pivots don't split: every block of a region and every two blocks of it as a region of their own."""
     dealt = rows.join(_chunks(rows, 1), F.col("region") == F.col("region2")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
-    return dealt.select(pair.alias("region"), "id", "text")
+    return dealt.select(pair.alias("region"), "id", "text", "block")
 
 
 def links(documents: DataFrame, k: int, limit: Threshold) -> DataFrame:
     """Links (a, b) that span the components of (id, text) documents."""
     documents = stored(_promising(documents, k, limit), "promising")
+    copies = _copies(documents)
     regions = _regions(documents, k, limit)
+    regions = stored(regions.join(copies.select("a"), F.col("id") == F.col("a"), "left_anti"), "regions")
     wanted = stored(regions.select("id").distinct(), "wanted")
     texts = maybe_in(documents, "id", bit_filter(wanted, "id")).select(F.col("id").alias("id2"), "text")
     sizes = stored(texts.groupBy("id2").agg(F.sum(F.octet_length("text")).alias("bytes")), "sizes")
@@ -471,7 +518,7 @@ def links(documents: DataFrame, k: int, limit: Threshold) -> DataFrame:
 
     joined = lambda rows: rows.groupBy("region").applyInPandas(_joiner(limit, k), "a long, b long")
     with_text = lambda rows: rows.join(texts, F.col("id") == F.col("id2")).select("region", "id", "text")
-    found = [joined(with_text(regions.join(large, F.col("region") == F.col("region2"), "left_anti")))]
+    found = [copies, joined(with_text(regions.join(large, F.col("region") == F.col("region2"), "left_anti")))]
     rows, seed = None, 0
     if not large.isEmpty():
         rows = stored(with_text(regions.join(large, F.col("region") == F.col("region2"), "left_semi")), "rows")
@@ -480,6 +527,8 @@ def links(documents: DataFrame, k: int, limit: Threshold) -> DataFrame:
         linked, rows = _split(rows, limit, k, seed)
         found.append(linked)
         rows = stored(rows, "rows")
+        found.append(joined(_blocks(rows.where("whole").drop("whole"))))
+        rows = rows.where("not whole").drop("whole")
         mass = rows.groupBy("region").agg(F.sum(F.octet_length("text")).alias("mass"))
         large = stored(mass.where(F.col("mass") > REGION_BYTES).select(F.col("region").alias("region2")), "large")
         found.append(joined(rows.join(large, F.col("region") == F.col("region2"), "left_anti")))
