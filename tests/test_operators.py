@@ -259,3 +259,27 @@ def test_temporal_pairs_are_not_shuffled(spark, capsys):
     # nothing is exchanged or made distinct above the join
     above = capsys.readouterr().out.split("Join")[0]
     assert "Exchange" not in above and "Aggregate" not in above
+
+
+def test_rows_of_equal_titles_meet_in_chunks(spark, monkeypatch):
+    """No task pairs a whole class: rows of one title, and of two that are near, are dealt over chunks, and each pair comes once."""
+    monkeypatch.setattr(memory, "CHUNK", 4)
+    titles = ["a title that very many memories have"] * 30 + ["a title that very many memories hav"] * 9 + ["something else altogether here"] * 2
+    df = table(spark, "id string, title string", [(f"{i:02d}", t) for i, t in enumerate(titles)])
+    expected = {(f"{i:02d}", f"{j:02d}") for j in range(41) for i in range(j) if (i < 39) == (j < 39)}
+    found = [(r["id_a"], r["id_b"]) for r in memory.title_duplicates(df).collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    rows = table(spark, "nr long, id string", [(0, f"{i:02d}") for i in range(30)])
+    assert memory._chunked(rows).select("chunk").distinct().count() > 4
+
+
+def test_title_tiles_by_brute_force(spark, monkeypatch):
+    """Titles of many lengths, in many tiles: those that can't be near by length are left out, no other."""
+    monkeypatch.setattr(memory, "TITLE_TILE", 16)
+    rng = random.Random(8)
+    titles = {"".join(rng.choice("ab ") for _ in range(rng.randint(1, 40))) for _ in range(120)}
+    titles |= {t + "c" for t in titles} | {t[1:] for t in titles if len(t) > 1}
+    titles = sorted(titles)
+    expected = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if 1 - _distance(a, b) / max(len(a), len(b)) >= 0.85}
+    found = memory._near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), None, 0.85).collect()
+    assert len(found) == len(expected) and {tuple(sorted((r["t_a"], r["t_b"]))) for r in found} == expected

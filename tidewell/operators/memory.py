@@ -94,15 +94,61 @@ def title_duplicates(memories: DataFrame, others: DataFrame | None = None, least
     # only a memory of several titles can make a pair twice
     several = rows.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("several")).where("several")
     rows = rows.join(several, "id", "left")
-    marked = lambda x: ids(rows.withColumn(f"several_{x}", F.coalesce("several", F.lit(False))), x)
-    near = _near_titles(rows.select("title").distinct(), None, least)
-    same = marked("a").join(marked("b"), F.col("t_a") == F.col("t_b")).where("id_a < id_b").withColumn("similarity", F.lit(1.0))
-    across = near.join(marked("a"), "t_a").join(marked("b"), "t_b").where("id_a != id_b")
+    titles = settled(rows.select("title").distinct()).withColumn("nr", F.monotonically_increasing_id())
+    rows = settled(rows.join(titles, "title").select("nr", "id", F.coalesce("several", F.lit(False)).alias("several")))
+    near = _near_titles(titles.select("title"), None, least)
+    number = lambda x: titles.select(F.col("title").alias(f"t_{x}"), F.col("nr").alias(f"nr_{x}"))
+    near = near.join(number("a"), "t_a").join(number("b"), "t_b").select("nr_a", "nr_b", "similarity")
+    same, across = _same_rows(rows).withColumn("similarity", F.lit(1.0)), _other_rows(near, rows)
     pair = [F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "similarity"]
     found = same.select(*pair, (F.col("several_a") & F.col("several_b")).alias("again")).unionByName(across.select(*pair, (F.col("several_a") | F.col("several_b")).alias("again")))
+    if several.isEmpty():
+        return found.drop("again")
     return found.where("not again").drop("again").unionByName(found.where("again").drop("again").distinct())
 
 
+#: Rows of a class that one task pairs with others.
+CHUNK = 2048
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` (nr, id, ...) with the number of chunks of their class, and each row's chunk."""
+    chunks = rows.groupBy("nr").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    return rows.join(chunks, "nr").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The join by class and chunk, whose rows, the square of a class, aren't shuffled. A stated number of tasks, since adaptive
+    execution would join so few bytes into one."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, "nr", "chunk").join(right.repartition(n, "nr", "chunk"), ["nr", "chunk"])
+
+
+def _same_rows(rows: DataFrame) -> DataFrame:
+    """Each pair of rows (nr, id, ...) of one class, once; the columns end in _a and _b. Classes meet chunk by chunk."""
+    chunked = settled(_chunked(rows))
+    of = lambda df, x: df.select("nr", "chunk", *[F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "nr"])
+    everywhere = chunked.drop("chunk").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return _met(of(everywhere, "a"), of(chunked, "b")).where("id_a < id_b")
+
+
+def _other_rows(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of rows (nr, id, ...) of the classes of ``near`` (nr_a, nr_b, ...); the columns end in _a and _b. The rows of the
+    smaller class come first, so what is shuffled aren't the pairs."""
+    near, chunked = settled(near), settled(_chunked(rows))
+    sizes = chunked.groupBy("nr").agg(F.count(F.lit(1)).alias("n"), F.first("chunks").alias("chunks"))
+    for x in "ab":
+        near = near.join(sizes.select(F.col("nr").alias(f"nr_{x}"), F.col("n").alias(f"n_{x}"), F.col("chunks").alias(f"chunks_{x}")), f"nr_{x}")
+    turned = F.col("n_a") > F.col("n_b")
+    told = [c for c in near.columns if c[:-2] not in ("nr", "n", "chunks")]
+    ends = [F.when(turned, F.col("nr_b")).otherwise(F.col("nr_a")).alias("few"), F.when(turned, F.col("nr_a")).otherwise(F.col("nr_b")).alias("nr")]
+    ends = near.select(*ends, F.greatest("chunks_a", "chunks_b").alias("chunks"), *told)
+    of = lambda x: [F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "nr"]
+    first = ends.join(rows.select(F.col("nr").alias("few"), *of("a")), "few").drop("few")
+    first = first.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return _met(first, chunked.select("nr", "chunk", *of("b"))).where("id_a != id_b")
+
+
 def title_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, class_id, class_size, n_duplicates): each memory with a title, the first memory of the same title, how many have it,
     and with how many others it makes a pair of ``title_duplicates``. The pairs themselves, the square of a class, aren't made."""
@@ -119,35 +165,41 @@ def _titled(memories: DataFrame) -> DataFrame:
     return memories.select("id", F.lower("title").alias("title")).where("title != ''").distinct()
 
 
-#: Bits of a title's sketch; titles of a block at most, and of one product of sketches.
-TITLE_BITS, TITLE_BLOCK, TITLE_TILE = 256, 8192, 2048
+#: Bits of a title's sketch and of its larger one; titles of a block at most, and of one product of sketches.
+TITLE_BITS, TITLE_MORE, TITLE_BLOCK, TITLE_TILE = 256, 512, 16384, 1024
 
 
 def _sketched(titles: DataFrame, blocks: int) -> DataFrame:
-    """(title, block, bits): a bit for each pair of neighbouring characters and its turn among equal ones, by hash."""
+    """(title, block, bits, more): a bit for each pair of neighbouring characters and its turn among equal ones, by hash; in two
+    sketches."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
-            for title in batch["title"]:
-                turns, bits = {}, np.zeros(TITLE_BITS, dtype=np.uint8)
+            if not len(batch):  # of an empty partition, without columns
+                continue
+            made = np.zeros((len(batch), TITLE_BITS + TITLE_MORE), dtype=np.uint8)
+            for row, title in zip(made, batch["title"], strict=True):
+                turns = {}
                 for i in range(len(title) - 1):
                     pair = title[i : i + 2]
                     turns[pair] = turns.get(pair, 0) + 1
-                    bits[zlib.crc32(f"{pair}{turns[pair]}".encode("utf-8", "surrogatepass")) % TITLE_BITS] = 1
-                made.append(np.packbits(bits).tobytes())
-            yield batch.assign(bits=made)
+                    h = zlib.crc32(f"{pair}{turns[pair]}".encode("utf-8", "surrogatepass"))
+                    row[h % TITLE_BITS] = row[TITLE_BITS + (h >> 16) % TITLE_MORE] = 1
+            packed = np.packbits(made, axis=1)
+            yield batch.assign(bits=[r.tobytes() for r in packed[:, : TITLE_BITS // 8]], more=[r.tobytes() for r in packed[:, TITLE_BITS // 8 :]])
 
     dealt = titles.select("title", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("block"))
-    return dealt.repartition("block", "title").mapInPandas(sketch, "title string, block int, bits binary")
+    n = int(titles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "block", "title").mapInPandas(sketch, "title string, block int, bits binary, more binary")
 
 
 def _near_titles(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """(t_a, t_b, similarity) of distinct titles of either side; without ``right`` each pair of different titles of ``left`` once.
 
     An edit changes four at most of the bits of a title, so titles within k edits differ in 4 k bits at most. Bits are compared
-    by products of matrices, block by block, and only pairs that pass are measured. With an edit in every seven characters no
-    piece of a title is sure to stay whole that is long enough to tell titles apart by a join.
+    by products of matrices, block by block; of pairs that pass the larger sketches are compared, and only those that pass again
+    are measured. With an edit in every seven characters no piece of a title is sure to stay whole that is long enough to tell
+    titles apart by a join.
     """
     own = right is None
     left = settled(left)
@@ -161,32 +213,51 @@ def _near_titles(left: DataFrame, right: DataFrame | None, least: float) -> Data
     some = meets(a, "x", "y", F.sequence(F.col("block") if own else F.lit(0), F.lit(n_b - 1)))
     others = meets(b, "y", "x", F.sequence(F.lit(0), F.col("block") if own else F.lit(n_a - 1)))
 
-    def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        p, q = group[group["left"]], group[~group["left"]]
         none = pd.DataFrame({"t_a": [], "t_b": []}, dtype=object)
         if not len(p) or not len(q):
             return none
         same = own and p["x"].iloc[0] == q["y"].iloc[0]
         bits = lambda df: np.unpackbits(np.frombuffer(b"".join(df["bits"]), dtype=np.uint8).reshape(len(df), -1), axis=1).astype(np.float32)
+        p, q = (df.assign(size=df["title"].str.len()).sort_values("size", kind="stable") for df in (p, q))
         u, v = bits(p), bits(q)
-        m, n = (df["title"].str.len().to_numpy().astype(np.float32) for df in (p, q))
-        s, t, ones, twos = p["title"].to_numpy(), q["title"].to_numpy(), u.sum(axis=1), v.sum(axis=1)
+        fine, finer = (np.frombuffer(b"".join(df["more"]), dtype=np.uint64).reshape(len(df), -1) for df in (p, q))
+        m, n, s, t = (df[c].to_numpy() for c in ("size", "title") for df in (p, q))
+        # the product of these is what two titles' bits share twice, without the bits of either: bits that differ, negative
+        u = np.column_stack([2 * u, -u.sum(axis=1), -np.ones(len(u), np.float32)])
+        v = np.ascontiguousarray(np.column_stack([v, np.ones(len(v), np.float32), v.sum(axis=1)]).T)
+        room = np.empty((TITLE_TILE, TITLE_TILE), np.float32)
         found = [none]
         for i in range(0, len(p), TITLE_TILE):
             for j in range(0, len(q), TITLE_TILE):
                 k, r = slice(i, i + TITLE_TILE), slice(j, j + TITLE_TILE)
-                # bits that differ are ones + twos - 2 * shared; a little more than 1 - least, for rounding
-                most = (1 - least + 1e-5) * np.maximum(m[k, None], n[None, r])
-                near = (4 * most >= ones[k, None] + twos[None, r] - 2 * (u[k] @ v[r].T)) & (np.abs(m[k, None] - n[None, r]) <= most)
-                y, z = np.nonzero(near)
+                # a little more than 1 - least, for rounding; of the longest titles of the tiles first, then of each pair's
+                reach = (1 - least + 1e-5) * max(m[k][-1], n[r][-1])
+                if max(m[k][0] - n[r][-1], n[r][0] - m[k][-1]) > reach:
+                    continue
+                alike = room.reshape(-1)[: len(m[k]) * len(n[r])].reshape(len(m[k]), -1)
+                np.matmul(u[k], v[:, r], out=alike)
+                near = np.flatnonzero(alike.reshape(-1) >= -4 * reach)
+                y, z = np.divmod(near, alike.shape[1])
+                most = (1 - least + 1e-5) * np.maximum(m[k][y], n[r][z])
+                keep = (alike[y, z] >= -4 * most) & (np.abs(m[k][y] - n[r][z]) <= most)
+                y, z, most = y[keep], z[keep], most[keep]
+                keep = np.bitwise_count(fine[k][y] ^ finer[r][z]).sum(axis=1, dtype=np.int32) <= 4 * most
                 if same:
-                    keep = s[k][y] < t[r][z]
-                    y, z = y[keep], z[keep]
-                found.append(pd.DataFrame({"t_a": s[k][y], "t_b": t[r][z]}))
+                    keep &= s[k][y] < t[r][z]
+                if keep.any():
+                    found.append(pd.DataFrame({"t_a": s[k][y[keep]], "t_b": t[r][z[keep]]}))
         return pd.concat(found, ignore_index=True)
 
-    met = some.groupBy("x", "y").cogroup(others.groupBy("x", "y")).applyInPandas(meet, "t_a string, t_b string")
+    # a stated number, since the products take long and adaptive execution would join so few bytes into a few tasks
+    n = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_a * n_b, 256))
+    both = some.withColumn("left", F.lit(True)).unionByName(others.withColumn("left", F.lit(False)))
+    met = both.repartition(n, "x", "y").groupBy("x", "y").applyInPandas(meet, "t_a string, t_b string")
     longer = F.greatest(F.char_length("t_a"), F.char_length("t_b"))
-    near = met.withColumn("distance", F.levenshtein("t_a", "t_b"))
+    # beyond this the distance isn't counted to its end
+    most = F.floor((1 - least + 1e-5) * longer).cast("int")
+    near = met.withColumn("distance", F.call_function("levenshtein", F.col("t_a"), F.col("t_b"), most)).where("distance >= 0")
     return near.select("t_a", "t_b", (1 - F.col("distance") / longer).alias("similarity")).where(F.col("similarity") >= least)
 
 
