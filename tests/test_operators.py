@@ -283,3 +283,17 @@ def test_title_tiles_by_brute_force(spark, monkeypatch):
     expected = {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if 1 - _distance(a, b) / max(len(a), len(b)) >= 0.85}
     found = memory._near_titles(spark.createDataFrame([(t,) for t in titles], "title string"), None, 0.85).collect()
     assert len(found) == len(expected) and {tuple(sorted((r["t_a"], r["t_b"]))) for r in found} == expected
+
+
+def test_near_sets_are_measured_in_blocks(spark, monkeypatch):
+    """A group of near sets: its pairs are the square of it, but a set goes to each block once, and pairs that have met aren't
+    made again."""
+    monkeypatch.setattr(memory, "SET_BLOCK", 10)
+    rng = random.Random(9)
+    base = rng.sample(range(10**6), 120)
+    held = sorted({frozenset([*rng.sample(base, 120 - i % 9), *rng.sample(range(10**6, 10**7), i % 7)]) for i in range(150)}, key=sorted)
+    sets = spark.createDataFrame([(i, sorted(h)) for i, h in enumerate(held)], "nr long, hashes array<long>")
+    expected = {(i, j): len(a & b) / len(a | b) for j, b in enumerate(held) for i, a in enumerate(held[:j]) if len(a & b) / len(a | b) >= 0.85}
+    found = memory._near_numbers(sets, 0.85).collect()
+    assert len(found) == len(expected) > 5000
+    assert {tuple(sorted((r["nr_a"], r["nr_b"]))): r["jaccard"] for r in found} == expected

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import days_between
+from tidewell.llm.shared import bit_filter, maybe_in
 from tidewell.sources.scratch import settled
 
 # Texts that look like an attempt to give instructions.
@@ -275,16 +276,14 @@ def jaccard(a: Column, b: Column) -> Column:
 def content_pairs(memories: DataFrame, least: float = 0.85) -> DataFrame:
     """Pairs (id_a, id_b, jaccard, contradicts) of similar contents; they contradict if the trimmed contents differ.
 
-    Memories of the same tokens are one class; classes are compared once, by ``_near_sets``.
+    Memories of the same tokens are one class; classes are compared once, by ``_near_numbers``.
     """
     rows, sets = _token_classes(memories)
-    near = _near_sets(sets, least)
-    of = lambda x: rows.select(F.col("set").alias(f"set_{x}"), F.col("id").alias(f"id_{x}"), F.col("body").alias(f"body_{x}"))
-    within = of("a").join(of("b"), F.col("set_a") == F.col("set_b")).where("id_a < id_b").withColumn("jaccard", F.lit(1.0))
-    across = near.join(of("a"), "set_a").join(of("b"), "set_b").where("id_a != id_b")
-    told = ["jaccard", (F.col("body_a") != F.col("body_b")).alias("contradicts")]
-    across = across.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), *told)
-    return within.select("id_a", "id_b", *told).unionByName(across)
+    near = _near_numbers(sets, least).select("nr_a", "nr_b", "jaccard")
+    within = _same_rows(rows.select("nr", "id", "body")).select("id_a", "id_b", F.lit(1.0).alias("jaccard"), (F.col("body_a") != F.col("body_b")).alias("contradicts"))
+    # memories of other tokens have other contents
+    across = _other_rows(near, rows.select("nr", "id")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "jaccard", F.lit(True).alias("contradicts"))
+    return within.unionByName(across)
 
 
 def content_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
@@ -292,86 +291,146 @@ def content_classes(memories: DataFrame, least: float = 0.85) -> DataFrame:
     how many others it makes a pair of ``content_pairs`` and with how many of these it disagrees. Memories of the same tokens are
     compared once, and no pairs of rows are made. Contents without a token are similar to none."""
     rows, sets = _token_classes(memories)
-    near = settled(_near_sets(sets, least).select("set_a", "set_b"))
-    ways = near.unionByName(near.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b")))
-    held = rows.groupBy("set").agg(F.count(F.lit(1)).alias("in_set"))
-    others = ways.join(held.select(F.col("set").alias("set_b"), "in_set"), "set_b").groupBy(F.col("set_a").alias("set")).agg(F.sum("in_set").alias("others"))
+    near = settled(_near_numbers(sets, least).select("nr_a", "nr_b"))
+    ways = near.unionByName(near.select(F.col("nr_b").alias("nr_a"), F.col("nr_a").alias("nr_b")))
+    held = rows.groupBy("nr").agg(F.count(F.lit(1)).alias("in_set"))
+    others = ways.join(held.select(F.col("nr").alias("nr_b"), "in_set"), "nr_b").groupBy(F.col("nr_a").alias("nr")).agg(F.sum("in_set").alias("others"))
     # memories of other tokens have other contents, so they all disagree; those of the same tokens do if their trimmed contents differ
-    agreeing = rows.groupBy("set", "body").agg(F.count(F.lit(1)).alias("agreeing")).join(held, "set").join(others, "set", "left")
-    told = agreeing.select("set", "body", (F.coalesce("others", F.lit(0)) + F.col("in_set") - 1).alias("n_similar"), (F.coalesce("others", F.lit(0)) + F.col("in_set") - F.col("agreeing")).alias("n_contradicting"))
+    agreeing = rows.groupBy("nr", "body").agg(F.count(F.lit(1)).alias("agreeing")).join(held, "nr").join(others, "nr", "left")
+    told = agreeing.select("nr", "body", (F.coalesce("others", F.lit(0)) + F.col("in_set") - 1).alias("n_similar"), (F.coalesce("others", F.lit(0)) + F.col("in_set") - F.col("agreeing")).alias("n_contradicting"))
     named = memories.select("id", F.sha2(F.coalesce("content", F.lit("")), 256).alias("key"))
     classes = named.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    counts = rows.join(told, ["set", "body"]).groupBy("key").agg(F.first("n_similar").alias("n_similar"), F.first("n_contradicting").alias("n_contradicting"))
+    counts = rows.join(told, ["nr", "body"]).groupBy("key").agg(F.first("n_similar").alias("n_similar"), F.first("n_contradicting").alias("n_contradicting"))
     counted = classes.join(counts, "key", "left")
     return named.join(counted, "key").select("id", "class_id", "class_size", F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("n_contradicting", F.lit(0)).alias("n_contradicting"))
 
 
 def _token_classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, sets): (id, key, body, set) of memories with tokens, contents and trimmed contents by digest and the number of their
-    set of tokens; and (set, tokens) of each set."""
+    """(rows, sets): (id, key, body, nr) of memories with tokens, contents and trimmed contents by digest and the number of their
+    set of tokens; and (nr, hashes) of each set, its tokens by hash."""
     words = memories.select("id", "content", F.array_sort(token_set(F.col("content"))).alias("tokens")).where(F.size("tokens") > 0)
     digest = F.sha2(F.concat_ws(" ", "tokens"), 256)
-    told = settled(words.select("id", F.sha2("content", 256).alias("key"), F.sha2(F.trim("content"), 256).alias("body"), digest.alias("set"), "tokens"))
-    rows = told.drop("tokens")
-    first = rows.groupBy("set").agg(F.min(F.struct("id", "key")).alias("first")).select("set", F.col("first.id").alias("id"), F.col("first.key").alias("key"))
-    return rows, told.join(first, ["set", "id", "key"]).select("set", "tokens").dropDuplicates(["set"])
+    told = words.select("id", F.sha2("content", 256).alias("key"), F.sha2(F.trim("content"), 256).alias("body"), digest.alias("set"), _hashes("tokens"))
+    told = settled(told).withColumn("own", F.monotonically_increasing_id())
+    rows = told.drop("hashes")
+    first = rows.groupBy("set").agg(F.min("own").alias("nr"))
+    rows = settled(rows.join(first, "set").select("id", "key", "body", "nr"))
+    return rows, settled(told.select(F.col("own").alias("nr"), "hashes").join(rows.select("nr").distinct(), "nr"))
 
 
-#: Bits of the sketch of a set.
-SKETCH = 256
+def _hashes(tokens: str) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x)).alias("hashes")
+
+
+#: Bits of the sketch of a set; parts by which it is seen whether two sets have met before; sets of a block whose pairs are measured.
+SKETCH, BEFORE, SET_BLOCK = 1024, 8, 4096
 
 
 def _near_sets(sets: DataFrame, least: float) -> DataFrame:
-    """(set_a, set_b, jaccard), each pair once, of different sets (set, tokens) whose Jaccard similarity is ``least`` or more.
+    """(set_a, set_b, jaccard), each pair once, of different sets (set, tokens) whose Jaccard similarity is ``least`` or more."""
+    sets = settled(sets.select("set", _hashes("tokens"))).withColumn("nr", F.monotonically_increasing_id())
+    name = lambda x: sets.select(F.col("nr").alias(f"nr_{x}"), F.col("set").alias(f"set_{x}"))
+    return _near_numbers(settled(sets.select("nr", "hashes")), least).join(name("a"), "nr_a").join(name("b"), "nr_b").select("set_a", "set_b", "jaccard")
+
+
+def _near_numbers(sets: DataFrame, least: float) -> DataFrame:
+    """(nr_a, nr_b, jaccard), each pair once, of different sets (nr, hashes) whose Jaccard similarity is ``least`` or more.
 
     Sizes fall into classes, each ``1 / least`` times the one before, so similar sets are in the same class or in neighbouring ones.
     Sets that similar differ by k tokens at most, where k follows from the class. Tokens are dealt by hash into k + 1 parts, of
-    which one is then the same in both; pairs meet by a part's digest. Of those that meet, the parities of the tokens by hash
-    tell most of the others apart, since each token that differs changes one of them; the rest is compared token by token.
+    which one is then the same in both; pairs meet by a part's digest. Parts that no two sets share are left out before. Of those
+    that meet, the parities of the tokens by hash tell most of the others apart, since each token that differs changes one of
+    them. Near sets share many parts, so a row has the digests of the first parts as well, and a pair that has met in one of those
+    isn't made again. The pairs that are left are measured block by block, so a set goes to each block once and not to each pair.
     """
     ratio, width = (1 - least) / (1 + least), math.log(1 / (least - 1e-9))
-    schema = "part long, own boolean, nr long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH // 64))
+    before = [f"p{i}" for i in range(BEFORE)]
+    schema = "part long, place int, own boolean, nr long, n int, " + ", ".join(f"s{i} long" for i in range(SKETCH // 64)) + ", " + ", ".join(f"{p} long" for p in before)
 
     def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts_of(h: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+        size = int(math.log(len(h)) / width)
+        for group in (size, size + 1):
+            k = int(2 * ratio * math.exp(width * (group + 1)) + 1e-6)
+            parts = np.arange(k + 1, dtype=np.uint64) + np.uint64(group << 32)
+            np.add.at(parts, (h % np.uint64(k + 1)).astype(np.int64), mixed(h))
+            yield group == size, mixed(parts).view(np.int64)
+
+    def in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                found = [part for held in batch["hashes"].iloc[start : start + 256] for _, part in parts_of(np.asarray(held, dtype=np.int64).view(np.uint64))]
+                yield pd.DataFrame({"part": np.concatenate(found)})
+
+    def in_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 yield of(batch.iloc[start : start + 256])
 
     def of(some: pd.DataFrame) -> pd.DataFrame:
-        digests, own, nr, sizes, sketches = [], [], [], [], []
+        digests, own, nr, sizes, sketches, firsts = [], [], [], [], [], []
         for name, held in zip(some["nr"], some["hashes"], strict=True):
             h = np.asarray(held, dtype=np.int64).view(np.uint64)
             sketch = np.packbits((np.bincount((h >> np.uint64(32)) % np.uint64(SKETCH), minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
-            size = int(math.log(len(h)) / width)
-            for group in (size, size + 1):
-                k = int(2 * ratio * math.exp(width * (group + 1)) + 1e-6)
-                parts = np.arange(k + 1, dtype=np.uint64) + np.uint64(group << 32)
-                np.add.at(parts, (h % np.uint64(k + 1)).astype(np.int64), mixed(h))
-                for column, value in ((digests, mixed(parts)), (own, group == size), (nr, name), (sizes, len(h)), (sketches, sketch)):
+            for mine, part in parts_of(h):
+                first = np.zeros(BEFORE, np.int64)
+                first[: len(part)] = part[:BEFORE]
+                for column, value in ((digests, part), (own, mine), (nr, name), (sizes, len(h)), (sketches, sketch), (firsts, first)):
                     column.append(value)
         times = [len(x) for x in digests]
-        spread = np.repeat(np.stack(sketches), times, axis=0)
-        rows = {"part": np.concatenate(digests).view(np.int64), "own": np.repeat(own, times), "nr": np.repeat(nr, times), "n": np.repeat(sizes, times)}
-        return pd.DataFrame(rows | {f"s{i}": spread[:, i] for i in range(SKETCH // 64)})
+        spread, first = np.repeat(np.stack(sketches), times, axis=0), np.repeat(np.stack(firsts), times, axis=0)
+        place = np.concatenate([np.arange(t, dtype=np.int32) for t in times])
+        rows = {"part": np.concatenate(digests), "place": place, "own": np.repeat(own, times), "nr": np.repeat(nr, times), "n": np.repeat(sizes, times)}
+        return pd.DataFrame(rows | {f"s{i}": spread[:, i] for i in range(SKETCH // 64)} | {p: first[:, i] for i, p in enumerate(before)})
 
-    sets = settled(settled(sets).withColumn("nr", F.monotonically_increasing_id()))
-    hashed = sets.select("nr", F.transform("tokens", lambda x: F.xxhash64(x)).alias("hashes"))
-    met = settled(hashed.repartition("nr").mapInPandas(parts, schema))
+    shared = sets.mapInPandas(in_parts, "part long").groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+    met = settled(maybe_in(sets.mapInPandas(in_rows, schema), "part", bit_filter(settled(shared), "part")))
     a, b = met.where("own").alias("a"), met.alias("b")
     differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH // 64)])
     sizes = (F.col("b.n") >= F.col("a.n") * (least - 1e-9)) & (F.col("a.n") >= F.col("b.n") * (least - 1e-9))
     once = ~F.col("b.own") | (F.col("a.nr") < F.col("b.nr"))
     few = differ <= F.floor(F.lit(ratio + 1e-9) * (F.col("a.n") + F.col("b.n")) + 1e-6)
-    pairs = a.join(b, F.col("a.part") == F.col("b.part")).where(once & sizes & few & (F.col("a.nr") != F.col("b.nr")))
-    pairs = pairs.select(F.least("a.nr", "b.nr").alias("nr_a"), F.greatest("a.nr", "b.nr").alias("nr_b")).distinct()
-    of = lambda x: sets.select(F.col("nr").alias(f"nr_{x}"), F.col("set").alias(f"set_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    full = pairs.join(of("a"), "nr_a").join(of("b"), "nr_b")
-    return full.select("set_a", "set_b", jaccard(F.col("tokens_a"), F.col("tokens_b")).alias("jaccard")).where(F.col("jaccard") >= least)
+    again = reduce(lambda x, y: x | y, [(F.col("a.place") > i) & (F.col(f"a.{p}") == F.col(f"b.{p}")) for i, p in enumerate(before)])
+    pairs = a.join(b, F.col("a.part") == F.col("b.part")).where(once & sizes & few & ~again & (F.col("a.nr") != F.col("b.nr")))
+    pairs = settled(pairs.select(F.least("a.nr", "b.nr").alias("nr_a"), F.greatest("a.nr", "b.nr").alias("nr_b")).distinct())
+    return _measured(pairs, sets, least)
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(nr_a, nr_b, jaccard) of those pairs (nr_a, nr_b) of sets (nr, hashes) whose Jaccard similarity is ``least`` or more. The
+    sets are dealt into blocks, and two blocks with the pairs between them make a task."""
+    ends = settled(pairs.select(F.col("nr_a").alias("nr")).unionByName(pairs.select(F.col("nr_b").alias("nr"))).distinct())
+    blocks = max(8, -(-ends.count() // SET_BLOCK))
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    x, y = F.least(of("nr_a"), of("nr_b")).alias("x"), F.greatest(of("nr_a"), of("nr_b")).alias("y")
+    dealt = settled(pairs.select(x, y, "nr_a", "nr_b"))
+    wanted = dealt.select("x", "y", F.col("nr_a").alias("nr")).unionByName(dealt.select("x", "y", F.col("nr_b").alias("nr"))).distinct()
+    held = maybe_in(sets, "nr", bit_filter(ends, "nr"))
+    # a row is a set or the pairs of a set
+    of_sets = wanted.join(held, "nr").select("x", "y", "nr", "hashes", F.lit(None).cast("array<long>").alias("others"))
+    of_pairs = dealt.groupBy("x", "y", F.col("nr_a").alias("nr")).agg(F.collect_list("nr_b").alias("others")).select("x", "y", "nr", F.lit(None).cast("array<long>").alias("hashes"), "others")
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        told, asked = group[group["others"].isna()], group[group["others"].notna()]
+        at = {nr: np.sort(np.asarray(h, dtype=np.int64)) for nr, h in zip(told["nr"], told["hashes"], strict=True)}
+        found = [pd.DataFrame({"nr_a": [], "nr_b": [], "jaccard": []})]
+        for nr, others in zip(asked["nr"], asked["others"], strict=True):
+            one, those = at[nr], [at[o] for o in others]
+            flat, lengths = np.concatenate(those), np.array([len(o) for o in those])
+            hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths)
+            likeness = both / (len(one) + lengths - both)
+            near = likeness >= least
+            if near.any():
+                found.append(pd.DataFrame({"nr_a": nr, "nr_b": np.asarray(others)[near], "jaccard": likeness[near]}))
+        return pd.concat(found)
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return of_sets.unionByName(of_pairs).repartition(n, "x", "y").groupBy("x", "y").applyInPandas(measure, "nr_a long, nr_b long, jaccard double")
 
 
 # ---- signatures
